@@ -46,4 +46,4 @@ def sanitize(col: Column) -> Column:
 
 def split_topics(topics: Column) -> Column:
     """Comma-joined topics as a trimmed array."""
-    return F.transform(F.split(topics, ","), F.trim)
+    return F.transform(F.split(topics, ","), lambda t: F.trim(t))

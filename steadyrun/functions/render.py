@@ -36,6 +36,12 @@ DISPLAY_NAMES = {
 }
 
 
+def number_text(value: Column, decimals: int) -> Column:
+    """Shortest decimal text of an already rounded number, with at least one decimal."""
+    fixed = F.format_string(f"%.{decimals}f", value)
+    return F.regexp_replace(fixed, r"(\.\d+?)0+$", "$1")
+
+
 def interval_text(lo: Column, hi: Column, decimals: int = 2, suffix: str = "") -> Column:
     """``[lo, hi]`` with fixed decimals, ``N/A`` where a bound is missing."""
     shape = f"[%.{decimals}f{suffix}, %.{decimals}f{suffix}]".replace("%,", "%%,").replace("%]", "%%]")

@@ -15,6 +15,12 @@ def rate(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double") * 100.0, whole.cast("double")), F.lit(0.0))
 
 
+def rounded(value: Column, decimals: int) -> Column:
+    """Rounded on the binary value, halves to even."""
+    scale = float(10**decimals)
+    return F.rint(value * scale) / scale
+
+
 def wilson(successes: Column, total: Column, z: float = Z95) -> Column:
     """Wilson score interval in percent as ``struct<lo, hi>``; (0, 0) for an empty total."""
     n = total.cast("double")

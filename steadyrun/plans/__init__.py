@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["q_stability"]
+MODULES = ["q_stability", "q_report", "q_crossrun"]
 
 
 def catalogue() -> dict[str, tuple[Query, str | None]]:

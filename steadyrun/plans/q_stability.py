@@ -36,12 +36,12 @@ def rates(df):
     )
 
 
-def wilson_sql(s: str, n: str, side: str) -> str:
+def wilson_sql(s: str, n: str, side: str, decimals: int = 6) -> str:
     sign, pick, limit = ("-", "greatest", "0.0") if side == "lo" else ("+", "least", "1.0")
     p, z2 = f"(cast({s} as double) / {n})", "(1.96e0 * 1.96e0)"
     centre = f"({p} + {z2} / (2.0 * {n}))"
     spread = f"(1.96e0 * sqrt(({p} * (1.0 - {p}) + {z2} / (4.0 * {n})) / {n}))"
-    return f"round({pick}({limit}, ({centre} {sign} {spread}) / (1.0 + {z2} / {n})) * 100.0, 6)"
+    return f"round({pick}({limit}, ({centre} {sign} {spread}) / (1.0 + {z2} / {n})) * 100.0, {decimals})"
 
 
 CI_SQL = ", ".join(
@@ -203,7 +203,7 @@ QUERIES["mcnemar"] = (
     lambda spark, sf: inference.mcnemar(cells(spark, sf), ["model_name"]).withColumn("p", F.round("p", 6)),
     sql("""select model_name, pairs, b_only, c_only,
        round(case when b_only = c_only then 1.0 else least(1.0, 2.0 * list_sum(list_transform(range(0, least(b_only, c_only) + 1),
-         k -> exp(lgamma(b_only + c_only + 1) - lgamma(k + 1) - lgamma(b_only + c_only - k + 1)
+         lambda k: exp(lgamma(b_only + c_only + 1) - lgamma(k + 1) - lgamma(b_only + c_only - k + 1)
                   - (b_only + c_only) * ln(2.0))))) end, 6) as p
 from (select d.model_name, count(*) as pairs,
              count(*) filter (where d.a = d.n and m.a <> m.n) as b_only,
