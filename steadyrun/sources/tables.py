@@ -88,42 +88,45 @@ select o_orderkey as seq,
 from orders
 """
 
-# One row per request of a batch run, the whole document being the prompt.
-VIEWS["v_manifest"] = """
-select concat('model=', model_id, '|problem=', cast(problem_no as string), '|slug=p-',
-              cast(problem_no as string), '|prompt=', prompt_type, '|trial=',
-              cast(trial_index as string)) as custom_id,
+# A document is one request of a batch run; its number gives the problem, prompt and trial.
+_MODEL = """case lang when 'en' then 'qwen-plus' when 'fr' then 'gpt-4o' when 'de' then 'gemini-1.5-pro'
+                 else 'other-model' end"""
+_REQUEST = f"""select d.*, {_MODEL} as model_id, cast(floor(doc_id / 10) as bigint) as problem_no,
+         case when cast(floor(doc_id / 5) as bigint) % 2 = 0 then 'detailed' else 'minimal' end as prompt_type,
+         doc_id % 5 as trial_index
+  from documents d"""
+_CUSTOM_ID = """concat('model=', model_id, '|problem=', cast(problem_no as string), '|slug=p-',
+              cast(problem_no as string), '|prompt=', prompt_type, '|trial=', cast(trial_index as string))"""
+
+# One row per request, the whole document being the prompt.
+VIEWS["v_manifest"] = f"""
+select {_CUSTOM_ID} as custom_id,
        doc_id, model_id, cast(problem_no as string) as problem_id,
        concat('p-', cast(problem_no as string)) as title_slug, prompt_type, trial_index, text as prompt,
        md5(concat(text, chr(10), '<!-- trial=', cast(trial_index as string), ' -->')) as prompt_hash
-from (
-  select doc_id, text,
-         case lang when 'en' then 'qwen-plus' when 'fr' then 'gpt-4o' when 'de' then 'gemini-1.5-pro'
-                   else 'other-model' end as model_id,
-         cast(floor(doc_id / 10) as bigint) as problem_no,
-         case when cast(floor(doc_id / 5) as bigint) % 2 = 0 then 'detailed' else 'minimal' end as prompt_type,
-         doc_id % 5 as trial_index
-  from documents) d
+from ({_REQUEST}) r
 """
 
-# The answers: every document has a kind of answer; documents labelled low quality were never answered.
-VIEWS["v_answers"] = """
-select d.doc_id, d.doc_id % 8 as variant, d.text,
-       case d.doc_id % 8
+# The answers: each document has a kind of answer, holding its whole text; documents labelled low
+# quality were never answered.
+VIEWS["v_answers"] = f"""
+select {_CUSTOM_ID} as custom_id, doc_id, model_id, problem_no, prompt_type, trial_index, lang,
+       doc_id % 8 as variant, text,
+       case doc_id % 8
          when 0 then concat('Answer:', chr(10), '```python', chr(10), 'class Solution:', chr(10),
-                            '    def f(self):', chr(10), '        return 1', chr(10), '```', chr(10), d.text)
-         when 1 then concat('<think>', d.text, '</think>', chr(10), 'class Solution:', chr(10), '    x = 1')
-         when 2 then d.text
+                            '    def f(self):', chr(10), '        return 1', chr(10), '```', chr(10), text)
+         when 1 then concat('<think>', text, '</think>', chr(10), 'class Solution:', chr(10), '    x = 1')
+         when 2 then text
          when 3 then ''
-         when 4 then concat('```python', chr(10), 'class Solution', chr(10), '    x = 1', chr(10), '```', chr(10), d.text)
+         when 4 then concat('```python', chr(10), 'class Solution', chr(10), '    x = 1', chr(10), '```', chr(10), text)
          when 5 then concat('import os', chr(10), 'print(1)', chr(10), '# ',
-                            replace(d.text, chr(10), concat(chr(10), '# ')))
-         when 7 then concat(d.text, chr(10), '```', chr(10), 'x = 2', chr(10), '```')
+                            replace(text, chr(10), concat(chr(10), '# ')))
+         when 7 then concat(text, chr(10), '```', chr(10), 'x = 2', chr(10), '```')
          else null end as response_text,
-       case when d.doc_id % 8 = 6 then 'rate_limited' else null end as error,
-       d.n_chars as input_tokens, d.n_chars % 977 as output_tokens
-from documents d
-left join (select doc_id as low_id from labels where quality = 0 group by doc_id) l on d.doc_id = l.low_id
+       case when doc_id % 8 = 6 then 'rate_limited' else null end as error,
+       n_chars as input_tokens, n_chars % 977 as output_tokens
+from ({_REQUEST}) r
+left join (select doc_id as low_id from labels where quality = 0 group by doc_id) l on r.doc_id = l.low_id
 where l.low_id is null
 """
 
