@@ -12,43 +12,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def running_total(
+def running_totals(
     df: DataFrame,
     keys: Sequence[str],
     levels: Sequence[tuple[str, Column]],
     within: Sequence[Column],
-    value: Column,
-    name: str,
+    values: dict[str, Column],
 ) -> DataFrame:
-    """Inclusive running sum of ``value`` per ``keys`` in the order (levels..., within...).
+    """Inclusive running sums of ``values`` per ``keys`` in the order (levels..., within...).
 
     ``levels`` are (column name, expression) pairs that must be non-null and consistent with the
     final order: a smaller level value always sorts first. Level columns stay in the result.
     """
-    keys = list(keys)
-    out = df.withColumn("__value", value)
+    keys, names = list(keys), [level for level, _ in levels]
+    out = df.withColumns({f"__v_{n}": c for n, c in values.items()})
     for level, expr in levels:
         out = out.withColumn(level, expr)
-    names = [level for level, _ in levels]
 
+    def sums(prefix: str) -> list[Column]:
+        return [F.sum(f"{prefix}{n}").alias(f"__s_{n}") for n in values]
+
+    counts = out.groupBy(*keys, *names).agg(*sums("__v_"))
     offsets = None
-    counts = out.groupBy(*keys, *names).agg(F.sum("__value").alias("__sum"))
     for depth in range(len(names)):
         prefix = keys + names[:depth]
-        step = counts.groupBy(*prefix, names[depth]).agg(F.sum("__sum").alias("__sum"))
-        w = Window.partitionBy(*prefix) if prefix else Window.partitionBy()
-        w = w.orderBy(names[depth]).rowsBetween(Window.unboundedPreceding, -1)
-        before = F.coalesce(F.sum("__sum").over(w), F.lit(0))
-        step = step.withColumn("__before", before).drop("__sum")
-        if offsets is None:
-            offsets = step
-        else:
-            offsets = (
-                step.withColumnRenamed("__before", "__more")
-                .join(offsets, prefix)
-                .withColumn("__before", F.col("__before") + F.col("__more"))
-                .drop("__more")
-            )
+        step = counts.groupBy(*prefix, names[depth]).agg(*sums("__s_"))
+        w = Window.partitionBy(*prefix).orderBy(names[depth])
+        w = w.rowsBetween(Window.unboundedPreceding, -1)
+        before = [F.coalesce(F.sum(f"__s_{n}").over(w), F.lit(0)).alias(f"__b_{n}") for n in values]
+        step = step.select(*prefix, names[depth], *before)
+        if offsets is not None:
+            coarser = offsets.withColumnsRenamed({f"__b_{n}": f"__c_{n}" for n in values})
+            joined = step.join(coarser, prefix)
+            total = [(F.col(f"__b_{n}") + F.col(f"__c_{n}")).alias(f"__b_{n}") for n in values]
+            step = joined.select(*prefix, names[depth], *total)
+        offsets = step
     local = (
         Window.partitionBy(*keys, *names)
         .orderBy(*within)
@@ -56,8 +54,8 @@ def running_total(
     )
     return (
         out.join(offsets, keys + names)
-        .withColumn(name, F.col("__before") + F.sum("__value").over(local))
-        .drop("__before", "__value")
+        .withColumns({n: F.col(f"__b_{n}") + F.sum(f"__v_{n}").over(local) for n in values})
+        .drop(*[f"__{k}_{n}" for k in "vb" for n in values])
     )
 
 
@@ -69,4 +67,4 @@ def positions(
     name: str,
 ) -> DataFrame:
     """1-based row number per ``keys`` in the order (levels..., within...)."""
-    return running_total(df, keys, levels, within, F.lit(1).cast("bigint"), name)
+    return running_totals(df, keys, levels, within, {name: F.lit(1).cast("bigint")})

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steadyrun.functions import labels, render, stats
-from steadyrun.functions.spread import positions, running_total
+from steadyrun.functions.spread import positions, running_totals
 from steadyrun.operators import problems as prob
 from steadyrun.operators.stability import first_per_key
 
@@ -433,28 +433,30 @@ def experiment_outcomes(experiments: DataFrame) -> DataFrame:
     )
 
 
-def failure_runs(
-    submissions: DataFrame, threshold: int = 10, span_seconds: int = 3600
-) -> DataFrame:
-    """Runs of consecutive failed submissions per account; a success ends a run.
+def failed_attempts(submissions: DataFrame, span_seconds: int = 3600) -> DataFrame:
+    """Failed attempts with the number of successes before them (which names their run) and their
+    number among the account's failures. Attempts that had no code to submit are ignored.
 
-    Attempts that had no code to submit are ignored. A run is named by the number of successes
-    before it, a running total kept over time spans, so an account with most of the attempts is
-    still many tasks, and a long run is summed map-side.
+    Both are running totals kept over time spans, so an account with most of the attempts is still
+    many tasks.
     """
-    tried = submissions.where("has_code")
+    span = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / span_seconds)
     ok = F.col("submission_id").isNotNull().cast("bigint")
-    counted = running_total(
-        tried,
+    counted = running_totals(
+        submissions.where("has_code"),
         ["account"],
-        [("__span", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / span_seconds))],
+        [("__span", span)],
         [F.col("ts"), F.col("event_id")],
-        ok,
-        "successes_before",
+        {"successes_before": ok, "failure_no": 1 - ok},
     )
+    return counted.where(F.col("submission_id").isNull()).drop("__span")
+
+
+def failure_runs(submissions: DataFrame, threshold: int = 10) -> DataFrame:
+    """Runs of consecutive failed submissions per account; a success ends a run."""
     at = F.struct("ts", "event_id")
     return (
-        counted.where(F.col("submission_id").isNull())
+        failed_attempts(submissions)
         .groupBy("account", "successes_before")
         .agg(
             F.count(F.lit(1)).alias("run_length"),

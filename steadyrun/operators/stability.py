@@ -78,12 +78,18 @@ def cell_blocks(trials: DataFrame) -> DataFrame:
 def cells(trials: DataFrame) -> DataFrame:
     """One row per cell: n, a, first_pass (0/1), first_accepted (1-based ordinal, 0 for never).
 
-    ``trials`` is deduplicated and carries ``accepted``. The ordinal of the first accepted trial
-    needs the number of trials before it. Inside a block that is a bit count; blocks before it
-    are added only for cells whose first block has no hit, in a salted join that AQE drops when
-    there is no such cell.
+    ``trials`` is deduplicated and carries ``accepted``.
+    """
+    return fold_blocks(cell_blocks(trials))
+
+
+def fold_blocks(blocks: DataFrame) -> DataFrame:
+    """Cells from their blocks.
+
+    The ordinal of the first accepted trial needs the number of trials before it. Inside a block
+    that is a bit count; blocks before it are added only for cells whose first block has no hit, in
+    a salted join that AQE drops when there is no such cell.
     """
-    blocks = cell_blocks(trials)
     lowest = F.expr("hits & -hits")
     in_block = F.bit_count(F.col("seen").bitwiseAND(lowest - 1)) + 1
     code = F.col("block") * (2 * BLOCK) + in_block
@@ -105,7 +111,7 @@ def cells(trials: DataFrame) -> DataFrame:
         .join(late, [*CELL, "__salt"])
         .where(F.col("block") < F.col("__hit"))
         .groupBy(*CELL)
-        .agg(F.sum("n").alias("__earlier"))
+        .agg(F.sum(F.bit_count("seen")).alias("__earlier"))
     )
     return (
         folded.join(earlier, CELL, "left")

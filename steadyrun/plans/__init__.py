@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ["q_stability", "q_report", "q_crossrun", "q_sources", "q_requests", "q_answers"]
+MODULES = ["q_stability", "q_report", "q_crossrun", "q_sources", "q_requests", "q_answers", "q_live"]
 
 
 def catalogue() -> dict[str, tuple[Query, str | None]]:

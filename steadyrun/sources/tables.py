@@ -7,6 +7,7 @@ line items are log lines of attempts, all orders are experiment summaries, all d
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -157,10 +158,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of ``VIEWS`` over the tables in ``sf_dir``."""
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The same table as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    # A file stream takes a directory or a pattern; the pattern also fits a table of one file.
+    return reader.parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, streams: Sequence[str] = ()) -> DataFrame:
+    """One of ``VIEWS`` over the tables in ``sf_dir``, those in ``streams`` read as streams."""
     sql = VIEWS[name]
     used = _names(sql, TABLES)
     for t in used:
         sql = re.sub(rf"\b{t}\b", "{" + t + "}", sql)
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
+    frames = {t: (table_stream if t in streams else table)(spark, sf_dir, t) for t in used}
+    return spark.sql(sql, **frames)
