@@ -6,80 +6,90 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-BINS_PER_OCTAVE = 1024
+BINS_PER_OCTAVE = 256
 
 
-def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
-) -> DataFrame:
-    """Linear-interpolated percentiles of ``value`` per ``keys``, nulls dropped.
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, v, f, bin): how often each number occurs, and its logarithmic bin. Combined map-side."""
+    v = F.col("v")
+    counted = (
+        df.select(*keys, F.col(value).cast("double").alias("v"))
+        .where(v.isNotNull() & ~F.isnan(v))
+        .groupBy(*keys, "v")
+        .agg(F.count(F.lit(1)).alias("f"))
+    )
+    # The filter is the one a join on bin implies; stated here, all readers share one shuffle.
+    bin_ = F.floor(F.signum(v) * F.log2(F.abs(v) + 1) * BINS_PER_OCTAVE)
+    return counted.withColumn("bin", bin_).where(F.col("bin").isNotNull())
+
+
+def percentiles(counts: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """Linear-interpolated percentiles per ``keys`` from ``value_counts``.
 
     The built-in ``percentile`` keeps every distinct value of a group in one task. This form counts
-    distinct values (combined map-side), counts logarithmic bins, finds the one or two bins that
-    hold each wanted rank, and sorts only the values inside those bins.
+    bins, finds the one or two bins that hold each wanted rank, and sorts only the values inside
+    those.
     """
     keys = list(keys)
-    freq = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__f"))
-        .withColumn(
-            "__bin",
-            F.floor(F.signum("__v") * F.log2(F.abs("__v") + 1) * BINS_PER_OCTAVE),
-        )
-    )
-    hist = freq.groupBy(*keys, "__bin").agg(F.sum("__f").alias("__f"))
+    hist = counts.groupBy(*keys, "bin").agg(F.sum("f").alias("f"))
     part = Window.partitionBy(*keys)
-    upto = part.orderBy("__bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = hist.select(
-        *keys,
-        "__bin",
-        (F.sum("__f").over(upto) - F.col("__f")).alias("__before"),
-        F.sum("__f").over(upto).alias("__upto"),
-        F.sum("__f").over(part).alias("__total"),
+    upto = part.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.col("__total")
+    wanted = F.array(
+        *[f((total - 1) * p).cast("bigint") for p in probs.values() for f in (F.floor, F.ceil)]
     )
-    wanted = F.array_distinct(
-        F.array(
-            *[
-                f((F.col("__total") - 1) * p).cast("bigint")
-                for p in probs.values()
-                for f in (F.floor, F.ceil)
-            ]
+    spans = (
+        hist.select(
+            *keys,
+            "bin",
+            F.sum("f").over(upto).alias("__upto"),
+            (F.sum("f").over(upto) - F.col("f")).alias("__before"),
+            F.sum("f").over(part).alias("__total"),
+        )
+        .withColumn(
+            "__ranks",
+            F.filter(
+                F.array_distinct(wanted),
+                lambda r: (r >= F.col("__before")) & (r < F.col("__upto")),
+            ),
         )
+        .where(F.size("__ranks") > 0)
+        .drop("__upto")
     )
-    spans = spans.withColumn(
-        "__ranks",
-        F.filter(wanted, lambda r: (r >= F.col("__before")) & (r < F.col("__upto"))),
-    ).where(F.size("__ranks") > 0)
     inside = (
-        Window.partitionBy(*keys, "__bin")
-        .orderBy("__v")
+        Window.partitionBy(*keys, "bin")
+        .orderBy("v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     hits = (
-        freq.join(spans.drop("__upto"), keys + ["__bin"])
-        .withColumn("__last", F.col("__before") + F.sum("__f").over(inside))
-        .withColumn("__first", F.col("__last") - F.col("__f"))
+        counts.join(spans, keys + ["bin"])
+        .withColumn("__last", F.col("__before") + F.sum("f").over(inside))
+        .withColumn("__first", F.col("__last") - F.col("f"))
         .select(
             *keys,
             "__total",
-            "__v",
+            "v",
             F.explode(
-                F.filter(
-                    "__ranks", lambda r: (r >= F.col("__first")) & (r < F.col("__last"))
-                )
+                F.filter("__ranks", lambda r: (r >= F.col("__first")) & (r < F.col("__last")))
             ).alias("__rank"),
         )
     )
     # At most two ranks per probability reach this map.
     picked = hits.groupBy(*keys).agg(
         F.max("__total").alias("__total"),
-        F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__at"),
+        F.map_from_entries(F.collect_list(F.struct("__rank", "v"))).alias("__at"),
     )
     out = []
     for name, p in probs.items():
-        pos = (F.col("__total") - 1) * p
+        pos = (total - 1) * p
         lo = F.try_element_at("__at", F.floor(pos).cast("bigint"))
         hi = F.try_element_at("__at", F.ceil(pos).cast("bigint"))
         out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
     return picked.select(*keys, *out)
+
+
+def exact_percentiles(
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
+) -> DataFrame:
+    """Percentiles of ``value`` per ``keys``, nulls dropped."""
+    return percentiles(value_counts(df, keys, value), keys, probs)

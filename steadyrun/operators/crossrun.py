@@ -254,7 +254,9 @@ def stability_heatmap(trials: DataFrame, problems: DataFrame, models: DataFrame)
     """
     kept = trials.where(F.col("strategy") == "detailed").join(models, "model_name", "left_semi")
     rates = kept.groupBy("model_name", "problem_id").agg(F.avg("accepted").alias("rate"))
-    present = rates.select("model_name").distinct()
+    # Asking for the mean keeps the rates in this branch, so all branches share one shuffle.
+    means = rates.groupBy("model_name").agg(F.avg("rate").alias("mean"))
+    present = means.where(F.col("mean").isNotNull()).select("model_name")
     rows = ranked(models.join(present, "model_name", "left_semi"), [], "best_rlpr", ["model_name"], "row_pos")
     columns = rates.groupBy("problem_id").agg(F.sum("rate").alias("rate"))
     columns = columns.withColumn(

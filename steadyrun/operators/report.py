@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from steadyrun.functions import labels, stats
-from steadyrun.functions.quantiles import exact_percentiles
+from steadyrun.functions.quantiles import percentiles, value_counts
 from steadyrun.operators import problems as prob
 from steadyrun.operators import stability
 
@@ -80,9 +80,10 @@ def failure_share(trials: DataFrame) -> DataFrame:
 
 def generation_latency(trials: DataFrame, by: Sequence[str] = ("strategy",)) -> DataFrame:
     """Mean, median and p90; null dropped, zero kept."""
-    mean = trials.groupBy(*by).agg(F.avg("latency_ms").alias("mean_latency_ms"))
+    found = value_counts(trials, by, "latency_ms")
+    mean = found.groupBy(*by).agg((F.sum(F.col("v") * F.col("f")) / F.sum("f")).alias("mean_latency_ms"))
     probs = {"median_latency_ms": 0.5, "p90_latency_ms": 0.9}
-    return mean.join(exact_percentiles(trials, by, "latency_ms", probs), list(by), "left")
+    return mean.join(percentiles(found, by, probs), list(by))
 
 
 def generation_tokens(trials: DataFrame, by: Sequence[str] = ("strategy",)) -> DataFrame:
@@ -97,22 +98,29 @@ def generation_tokens(trials: DataFrame, by: Sequence[str] = ("strategy",)) -> D
 
 
 def judge_performance(trials: DataFrame, by: Sequence[str] = ("strategy",)) -> DataFrame:
-    """Runtime and memory percentiles of accepted attempts."""
-    by = list(by)
-    good = trials.where(F.col("accepted") == 1)
-    out = good.groupBy(*by).agg(
-        F.avg("runtime_percentile").alias("mean_runtime_percentile"),
-        F.stddev_samp("runtime_percentile").alias("std_runtime_percentile"),
-        (F.avg((F.col("runtime_percentile") >= 75).cast("double")) * 100).alias("top_25_runtime_pct"),
-        F.avg("memory_percentile").alias("mean_memory_percentile"),
-        F.stddev_samp("memory_percentile").alias("std_memory_percentile"),
+    """Runtime and memory percentiles of accepted attempts, all from one table of value counts."""
+    by, metrics = list(by), ("runtime", "memory")
+    pairs = F.array(
+        *[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_percentile").alias("value")) for m in metrics]
     )
-    for metric in ("runtime", "memory"):
-        median = exact_percentiles(
-            good, by, f"{metric}_percentile", {f"median_{metric}_percentile": 0.5}
-        )
-        out = out.join(median, by, "left")
-    return out
+    rows = trials.where(F.col("accepted") == 1).select(*by, F.inline(pairs))
+    keys = [*by, "metric"]
+    found = value_counts(rows, keys, "value")
+    v, f = F.col("v"), F.col("f")
+    n, s1, s2 = F.sum(f), F.sum(v * f), F.sum(v * v * f)
+    spread = F.greatest(F.lit(0.0), s2 - s1 * s1 / n)
+    moments = found.groupBy(*keys).agg(
+        (s1 / n).alias("mean"),
+        F.sqrt(F.try_divide(spread, n - 1)).alias("std"),
+        (F.sum(F.when(v >= 75, f).otherwise(0)) * 100.0 / n).alias("top"),
+    )
+    both = moments.join(percentiles(found, keys, {"median": 0.5}), keys)
+
+    def pick(metric: str, col: str, name: str):
+        return F.max(F.when(F.col("metric") == metric, F.col(col))).alias(name)
+
+    stat = [pick(m, c, f"{c}_{m}_percentile") for m in metrics for c in ("mean", "median", "std")]
+    return both.groupBy(*by).agg(*stat, pick("runtime", "top", "top_25_runtime_pct"))
 
 
 def prompt_effect(trials: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -174,24 +182,29 @@ def topic_rates(trials: DataFrame, problems: DataFrame) -> DataFrame:
 def topic_heatmap(trials: DataFrame, problems: DataFrame, top: int = 10) -> DataFrame:
     """Rates per prompt of the most frequent topics, counted wherever the topics text contains one.
 
-    Attempts are summed per topics text first. The top list holds ``top`` names, so it travels as
-    one array and no row meets more than ``top`` candidates.
+    Attempts are summed per topics text first; the top list carries its sums along, so that both
+    readers of those sums share one shuffle. It holds ``top`` entries and travels as one array.
     """
     rows = with_topics(per_problem(trials), problems)
     texts = rows.groupBy("topics", "strategy").agg(
         F.sum("total").alias("total"), F.sum("accepted").alias("accepted")
     )
     best = (
-        texts.select(F.explode(labels.split_topics(F.col("topics"))).alias("topic"), "total")
+        texts.select(F.explode(labels.split_topics(F.col("topics"))).alias("topic"), "total", "accepted")
         .groupBy("topic")
-        .agg(F.sum("total").alias("attempts"))
+        .agg(F.sum("total").alias("attempts"), F.sum("accepted").alias("accepted"))
         .orderBy(F.desc("attempts"), "topic")
         .limit(top)
-        .agg(F.collect_list("topic"))
+        .agg(F.collect_list(F.struct("topic", "attempts", "accepted")))
         .scalar()
     )
     hits = texts.withColumn("__best", best).withColumn(
-        "topic", F.explode(F.filter("__best", lambda t: F.contains(F.col("topics"), t)))
+        "topic",
+        F.explode(
+            F.transform(
+                F.filter("__best", lambda b: F.contains(F.col("topics"), b.topic)), lambda b: b.topic
+            )
+        ),
     )
     return summed(hits, "topic", "strategy")
 

@@ -16,10 +16,8 @@ from steadyrun.functions.spread import positions
 CELL = ["model_name", "problem_id", "strategy"]
 TRIAL_KEY = [*CELL, "trial_index"]
 
-# Trials of one cell are folded in blocks this wide, as bits of one long.
-BLOCK = 32
-# A cell long enough to need a second look is spread over this many tasks.
-SALTS = 64
+# Trial indexes are numbered within spans of this length, so a long cell is many tasks.
+SPAN = 4096
 
 
 def with_labels(trials: DataFrame) -> DataFrame:
@@ -37,9 +35,10 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) ->
     """One row per key, the first in ``order``.
 
     Written as ``row_number() <= 1`` so that Spark cuts each key to one row before the shuffle: a
-    key that holds a third of all rows sends one row per map task.
+    key that holds a third of all rows sends one row per map task. The hash leads the sort, so that
+    most comparisons end at one long.
     """
-    w = Window.partitionBy(*key).orderBy(*order)
+    w = Window.partitionBy(F.xxhash64(*key), *key).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn <= 1").drop("__rn")
 
 
@@ -55,76 +54,58 @@ def attempt_ordinals(
     return positions(trials, keys, levels, within, "ordinal")
 
 
-def cell_blocks(trials: DataFrame) -> DataFrame:
-    """Cells in blocks of ``BLOCK`` trial indexes, folded by bit_or into plain longs.
-
-    Every aggregate here is combined map-side, and a long cell is many blocks, hence many tasks.
-    """
-    bit = F.expr(f"shiftleft(1L, cast(trial_index % {BLOCK} as int))")
+def span_counts() -> list[Column]:
     acc = F.col("accepted")
-    return (
-        trials.withColumn("block", F.floor(F.col("trial_index") / BLOCK))
-        .groupBy(*CELL, "block")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(acc).alias("a"),
-            F.coalesce(F.max(F.when(F.col("trial_index") == 0, acc)), F.lit(0)).alias("first_pass"),
-            F.bit_or(bit).alias("seen"),
-            F.bit_or(F.when(acc == 1, bit)).alias("hits"),
-        )
-    )
+    return [
+        F.count(F.lit(1)).alias("n"),
+        F.sum(acc).alias("a"),
+        F.coalesce(F.max(F.when(F.col("trial_index") == 0, acc)), F.lit(0)).alias("first_pass"),
+    ]
 
 
-def cells(trials: DataFrame) -> DataFrame:
-    """One row per cell: n, a, first_pass (0/1), first_accepted (1-based ordinal, 0 for never).
-
-    ``trials`` is deduplicated and carries ``accepted``.
-    """
-    return fold_blocks(cell_blocks(trials))
+def cell_counts(trials: DataFrame) -> DataFrame:
+    """One row per cell: n, a, first_pass (0/1). A single map-side combined aggregate."""
+    return trials.groupBy(*CELL).agg(*span_counts())
 
 
-def fold_blocks(blocks: DataFrame) -> DataFrame:
-    """Cells from their blocks.
+def cells(trials: DataFrame) -> DataFrame:
+    """``cell_counts`` with first_accepted, the 1-based ordinal of the first accepted trial (0: never).
 
-    The ordinal of the first accepted trial needs the number of trials before it. Inside a block
-    that is a bit count; blocks before it are added only for cells whose first block has no hit, in
-    a salted join that AQE drops when there is no such cell.
+    ``trials`` is deduplicated, so a (cell, span) group holds at most ``SPAN`` rows. Trials without an
+    index come last.
     """
-    lowest = F.expr("hits & -hits")
-    in_block = F.bit_count(F.col("seen").bitwiseAND(lowest - 1)) + 1
-    code = F.col("block") * (2 * BLOCK) + in_block
-    folded = blocks.groupBy(*CELL).agg(
-        F.sum("n").alias("n"),
-        F.sum("a").alias("a"),
-        F.max("first_pass").alias("first_pass"),
-        F.min("block").alias("__first_block"),
-        F.min(F.when(F.col("a") > 0, code)).alias("__code"),
-    )
-    hit_block = F.floor(F.col("__code") / (2 * BLOCK))
-    late = (
-        folded.where(hit_block > F.col("__first_block"))
-        .select(*CELL, hit_block.alias("__hit"))
-        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    earlier = (
-        blocks.withColumn("__salt", (F.col("block") % SALTS).cast("int"))
-        .join(late, [*CELL, "__salt"])
-        .where(F.col("block") < F.col("__hit"))
-        .groupBy(*CELL)
-        .agg(F.sum(F.bit_count("seen")).alias("__earlier"))
+    span = F.coalesce(F.floor(F.col("trial_index") / SPAN), F.lit(1 << 40))
+    in_span = Window.partitionBy(*CELL, "span").orderBy(F.asc_nulls_last("trial_index"))
+    spans = (
+        trials.withColumn("span", span)
+        .withColumn("__rn", F.row_number().over(in_span))
+        .groupBy(*CELL, "span")
+        .agg(*span_counts(), F.min(F.when(F.col("accepted") == 1, F.col("__rn"))).alias("hit"))
     )
+    return fold_spans(spans, F.col("n"))
+
+
+def fold_spans(spans: DataFrame, size: Column) -> DataFrame:
+    """Cells from their spans: (n, a, first_pass, hit = ordinal of the first accepted in the span)."""
+    earlier = Window.partitionBy(*CELL).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(size).over(earlier), F.lit(0))
     return (
-        folded.join(earlier, CELL, "left")
-        .withColumn(
-            "first_accepted",
-            F.coalesce(F.col("__code") % (2 * BLOCK) + F.coalesce("__earlier", F.lit(0)), F.lit(0)),
+        spans.withColumn("hit", F.col("hit") + before)
+        .groupBy(*CELL)
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum("a").alias("a"),
+            F.max("first_pass").alias("first_pass"),
+            F.coalesce(F.min("hit"), F.lit(0)).alias("first_accepted"),
         )
-        .select(*CELL, "n", "a", "first_pass", "first_accepted")
     )
 
 
 def cell_totals(cells: DataFrame, by: Sequence[str], ks: Sequence[int] = (1, 3, 5)) -> DataFrame:
-    """Counts and rates per group; ``by`` may be empty for one overall row."""
+    """Counts and rates per group; ``by`` may be empty for one overall row.
+
+    With no ``ks``, the cheaper ``cell_counts`` is enough as input.
+    """
     return cells.groupBy(*by).agg(*total_exprs(ks)).select(*by, *rate_exprs(ks))
 
 
@@ -139,10 +120,7 @@ def total_exprs(ks: Sequence[int] = (1, 3, 5)) -> list[Column]:
         F.sum("first_pass").cast("bigint").alias("first_pass_problems"),
         F.avg(p * (1 - p)).alias("average_variance"),
         F.avg(unbiased_variance(n, a)).alias("average_variance_unbiased"),
-        *[
-            F.count_if(F.col("first_accepted").between(1, k)).alias(f"passed_at_{k}")
-            for k in ks
-        ],
+        *[F.count_if(F.col("first_accepted").between(1, k)).alias(f"passed_at_{k}") for k in ks],
     ]
 
 
@@ -218,7 +196,7 @@ def grouped_stability(cells: DataFrame) -> DataFrame:
 
 def pass_at_k_rows(trials: DataFrame, keys: Sequence[str], by: Sequence[str], k: int) -> DataFrame:
     """pass@k from the first k rows of each key; Spark cuts to k rows per key before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy("trial_index")
+    w = Window.partitionBy(F.xxhash64(*keys), *keys).orderBy("trial_index")
     return (
         trials.withColumn("__rn", F.row_number().over(w))
         .where(F.col("__rn") <= k)

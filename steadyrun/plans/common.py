@@ -26,9 +26,14 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     return stability.cells(trials(spark, sf))
 
 
+def counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells without the ordinal of the first accepted trial, which most queries do not need."""
+    return stability.cell_counts(trials(spark, sf))
+
+
 def configs(spark: SparkSession, sf: str) -> DataFrame:
     """One row per (model, prompt): rates and average variance, with the kind of model."""
-    totals = stability.cell_totals(cells(spark, sf), ["model_name", "strategy"])
+    totals = stability.cell_totals(counts(spark, sf), ["model_name", "strategy"], ks=())
     return totals.select(
         "model_name",
         F.col("strategy").alias("prompt_type"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from steadyrun.functions import render
 from steadyrun.operators import crossrun, inference, problems as prob, stability
-from steadyrun.plans.common import STEPS, cells, configs, sql, trials
+from steadyrun.plans.common import STEPS, configs, counts, sql, trials
 from steadyrun.plans.q_report import problems, rounded
 from steadyrun.plans.q_stability import CI_SQL, RATES
 from steadyrun.sources.tables import view
@@ -49,7 +49,7 @@ def latest(spark, sf):
 def totals(spark, sf):
     """One summary row per model and prompt with intervals."""
     rows = stability.with_intervals(
-        stability.cell_totals(cells(spark, sf), ["model_name", "strategy"])
+        stability.cell_totals(counts(spark, sf), ["model_name", "strategy"], ks=())
     )
     return rows.withColumnRenamed("strategy", "prompt_type")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from steadyrun.operators import inference, problems as prob, report, stability
-from steadyrun.plans.common import STEPS, cells, sql, trials
+from steadyrun.plans.common import STEPS, counts, sql, trials
 from steadyrun.sources.tables import view
 
 QUERIES = {}
@@ -229,7 +229,7 @@ from trials t left join problems p on t.problem_id = p.problem_id where strategy
 )
 
 QUERIES["success_counts"] = (
-    lambda spark, sf: report.success_counts(cells(spark, sf)),
+    lambda spark, sf: report.success_counts(counts(spark, sf)),
     sql("""select g.model_name, g.successes, count(c.model_name) as problems
 from (select model_name, unnest(range(0, max(n) + 1)) as successes from cells where strategy = 'detailed' group by model_name) g
 left join cells c on c.model_name = g.model_name and c.a = g.successes and c.strategy = 'detailed'
@@ -238,7 +238,7 @@ group by g.model_name, g.successes"""),
 
 QUERIES["prompt_metrics_long"] = (
     lambda spark, sf: report.prompt_metrics_long(
-        stability.cell_totals(cells(spark, sf), ["model_name", "strategy"])
+        stability.cell_totals(counts(spark, sf), ["model_name", "strategy"], ks=())
     ),
     sql("""select model_name, case strategy when 'detailed' then 'Detailed' else 'Minimal' end as prompt,
        'First-Pass Accuracy' as metric, cast(sum(first_pass) as double) * 100.0 / cast(count(*) as double) as value

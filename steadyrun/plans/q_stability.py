@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from steadyrun.operators import inference, stability
-from steadyrun.plans.common import cells, sql, trial_log, trials
+from steadyrun.plans.common import cells, counts, sql, trial_log, trials
 
 QUERIES = {}
 
@@ -96,7 +96,7 @@ from cells group by grouping sets ((model_name, strategy), (model_name))"""),
 )
 
 QUERIES["av_unbiased"] = (
-    lambda spark, sf: stability.cell_totals(cells(spark, sf), BY).select(
+    lambda spark, sf: stability.cell_totals(counts(spark, sf), BY, ks=()).select(
         *BY,
         F.round("average_variance", 9).alias("average_variance"),
         F.round("average_variance_unbiased", 9).alias("average_variance_unbiased"),
@@ -148,7 +148,7 @@ from cells group by model_name"""),
 
 QUERIES["wilson_ci"] = (
     lambda spark, sf: intervals(
-        stability.with_intervals(stability.cell_totals(cells(spark, sf), BY)).select(
+        stability.with_intervals(stability.cell_totals(counts(spark, sf), BY, ks=())).select(
             *BY, *[f"{name}_ci_95" for name, _, _ in CI]
         )
     ),
@@ -159,7 +159,7 @@ select model_name, strategy, {CI_SQL} from totals"""),
 # No SQL twin: the draws come from numpy. Tested against a plain bootstrap on a small fixture.
 QUERIES["av_bootstrap"] = (
     lambda spark, sf: inference.bootstrap_mean(
-        cells(spark, sf).withColumn("variance", F.col("a") / F.col("n") * (1 - F.col("a") / F.col("n"))),
+        counts(spark, sf).withColumn("variance", F.col("a") / F.col("n") * (1 - F.col("a") / F.col("n"))),
         BY,
         "variance",
     ),
@@ -200,7 +200,7 @@ from log group by strategy, prompt_type"""),
 )
 
 QUERIES["mcnemar"] = (
-    lambda spark, sf: inference.mcnemar(cells(spark, sf), ["model_name"]).withColumn("p", F.round("p", 6)),
+    lambda spark, sf: inference.mcnemar(counts(spark, sf), ["model_name"]).withColumn("p", F.round("p", 6)),
     sql("""select model_name, pairs, b_only, c_only,
        round(case when b_only = c_only then 1.0 else least(1.0, 2.0 * list_sum(list_transform(range(0, least(b_only, c_only) + 1),
          lambda k: exp(lgamma(b_only + c_only + 1) - lgamma(k + 1) - lgamma(b_only + c_only - k + 1)

@@ -57,11 +57,34 @@ def append(stream: DataFrame, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows").drop("batch")
 
 
+# Trial indexes are folded in blocks of this many bits of a long.
+BLOCK = 32
+
+
+def cell_blocks(trials: DataFrame) -> DataFrame:
+    """Cells in blocks of trial indexes: running counts, and bit sets of the indexes seen and accepted.
+
+    All buffers are plain longs, so the state is one short row per block.
+    """
+    bit = F.expr(f"shiftleft(1L, cast(trial_index % {BLOCK} as int))")
+    return (
+        trials.withColumn("span", F.floor(F.col("trial_index") / BLOCK))
+        .groupBy(*stability.CELL, "span")
+        .agg(
+            *stability.span_counts(),
+            F.bit_or(bit).alias("seen"),
+            F.bit_or(F.when(F.col("accepted") == 1, bit)).alias("hits"),
+        )
+    )
+
+
 def live_cells(trials: DataFrame, path: str | None = None) -> DataFrame:
-    """Cells that grow as attempts are logged; the running state is one short row per cell block."""
+    """Cells that grow as attempts are logged. Trials need an index."""
     path = path or shared_dir(trials.sparkSession, "live-cells")
-    blocks = upsert(stability.cell_blocks(trials), [*stability.CELL, "block"], path)
-    return stability.fold_blocks(blocks)
+    blocks = upsert(cell_blocks(trials), [*stability.CELL, "span"], path)
+    lowest = F.expr("hits & -hits")
+    hit = F.bit_count(F.col("seen").bitwiseAND(lowest - 1)) + 1
+    return stability.fold_spans(blocks.withColumn("hit", hit), F.bit_count("seen"))
 
 
 def dedupe_intake(
