@@ -16,7 +16,7 @@ def rate(part: Column, whole: Column) -> Column:
 
 
 def rounded(value: Column, decimals: int) -> Column:
-    """Rounded on the binary value, halves to even."""
+    """Rounded after scaling, halves to even."""
     scale = float(10**decimals)
     return F.rint(value * scale) / scale
 

@@ -268,11 +268,19 @@ QUERIES["generation_status"] = (
        case when error is null then input_tokens else 0 end as input_tokens,
        case when error is null then output_tokens else 0 end as output_tokens from coded"""),
 )
+# A tool hands in its text as code, fences, prose and all; only the commented document compiles.
 QUERIES["generation_status_tools"] = (
-    lambda spark, sf: ans.classify(ans.message_answers(message_lines(answers(spark, sf))), extracted=False).groupBy(
-        "status", "gen_status", "error"
-    ).agg(F.count(F.lit(1)).alias("rows")),
-    None,
+    lambda spark, sf: ans.classify(
+        ans.message_answers(message_lines(answers(spark, sf))), extracted=False
+    ).select("custom_id", "status", "gen_status", "error", "input_tokens"),
+    sql("""with t as (select custom_id, input_tokens,
+         case when error is not null then error when doc_id % 17 = 0 then 'expired' end as failed,
+         doc_id % 3 <> 0 and coalesce(response_text, '') = '' as empty, doc_id % 3 <> 0 and variant = 5 as good
+       from v_answers)
+select custom_id, case when failed is not null or empty then 'Generation Failed' when good then 'Success' else 'Syntax Error' end as status,
+       case when failed is not null or empty then 'Error' else 'Success' end as gen_status,
+       case when failed is not null then failed when empty then 'Empty batch response' when good then null else 'Invalid Python syntax' end as error,
+       case when failed is not null then 0 else input_tokens end as input_tokens from t"""),
 )
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from steadyrun.functions import sql as sql_functions
 from steadyrun.operators import inference, stability
 from steadyrun.plans.common import cells, counts, sql, trial_log, trials
+from steadyrun.sources.tables import view
 
 QUERIES = {}
 
@@ -182,7 +184,7 @@ QUERIES["attempt_ordinals"] = (
     lambda spark, sf: stability.attempt_ordinals(
         trial_log(spark, sf),
         stability.CELL,
-        [("month", F.date_format("logged_at", "yyyyMM").cast("int"))],
+        [("day", F.unix_date(F.to_date("logged_at")))],
         [F.col(c) for c in ("logged_at", *[f"tie_{i}" for i in range(1, 8)], "trial_index")],
     ).select(*stability.TRIAL_KEY, "submission_id", "tie_1", "ordinal"),
     sql("""select model_name, problem_id, strategy, trial_index, submission_id, tie_1,
@@ -211,3 +213,25 @@ from (select d.model_name, count(*) as pairs,
       from cells d join cells m on d.model_name = m.model_name and d.problem_id = m.problem_id
       where d.strategy = 'detailed' and m.strategy = 'minimal' group by d.model_name) t"""),
 )
+
+
+def with_sql_functions(spark, sf):
+    """The three SQL functions over the raw log."""
+    sql_functions.register(spark)
+    return spark.sql(
+        """select model_name, strategy, runs, round(ci.lo, 6) as lo, round(ci.hi, 6) as hi, id from (
+  select model_name, strategy, count(*) as runs,
+         wilson(count_if(status = 'Accepted'), count(*)) as ci,
+         custom_id(model_name, 'all of them', 's/1', strategy, count(*)) as id
+  from (select model_name, status, normalize_strategy(strategy, prompt_type) as strategy from {log}) l
+  group by model_name, strategy) t""",
+        log=view(spark, sf, "v_trial_log"),
+    )
+
+
+QUERIES["sql_functions"] = (
+    with_sql_functions,
+    sql(f"""select model_name, strategy, runs, {wilson_sql("hits", "runs", "lo")} as lo, {wilson_sql("hits", "runs", "hi")} as hi,
+       concat('model=', model_name, '|problem=all_of_them|slug=s_1|prompt=', strategy, '|trial=', cast(runs as varchar)) as id
+from (select model_name, strategy, count(*) as runs, cast(sum(accepted) as bigint) as hits from log group by model_name, strategy) t"""),
+)

@@ -55,8 +55,9 @@ def solution_block(title: Column, strategy: Column, code: Column) -> Column:
 
 
 def write_solutions(solutions: DataFrame, path: str) -> None:
-    """``solutions`` has a text column ``block``."""
-    solutions.select("block").write.mode("overwrite").option("lineSep", "").text(path)
+    """``solutions`` has a text column ``block``; its last line break is the one the sink writes."""
+    block = F.regexp_replace("block", r"\n\z", "")
+    solutions.select(block.alias("block")).write.mode("overwrite").text(path)
 
 
 def write_leaderboard(summaries: DataFrame, path: str) -> None:

@@ -98,8 +98,8 @@ def dedupe_intake(
     path = path or shared_dir(trials.sparkSession, "live-intake")
     if event_time is None:
         return append(trials.dropDuplicates(stability.TRIAL_KEY), path)
-    marked = trials.withWatermark(event_time, delay)
-    return append(marked.dropDuplicatesWithinWatermark(stability.TRIAL_KEY), path)
+    marked = trials.withColumn("__at", F.col(event_time).cast("timestamp")).withWatermark("__at", delay)
+    return append(marked.dropDuplicatesWithinWatermark(stability.TRIAL_KEY).drop("__at"), path)
 
 
 def live_job_state(events: DataFrame, path: str | None = None) -> DataFrame:
