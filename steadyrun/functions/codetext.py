@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -14,24 +14,29 @@ FENCED_BLOCK = r"(?sU)```(?:python|python3)?\s*\n(.*?)\n```"
 CLASS_BLOCK = r"(?sU)(class\s+\w+.*?)(?=\n(?:class|def)\s|\z)"
 CODE_LINE = r"(?mdU)^\s*(?:def|class|import|from|return) [^\n]*\S"
 
-_EDGE_SPACE = r"(?sU)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# All white space there is below the ideographic space, by Python's own rule.
+WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind, newlines included, from both ends."""
-    return F.regexp_replace(text, _EDGE_SPACE, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def drop_reasoning(text: Column) -> Column:
     """Text without reasoning blocks, or the text as it was when nothing else is in it."""
-    bare = strip(F.regexp_replace(F.regexp_replace(text, THINK_BLOCK, ""), THINKING_BLOCK, ""))
-    return F.when(bare == "", text).otherwise(bare)
+    bare = F.regexp_replace(F.regexp_replace(text, THINK_BLOCK, ""), THINKING_BLOCK, "")
+    return let(strip(bare), lambda b: F.when(b == "", text).otherwise(b))
 
 
-def extract_code(text: Column) -> Column:
+def code_in(body: Column) -> Column:
     """First fenced block, else first class, else text that has a code line, else null."""
-    body = drop_reasoning(text)
-    found = (
+    return (
         F.when(body.rlike(FENCED_BLOCK), strip(F.regexp_extract(body, FENCED_BLOCK, 1)))
         .when(body.rlike(CLASS_BLOCK), strip(F.regexp_extract(body, CLASS_BLOCK, 1)))
         .when(body.rlike(CODE_LINE), body)
@@ -40,7 +45,11 @@ def extract_code(text: Column) -> Column:
             strip(F.concat(F.lit("class "), F.regexp_replace(body, r"(?s)\A.*?class ", ""))),
         )
     )
-    return F.when(text == "", F.lit(None).cast("string")).otherwise(found)
+
+
+def extract_code(text: Column) -> Column:
+    """The code in a free answer, reasoning blocks set aside; null where there is none."""
+    return F.when(text != "", let(drop_reasoning(text), code_in))
 
 
 # Two characters Unicode leaves to private use stand in for escaped pairs while one is unescaped.
@@ -60,14 +69,13 @@ def loose_code_value(raw: Column) -> Column:
 
 def structured_code(raw: Column) -> Column:
     """``code`` of a JSON answer, strictly parsed or else read loosely; otherwise the raw text."""
-    parsed = F.try_parse_json(raw)
-    strict = F.try_variant_get(parsed, "$.code", "string")
-    loose = loose_code_value(raw)
-    return (
-        F.when(strict.isNotNull(), strict)
-        .when(parsed.isNull() & (strip(loose) != ""), loose)
-        .otherwise(raw)
-    )
+
+    def read(parsed: Column) -> Column:
+        strict = F.try_variant_get(parsed, "$.code", "string")
+        loose = let(loose_code_value(raw), lambda v: F.when(strip(v) != "", v))
+        return F.coalesce(strict, F.when(parsed.isNull(), loose), raw)
+
+    return let(F.try_parse_json(raw), read)
 
 
 def is_valid_python(code: Column) -> Column:

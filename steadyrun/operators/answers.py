@@ -168,7 +168,7 @@ def classify(answers: DataFrame, extracted: bool = True) -> DataFrame:
     """
     text = F.col("text")
     code = codetext.extract_code(text) if extracted else text
-    rows = answers.withColumn("code", F.when(F.col("error").isNull(), labels.blank_to_null(code)))
+    rows = answers.withColumn("code", F.when(F.col("error").isNull(), codetext.let(code, labels.blank_to_null)))
     rows = rows.withColumn("__valid", codetext.is_valid_python(F.col("code")))
     failed = F.col("error").isNotNull()
     empty = F.coalesce(text, F.lit("")) == ""

@@ -269,10 +269,8 @@ def stability_heatmap(trials: DataFrame, problems: DataFrame, models: DataFrame)
         columns,
         [],
         [
-            ("__tier", F.col("tier")),
-            ("__band", F.floor((1 - F.col("mean_rate")) * 1000)),
-            ("__mean", -F.col("mean_rate")),
-            ("__hash", F.substring(F.md5("problem_id"), 1, 3)),
+            ("__band", F.col("tier") * 1001 + F.floor((1 - F.col("mean_rate")) * 1000)),
+            ("__fine", F.struct(-F.col("mean_rate"), F.substring(F.md5("problem_id"), 1, 3))),
         ],
         [F.col("problem_id")],
         "col_pos",

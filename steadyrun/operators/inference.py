@@ -17,7 +17,7 @@ def bootstrap_mean(
     by: Sequence[str],
     value: str,
     replicates: int = 1000,
-    per_task: int = 50,
+    per_task: int = 250,
     seed: int = 0,
 ) -> DataFrame:
     """95% percentile bootstrap of the mean of ``value`` per group.

@@ -98,6 +98,21 @@ def tier_order(difficulty):
     return out
 
 
+def cap_trials(trials: DataFrame, k: int) -> DataFrame:
+    """The first k trials of every cell, as a cheaper run would have made them."""
+    return trials.where(F.col("trial_index") < k)
+
+
+def filter_runs(trials: DataFrame, models: list[str] | None, prompts: list[str] | None) -> DataFrame:
+    """Rows of the requested models and prompts; None asks for all."""
+    out = trials
+    if models is not None:
+        out = out.where(F.col("model_name").isin(*models))
+    if prompts is not None:
+        out = out.where(F.col("strategy").isin(*prompts))
+    return out
+
+
 def dataset_stats(problems: DataFrame, top: int = 15) -> DataFrame:
     """(kind, label, count): number of problems, problems per difficulty, and the top topics."""
     total = problems.agg(

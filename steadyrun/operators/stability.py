@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steadyrun.functions import labels, stats
-from steadyrun.functions.quantiles import exact_percentiles
+from steadyrun.functions.quantiles import percentiles, value_counts
 from steadyrun.functions.spread import positions
 
 CELL = ["model_name", "problem_id", "strategy"]
@@ -54,18 +54,24 @@ def attempt_ordinals(
     return positions(trials, keys, levels, within, "ordinal")
 
 
-def span_counts() -> list[Column]:
+def span_counts(trials: DataFrame) -> list[Column]:
     acc = F.col("accepted")
-    return [
+    out = [
         F.count(F.lit(1)).alias("n"),
         F.sum(acc).alias("a"),
         F.coalesce(F.max(F.when(F.col("trial_index") == 0, acc)), F.lit(0)).alias("first_pass"),
     ]
+    if "latency_ms" in trials.columns:
+        out.append(F.count_if(F.col("latency_ms") != 0).alias("latencies"))
+    return out
 
 
 def cell_counts(trials: DataFrame) -> DataFrame:
-    """One row per cell: n, a, first_pass (0/1). A single map-side combined aggregate."""
-    return trials.groupBy(*CELL).agg(*span_counts())
+    """One row per cell: n, a, first_pass (0/1) and, where latencies are known, how many there are.
+
+    A single map-side combined aggregate.
+    """
+    return trials.groupBy(*CELL).agg(*span_counts(trials))
 
 
 def cells(trials: DataFrame) -> DataFrame:
@@ -80,13 +86,13 @@ def cells(trials: DataFrame) -> DataFrame:
         trials.withColumn("span", span)
         .withColumn("__rn", F.row_number().over(in_span))
         .groupBy(*CELL, "span")
-        .agg(*span_counts(), F.min(F.when(F.col("accepted") == 1, F.col("__rn"))).alias("hit"))
+        .agg(*span_counts(trials), F.min(F.when(F.col("accepted") == 1, F.col("__rn"))).alias("hit"))
     )
     return fold_spans(spans, F.col("n"))
 
 
 def fold_spans(spans: DataFrame, size: Column) -> DataFrame:
-    """Cells from their spans: (n, a, first_pass, hit = ordinal of the first accepted in the span)."""
+    """Cells from their spans: ``span_counts`` and hit, the ordinal of the first accepted in the span."""
     earlier = Window.partitionBy(*CELL).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(size).over(earlier), F.lit(0))
     return (
@@ -97,16 +103,21 @@ def fold_spans(spans: DataFrame, size: Column) -> DataFrame:
             F.sum("a").alias("a"),
             F.max("first_pass").alias("first_pass"),
             F.coalesce(F.min("hit"), F.lit(0)).alias("first_accepted"),
+            *[F.sum(c).alias(c) for c in ("latencies",) if c in spans.columns],
         )
     )
 
 
-def cell_totals(cells: DataFrame, by: Sequence[str], ks: Sequence[int] = (1, 3, 5)) -> DataFrame:
+def cell_totals(
+    cells: DataFrame, by: Sequence[str], ks: Sequence[int] = (1, 3, 5), timed: bool = False
+) -> DataFrame:
     """Counts and rates per group; ``by`` may be empty for one overall row.
 
     With no ``ks``, the cheaper ``cell_counts`` is enough as input.
     """
-    return cells.groupBy(*by).agg(*total_exprs(ks)).select(*by, *rate_exprs(ks))
+    extra = [F.sum("latencies").alias("timed_runs")] if timed else []
+    kept = ["timed_runs"] if timed else []
+    return cells.groupBy(*by).agg(*total_exprs(ks), *extra).select(*by, *rate_exprs(ks), *kept)
 
 
 def total_exprs(ks: Sequence[int] = (1, 3, 5)) -> list[Column]:
@@ -159,26 +170,32 @@ def with_intervals(totals: DataFrame) -> DataFrame:
     return out
 
 
+LATENCY_PROBS = {"p50_latency_ms": 0.5, "p90_latency_ms": 0.9}
+
+
 def latency_percentiles(
     trials: DataFrame, by: Sequence[str], approximate: bool = False
 ) -> DataFrame:
     """p50 and p90 of the latency; zero and null latencies are dropped."""
-    probs = {"p50_latency_ms": 0.5, "p90_latency_ms": 0.9}
     kept = trials.where(F.col("latency_ms") != 0)
     if approximate:
         return kept.groupBy(*by).agg(
-            *[F.percentile_approx("latency_ms", p, 10000).alias(c) for c, p in probs.items()]
+            *[F.percentile_approx("latency_ms", p, 10000).alias(c) for c, p in LATENCY_PROBS.items()]
         )
-    return exact_percentiles(kept, by, "latency_ms", probs)
+    return percentiles(value_counts(kept, by, "latency_ms"), by, LATENCY_PROBS)
 
 
 def stability_summary(trials: DataFrame, by: Sequence[str]) -> DataFrame:
-    """The summary row per group: counts, rates, intervals, average variance, pass@k, latency."""
-    totals = with_intervals(cell_totals(cells(trials), by))
-    latency = latency_percentiles(trials, by)
-    return totals.join(latency, list(by), "left").fillna(
-        0.0, ["p50_latency_ms", "p90_latency_ms"]
-    )
+    """The summary row per group: counts, rates, intervals, average variance, pass@k, latency.
+
+    Cells count their latencies, and latencies are counted per verdict, so both halves read the same
+    columns of ``trials`` and share its shuffle.
+    """
+    found = cells(trials)
+    totals = with_intervals(cell_totals(found, by, timed=True))
+    counts = value_counts(trials.where(F.col("latency_ms") != 0), [*by, "accepted"], "latency_ms")
+    latency = percentiles(counts, by, LATENCY_PROBS)
+    return totals.join(latency, list(by), "left").fillna(0.0, list(LATENCY_PROBS))
 
 
 def grouped_stability(cells: DataFrame) -> DataFrame:

@@ -64,7 +64,8 @@ where rn = 1
 STEPS["cells"] = """
 select model_name, problem_id, strategy, count(*) as n, cast(sum(accepted) as bigint) as a,
        coalesce(max(case when trial_index = 0 then accepted end), 0) as first_pass,
-       coalesce(min(case when accepted = 1 then ord end), 0) as first_accepted
+       coalesce(min(case when accepted = 1 then ord end), 0) as first_accepted,
+       count(*) filter (where latency_ms <> 0) as latencies
 from (select *, row_number() over (partition by model_name, problem_id, strategy order by trial_index) as ord
       from trials) t
 group by model_name, problem_id, strategy

@@ -156,7 +156,7 @@ QUERIES["hash_match"] = (
 last as (select *, row_number() over (partition by prompt_hash order by doc_id desc) as rn from lines),
 keyed as (select prompt_hash, custom_id, row_number() over (partition by prompt_hash order by doc_id desc) as rn from v_manifest)
 select l.prompt_hash, k.custom_id, l.doc_id, case when doc_id % 13 = 0 then '' else prompt end as text,
-       case when doc_id % 13 = 0 then 0 else length(prompt) end as input_tokens, 0 as output_tokens,
+       case when doc_id % 13 = 0 then 0 else length(prompt) end as input_tokens, cast(0 as bigint) as output_tokens,
        case when doc_id % 11 = 0 then 'quota' when doc_id % 13 = 0 then 'No response from the service' end as error
 from last l left join keyed k on l.prompt_hash = k.prompt_hash and k.rn = 1 where l.rn = 1"""),
 )

@@ -9,7 +9,7 @@ from steadyrun.operators import crossrun, inference, problems as prob, stability
 from steadyrun.plans.common import STEPS, configs, counts, sql, trials
 from steadyrun.plans.q_report import problems, rounded
 from steadyrun.plans.q_stability import CI_SQL, RATES
-from steadyrun.sources.tables import view
+from steadyrun.sources.tables import table, view
 
 QUERIES = {}
 
@@ -267,9 +267,9 @@ where rn = 1 and rival_psr > psr"""),
 )
 QUERIES["model_rank"] = (
     lambda spark, sf: crossrun.model_rank(configs(spark, sf)),
-    sql("""select prompt_type, model_name, rank() over (partition by prompt_type order by rlpr desc) as rlpr_rank,
-       dense_rank() over (partition by prompt_type order by rlpr desc) as rlpr_dense_rank,
-       rank() over (partition by prompt_type order by psr desc) as psr_rank from configs"""),
+    sql("""select prompt_type, model_name, cast(rank() over (partition by prompt_type order by rlpr desc) as int) as rlpr_rank,
+       cast(dense_rank() over (partition by prompt_type order by rlpr desc) as int) as rlpr_dense_rank,
+       cast(rank() over (partition by prompt_type order by psr desc) as int) as psr_rank from configs"""),
 )
 
 QUERIES["trial_difficulty"] = (
@@ -415,7 +415,7 @@ select concat('model-', cast(user_id % 16 as varchar)) as model_id, event_id, ts
 
 
 def readiness(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet")
+    events = table(spark, sf, "events")
     evaluations = events.selectExpr(
         "concat('model-', cast(user_id % 16 as string)) as model_id", "event_id", "ts",
         f"{EVALUATION} as evaluation_state",

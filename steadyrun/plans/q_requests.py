@@ -107,9 +107,9 @@ def bodies(spark, sf):
     )
 
     def back(*paths):
-        return F.coalesce(*[F.get_json_object("body", p) for p in paths])
+        return F.coalesce(*[F.try_variant_get("parsed", p, "string") for p in paths])
 
-    return rows.select(
+    return rows.withColumn("parsed", F.parse_json("body")).select(
         "frontend_question_id", "model_id", "shape",
         F.md5(
             back(

@@ -71,7 +71,7 @@ QUERIES["results_flat"] = (
     ),
     sql("""select t.model_name, t.problem_id, p.title, p.difficulty, p.topics,
        case t.strategy when 'detailed' then 'with_prompt' else 'without_prompt' end as prompt_type, t.strategy,
-       row_number() over (partition by t.model_name, t.problem_id, t.strategy order by t.trial_index) - 1 as trial_index,
+       cast(row_number() over (partition by t.model_name, t.problem_id, t.strategy order by t.trial_index) - 1 as int) as trial_index,
        t.status, t.latency_ms, cast(t.input_tokens as double) as input_tokens, t.runtime_percentile, t.memory_percentile
 from trials t left join problems p on t.problem_id = p.problem_id"""),
 )
@@ -119,7 +119,7 @@ QUERIES["random_problems"] = (
 order by md5(concat('7|', frontend_question_id)), frontend_question_id limit 30"""),
 )
 QUERIES["trial_cap"] = (
-    lambda spark, sf: trials(spark, sf).where(F.col("trial_index") < 3).select(*stability.TRIAL_KEY, "status"),
+    lambda spark, sf: prob.cap_trials(trials(spark, sf), 3).select(*stability.TRIAL_KEY, "status"),
     sql("select model_name, problem_id, strategy, trial_index, status from trials where trial_index < 3"),
 )
 QUERIES["distinct_problems"] = (
@@ -131,12 +131,8 @@ QUERIES["distinct_problems"] = (
 def model_filter(spark, sf):
     """Requested models that are configured, and requested prompts, over the log."""
     wanted = ["model-1", "model-3", "model-11", "model-99"]
-    log = trial_log(spark, sf)
-    return (
-        log.where(F.col("model_name").isin(*wanted) & F.col("strategy").isin("detailed"))
-        .groupBy("model_name", "strategy")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
+    log = prob.filter_runs(trial_log(spark, sf), wanted, ["detailed"])
+    return log.groupBy("model_name", "strategy").agg(F.count(F.lit(1)).alias("rows"))
 
 
 QUERIES["model_filter"] = (

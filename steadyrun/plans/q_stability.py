@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from steadyrun.functions import sql as sql_functions
 from steadyrun.operators import inference, stability
@@ -79,7 +79,8 @@ from trials where latency_ms <> 0 group by model_name, strategy"""
 QUERIES["stability_summary"] = (
     summary,
     sql(f"""
-with totals as (select model_name, strategy, {RATES} from cells group by model_name, strategy),
+with totals as (select model_name, strategy, {RATES}, cast(sum(latencies) as bigint) as timed_runs
+     from cells group by model_name, strategy),
      pct as ({LATENCY_SQL})
 select t.*, {CI_SQL},
        coalesce(p50_latency_ms, 0.0) as p50_latency_ms, coalesce(p90_latency_ms, 0.0) as p90_latency_ms
@@ -132,9 +133,11 @@ group by model_name, strategy"""),
 )
 
 
-def attempt_arrays(spark, sf):
-    """One row per cell with its statuses in order; a cell has at most one trial per line number."""
-    return trials(spark, sf).groupBy(*stability.CELL).agg(
+def attempt_arrays(spark, sf, k):
+    """The first k statuses of each cell in order, which is all that pass@k reads."""
+    order = Window.partitionBy(*stability.CELL).orderBy("trial_index")
+    first = trials(spark, sf).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+    return first.groupBy(*stability.CELL).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("trial_index", "status"))), lambda t: t.status
         ).alias("statuses")
@@ -142,7 +145,7 @@ def attempt_arrays(spark, sf):
 
 
 QUERIES["pass_at_k_array"] = (
-    lambda spark, sf: stability.pass_at_k_arrays(attempt_arrays(spark, sf), "statuses", 3, ["model_name"]),
+    lambda spark, sf: stability.pass_at_k_arrays(attempt_arrays(spark, sf, 3), "statuses", 3, ["model_name"]),
     sql("""select model_name, count(*) as problems, count(*) filter (where first_accepted between 1 and 3) as passed,
        cast(count(*) filter (where first_accepted between 1 and 3) as double) * 100.0 / cast(count(*) as double) as pass_at_k
 from cells group by model_name"""),

@@ -71,7 +71,7 @@ def cell_blocks(trials: DataFrame) -> DataFrame:
         trials.withColumn("span", F.floor(F.col("trial_index") / BLOCK))
         .groupBy(*stability.CELL, "span")
         .agg(
-            *stability.span_counts(),
+            *stability.span_counts(trials),
             F.bit_or(bit).alias("seen"),
             F.bit_or(F.when(F.col("accepted") == 1, bit)).alias("hits"),
         )

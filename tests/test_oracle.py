@@ -54,4 +54,4 @@ def test_runs_without_oracle(spark, name):
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.count() == 20 and "run_level_pass_rate" in df.columns
+    assert df.count() == 32 and "run_level_pass_rate" in df.columns
