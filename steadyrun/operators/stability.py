@@ -43,8 +43,14 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) ->
 
 
 def dedupe_trials(trials: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """An attempt read from several archives, or logged again on resume, counts once."""
-    return first_per_key(trials, TRIAL_KEY, order)
+    """An attempt read from several archives, or logged again on resume, counts once.
+
+    Attempts without an index cannot be told apart, so one of them fails the job; number such a log
+    with ``number_trials`` first.
+    """
+    missing = F.raise_error(F.lit("trial without an index: use number_trials first"))
+    indexed = trials.withColumn("trial_index", F.coalesce(F.col("trial_index"), missing))
+    return first_per_key(indexed, TRIAL_KEY, order)
 
 
 def attempt_ordinals(
@@ -54,6 +60,15 @@ def attempt_ordinals(
     return positions(trials, keys, levels, within, "ordinal")
 
 
+def number_trials(
+    trials: DataFrame, levels: Sequence[tuple[str, Column]], within: Sequence[Column]
+) -> DataFrame:
+    """Trials with an index by arrival where they have none."""
+    out = attempt_ordinals(trials, CELL, levels, within)
+    index = F.coalesce(F.col("trial_index"), (F.col("ordinal") - 1).cast("int"))
+    return out.withColumn("trial_index", index).drop("ordinal", *[name for name, _ in levels])
+
+
 def span_counts(trials: DataFrame) -> list[Column]:
     acc = F.col("accepted")
     out = [

@@ -98,6 +98,18 @@ def test_merge_archives_newer_file_wins(spark, tmp_path):
     assert sorted(r.code for r in merged.collect()) == ["new", "only"]
 
 
+def test_manifest_file(spark, tmp_path):
+    doc = [{"custom_id": "a", "model_id": "m", "trial_index": 1, "topics": ["x"], "input_file_body": {"k": 1}}]
+    row = readers.read_manifest(spark, put(tmp_path / "m.json", json.dumps(doc, indent=2))).first()
+    assert (row.custom_id, row.trial_index, row.topics, row.prompt_hash) == ("a", 1, ["x"], None)
+
+
+def test_batch_output_shards(spark, tmp_path):
+    put(tmp_path / "o" / "1.jsonl", '{"a": 1}\n\n{"b": \n')
+    put(tmp_path / "o" / "2.jsonl.out", '  \n{"c": 3}\nnot json\n')
+    assert sorted(r.value for r in readers.read_batch_outputs(spark, str(tmp_path / "o")).collect()) == ['{"a": 1}', '{"c": 3}']
+
+
 def test_run_id_from_file(spark, tmp_path):
     path = put(tmp_path / "my cfg+1.v2.json", '{"a": 1}')
     row = readers.read_configs(spark, path).select(

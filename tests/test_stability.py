@@ -97,6 +97,16 @@ def test_missing_index_comes_last(spark):
     assert (row.n, row.a, row.first_pass, row.first_accepted) == (2, 1, 0, 2)
 
 
+def test_log_without_index(spark):
+    rows = [("m", "p", "minimal", None, st, 1.0, at) for at, st in ((3, "Accepted"), (1, "x"), (2, "x"))]
+    trials = stability.with_labels(spark.createDataFrame(rows, SCHEMA))
+    with pytest.raises(Exception, match="number_trials"):
+        stability.dedupe_trials(trials, [F.col("at")]).collect()
+    numbered = stability.number_trials(trials, [("tens", F.floor(F.col("at") / 10))], [F.col("at")])
+    row = stability.cells(stability.dedupe_trials(numbered, [F.col("at")])).first()
+    assert (row.n, row.a, row.first_pass, row.first_accepted) == (3, 1, 0, 3)
+
+
 def test_empty_input(spark):
     trials = stability.with_labels(spark.createDataFrame([], SCHEMA))
     assert stability.stability_summary(trials, ["model_name"]).count() == 0
