@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from steadyrun.functions.spread import join_groups
+
 BINS_PER_OCTAVE = 256
 
 
@@ -62,7 +64,7 @@ def percentiles(counts: DataFrame, keys: Sequence[str], probs: dict[str, float])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     hits = (
-        counts.join(spans, keys + ["bin"])
+        join_groups(counts, spans, [*keys, "bin"])
         .withColumn("__last", F.col("__before") + F.sum("f").over(inside))
         .withColumn("__first", F.col("__last") - F.col("f"))
         .select(

@@ -12,6 +12,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join two tables of the same groups; a null key is a group like any other.
+
+    A plain equality would also push "key is not null" into one branch only, and branches that read the
+    same table could no longer share its shuffle.
+    """
+    other = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(other, on, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],

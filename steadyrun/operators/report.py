@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from steadyrun.functions import labels, stats
 from steadyrun.functions.quantiles import percentiles, value_counts
+from steadyrun.functions.spread import join_groups
 from steadyrun.operators import problems as prob
 from steadyrun.operators import stability
 
@@ -83,7 +84,7 @@ def generation_latency(trials: DataFrame, by: Sequence[str] = ("strategy",)) ->
     found = value_counts(trials, by, "latency_ms")
     mean = found.groupBy(*by).agg((F.sum(F.col("v") * F.col("f")) / F.sum("f")).alias("mean_latency_ms"))
     probs = {"median_latency_ms": 0.5, "p90_latency_ms": 0.9}
-    return mean.join(percentiles(found, by, probs), list(by))
+    return join_groups(mean, percentiles(found, by, probs), by)
 
 
 def generation_tokens(trials: DataFrame, by: Sequence[str] = ("strategy",)) -> DataFrame:
@@ -114,7 +115,7 @@ def judge_performance(trials: DataFrame, by: Sequence[str] = ("strategy",)) -> D
         F.sqrt(F.try_divide(spread, n - 1)).alias("std"),
         (F.sum(F.when(v >= 75, f).otherwise(0)) * 100.0 / n).alias("top"),
     )
-    both = moments.join(percentiles(found, keys, {"median": 0.5}), keys)
+    both = join_groups(moments, percentiles(found, keys, {"median": 0.5}), keys)
 
     def pick(metric: str, col: str, name: str):
         return F.max(F.when(F.col("metric") == metric, F.col(col))).alias(name)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steadyrun.functions import labels, stats
 from steadyrun.functions.quantiles import percentiles, value_counts
-from steadyrun.functions.spread import positions
+from steadyrun.functions.spread import join_groups, positions
 
 CELL = ["model_name", "problem_id", "strategy"]
 TRIAL_KEY = [*CELL, "trial_index"]
@@ -210,7 +210,7 @@ def stability_summary(trials: DataFrame, by: Sequence[str]) -> DataFrame:
     totals = with_intervals(cell_totals(found, by, timed=True))
     counts = value_counts(trials.where(F.col("latency_ms") != 0), [*by, "accepted"], "latency_ms")
     latency = percentiles(counts, by, LATENCY_PROBS)
-    return totals.join(latency, list(by), "left").fillna(0.0, list(LATENCY_PROBS))
+    return join_groups(totals, latency, by, "left").fillna(0.0, list(LATENCY_PROBS))
 
 
 def grouped_stability(cells: DataFrame) -> DataFrame:
