@@ -252,7 +252,9 @@ def stability_heatmap(trials: DataFrame, problems: DataFrame, models: DataFrame)
     Rows go by the model's best RLPR; columns by tier, then mean rate over all models (a model
     with no attempt counts 0), then a hash of the problem id. A (model, problem) with no row is 0.
     """
-    kept = trials.where(F.col("strategy") == "detailed").join(models, "model_name", "left_semi")
+    # The filter is the one the last join implies; stated here, it holds for all branches alike.
+    kept = trials.where((F.col("strategy") == "detailed") & F.col("problem_id").isNotNull())
+    kept = kept.join(models, "model_name", "left_semi")
     rates = kept.groupBy("model_name", "problem_id").agg(F.avg("accepted").alias("rate"))
     # Asking for the mean keeps the rates in this branch, so all branches share one shuffle.
     means = rates.groupBy("model_name").agg(F.avg("rate").alias("mean"))

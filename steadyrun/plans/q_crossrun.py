@@ -9,6 +9,7 @@ from steadyrun.operators import crossrun, inference, problems as prob, stability
 from steadyrun.plans.common import STEPS, configs, counts, sql, trials
 from steadyrun.plans.q_report import problems, rounded
 from steadyrun.plans.q_stability import CI_SQL, RATES
+from steadyrun.sources.scratch import stored
 from steadyrun.sources.tables import table, view
 
 QUERIES = {}
@@ -83,7 +84,7 @@ BOARD_KEYS = ["model_name", "prompt_type", "run_level_pass_rate", "first_pass_ac
 
 def board(spark, sf):
     keep = [*BOARD_KEYS, "run_level_ci_95", "first_pass_ci_95", "perfect_stability_ci_95"]
-    return crossrun.leaderboard(totals(spark, sf).select(*keep))
+    return crossrun.leaderboard(stored(totals(spark, sf).select(*keep), "summaries"))
 
 
 def _text(value: str, decimals: int) -> str:
@@ -360,7 +361,7 @@ def _bar(metric: str, ci: str) -> str:
 
 
 QUERIES["prompt_bars"] = (
-    lambda spark, sf: crossrun.prompt_bars(totals(spark, sf)).withColumns(
+    lambda spark, sf: crossrun.prompt_bars(stored(totals(spark, sf), "summaries")).withColumns(
         {c: F.round(c, 5) for c in ("lower_err", "upper_err")}
     ),
     sql(f"""with ci as (select *, {CI_SQL.replace("* 100.0, 6)", "* 100.0, 12)")} from totals),
