@@ -150,7 +150,7 @@ def message_answers(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def priced(rows: DataFrame, pricing: DataFrame | None = None) -> DataFrame:
-    """``cost`` from token counts; the built-in price list has nine fixed rows, so it is broadcast."""
+    """``cost`` from token counts; the built-in price list has eight fixed rows, so it is broadcast."""
     if pricing is None:
         listed = [(m, i, o) for m, (i, o) in PRICING.items()]
         schema = "model_id string, price_in double, price_out double"
