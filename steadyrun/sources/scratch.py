@@ -2,31 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: list[str] = []
-
 
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path under the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session with no such setting gets a folder of its own.
+    Where that is unset, the path lies in the session's warehouse, which driver and executors share as well.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="steadyrun-"))
-        base = _own[0]
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """A small result written to the shared folder and read back, for uses that read it several times."""
+    """A result written to the shared folder and read back, for uses that read it several times."""
     path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a path under the shared folder once nothing reads it any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
