@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from steadyrun.llm import near_dedup
+from steadyrun.llm import grammar, near_dedup, packing
+from steadyrun.sources.scratch import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +21,20 @@ def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op1_repair_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    path = shared_dir(spark, "shards")
+    docs = _table(spark, sf_dir, "documents")
+    grammar.shards(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), alphabet=50257).write.parquet(path)
+    return grammar.read_documents(spark, path)
+
+
+def op8_dominance_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_repair_shards": (op1_repair_shards, None),
     "op4_minmax_near_dedup": (op4_minmax_near_dedup, None),
+    "op8_dominance_packing": (op8_dominance_packing, None),
 }
