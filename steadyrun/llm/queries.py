@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from steadyrun.llm import grammar, near_dedup, packing
+from steadyrun.llm import grammar, near_dedup, ordinal, outliers, packing
 from steadyrun.sources.scratch import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,8 +33,22 @@ def op8_dominance_packing(spark: SparkSession, sf_dir: str, tokenizer: str | Non
     return packing.pack(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", ordinal.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    texts = docs.select("doc_id", F.col("text").alias("body"))
+    rated = ordinal.scored(texts, ordinal.fit(docs, ratings), F.col("body"))
+    return rated.select("doc_id", "scored.*", ordinal.accepted(F.col("scored"), 0.5).alias("kept"))
+
+
+def op7_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.robust_outliers(_table(spark, sf_dir, "documents")).drop("distance")
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_repair_shards": (op1_repair_shards, None),
     "op4_minmax_near_dedup": (op4_minmax_near_dedup, None),
+    "op6_ordinal_quality": (op6_ordinal_quality, None),
+    "op7_mcd_outliers": (op7_mcd_outliers, None),
     "op8_dominance_packing": (op8_dominance_packing, None),
 }
