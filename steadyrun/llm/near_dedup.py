@@ -226,6 +226,8 @@ def near_duplicates(
 
     wanted = buckets.select("number").distinct()
     first_ids = classes.join(wanted, "number", "left_semi").select(F.col("first_id").alias("wanted_id")).distinct()
+    # Always by shuffle: each text moves once, and the plan is the same at every size.
+    first_ids = first_ids.hint("merge")
     chosen = docs.select("doc_id", "text").join(first_ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
     found = _sets(chosen, width).where("node is not null")
     sets = stored(found.select(_number(F.col("doc_id")).alias("number"), "node", "shingles").dropDuplicates(["number", "node"]).drop("node"), "sets")
