@@ -135,21 +135,31 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _open_blocks(named: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, dealt into pairs of blocks.
 
-    Every two members of a bucket meet in one pair of blocks (i, j), i <= j, of about ``2 * MEMBERS`` rows,
-    whatever the size of the bucket. Buckets of two or three classes are settled by their two ends, and of
-    buckets with the same members one is enough.
+    Every two members of a bucket that may still be linked meet in one pair of blocks (i, j), i <= j, of about
+    ``2 * MEMBERS`` rows, whatever the size of the bucket. The largest component has blocks of its own, which
+    meet those of the other members only. Buckets of two or three classes are settled by their two ends, and
+    of buckets with the same members one is enough.
     """
     sizes = named.groupBy("key", "component").agg(
         F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("number").cast("decimal(20,0)")).alias("mark")
     )
     totals = sizes.groupBy("key").agg(
-        F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size"), F.sum("mark").alias("mark")
+        F.count(F.lit(1)).alias("parts"),
+        F.sum("size").alias("size"),
+        F.sum("mark").alias("mark"),
+        F.max(F.struct("size", "component")).alias("most"),
     )
-    keys = totals.where("parts > 1 and size > 3").groupBy("size", "mark").agg(F.min("key").alias("key"))
-    blocks = keys.select("key", F.ceil(F.col("size") / MEMBERS).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int")
-    dealt = named.join(blocks, "key").withColumn("own", own)
-    dealt = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    one_of = totals.where("parts > 1 and size > 3").groupBy("size", "mark")
+    keys = one_of.agg(F.min(F.struct("key", "most")).alias("k")).select("k.key", "k.most", "size")
+    inner = F.ceil(F.col("most.size") / MEMBERS).cast("int")
+    outer = F.ceil((F.col("size") - F.col("most.size")) / MEMBERS).cast("int")
+    blocks = keys.select("key", F.col("most.component").alias("largest"), inner.alias("inner"), outer.alias("outer"))
+    dealt = named.join(blocks, "key")
+    spot, outside = F.xxhash64("number"), F.col("component") != F.col("largest")
+    own = F.when(outside, F.col("inner") + F.pmod(spot, F.col("outer"))).otherwise(F.pmod(spot, F.col("inner")))
+    first = F.when(outside, F.lit(0)).otherwise(F.col("inner"))
+    met = F.explode(F.sequence(first, F.col("inner") + F.col("outer") - 1))
+    dealt = dealt.select("key", "number", "component", own.cast("int").alias("own"), met.alias("met"))
     return dealt.select(
         "key", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), "own", "number", "component"
     )
