@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from steadyrun.llm import grammar, near_dedup, ordinal, outliers, packing
+from steadyrun.llm import (
+    decontaminate, grammar, near_dedup, ordinal, outliers, packing, placement, style_tree, surrogates, url_lists,
+)
 from steadyrun.sources.scratch import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +19,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    shards = [f"shard-{k:04d}" for k in range(256)]
+    spread = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    return placement.placed(docs, F.col("doc_id"), shards, spread_by=spread).select("doc_id", "slot", "shard")
+
+
+def op3_surrogates(spark: SparkSession, sf_dir: str, key: str = "steadyrun") -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.surrogated(docs, key)
+
+
 def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -33,6 +47,10 @@ def op8_dominance_packing(spark: SparkSession, sf_dir: str, tokenizer: str | Non
     return packing.pack(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+def op5_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     ratings = labels.select("doc_id", ordinal.grade(F.col("quality"), F.col("toxic")).alias("grade"))
@@ -45,10 +63,84 @@ def op7_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.robust_outliers(_table(spark, sf_dir, "documents")).drop("distance")
 
 
+#: Captures are the pages, fetched on a day taken from their number; the list's entries are dated by a hash of
+#: the host they are about. Both are derived from the pages alone, in the dialect Spark and DuckDB share.
+_CAPTURES = "select page_id, url, date_add(date '2023-01-01', cast(page_id * 37 % 730 as int)) as fetched from pages"
+_HOSTS = """
+select host, cast(conv(substring(md5(host), 1, 6), 16, 10) as int) as h
+from (select distinct lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) as host from pages) t
+where host <> ''
+"""
+_ENTRIES = f"""
+select list_name, pattern, verdict, 'add' as action, date_add(date '2023-01-01', h % 400) as effective from listed
+union all
+select list_name, pattern, verdict, 'remove', date_add(date '2023-01-01', h % 400 + 60 + h % 90) from listed where h % 3 = 0
+union all
+select list_name, pattern, verdict, 'add', date_add(date '2023-01-01', h % 400 + 200 + h % 90) from listed where h % 6 = 0
+"""
+_LISTED = """
+select 'hosts' as list_name, host as pattern, case when h % 5 = 0 then 'allow' else 'block' end as verdict, h
+from hosts where h % 2 = 0 or host like '%pills%' or host like '%casino%'
+union all
+select 'domains', regexp_replace(host, '^(www|blog|m)[.]', ''), 'block', h from hosts where h % 11 = 0
+union all
+select 'folders', concat(host, '/de'), case when h % 4 = 0 then 'allow' else 'block' end, h from hosts where h % 7 < 3
+"""
+
+
+def op9_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    hosts = spark.sql(_HOSTS.replace("pages", "{pages}"), pages=pages)
+    listed = spark.sql(_LISTED.replace("from hosts", "from {hosts}"), hosts=hosts)
+    entries = spark.sql(_ENTRIES.replace("from listed", "from {listed}"), listed=listed)
+    captures = spark.sql(_CAPTURES.replace("from pages", "from {pages}"), pages=pages)
+    return url_lists.judged(captures, entries)
+
+
+OP9_SQL = f"""
+with hosts as (
+  select host, cast(concat('0x', substring(md5(host), 1, 6)) as int) as h
+  from (select distinct lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) as host from pages) t where host <> ''),
+listed as ({_LISTED}),
+entries as ({_ENTRIES.replace("date_add(date '2023-01-01', ", "(date '2023-01-01' + (").replace(") as effective", ")) as effective").replace(") from listed where", ")) from listed where")}),
+days as (
+  select list_name, pattern, verdict, effective as day, max(case when action = 'add' then 1 else 0 end) as listed
+  from entries group by all),
+turns as (
+  select *, coalesce(lag(listed) over (partition by list_name, pattern, verdict order by day), 0) as before from days),
+changes as (select * from turns where listed <> before),
+held as (
+  select *, lead(day) over (partition by list_name, pattern, verdict order by day) as until from changes),
+captures as (
+  select page_id, url, (date '2023-01-01' + cast(page_id * 37 % 730 as int)) as fetched,
+         lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) as host,
+         lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)) as path
+  from pages),
+met as (
+  select c.page_id, c.url, h.pattern, h.verdict,
+         row_number() over (partition by c.page_id, c.url order by length(h.pattern) desc, h.verdict desc) as n
+  from captures c join held h
+    on h.listed = 1 and c.fetched >= h.day and (h.until is null or c.fetched < h.until)
+   and (c.host = h.pattern or ends_with(c.host, concat('.', h.pattern))
+        or starts_with(concat(c.host, c.path, '/'), concat(h.pattern, '/'))))
+select c.page_id, c.url, c.fetched, m.verdict, m.pattern, coalesce(m.verdict <> 'block', true) as kept
+from captures c left join met m on c.page_id = m.page_id and c.url = m.url and m.n = 1
+"""
+
+
+def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extracted(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_repair_shards": (op1_repair_shards, None),
+    "op2_lookup_sharding": (op2_lookup_sharding, None),
+    "op3_surrogates": (op3_surrogates, None),
     "op4_minmax_near_dedup": (op4_minmax_near_dedup, None),
+    "op5_qgram_decontamination": (op5_qgram_decontamination, None),
     "op6_ordinal_quality": (op6_ordinal_quality, None),
     "op7_mcd_outliers": (op7_mcd_outliers, None),
     "op8_dominance_packing": (op8_dominance_packing, None),
+    "op9_url_lists": (op9_url_lists, OP9_SQL),
+    "op10_style_tree": (op10_style_tree, None),
 }
