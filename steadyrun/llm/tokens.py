@@ -19,8 +19,12 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACED = f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: White space is dropped.
 WORDS = f"[^{WHITE}]+"
-CACHED_CHUNKS = 500_000
+GENERATION = 120_000
 CACHED_LENGTH = 40
+#: What a chunk is cut into before merging; texts beyond Latin-1 go through the tokenizer's own cutting.
+SPACED_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CONTROLS = re.compile("[\x00-\x1f\x7f-\x9f]")
 
 
 def per_worker(key: object, make: Callable[[], object]) -> object:
@@ -31,17 +35,44 @@ def per_worker(key: object, make: Callable[[], object]) -> object:
     return held[key]
 
 
-def cuts(config: dict) -> str | None:
-    """The pattern of chunks for a tokenizer's configuration, None if it isn't known."""
-    normalizer, split = config.get("normalizer"), config.get("pre_tokenizer") or {}
+class Recent(dict):
+    """What ``make`` gives for short texts; those not asked for during two generations are forgotten."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.older = make, {}
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.older.get(text)
+        if found is None:
+            found = self.make(text)
+        if len(text) <= CACHED_LENGTH:
+            if len(self) >= GENERATION:
+                self.older = dict(self)
+                self.clear()
+            self[text] = found
+        return found
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+def _form(config: dict) -> str | None:
+    """Whether a tokenizer's configuration is one whose cuts are known: spaced or words."""
+    normalizer, split, model = config.get("normalizer"), config.get("pre_tokenizer") or {}, config.get("model") or {}
+    if model.get("type") != "BPE" or model.get("dropout"):
+        return None
     if normalizer is None and split.get("type") == "ByteLevel":
-        return SPACED if split.get("use_regex") and not split.get("add_prefix_space") else None
+        return "spaced" if split.get("use_regex") and not split.get("add_prefix_space") else None
     steps = split.get("pretokenizers") or []
-    dropping = [x for x in steps if x.get("type") == "Split" and x.get("behavior") == "Removed" and x.get("invert")]
-    kinds = {x.get("type") for x in (normalizer or {}).get("normalizers", [])}
-    if dropping and steps[0] is dropping[0] and kinds <= {"NFC", "Replace", "Lowercase"}:
-        pattern = dropping[0]["pattern"].get("Regex", "")
-        return WORDS if pattern.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") else None
+    kinds = [x.get("type") for x in (normalizer or {}).get("normalizers", [])]
+    if kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in steps] == ["Split", "ByteLevel"]:
+        first = steps[0]
+        alike = first["behavior"] == "Removed" and first["invert"] and first["pattern"].get("Regex") == WORD_PARTS
+        return "words" if alike and not steps[1].get("use_regex") and not steps[1].get("add_prefix_space") else None
     return None
 
 
@@ -49,29 +80,40 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
-            config = json.load(file)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        pattern = cuts(config)
-        self.chunks = re.compile(pattern).findall if pattern else lambda text: [text] if text else []
-        encode = self.tokenizer.encode
-
-        class Known(dict):
-            def __missing__(self, chunk: str) -> bytes:
-                ids = encode(chunk, add_special_tokens=False).ids
-                packed = struct.pack(f"<{len(ids)}I", *ids)
-                if len(chunk) <= CACHED_LENGTH:
-                    if len(self) >= CACHED_CHUNKS:
-                        self.clear()
-                    self[chunk] = packed
-                return packed
-
-        self.look_up = Known().__getitem__
+            form = _form(json.load(file))
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        merged, letters = tokenizer.model.tokenize, _byte_letters()
+        parts = regex.compile(SPACED_PARTS if form == "spaced" else WORD_PARTS).findall
+
+        def pack(ids: list[int]) -> bytes:
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        def part(text: str) -> bytes:
+            return pack([t.id for t in merged(text.encode().decode("latin-1").translate(letters))])
+
+        known_parts = Recent(part)
+
+        def chunk(text: str) -> bytes:
+            if text.isascii() or max(text) <= "\xff":
+                if len(text) <= CACHED_LENGTH and (text.isprintable() or not CONTROLS.search(text)):
+                    return b"".join(map(known_parts.__getitem__, parts(text.lower() if form == "words" else text)))
+            return pack(tokenizer.encode(text, add_special_tokens=False).ids)
+
+        def whole(text: str) -> bytes:
+            return pack(tokenizer.encode(text, add_special_tokens=False).ids)
+
+        self.chunks = re.compile(SPACED if form == "spaced" else WORDS).findall if form else None
+        self.look_up = Recent(chunk).__getitem__
+        self.whole = whole
 
     def __call__(self, text: str | None) -> bytes:
+        if self.chunks is None:
+            return self.whole(text or "")
         return b"".join(map(self.look_up, self.chunks(text or "")))
 
 
