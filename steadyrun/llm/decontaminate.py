@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 BASE = np.uint64(0x100000001B3)
@@ -153,10 +153,13 @@ class Index:
 
 
 def _searching(shared: Broadcast) -> Callable[[Column], Column]:
+    """``shared`` holds an index as pickled by value."""
+
     @F.pandas_udf("array<long>")
     def search(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = cloudpickle.loads(shared.value)
         for part in texts:
-            yield pd.Series([shared.value.search(t) for t in part], dtype=object)
+            yield pd.Series([index.search(t) for t in part], dtype=object)
 
     return search
 
@@ -179,7 +182,7 @@ def found_items(
     for k in range(blocks):
         part = known.where(F.pmod(F.xxhash64("item_id", "body"), F.lit(blocks)) == k)
         rows = sorted((r["item_id"], r["body"]) for r in part.toLocalIterator())
-        out.append(_searching(spark.sparkContext.broadcast(Index(rows, q, rate)))(text.cast("string")))
+        out.append(_searching(spark.sparkContext.broadcast(cloudpickle.dumps(Index(rows, q, rate))))(text.cast("string")))
     return F.concat(*out) if len(out) > 1 else out[0]
 
 

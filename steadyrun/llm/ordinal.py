@@ -202,12 +202,13 @@ def scored(docs: DataFrame, model: Model | None, text: Column, name: str = "scor
     """
     if model is None:
         return docs.withColumn(name, F.lit(None).cast(SCORED))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
 
     @F.pandas_udf(SCORED)
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        held = Model(*shared.value)
         for part in texts:
-            yield pd.DataFrame([shared.value.grades(t) for t in part], columns=SCORED.names, dtype=float)
+            yield pd.DataFrame([held.grades(t) for t in part], columns=SCORED.names, dtype=float)
 
     return docs.withColumn(name, score(text.cast("string")))
 
