@@ -38,38 +38,61 @@ def wilson(successes: Column, total: Column, z: float = Z95) -> Column:
     )
 
 
-def beta_cdf(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function I_x(a, b), by Lentz's continued fraction."""
+def beta_cdf(a: float, b: float, x: float, y: float) -> float:
+    """Regularised incomplete beta function I_x(a, b), y being 1 - x, by its contracted continued fraction.
+
+    Everything that would cancel for large a and b is written with a y - b x, and the factor in front as
+    exp(-deviance) with Stirling remainders. Raises ArithmeticError if the fraction doesn't converge.
+    """
     import math
 
-    tiny = 1e-300
-
-    def guard(v: float) -> float:
-        return v if abs(v) > tiny else tiny
-
-    def fraction(a: float, b: float, x: float) -> float:
-        c, d = 1.0, 1.0 / guard(1.0 - (a + b) * x / (a + 1.0))
-        out = d
-        for m in range(1, 100000):
-            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-            for term in (even, odd):
-                d = 1.0 / guard(1.0 + term * d)
-                c = guard(1.0 + term / c)
-                out *= c * d
+    def fraction(a: float, b: float, x: float, y: float, off: float) -> float:
+        """The even part of the fraction, off = a y - b x >= 0: 1 / (b0 + a1 / (b1 + a2 / (b2 + ...)))."""
+
+        def whole(m: int) -> float:
+            # a - (a + b) x and the like are joined before they can cancel.
+            last = (a + m) / (a + 2 * m + 1) * (off + 1 + m * (1 + y))
+            return m + m * (b - m) * x / (a + 2 * m - 1) + last if m else last
+
+        out = c = whole(0)
+        d = 0.0
+        # Near the mean it takes some multiple of the square root of a + b.
+        for m in range(1, 1000 + int(20 * math.sqrt(a + b))):
+            alpha = (a + m - 1) * (a + b + m - 1) * m * (b - m) * x * x / (a + 2 * m - 1) ** 2
+            beta = whole(m)
+            d = 1.0 / (beta + alpha * d)
+            c = beta + alpha / c
+            out *= c * d
             if abs(c * d - 1.0) < 1e-15:
-                break
-        return out
+                return 1.0 / out
+        raise ArithmeticError(f"no convergence for I_{x}({a}, {b})")
+
+    def remainder(z: float) -> float:
+        """lgamma(z) less its leading Stirling terms."""
+        if z < 10:
+            return math.lgamma(z) - ((z - 0.5) * math.log(z) - z + 0.5 * math.log(2 * math.pi))
+        return 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+
+    def excess(u: float) -> float:
+        """(1 + u) log(1 + u) - u"""
+        if abs(u) > 0.1:
+            return (1 + u) * math.log1p(u) - u if u > -1 else 1.0
+        total, term, k = 0.0, u * u, 2
+        while abs(term) > 1e-18 * abs(total) and k < 40:
+            total += term / (k * (k - 1))
+            term, k = -term * u, k + 1
+        return total
 
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if y <= 0.0:
         return 1.0
-    log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    front = math.exp(log_front + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * fraction(a, b, x) / a
-    return 1.0 - front * fraction(b, a, 1.0 - x) / b
+    n, off = a + b, a * y - b * x
+    deviance = n * x * excess(off / (n * x)) + n * y * excess(-off / (n * y))
+    front = math.exp(remainder(n) - remainder(a) - remainder(b) - deviance) * math.sqrt(a * b / (2 * math.pi * n))
+    if off >= 0:
+        return front * fraction(a, b, x, y, off)
+    return 1.0 - front * fraction(b, a, y, x, -off)
 
 
 def _by_value(fn):
@@ -85,7 +108,7 @@ def t_pvalue(t: Column, df: Column) -> Column:
         import pandas
 
         return pandas.Series(
-            [cdf(v / 2.0, 0.5, v / (v + x * x)) if x == x and v > 0 else None for x, v in zip(t, df)],
+            [cdf(v / 2.0, 0.5, v / (v + x * x), x * x / (v + x * x)) if x == x and v > 0 else None for x, v in zip(t, df)],
             dtype="float64",
         )
 
@@ -103,7 +126,7 @@ def mcnemar_pvalue(b: Column, c: Column) -> Column:
         import pandas
 
         def one(n: int, low: int) -> float:
-            return 1.0 if 2 * low >= n else min(1.0, 2.0 * cdf(n - low, low + 1, 0.5))
+            return 1.0 if 2 * low >= n else min(1.0, 2.0 * cdf(n - low, low + 1, 0.5, 0.5))
 
         return pandas.Series(
             [one(int(x) + int(y), int(min(x, y))) for x, y in zip(b, c)], dtype="float64"

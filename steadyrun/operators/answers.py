@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from steadyrun.functions.spread import join_groups
 from steadyrun.functions import codetext, labels
 from steadyrun.operators.requests import CODE_TOOL
 from steadyrun.operators.stability import first_per_key
@@ -214,15 +215,24 @@ def resolve(outputs: DataFrame, errors: DataFrame, order: Sequence[str]) -> Data
     return first_per_key(both.where(F.col("custom_id").isNotNull()), ["custom_id"], newest).drop("__rank")
 
 
-def match_by_hash(answers: DataFrame, manifest: DataFrame, order: str, position: str) -> DataFrame:
+def match_by_hash(
+    answers: DataFrame, manifest: DataFrame, order: str, position: str, job: Sequence[str] = ("model_id",)
+) -> DataFrame:
     """Answers with the custom_id of the request they echo; null where no request matches.
 
-    Of equal prompts the last request counts, and of its answers the last: both sides are reduced
-    to one row per hash before they meet, so copies of one prompt cannot multiply.
+    A request is known by its job, the columns ``job`` of both sides, and its prompt: models that are asked
+    the same keep their own answers. Within a job, of equal prompts the last request counts, and of its
+    answers the last: both sides are reduced to one row per key before they meet, so copies of one prompt
+    cannot multiply. ``answers_of_hash`` and ``requests_of_hash`` tell how many there were.
     """
-    keyed = first_per_key(manifest, ["prompt_hash"], [F.desc(position)]).select("prompt_hash", "custom_id")
-    last = first_per_key(answers, ["prompt_hash"], [F.desc(order)])
-    return last.join(keyed, "prompt_hash", "left")
+    key = [*job, "prompt_hash"]
+
+    def last(df: DataFrame, by: str, count: str) -> DataFrame:
+        sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias(count))
+        return join_groups(first_per_key(df, key, [F.desc(by)]), sizes, key)
+
+    keyed = last(manifest, position, "requests_of_hash").select(*key, "custom_id", "requests_of_hash")
+    return last(answers, order, "answers_of_hash").join(keyed, key, "left")
 
 
 def complete(manifest: DataFrame, generations: DataFrame, missing: str = "Missing batch result") -> DataFrame:

@@ -217,11 +217,12 @@ def rank_reversals(configs: DataFrame) -> DataFrame:
     Each is reported once, with the strongest such rival, found in one sorted pass per prompt; the
     pairs themselves are never built.
     """
-    millionths = F.round(F.col("rlpr") * 1e6).cast("bigint")
-    w = Window.partitionBy("prompt_type").orderBy(millionths).rangeBetween(Window.unboundedPreceding, -1)
-    rival = F.max(F.struct("psr", "model_name", "rlpr")).over(w)
+    # The best up to and with each rate, then the one of the next lower rate; equal rates share it.
+    rates = configs.groupBy("prompt_type", "rlpr").agg(F.max(F.struct("psr", "model_name", "rlpr")).alias("top"))
+    lower = Window.partitionBy("prompt_type").orderBy("rlpr").rowsBetween(Window.unboundedPreceding, -1)
+    below = rates.select("prompt_type", "rlpr", F.max("top").over(lower).alias("rival"))
     return (
-        configs.withColumn("rival", rival)
+        configs.join(below, ["prompt_type", "rlpr"])
         .where(F.col("rival.psr") > F.col("psr"))
         .select(
             "prompt_type", "model_name", "rlpr", "psr",
@@ -262,7 +263,7 @@ def stability_heatmap(trials: DataFrame, problems: DataFrame, models: DataFrame)
     rows = ranked(models.join(present, "model_name", "left_semi"), [], "best_rlpr", ["model_name"], "row_pos")
     columns = rates.groupBy("problem_id").agg(F.sum("rate").alias("rate"))
     columns = columns.withColumn(
-        "mean_rate", F.round(F.col("rate") / present.agg(F.count(F.lit(1))).scalar(), 9)
+        "mean_rate", F.col("rate") / present.agg(F.count(F.lit(1))).scalar()
     ).drop("rate")
     columns = prob.with_difficulty(columns, problems).withColumn(
         "tier", prob.tier_order(F.col("difficulty"))

@@ -65,11 +65,13 @@ def latest_problems(problems: DataFrame, n: int, id_col: str = "frontend_questio
     )
 
 
-def sample_problems(problems: DataFrame, n: int, seed: int, id_col: str = "frontend_question_id") -> DataFrame:
-    """A repeatable sample of n free problems out of a pool of the first min(4n, 200)."""
-    pool = problems.orderBy("seq").limit(min(4 * n, 200))
+def sample_problems(
+    problems: DataFrame, n: int, seed: int, id_col: str = "frontend_question_id", pool: int | None = None
+) -> DataFrame:
+    """A repeatable sample of n free problems, out of all of them or of the first ``pool`` problems."""
+    rows = problems if pool is None else problems.orderBy("seq").limit(pool)
     mark = F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string")))
-    return pool.where(~F.coalesce("paid_only", F.lit(False))).orderBy(mark, id_col).limit(n)
+    return rows.where(~F.coalesce("paid_only", F.lit(False))).orderBy(mark, id_col).limit(n)
 
 
 def python_template(snippets):

@@ -99,7 +99,7 @@ def generation_tokens(trials: DataFrame, by: Sequence[str] = ("strategy",)) -> D
 
 
 def judge_performance(trials: DataFrame, by: Sequence[str] = ("strategy",)) -> DataFrame:
-    """Runtime and memory percentiles of accepted attempts, all from one table of value counts."""
+    """Mean, median and deviation of accepted attempts' runtime and memory percentiles."""
     by, metrics = list(by), ("runtime", "memory")
     pairs = F.array(
         *[F.struct(F.lit(m).alias("metric"), F.col(f"{m}_percentile").alias("value")) for m in metrics]
@@ -107,13 +107,11 @@ def judge_performance(trials: DataFrame, by: Sequence[str] = ("strategy",)) -> D
     rows = trials.where(F.col("accepted") == 1).select(*by, F.inline(pairs))
     keys = [*by, "metric"]
     found = value_counts(rows, keys, "value")
-    v, f = F.col("v"), F.col("f")
-    n, s1, s2 = F.sum(f), F.sum(v * f), F.sum(v * v * f)
-    spread = F.greatest(F.lit(0.0), s2 - s1 * s1 / n)
-    moments = found.groupBy(*keys).agg(
-        (s1 / n).alias("mean"),
-        F.sqrt(F.try_divide(spread, n - 1)).alias("std"),
-        (F.sum(F.when(v >= 75, f).otherwise(0)) * 100.0 / n).alias("top"),
+    value = F.col("value")
+    moments = rows.where(value.isNotNull()).groupBy(*keys).agg(
+        F.avg(value).alias("mean"),
+        F.stddev_samp(value).alias("std"),
+        (F.count_if(value >= 75) * 100.0 / F.count(F.lit(1))).alias("top"),
     )
     both = join_groups(moments, percentiles(found, keys, {"median": 0.5}), keys)
 
@@ -277,11 +275,13 @@ def trial_matrix_wide(matrix: DataFrame, width: int) -> DataFrame:
 def success_counts(cells: DataFrame, strategy: str = "detailed") -> DataFrame:
     """Problems per number of accepted attempts, 0 up to the longest cell of the model."""
     rows = cells.where(F.col("strategy") == strategy)
-    grid = (
-        rows.groupBy("model_name")
-        .agg(F.max("n").alias("longest"))
-        .select("model_name", F.explode(F.sequence(F.lit(0).cast("bigint"), "longest")).alias("successes"))
-    )
+    # Counted out in two steps, so that no array is as long as the longest cell.
+    step = 1 << 16
+    longest = rows.groupBy("model_name").agg(F.max("n").alias("longest"))
+    parts = F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("longest") / step))
+    spans = longest.select("model_name", "longest", (F.explode(parts) * step).alias("low"))
+    own = F.sequence("low", F.least(F.col("low") + step - 1, F.col("longest")))
+    grid = spans.select("model_name", F.explode(own).alias("successes"))
     found = rows.groupBy("model_name", F.col("a").alias("successes")).agg(F.count(F.lit(1)).alias("problems"))
     return grid.join(found, ["model_name", "successes"], "left").fillna(0, ["problems"])
 

@@ -117,9 +117,14 @@ from documents""",
 )
 
 
+def grid(spark, sf):
+    """The manifest asked of two models."""
+    return view(spark, sf, "v_manifest").withColumn("model_id", F.explode(F.array(F.lit("model-a"), F.lit("model-b"))))
+
+
 def generate_lines(spark, sf):
     """Generate-content lines over the manifest; every seventh one echoes a prompt nobody asked."""
-    m = view(spark, sf, "v_manifest")
+    m = grid(spark, sf)
     asked = req.tagged_prompt(F.col("prompt"), F.col("trial_index"))
     echo = F.when(F.col("doc_id") % 7 == 0, F.concat(asked, F.lit("?"))).otherwise(asked)
     contents = F.array(
@@ -139,13 +144,13 @@ def generate_lines(spark, sf):
         F.struct(contents.alias("contents")).alias("request"),
         F.when(F.col("doc_id") % 13 != 0, F.struct(candidates.alias("candidates"), usage.alias("usageMetadata"))).alias("response"),
     )
-    return m.select("doc_id", F.to_json(line).alias("value"))
+    return m.select("doc_id", "model_id", F.to_json(line).alias("value"))
 
 
 def hash_match(spark, sf):
     parsed = ans.generate_answers(generate_lines(spark, sf))
-    found = ans.match_by_hash(parsed, view(spark, sf, "v_manifest"), "doc_id", "doc_id")
-    return found.select("prompt_hash", "custom_id", "doc_id", "text", "input_tokens", "output_tokens", "error")
+    found = ans.match_by_hash(parsed, grid(spark, sf), "doc_id", "doc_id")
+    return found.select("model_id", "prompt_hash", "custom_id", "doc_id", "text", "answers_of_hash", "requests_of_hash", "input_tokens", "output_tokens", "error")
 
 
 QUERIES["hash_match"] = (
@@ -153,12 +158,15 @@ QUERIES["hash_match"] = (
     sql("""with lines as (select doc_id, prompt,
        md5(concat(prompt, chr(10), '<!-- trial=', cast(trial_index as varchar), ' -->', case when doc_id % 7 = 0 then '?' else '' end)) as prompt_hash
      from v_manifest),
-last as (select *, row_number() over (partition by prompt_hash order by doc_id desc) as rn from lines),
-keyed as (select prompt_hash, custom_id, row_number() over (partition by prompt_hash order by doc_id desc) as rn from v_manifest)
-select l.prompt_hash, k.custom_id, l.doc_id, case when doc_id % 13 = 0 then '' else prompt end as text,
+last as (select *, row_number() over (partition by prompt_hash order by doc_id desc) as rn,
+         count(*) over (partition by prompt_hash) as answers_of_hash from lines),
+keyed as (select prompt_hash, custom_id, row_number() over (partition by prompt_hash order by doc_id desc) as rn,
+          count(*) over (partition by prompt_hash) as requests_of_hash from v_manifest)
+select model_id, l.prompt_hash, k.custom_id, l.doc_id, answers_of_hash, requests_of_hash, case when doc_id % 13 = 0 then '' else prompt end as text,
        case when doc_id % 13 = 0 then 0 else length(prompt) end as input_tokens, cast(0 as bigint) as output_tokens,
        case when doc_id % 11 = 0 then 'quota' when doc_id % 13 = 0 then 'No response from the service' end as error
-from last l left join keyed k on l.prompt_hash = k.prompt_hash and k.rn = 1 where l.rn = 1"""),
+from (select * from last cross join (values ('model-a'), ('model-b')) m(model_id)) l
+left join keyed k on l.prompt_hash = k.prompt_hash and k.rn = 1 where l.rn = 1"""),
 )
 
 
@@ -302,13 +310,15 @@ from v_manifest m left join v_answers a on m.custom_id = a.custom_id"""),
 
 def completed(spark, sf):
     found = generations(spark, sf).select("custom_id", "status", "gen_status", "error", "input_tokens", "output_tokens", "cost")
-    manifest = view(spark, sf, "v_manifest").select("custom_id", "problem_id", "prompt_type", "trial_index", "title_slug")
+    manifest = view(spark, sf, "v_manifest").select(
+        "custom_id", "model_id", "problem_id", "prompt_type", "trial_index", "title_slug"
+    )
     return ans.complete(manifest, found)
 
 
 # Chat lines of odd documents end in a second part, which turns plain import answers into broken code.
 STEPS["finished"] = f"""
-select m.custom_id, m.problem_id, m.prompt_type, m.trial_index, m.title_slug,
+select m.custom_id, m.model_id, m.problem_id, m.prompt_type, m.trial_index, m.title_slug,
        case when a.doc_id is null or a.error is not null then 'Generation Failed'
             when a.variant = 3 then 'Extraction Failed'
             when a.variant = 2 and a.code is null then 'Extraction Failed'
@@ -336,9 +346,9 @@ QUERIES["manifest_join"] = (
 
 
 def items(spark, sf):
-    built = ans.assemble_items(completed(spark, sf), ["problem_id"], ["status"])
+    built = ans.assemble_items(completed(spark, sf), ["model_id", "problem_id"], ["status"])
     return built.select(
-        "problem_id",
+        "model_id", "problem_id",
         *[
             F.array_join(F.transform(c, lambda a: F.concat(a.trial_index.cast("string"), F.lit(":"), a.status)), ",").alias(c)
             for c in ("with_prompt", "without_prompt")
@@ -349,8 +359,8 @@ def items(spark, sf):
 _LISTED = "coalesce(string_agg(concat(cast(trial_index as varchar), ':', status), ',' order by trial_index) filter (where prompt_type = '{}'), '')"
 QUERIES["generated_items"] = (
     items,
-    sql(f"""select problem_id, {_LISTED.format('detailed')} as with_prompt, {_LISTED.format('minimal')} as without_prompt
-from finished group by problem_id"""),
+    sql(f"""select model_id, problem_id, {_LISTED.format('detailed')} as with_prompt, {_LISTED.format('minimal')} as without_prompt
+from finished group by model_id, problem_id"""),
 )
 
 

@@ -263,7 +263,7 @@ QUERIES["rank_reversals"] = (
        round(rival_rlpr, 6) as rival_rlpr, round(rival_psr, 6) as rival_psr
 from (select a.prompt_type, a.model_name, a.rlpr, a.psr, b.model_name as rival, b.rlpr as rival_rlpr, b.psr as rival_psr,
              row_number() over (partition by a.prompt_type, a.model_name order by b.psr desc, b.model_name desc) as rn
-      from configs a join configs b on a.prompt_type = b.prompt_type and round(a.rlpr * 1e6) > round(b.rlpr * 1e6)) t
+      from configs a join configs b on a.prompt_type = b.prompt_type and a.rlpr > b.rlpr) t
 where rn = 1 and rival_psr > psr"""),
 )
 QUERIES["model_rank"] = (

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from steadyrun.operators import stability
-from steadyrun.plans.common import STEPS, sql
+from steadyrun.plans.common import LOG_ORDER, sql
 from steadyrun.plans.q_answers import OUT_TOKENS, PARTS, chat_lines
 from steadyrun.plans.q_stability import BY, RATES, rates
+from steadyrun.sources.scratch import shared_dir
 from steadyrun.sources.tables import view
 from steadyrun.streaming import live
 
@@ -15,19 +16,19 @@ QUERIES = {}
 
 
 def log_stream(spark, sf):
-    return stability.with_labels(view(spark, sf, "v_trial_log", streams=["lineitem"]))
+    """The log as it would arrive: four files in order of the log's days, one micro-batch each.
+
+    Copies of an attempt are logged on different days, so they come in different micro-batches.
+    """
+    log = stability.with_labels(view(spark, sf, "v_trial_log"))
+    path = shared_dir(spark, "log")
+    log.repartitionByRange(4, "logged_at").write.parquet(path)
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-STEPS["log_cells"] = """
-select model_name, problem_id, strategy, count(*) as n, cast(sum(accepted) as bigint) as a,
-       coalesce(max(case when trial_index = 0 then accepted end), 0) as first_pass,
-       coalesce(min(case when accepted = 1 then ord end), 0) as first_accepted
-from (select *, dense_rank() over (partition by model_name, problem_id, strategy order by trial_index) as ord from log) t
-group by model_name, problem_id, strategy
-"""
 QUERIES["stream_stability"] = (
-    lambda spark, sf: rates(stability.cell_totals(live.live_cells(log_stream(spark, sf)), BY)),
-    sql(f"select model_name, strategy, {RATES} from log_cells group by model_name, strategy"),
+    lambda spark, sf: rates(stability.cell_totals(live.live_cells(log_stream(spark, sf), LOG_ORDER), BY)),
+    sql(f"select model_name, strategy, {RATES} from cells group by model_name, strategy"),
 )
 QUERIES["stream_dedupe"] = (
     lambda spark, sf: live.dedupe_intake(log_stream(spark, sf)).select(*stability.TRIAL_KEY),

@@ -115,7 +115,7 @@ from v_problems where not paid_only and not contains(topics, 'PROMO') order by 2
 )
 QUERIES["random_problems"] = (
     lambda spark, sf: prob.sample_problems(problems(spark, sf), 30, seed=7).select("frontend_question_id", "title_slug"),
-    sql("""select frontend_question_id, title_slug from (select * from v_problems order by seq limit 120) t where not paid_only
+    sql("""select frontend_question_id, title_slug from v_problems where not paid_only
 order by md5(concat('7|', frontend_question_id)), frontend_question_id limit 30"""),
 )
 QUERIES["trial_cap"] = (

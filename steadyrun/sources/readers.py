@@ -3,23 +3,58 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from steadyrun.functions import labels
 from steadyrun.operators.stability import first_per_key
 from steadyrun.sources import schemas
 
+_KINDS = {"string": StringType(), "int": IntegerType(), "bigint": LongType(), "double": DoubleType()}
+_TRIAL = StructType([StructField(n, _KINDS[t]) for n, t in (part.split() for part in schemas.TRIAL.split(","))])
+
 
 def _paths(paths: str | Sequence[str]) -> list[str]:
     """Each path once, in the order given."""
     return [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
 
 
+def _objects(lines: DataFrame) -> DataFrame:
+    """Lines that are a JSON object, with the struct ``__raw`` of the trial fields as text.
+
+    Every field is read as text, so a field of another JSON type costs that field at most, and which lines
+    count does not depend on the columns that are asked for.
+    """
+    fields = StructType([StructField(f.name, StringType()) for f in _TRIAL.fields])
+    broken = StructField("__broken", StringType())
+    raw = F.from_json("value", StructType([*fields.fields, broken]), {"columnNameOfCorruptRecord": "__broken"})
+    found = lines.where(F.startswith(F.trim("value"), F.lit("{"))).withColumn("__raw", raw)
+    return found.where(F.col("__raw.__broken").isNull())
+
+
+def _typed(field: StructField) -> Column:
+    """A field as its type, null where its text is no such value. Flags and fractions are taken as numbers."""
+    text = F.col(f"__raw.{field.name}")
+    if isinstance(field.dataType, StringType):
+        return text.alias(field.name)
+    flag = F.when(F.lower(text) == "true", "1").when(F.lower(text) == "false", "0").otherwise(F.trim(text))
+    number = flag.try_cast("double")
+    number = F.when(~F.isnan(number), number)
+    if isinstance(field.dataType, DoubleType):
+        return number.alias(field.name)
+    whole = F.coalesce(flag.try_cast("bigint"), F.round(number).try_cast("bigint"))
+    return whole.try_cast(field.dataType).alias(field.name)
+
+
+def _trials(lines: DataFrame, *more: Column) -> DataFrame:
+    return _objects(lines).select(*map(_typed, _TRIAL.fields), *more)
+
+
 def read_trials(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Trial JSONL; lines that are no JSON object are dropped."""
-    reader = spark.read.schema(schemas.TRIAL).option("mode", "DROPMALFORMED")
-    return reader.json(_paths(paths))
+    """Trial JSONL; lines that are no JSON object are dropped, fields that don't fit their type are null."""
+    return _trials(spark.read.text(_paths(paths)))
 
 
 def read_trial_archive(
@@ -27,17 +62,16 @@ def read_trial_archive(
 ) -> DataFrame:
     """All files of ``pattern`` in several directories, labels normalised, verdict flag defaulting to 0.
 
-    A bad line costs that line only; ``bad_lines`` counts them.
+    A bad line costs that line only, a bad field that field; ``bad_lines`` and ``bad_fields`` count them.
     """
-    reader = spark.read.schema(schemas.TRIAL).option("mode", "DROPMALFORMED")
-    rows = reader.option("pathGlobFilter", pattern).json(_paths(dirs))
+    lines = spark.read.option("pathGlobFilter", pattern).text(_paths(dirs))
+    rows = _trials(lines, F.input_file_name().alias("source_file"))
     return rows.withColumns(
         {
             "prompt_type": labels.normalize_strategy(F.col("strategy"), F.col("prompt_type")),
             "strategy": labels.normalize_strategy(F.col("strategy"), F.col("prompt_type")),
             "accepted_bool": F.coalesce("accepted_bool", F.lit(0)),
             "accepted": labels.accepted(F.col("status")),
-            "source_file": F.input_file_name(),
         }
     )
 
@@ -45,8 +79,20 @@ def read_trial_archive(
 def bad_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Lines per file that the readers above drop."""
     lines = spark.read.text(_paths(paths)).withColumn("source_file", F.input_file_name())
-    broken = F.try_parse_json("value").isNull() & (F.trim("value") != "")
-    return lines.where(broken).groupBy("source_file").agg(F.count(F.lit(1)).alias("bad_lines"))
+    every = lines.where(F.trim("value") != "").groupBy("source_file").agg(F.count(F.lit(1)).alias("lines"))
+    good = _objects(lines).groupBy("source_file").agg(F.count(F.lit(1)).alias("good"))
+    counts = every.join(good, "source_file", "left")
+    bad = (F.col("lines") - F.coalesce("good", F.lit(0))).alias("bad_lines")
+    return counts.select("source_file", bad).where("bad_lines > 0")
+
+
+def bad_fields(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """How often, per file and field, a value is there that doesn't fit the field's type."""
+    rows = _objects(spark.read.text(_paths(paths)).withColumn("source_file", F.input_file_name()))
+    numeric = [f for f in _TRIAL.fields if not isinstance(f.dataType, StringType)]
+    lost = [F.when(F.col(f"__raw.{f.name}").isNotNull() & _typed(f).isNull(), F.lit(f.name)) for f in numeric]
+    each = rows.select("source_file", F.explode(F.array_compact(F.array(*lost))).alias("field"))
+    return each.groupBy("source_file", "field").agg(F.count(F.lit(1)).alias("values"))
 
 
 def read_results(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -55,11 +101,19 @@ def read_results(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def read_problems(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Problem files with ``seq``, the order within the file. Feed to ``load_problems``."""
-    rows = spark.read.schema(schemas.PROBLEM).option("multiLine", True).json(_paths(paths))
-    return rows.withColumn("seq", F.monotonically_increasing_id()).withColumnRenamed(
-        "isPaidOnly", "paid_only"
-    )
+    """Problem files with ``seq``: the place of the path among ``paths``, then the place in the file.
+
+    A path is a file; of a directory's files the names decide. Feed to ``load_problems``.
+    """
+    files = []
+    for k, path in enumerate(_paths(paths)):
+        read = spark.read.format("binaryFile").load(path)
+        files.append(read.select(F.lit(k).alias("__path"), "path", F.col("content").cast("string").alias("text")))
+    every = reduce(DataFrame.union, files)
+    listed = F.from_json("text", f"array<struct<{schemas.PROBLEM}>>")
+    rows = every.select("__path", "path", F.posexplode(listed).alias("__at", "p"))
+    seq = F.struct("__path", "path", "__at")
+    return rows.select("p.*", seq.alias("seq")).withColumnRenamed("isPaidOnly", "paid_only")
 
 
 def read_summaries(spark: SparkSession, dirs: str | Sequence[str]) -> DataFrame:
@@ -81,9 +135,15 @@ def read_summaries(spark: SparkSession, dirs: str | Sequence[str]) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Manifests as one JSON array per file. A file is one task; ``read_manifest_lines`` splits files."""
     return spark.read.schema(schemas.MANIFEST).option("multiLine", True).json(_paths(paths))
 
 
+def read_manifest_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Manifests of one JSON object per line; files are split among tasks."""
+    return spark.read.schema(schemas.MANIFEST).json(_paths(paths))
+
+
 def valid_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """Lines that parse as JSON."""
     return lines.where(F.try_parse_json(col).isNotNull())
@@ -96,8 +156,8 @@ def read_batch_outputs(spark: SparkSession, paths: str | Sequence[str]) -> DataF
 
 def read_archives(spark: SparkSession, dirs: Sequence[str]) -> DataFrame:
     """Trial rows of several archives with the modification time of their file."""
-    reader = spark.read.schema(schemas.TRIAL).option("mode", "DROPMALFORMED")
-    rows = reader.json(_paths(dirs)).select("*", F.col("_metadata.file_modification_time").alias("modified_at"))
+    lines = spark.read.text(_paths(dirs)).select("value", "_metadata.file_modification_time")
+    rows = _trials(lines, F.col("file_modification_time").alias("modified_at"))
     return rows.withColumn(
         "strategy", labels.normalize_strategy(F.col("strategy"), F.col("prompt_type"))
     )

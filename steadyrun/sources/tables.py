@@ -166,22 +166,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[path]).parquet(path)
 
 
-# Columns that tell the rows of a table apart, for dealing them out.
-SPREAD_BY = {
-    "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"],
-    "documents": ["doc_id"],
-}
-
-
-def spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """A scan with fewer tasks than cores, dealt out to all cores; a larger one as it is.
-
-    One file with one row group is one task, however much work each row needs.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *by)
-
-
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
     """The same table as a file stream."""
     schema = table(spark, sf_dir, name).schema
@@ -197,7 +181,4 @@ def view(spark: SparkSession, sf_dir: str, name: str, streams: Sequence[str] = (
     for t in used:
         sql = re.sub(rf"\b{t}\b", "{" + t + "}", sql)
     frames = {t: (table_stream if t in streams else table)(spark, sf_dir, t) for t in used}
-    for t, by in SPREAD_BY.items():
-        if t in used and t not in streams:
-            frames[t] = spread(frames[t], by)
     return spark.sql(sql, **frames)

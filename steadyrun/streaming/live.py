@@ -57,34 +57,17 @@ def append(stream: DataFrame, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows").drop("batch")
 
 
-# Trial indexes are folded in blocks of this many bits of a long.
-BLOCK = 32
+def live_cells(trials: DataFrame, order: Sequence[str], path: str | None = None) -> DataFrame:
+    """Cells that grow as attempts are logged, equal to the batch ``cells`` of the deduplicated log.
 
-
-def cell_blocks(trials: DataFrame) -> DataFrame:
-    """Cells in blocks of trial indexes: running counts, and bit sets of the indexes seen and accepted.
-
-    All buffers are plain longs, so the state is one short row per block.
+    An attempt counts once, with the copy that is first by ``order``, whichever copy arrives first. State is
+    one short row per attempt, however many copies there are. Trials need an index.
     """
-    bit = F.expr(f"shiftleft(1L, cast(trial_index % {BLOCK} as int))")
-    return (
-        trials.withColumn("span", F.floor(F.col("trial_index") / BLOCK))
-        .groupBy(*stability.CELL, "span")
-        .agg(
-            *stability.span_counts(trials),
-            F.bit_or(bit).alias("seen"),
-            F.bit_or(F.when(F.col("accepted") == 1, bit)).alias("hits"),
-        )
-    )
-
-
-def live_cells(trials: DataFrame, path: str | None = None) -> DataFrame:
-    """Cells that grow as attempts are logged. Trials need an index."""
     path = path or shared_dir(trials.sparkSession, "live-cells")
-    blocks = upsert(cell_blocks(trials), [*stability.CELL, "span"], path)
-    lowest = F.expr("hits & -hits")
-    hit = F.bit_count(F.col("seen").bitwiseAND(lowest - 1)) + 1
-    return stability.fold_spans(blocks.withColumn("hit", hit), F.bit_count("seen"))
+    kept = ["accepted", *[c for c in ("latency_ms",) if c in trials.columns]]
+    first = F.min(F.struct(*order, *kept)).alias("first")
+    attempts = upsert(trials.groupBy(*stability.TRIAL_KEY).agg(first), stability.TRIAL_KEY, path)
+    return stability.cells(attempts.select(*stability.TRIAL_KEY, *[F.col(f"first.{c}").alias(c) for c in kept]))
 
 
 def dedupe_intake(
@@ -149,8 +132,11 @@ def live_failure_runs(submissions: DataFrame, threshold: int = 10, path: str | N
 def fold_failures(
     spark: SparkSession, rows: DataFrame, state: DataFrame, threshold: int, path: str, batch: int
 ) -> None:
+    # Written once: the failed attempts feed several branches, and the micro-batch is read twice at most.
     tried = rows.where("has_code").withColumn("account", F.col("account").cast("bigint"))
-    failed = crossrun.failed_attempts(tried)
+    folded = f"{path}/folded/batch={batch}"
+    crossrun.failed_attempts(tried).write.mode("overwrite").parquet(folded)
+    failed = spark.read.parquet(folded)
     # A run with no success before it in this micro-batch goes on from the open run.
     runs = failed.groupBy("account", "successes_before").agg(
         F.count(F.lit(1)).alias("length"), F.min("failure_no").alias("first_no")

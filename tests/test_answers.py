@@ -1,7 +1,6 @@
 """Raw answers: extraction, odd JSON, ladders and joins."""
 
 import json
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,29 +27,30 @@ ANSWERS = [
 ]
 
 
-def by_re(text):
-    """The extraction rules in Python's own regular expressions."""
-    clean = text
-    for pattern in (r"<think>.*?</think>", r"<\|thinking\|>.*?<\|/thinking\|>"):
-        clean = re.sub(pattern, "", clean, flags=re.S | re.I)
-    clean = clean.strip() or text
-    fenced = re.search(r"```(?:python|python3)?\s*\n(.*?)\n```", clean, re.S)
-    if fenced:
-        return fenced[1].strip()
-    block = re.search(r"(class\s+\w+.*?)(?=\n(?:class|def)\s|\Z)", clean, re.S)
-    if block:
-        return block[1].strip()
-    starts = ("def ", "class ", "import ", "from ", "return ")
-    if any(line.strip().startswith(starts) for line in clean.split("\n")):
-        return clean
-    at = clean.find("class ")
-    return clean[at:].strip() if at >= 0 else None
-
-
-def test_extraction_equals_python_re(spark):
+# The code that each answer should give.
+CODES = [
+    'class Solution:\n    def f(self):\n        return 1',
+    'class Solution:\n    def f(self, nums):\n\n        seen = {}\n        return []',
+    'class Solution:\n    x = 1',
+    'a = 1',
+    'def f():\n  return 2',
+    None,
+    None,
+    'from os import path\nprint(1)',
+    'words\n   return x',
+    None,
+    None,
+    'class of things',
+    "x = 'é'",
+    None,
+    'import re',
+]
+
+
+def test_extraction(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(ANSWERS)], "i int, t string")
     got = {r.i: r.c for r in df.select("i", codetext.extract_code(F.col("t")).alias("c")).collect()}
-    assert got == {i: by_re(t) for i, t in enumerate(ANSWERS)}
+    assert got == dict(enumerate(CODES))
 
 
 def test_long_answers_do_not_overflow(spark):
@@ -141,9 +141,14 @@ def test_generate_lines_and_hash_match(spark):
     answer = {"response": {"candidates": [{"content": {"parts": [{"text": '{"code": "z"}'}]}}]}}
     docs = [echoed("p1", **answer), echoed("p1", status="quota"), echoed("p2"), echoed("unknown", **answer)]
     df = lines(spark, docs).withColumn("n", F.monotonically_increasing_id())
-    manifest = spark.createDataFrame([("p1", "a", 1), ("p1", "b", 2), ("p2", "c", 3)], "p string, custom_id string, n int")
+    rows = [("m", "p1", "a", 1), ("m", "p1", "b", 2), ("m", "p2", "c", 3), ("k", "p1", "d", 4)]
+    manifest = spark.createDataFrame(rows, "model_id string, p string, custom_id string, n int")
     manifest = manifest.withColumn("prompt_hash", F.md5("p"))
-    got = ans.match_by_hash(ans.generate_answers(df), manifest, "n", "n").collect()
+    answers = ans.generate_answers(df).withColumn("model_id", F.lit("m"))
+    other = answers.where("prompt_hash = md5('p1')").withColumn("model_id", F.lit("k"))
+    both = ans.match_by_hash(answers.unionByName(other), manifest, "n", "n")
+    assert [(r.custom_id, r.answers_of_hash) for r in both.where("model_id = 'k'").collect()] == [("d", 2)]
+    got = both.where("model_id = 'm'").collect()
     assert sorted((r.custom_id or "-", r.text, r.error or "") for r in got) == [
         ("-", "z", ""), ("b", "", "quota"), ("c", "", "No response from the service"),
     ]

@@ -38,6 +38,33 @@ def test_trial_archive(spark, tmp_path):
     assert readers.read_trials(spark, a).count() == 2
 
 
+def test_drifting_types_keep_the_row(spark, tmp_path):
+    lines = [
+        trial(trial_index=0, runtime_percentile="N/A"), trial(trial_index=1, latency_ms="12.5"),
+        trial(trial_index=2, accepted_bool=True), trial(trial_index=3, prompt_tokens=1.5), trial(trial_index=4),
+        trial(trial_index="5", raw_response={"a": [1]}), "[1, 2]", "7", '{"model_name": "m"',
+    ]
+    path = put(tmp_path / "d" / "x.jsonl", "\n".join(lines) + "\n")
+    rows = readers.read_trial_archive(spark, [str(tmp_path / "d")])
+    for columns in (rows.columns, ["model_name"], ["runtime_percentile"], ["model_name", "accepted_bool"]):
+        assert len(rows.select(*columns).collect()) == 6
+    assert rows.count() == 6
+    got = {r.trial_index: r for r in rows.collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 5]
+    assert (got[0].runtime_percentile, got[1].latency_ms, got[2].accepted_bool, got[3].prompt_tokens) == (None, 12.5, 1, 2)
+    assert got[5].raw_response == '{"a":[1]}'
+    assert [(r.field, r["values"]) for r in readers.bad_fields(spark, path).collect()] == [("runtime_percentile", 1)]
+    assert readers.bad_lines(spark, path).first().bad_lines == 3
+
+
+def test_problem_order_follows_the_paths(spark, tmp_path):
+    a = put(tmp_path / "a.json", json.dumps([{"question_id": 1, "title_slug": "a"}]))
+    b = put(tmp_path / "b.json", json.dumps([{"question_id": k, "title_slug": "b" * 9000} for k in (2, 3)]))
+    for paths, want in (([a, b], ["1", "2", "3"]), ([b, a], ["2", "3", "1"])):
+        rows = readers.read_problems(spark, paths)
+        assert [r.question_id for r in rows.orderBy("seq").collect()] == want
+
+
 def test_results_file(spark, tmp_path):
     doc = [{"problem_id": "1", "title": "T", "difficulty": " hard", "topics": ["A", "B"],
             "with_prompt": [{"status": "Accepted", "latency_ms": "12.5"}, {"status": "Wrong Answer", "latency_ms": "x"}],
