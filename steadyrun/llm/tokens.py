@@ -19,12 +19,17 @@ WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACED = f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: White space is dropped.
 WORDS = f"[^{WHITE}]+"
-GENERATION = 120_000
+GENERATION = 200_000
 CACHED_LENGTH = 40
-#: What a chunk is cut into before merging; texts beyond Latin-1 go through the tokenizer's own cutting.
-SPACED_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CONTROLS = re.compile("[\x00-\x1f\x7f-\x9f]")
+#: What texts in Latin-1 are cut into before merging, with the letters, digits and white space of Latin-1 spelled
+#: out. Only contractions and other signs can begin alike, so their order is all that matters.
+LETTER, DIGIT, BLANK = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+SPACED_PARTS = (
+    f" ?[{LETTER}]+| ?[{DIGIT}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{LETTER}{DIGIT}{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
+)
+WORD_PARTS = f"[{LETTER}]+|[{DIGIT}]|'(?:s|t|re|ve|m|ll|d)|[^{LETTER}{DIGIT}{BLANK}]+"
+#: The tokenizer's own pattern for the latter.
+OWN_WORD_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def per_worker(key: object, make: Callable[[], object]) -> object:
@@ -71,7 +76,7 @@ def _form(config: dict) -> str | None:
     kinds = [x.get("type") for x in (normalizer or {}).get("normalizers", [])]
     if kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in steps] == ["Split", "ByteLevel"]:
         first = steps[0]
-        alike = first["behavior"] == "Removed" and first["invert"] and first["pattern"].get("Regex") == WORD_PARTS
+        alike = first["behavior"] == "Removed" and first["invert"] and first["pattern"].get("Regex") == OWN_WORD_PARTS
         return "words" if alike and not steps[1].get("use_regex") and not steps[1].get("add_prefix_space") else None
     return None
 
@@ -80,7 +85,6 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -88,33 +92,35 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         merged, letters = tokenizer.model.tokenize, _byte_letters()
-        parts = regex.compile(SPACED_PARTS if form == "spaced" else WORD_PARTS).findall
+        space = letters[0x20]
 
         def pack(ids: list[int]) -> bytes:
             return struct.pack(f"<{len(ids)}I", *ids)
 
         def part(text: str) -> bytes:
-            return pack([t.id for t in merged(text.encode().decode("latin-1").translate(letters))])
-
-        known_parts = Recent(part)
+            if text.isascii() and text.isprintable():
+                shown = text.replace(" ", space)
+            else:
+                shown = text.encode().decode("latin-1").translate(letters)
+            return pack([t.id for t in merged(shown)])
 
         def chunk(text: str) -> bytes:
-            if text.isascii() or max(text) <= "\xff":
-                if len(text) <= CACHED_LENGTH and (text.isprintable() or not CONTROLS.search(text)):
-                    return b"".join(map(known_parts.__getitem__, parts(text.lower() if form == "words" else text)))
-            return pack(tokenizer.encode(text, add_special_tokens=False).ids)
-
-        def whole(text: str) -> bytes:
             return pack(tokenizer.encode(text, add_special_tokens=False).ids)
 
-        self.chunks = re.compile(SPACED if form == "spaced" else WORDS).findall if form else None
-        self.look_up = Recent(chunk).__getitem__
-        self.whole = whole
+        self.form, self.chunk = form, chunk
+        self.chunks = re.compile(SPACED if form == "spaced" else WORDS).findall
+        self.parts = re.compile(SPACED_PARTS if form == "spaced" else WORD_PARTS).findall
+        self.chunk_ids, self.part_ids = Recent(chunk).__getitem__, Recent(part).__getitem__
 
     def __call__(self, text: str | None) -> bytes:
-        if self.chunks is None:
-            return self.whole(text or "")
-        return b"".join(map(self.look_up, self.chunks(text or "")))
+        text = text or ""
+        if self.form is None:
+            return self.chunk(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return b"".join(map(self.chunk_ids, self.chunks(text)))
+        return b"".join(map(self.part_ids, self.parts(text.lower() if self.form == "words" else text)))
 
 
 def encoder(path: str) -> Encoder:
