@@ -88,12 +88,13 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 def telling(
-    cols: np.ndarray, grades: np.ndarray, texts: np.ndarray, least_docs: int, least_z: float
+    cols: np.ndarray, grades: np.ndarray, texts: np.ndarray, least_docs: int, least_z: float, least_phi: float
 ) -> np.ndarray:
-    """Which slots are in ``least_docs`` texts, and more often on one side of some cut of the grades than by chance.
+    """Which slots are in ``least_docs`` texts and tell on which side of some cut of the grades a text is.
 
     cols, grades: the slots of all texts, and the grade of the text of each. texts: the number of each grade.
-    Without this, thousands of words that say nothing add up to noise in a long text.
+    The correlation of slot and side must be no chance (``least_z`` deviations) and not small (``least_phi``).
+    Without this, thousands of words that say little add up to noise in a long text.
     """
     found = np.stack([np.bincount(cols[grades == g], minlength=1 << BITS) for g in range(len(texts))])
     total, n = found.sum(axis=0), texts.sum()
@@ -103,7 +104,7 @@ def telling(
         above, n_above = found[cut:].sum(axis=0), texts[cut:].sum()
         if 0 < n_above < n:
             spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * n_above * (n - n_above) / n)
-            out |= np.abs(above - share * n_above) >= least_z * spread
+            out |= np.abs(above - share * n_above) >= max(least_z, least_phi * np.sqrt(n)) * spread
     return out & (total >= least_docs)
 
 
@@ -114,12 +115,13 @@ def fit_rows(
     penalty: float,
     least_docs: int,
     least_z: float,
+    least_phi: float,
     steps: int,
 ) -> Model:
     """Weights and thresholds that minimise the penalised log loss, by full-batch steps (Adam)."""
     rows = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
     cols = np.concatenate(slots) if slots else np.empty(0, np.int32)
-    often = telling(cols, grades[rows], np.bincount(grades, minlength=n_grades), least_docs, least_z)
+    often = telling(cols, grades[rows], np.bincount(grades, minlength=n_grades), least_docs, least_z, least_phi)
     rows, cols = rows[often[cols]], cols[often[cols]]
     used, cols = np.unique(cols, return_inverse=True)
     n, k = len(grades), n_grades - 1
@@ -159,7 +161,8 @@ def fit(
     most_rows: int = 20_000,
     penalty: float = 0.1,
     least_docs: int = 5,
-    least_z: float = 12.0,
+    least_z: float = 4.0,
+    least_phi: float = 0.09,
     steps: int = 400,
 ) -> Model | None:
     """A model from ``docs`` (doc_id, text) and ``ratings`` (doc_id, grade from 0 to ``n_grades - 1``).
@@ -192,7 +195,7 @@ def fit(
         return None
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["slots"])))
     slots = [np.frombuffer(r["slots"], "<i4") for r in rows]
-    return fit_rows(slots, np.array([r["grade"] for r in rows]), n_grades, penalty, least_docs, least_z, steps)
+    return fit_rows(slots, np.array([r["grade"] for r in rows]), n_grades, penalty, least_docs, least_z, least_phi, steps)
 
 
 def scored(docs: DataFrame, model: Model | None, text: Column, name: str = "scored") -> DataFrame:

@@ -91,7 +91,7 @@ def test_grades_on_held_out_texts(spark):
     docs, labels = (spark.read.parquet(f"{SF}/../sf0.01/{t}.parquet") for t in ("documents", "labels"))
     ratings = labels.select("doc_id", ordinal.grade(F.col("quality"), F.col("toxic")).alias("grade"))
     held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
-    model = ordinal.fit(docs, ratings.where(~held), least_z=5.0)
+    model = ordinal.fit(docs, ratings.where(~held))
     assert model.thresholds[0] < model.thresholds[1]
     rows = ordinal.scored(docs.join(ratings.where(held), "doc_id"), model, F.col("text")).select("grade", "scored.*").collect()
     poor = [r for r in rows if r.grade == 0]
@@ -108,7 +108,7 @@ def test_fit_recovers_ordered_thresholds():
         score = np.array([2.0, -2.0, 1.0, -1.0, 0.0, 0.0])[own].sum()
         grades.append(int((score + rng.logistic() > np.array([-1.0, 1.0])).sum()))
         slots.append(own.astype(np.int32))
-    model = ordinal.fit_rows(slots, np.array(grades), 3, 0.01, 5, 0.0, 400)
+    model = ordinal.fit_rows(slots, np.array(grades), 3, 0.01, 5, 0.0, 0.0, 400)
     assert np.allclose(model.weights[:4], [2, -2, 1, -1], atol=0.3)
     assert np.allclose(model.thresholds, [-1, 1], atol=0.3)
 

@@ -142,11 +142,11 @@ def test_odd_markup(source, want):
 
 
 def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    seen = {r.doc_id: r.text for r in docs.collect()}
-    texts, columns = dict(seen), docs.columns
+    where = f"{SF}/../sf0.01"
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    texts, columns = {r.doc_id: r.text for r in docs.collect()}, docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF).persist()
+        docs = stage(spark, docs, where).persist()
         assert docs.columns == columns
         rows = {r.doc_id: r for r in docs.collect()}
         assert 0 < len(rows) <= len(texts) and rows.keys() <= texts.keys()
@@ -157,7 +157,7 @@ def test_pipeline_stages(spark):
             assert all(r.text == texts[k] for k, r in rows.items())
             assert len(rows) < len(texts)
         texts = {k: r.text for k, r in rows.items()}
-    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, where)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == texts.keys()
 
 
