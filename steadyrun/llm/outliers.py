@@ -205,7 +205,8 @@ def estimates(
     now = stored(_starts(rows, floors), "scatter")
     for _ in range(steps):
         near = rows.join(now, "g").select("g", "start", *X, _distance().alias("d2"))
-        cuts = _cut(near, ["g", "start"], _log_distance(), support, 32)
+        # One row per group and start; written, so its size is known and a large group's rows stay where they are.
+        cuts = stored(_cut(near, ["g", "start"], _log_distance(), support, 32), "cuts")
         chosen = near.join(cuts, ["g", "start"]).where(F.floor(_log_distance() * 32) <= F.col("cut"))
         now = stored(_factored(_moments(chosen, ["g", "start"]), floors), "scatter")
     best = now.groupBy("g").agg(F.min(F.struct("log_det", "start")).alias("best"))
