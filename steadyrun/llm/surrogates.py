@@ -126,9 +126,9 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(places, F.lit(0), add)
 
 
-def _card(norm: Column, seed: Column) -> Column:
+def _card(norm: Column, alike: Column, seed: Column) -> Column:
     """Same length and first digit; a valid check digit where there was one."""
-    body = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.substr(_alike(norm, seed), F.lit(2), F.length(norm) - 2))
+    body = F.concat(F.substr(norm, F.lit(1), F.lit(1)), F.substr(alike, F.lit(2), F.length(norm) - 2))
 
     def close(b: Column) -> Column:
         valid = F.pmod(10 - _luhn(F.concat(b, F.lit("0"))) % 10, F.lit(10))
@@ -138,14 +138,13 @@ def _card(norm: Column, seed: Column) -> Column:
     return let(body, close)
 
 
-def _phone(norm: Column, seed: Column, attempt: Column) -> Column:
+def _phone(digits: Column, attempt: Column) -> Column:
     """The fictional exchange 555 in ten-digit numbers, for the first attempts; others keep their length."""
-    digits = _alike(norm, seed)
     area = F.concat((F.substr(digits, F.lit(1), F.lit(1)).cast("int") % 8 + 2).cast("string"), F.substr(digits, F.lit(2), F.lit(2)))
     exchange = F.when(attempt < 4, F.lit("555")).otherwise(
         F.concat((F.substr(digits, F.lit(4), F.lit(1)).cast("int") % 8 + 2).cast("string"), F.substr(digits, F.lit(5), F.lit(2)))
     )
-    return F.when(F.length(norm) == 10, F.concat(area, exchange, F.substr(digits, F.lit(7), F.lit(4)))).otherwise(digits)
+    return F.when(F.length(digits) == 10, F.concat(area, exchange, F.substr(digits, F.lit(7), F.lit(4)))).otherwise(digits)
 
 
 def _ip(norm: Column, seed: Column) -> Column:
@@ -191,12 +190,15 @@ def _name(kind: Column, norm: Column, seed: Column, attempt: Column) -> Column:
 
         body = F.array_join(F.transform(F.sequence(F.lit(0), syllables - 1), one), "")
         end = F.when(kind == "given_f", "na").when(kind == "given_m", "n").when(kind == "given_n", "l").otherwise("r")
-        latin = F.concat(body, end)
-        return (
-            F.when(norm.rlike(r"\p{IsCyrillic}"), F.translate(latin, LATIN, CYRILLIC))
-            .when(norm.rlike(r"\p{IsGreek}"), F.translate(latin, LATIN, GREEK))
-            .otherwise(latin)
-        )
+
+        def scripted(latin: Column) -> Column:
+            return (
+                F.when(norm.rlike(r"\p{IsCyrillic}"), F.translate(latin, LATIN, CYRILLIC))
+                .when(norm.rlike(r"\p{IsGreek}"), F.translate(latin, LATIN, GREEK))
+                .otherwise(latin)
+            )
+
+        return let(F.concat(body, end), scripted)
 
     return let(_stream(seed, F.lit(200)), spelled)
 
@@ -204,21 +206,26 @@ def _name(kind: Column, norm: Column, seed: Column, attempt: Column) -> Column:
 def _surrogate(key: Column, kind: Column, norm: Column, attempt: Column) -> Column:
     """The normal form of the surrogate of an entity."""
 
-    def chosen(seed: Column) -> Column:
-        prefix = F.regexp_extract(norm, r"^(?:AKIA|ASIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[_-])", 0)
-        secret = F.concat(prefix, _alike(F.substr(norm, F.length(prefix) + 1, F.length(norm)), seed))
-        ssn = F.concat(F.lit("9"), F.substr(_alike(norm, seed), F.lit(2), F.lit(8)))
+    def numbered(seed: Column, prefix: Column, alike: Column) -> Column:
+        return (
+            F.when(kind == "phone", _phone(alike, attempt))
+            .when(kind == "ssn", F.concat(F.lit("9"), F.substr(alike, F.lit(2), F.lit(8))))
+            .when(kind == "card", _card(norm, alike, seed))
+            .otherwise(F.concat(prefix, alike))
+        )
+
+    def chosen(seed: Column, prefix: Column) -> Column:
+        alike = _alike(F.substr(norm, F.length(prefix) + 1, F.length(norm)), seed)
         return (
             F.when(kind == "email", _email(norm, key, seed, attempt))
-            .when(kind == "phone", _phone(norm, seed, attempt))
             .when(kind == "ip", _ip(norm, seed))
-            .when(kind == "ssn", ssn)
-            .when(kind == "card", _card(norm, seed))
-            .when(kind == "secret", secret)
+            .when(kind.isin("phone", "ssn", "card", "secret"), let(alike, lambda a: numbered(seed, prefix, a)))
             .otherwise(_name(kind, norm, seed, attempt))
         )
 
-    return let(F.concat_ws("|", key, kind, norm, attempt.cast("string")), chosen)
+    own = F.regexp_extract(norm, r"^(?:AKIA|ASIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[_-])", 0)
+    seed = F.concat_ws("|", key, kind, norm, attempt.cast("string"))
+    return _bound([seed, F.when(kind == "secret", own).otherwise("")], chosen)
 
 
 def _kind(mention: Column) -> Column:
@@ -327,9 +334,10 @@ def attempts(known: DataFrame, key: str) -> DataFrame:
 
 def _rewritten(text: Column, key: str, tries: Column) -> Column:
     def piece(p: Column) -> Column:
-        attempt = F.coalesce(F.try_element_at(tries, F.concat_ws("|", p["kind"], p["norm"])), F.lit(0))
-        made = _surrogate(F.lit(key), p["kind"], p["norm"], attempt)
-        return F.when(p["kind"].isNull(), p["text"]).otherwise(_written(p["kind"], p["norm"], p["text"], made))
+        known = F.coalesce(F.try_element_at(tries, F.concat_ws("|", p["kind"], p["norm"])), F.lit(0))
+        made = let(known, lambda attempt: _surrogate(F.lit(key), p["kind"], p["norm"], attempt))
+        written = let(made, lambda m: _written(p["kind"], p["norm"], p["text"], m))
+        return F.when(p["kind"].isNull(), p["text"]).otherwise(written)
 
     def one(mention: Column) -> Column:
         return F.array_join(F.transform(_parts(mention), piece), "")
