@@ -272,8 +272,9 @@ def stability_heatmap(trials: DataFrame, problems: DataFrame, models: DataFrame)
         columns,
         [],
         [
-            ("__band", F.col("tier") * 1001 + F.floor((1 - F.col("mean_rate")) * 1000)),
-            ("__fine", F.struct(-F.col("mean_rate"), F.substring(F.md5("problem_id"), 1, 3))),
+            # Sums of the same rates in another order may differ in the last bits; such rates are equal here.
+            ("__band", F.col("tier") * 1001 + F.floor((1 - F.round("mean_rate", 9)) * 1000)),
+            ("__fine", F.struct(-F.round("mean_rate", 9), F.substring(F.md5("problem_id"), 1, 3))),
         ],
         [F.col("problem_id")],
         "col_pos",

@@ -279,8 +279,9 @@ def success_counts(cells: DataFrame, strategy: str = "detailed") -> DataFrame:
     step = 1 << 16
     longest = rows.groupBy("model_name").agg(F.max("n").alias("longest"))
     parts = F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("longest") / step))
-    spans = longest.select("model_name", "longest", (F.explode(parts) * step).alias("low"))
-    own = F.sequence("low", F.least(F.col("low") + step - 1, F.col("longest")))
+    spans = longest.select("model_name", "longest", F.explode(parts).alias("part"))
+    low = F.col("part") * step
+    own = F.sequence(low, F.least(low + step - 1, F.col("longest")))
     grid = spans.select("model_name", F.explode(own).alias("successes"))
     found = rows.groupBy("model_name", F.col("a").alias("successes")).agg(F.count(F.lit(1)).alias("problems"))
     return grid.join(found, ["model_name", "successes"], "left").fillna(0, ["problems"])

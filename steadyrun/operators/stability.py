@@ -17,7 +17,7 @@ CELL = ["model_name", "problem_id", "strategy"]
 TRIAL_KEY = [*CELL, "trial_index"]
 
 # Trial indexes are numbered within spans of this length, so a long cell is many tasks.
-SPAN = 4096
+SPAN = 32
 
 
 def with_labels(trials: DataFrame) -> DataFrame:
@@ -92,18 +92,26 @@ def cell_counts(trials: DataFrame) -> DataFrame:
 def cells(trials: DataFrame) -> DataFrame:
     """``cell_counts`` with first_accepted, the 1-based ordinal of the first accepted trial (0: never).
 
-    ``trials`` is deduplicated, so a (cell, span) group holds at most ``SPAN`` rows. Trials without an
-    index come last.
+    ``trials`` is deduplicated. Each span of ``SPAN`` indexes is one map-side combined aggregate that keeps
+    the indexes seen and accepted as bits, so no attempt is sorted. Trials without an index come last, the
+    accepted ones among them first.
     """
-    span = F.coalesce(F.floor(F.col("trial_index") / SPAN), F.lit(1 << 40))
-    in_span = Window.partitionBy(*CELL, "span").orderBy(F.asc_nulls_last("trial_index"))
+    index = F.col("trial_index")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(index, F.lit(SPAN)).cast("int"))
     spans = (
-        trials.withColumn("span", span)
-        .withColumn("__rn", F.row_number().over(in_span))
+        trials.withColumn("span", F.coalesce(F.floor(index / SPAN), F.lit(1 << 40)))
         .groupBy(*CELL, "span")
-        .agg(*span_counts(trials), F.min(F.when(F.col("accepted") == 1, F.col("__rn"))).alias("hit"))
+        .agg(
+            *span_counts(trials),
+            F.bit_or(bit).alias("seen"),
+            F.bit_or(F.when(F.col("accepted") == 1, bit)).alias("hits"),
+        )
+    )
+    before_first = F.col("seen").bitwiseAND(F.expr("(hits & -hits) - 1"))
+    hit = F.when(F.col("hits").isNotNull(), F.bit_count(before_first) + 1).when(
+        F.col("seen").isNull() & (F.col("a") > 0), 1
     )
-    return fold_spans(spans, F.col("n"))
+    return fold_spans(spans.withColumn("hit", hit).drop("seen", "hits"), F.col("n"))
 
 
 def fold_spans(spans: DataFrame, size: Column) -> DataFrame:

@@ -39,7 +39,7 @@ def configs(spark: SparkSession, sf: str) -> DataFrame:
         F.col("strategy").alias("prompt_type"),
         F.col("run_level_pass_rate").alias("rlpr"),
         F.col("perfect_stability_rate").alias("psr"),
-        F.round("average_variance", 9).alias("av"),
+        F.col("average_variance").alias("av"),
         (F.substring_index("model_name", "-", -1).cast("int") % 3 == 0).alias("is_reasoning"),
     )
 
@@ -74,7 +74,7 @@ STEPS["configs"] = """
 select model_name, strategy as prompt_type,
        cast(sum(a) as double) * 100.0 / cast(sum(n) as double) as rlpr,
        cast(count(*) filter (where a = n) as double) * 100.0 / cast(count(*) as double) as psr,
-       round(avg((a / n) * (1 - a / n)), 9) as av,
+       avg((a / n) * (1 - a / n)) as av,
        cast(split_part(model_name, '-', 2) as int) % 3 = 0 as is_reasoning
 from cells group by model_name, strategy
 """

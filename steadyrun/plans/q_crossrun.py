@@ -311,7 +311,8 @@ where model_name in (select model_name from rates)
 
 
 def heatmap(spark, sf):
-    return crossrun.stability_heatmap(trials(spark, sf), problems(spark, sf), models(spark, sf))
+    rows = crossrun.stability_heatmap(trials(spark, sf), problems(spark, sf), models(spark, sf))
+    return rows.withColumn("mean_rate", F.round("mean_rate", 9))
 
 
 QUERIES["stability_heatmap"] = (

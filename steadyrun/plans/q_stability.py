@@ -205,7 +205,8 @@ from log group by strategy, prompt_type"""),
 )
 
 QUERIES["mcnemar"] = (
-    lambda spark, sf: inference.mcnemar(counts(spark, sf), ["model_name"]).withColumn("p", F.round("p", 6)),
+    # Exact p are fractions of a power of two, many of them halfway between two values of six decimals.
+    lambda spark, sf: inference.mcnemar(counts(spark, sf), ["model_name"]).withColumn("p", F.round(F.round("p", 12), 6)),
     sql("""select model_name, pairs, b_only, c_only,
        round(case when b_only = c_only then 1.0 else least(1.0, 2.0 * list_sum(list_transform(range(0, least(b_only, c_only) + 1),
          lambda k: exp(lgamma(b_only + c_only + 1) - lgamma(k + 1) - lgamma(b_only + c_only - k + 1)
