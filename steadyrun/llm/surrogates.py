@@ -45,10 +45,18 @@ IP = rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w)(?!\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<![\w+-])(?<!\d\.)(?:\d{13,19}|\d{4}(?<sep>[ -])\d{4}\k<sep>\d{4}\k<sep>\d{1,7})(?!\w)(?!\.\d)"
 KEY = r"(?<!\w)(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[_-][A-Za-z0-9_-]{16,})(?!\w)"
-HEX = r"(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)"
+HEX = r"(?<!\w)(?=[A-Fa-f]{0,99}\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)"
 NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
 PERSON = rf"(?<!\w)(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? {NAME}(?: {NAME}){{0,2}}"
-ANY = "|".join([ASSIGNED + SECRET, EMAIL, INTERNATIONAL, IP, NATIONAL, SSN, CARD, KEY, HEX, PERSON])
+# No entity begins within a word; looking at that first spares most places all the alternatives.
+ANY = f"(?<![A-Za-z0-9])(?:{'|'.join([ASSIGNED + SECRET, EMAIL, INTERNATIONAL, IP, NATIONAL, SSN, CARD, KEY, HEX, PERSON])})"
+# Every entity has one of these; a text without any needs no closer look.
+SIGNS = (
+    r"[0-9@:=]|(?=[AsgpxMHFSLDPГΚ])(?<!\w)(?:AKIA|ASIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[_-]|"
+    rf"(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? )"
+)
+# Noncharacters put around mentions for a moment; texts that hold them are cut in another way.
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
 MOST_ATTEMPTS = 40
 
 
@@ -291,14 +299,28 @@ def _written(kind: Column, norm: Column, text: Column, made: Column) -> Column:
     )
 
 
-def _mentions(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+def _cut(text: Column) -> Column:
+    """The text between mentions and the mentions in turn, beginning and ending with text."""
+    marked = F.split(F.regexp_replace(text, ANY, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
+    mentions = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    apart = _bound([mentions, F.split(text, ANY, -1)], lambda m, gaps: F.filter(
+        F.flatten(F.transform(gaps, lambda g, k: F.array(g, F.get(m, k)))), lambda x: x.isNotNull()
+    ))
+    return F.when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)), apart).otherwise(marked)
 
 
-def entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The distinct entities (kind, norm) of all texts."""
-    found = docs.select(F.explode(_mentions(F.col(text))).alias("mention")).distinct()
-    parts = found.select(F.explode(_parts(F.col("mention"))).alias("p"))
+def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(text_md5, found): the distinct mentions of each text that has some."""
+    body = F.col(text).cast("string")
+    found = F.array_distinct(F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
+    rows = docs.where(body.rlike(SIGNS)).select(F.md5(body).alias("text_md5"), found.alias("found"))
+    return rows.where(F.size("found") > 0)
+
+
+def entities(found: DataFrame) -> DataFrame:
+    """The distinct entities (kind, norm) of ``mentions``."""
+    each = found.select(F.explode("found").alias("mention")).distinct()
+    parts = each.select(F.explode(_parts(F.col("mention"))).alias("p"))
     return parts.where("p.kind is not null").select("p.kind", "p.norm").distinct()
 
 
@@ -339,16 +361,10 @@ def _rewritten(text: Column, key: str, tries: Column) -> Column:
         written = let(made, lambda m: _written(p["kind"], p["norm"], p["text"], m))
         return F.when(p["kind"].isNull(), p["text"]).otherwise(written)
 
-    def one(mention: Column) -> Column:
-        return F.array_join(F.transform(_parts(mention), piece), "")
+    def one(part: Column, k: Column) -> Column:
+        return F.when(k % 2 == 1, F.array_join(F.transform(_parts(part), piece), "")).otherwise(part)
 
-    def woven(mentions: Column, gaps: Column) -> Column:
-        pairs = F.transform(gaps, lambda g, k: F.concat(g, F.coalesce(one(F.get(mentions, k)), F.lit(""))))
-        return F.array_join(pairs, "")
-
-    return _bound(
-        [_mentions(text), text], lambda m, t: F.when(F.size(m) == 0, t).otherwise(let(F.split(t, ANY, -1), lambda g: woven(m, g)))
-    )
+    return F.when(text.rlike(SIGNS), F.array_join(F.transform(_cut(text), one), "")).otherwise(text)
 
 
 def surrogated(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -357,14 +373,15 @@ def surrogated(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     Null texts stay null, empty ones empty, and texts in which nothing is found as they are. Rows that repeat,
     or lack an id, are replaced like any other, since entities are known by their value, not by the row.
     """
-    tries = attempts(entities(docs, text), key)
+    found = stored(mentions(docs, text), "mentions")
+    tries = attempts(entities(found), key)
     body = F.col(text).cast("string")
     if tries.isEmpty():
         return docs.withColumn(text, _rewritten(body, key, F.create_map().cast("map<string,int>")))
-    mentions = docs.select(F.md5(body).alias("__text"), F.explode(_mentions(body)).alias("mention")).distinct()
-    parts = mentions.select("__text", F.explode(_parts(F.col("mention"))).alias("p"))
-    hit = parts.select("__text", "p.kind", "p.norm").distinct().join(tries, ["kind", "norm"])
+    each = found.select("text_md5", F.explode("found").alias("mention")).distinct()
+    parts = each.select("text_md5", F.explode(_parts(F.col("mention"))).alias("p"))
+    hit = parts.select("text_md5", "p.kind", "p.norm").distinct().join(tries, ["kind", "norm"])
     entry = F.struct(F.concat_ws("|", "kind", "norm"), F.col("attempt"))
-    per_text = stored(hit.groupBy("__text").agg(F.map_from_entries(F.collect_set(entry)).alias("__tries")), "attempts")
-    joined = docs.withColumn("__md5", F.md5(body)).join(per_text, F.col("__md5") == F.col("__text"), "left")
+    by_text = hit.groupBy(F.col("text_md5").alias("__text")).agg(F.map_from_entries(F.collect_set(entry)).alias("__tries"))
+    joined = docs.withColumn("__md5", F.md5(body)).join(stored(by_text, "attempts"), F.col("__md5") == F.col("__text"), "left")
     return joined.withColumn(text, _rewritten(body, key, F.col("__tries"))).select(*docs.columns)
