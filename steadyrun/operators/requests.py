@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from steadyrun.functions.labels import sanitize
 
-SYSTEM = "You are an expert Python programmer specializing in algorithmic problem solving."
+# What the model is told about its role; callers pass their own to reproduce a study.
+SYSTEM = "Work as a careful Python developer: choose a correct and fast algorithm, then write it out in full."
 
 # Prompt templates with the two placeholders. Callers pass their own to reproduce a study.
 TEMPLATES = {
@@ -27,10 +28,20 @@ TEMPLATES = {
     ),
 }
 
-# The tool through which a tool-calling model hands in its code.
+# Names and markers of the providers' formats, and the tool through which a tool-calling model
+# hands in its code.
 CODE_TOOL = "submit_solution"
+CHAT_URL = "/v1/chat/completions"
+CLAUDE_VERSION, NOVA_VERSION = "bedrock-2023-05-31", "messages-v1"
+LLAMA_SYSTEM = "<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n"
+LLAMA_USER = "<|eot_id|><|start_header_id|>user<|end_header_id|>\n"
+LLAMA_END = "<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n"
 MIN_STRUCTURED_BUDGET = 16384
 
+# What the tool and its one field are said to be.
+TOOL_TEXT = "Hands in the finished Python program."
+CODE_TEXT = "The whole program, without any words around it."
+
 
 def expand_requests(
     problems: DataFrame, models: Sequence[str], prompts: Sequence[str], runs: int
@@ -121,12 +132,12 @@ def shape_of(model: Column) -> Column:
     )
 
 
-def _messages(prompt: Column, system: bool = True) -> Column:
+def _messages(prompt: Column, system: str | None = None) -> Column:
     def message(role: str, content: Column) -> Column:
         return F.struct(F.lit(role).alias("role"), content.alias("content"))
 
     user = message("user", prompt)
-    return F.array(message("system", F.lit(SYSTEM)), user) if system else F.array(user)
+    return F.array(message("system", F.lit(system)), user) if system is not None else F.array(user)
 
 
 def request_bodies(
@@ -136,52 +147,48 @@ def request_bodies(
     top_p: Column,
     max_tokens: Column,
     thinking_tokens: Column,
+    system: str = SYSTEM,
 ) -> dict[str, Column]:
     """The request body of each shape as a struct."""
     text = F.struct(prompt.alias("text"))
     sampling = [temperature.alias("temperature"), top_p.alias("top_p")]
     limit = max_tokens.alias("max_tokens")
     budget = F.greatest(max_tokens, F.lit(MIN_STRUCTURED_BUDGET)) + F.coalesce(thinking_tokens, F.lit(0))
-    code_schema = '{"type":"object","properties":{"code":{"type":"string"}},"required":["code"]}'
-    schema_type = "struct<type:string,properties:struct<code:struct<type:string>>,required:array<string>>"
-    code_object = F.from_json(F.lit(code_schema), schema_type)
+    code_field = F.struct(F.lit("string").alias("type"), F.lit(CODE_TEXT).alias("description"))
+    code_object = F.struct(
+        F.lit("object").alias("type"), F.struct(code_field.alias("code")).alias("properties"),
+        F.array(F.lit("code")).alias("required"),
+    )
     thinking = F.from_json(
         thinking_config(model, thinking_tokens), "thinkingLevel string, thinkingBudget int"
     )
     return {
         "chat": F.struct(
-            model.alias("model"), _messages(prompt).alias("messages"), *sampling, limit
+            model.alias("model"), _messages(prompt, system).alias("messages"), *sampling, limit
         ),
         "chat_reasoning": F.struct(
-            model.alias("model"), _messages(prompt).alias("messages"),
+            model.alias("model"), _messages(prompt, system).alias("messages"),
             max_tokens.alias("max_completion_tokens"),
         ),
         "claude": F.struct(
-            F.lit("bedrock-2023-05-31").alias("anthropic_version"), limit,
-            F.lit(SYSTEM).alias("system"), _messages(prompt, False).alias("messages"), *sampling,
+            F.lit(CLAUDE_VERSION).alias("anthropic_version"), limit,
+            F.lit(system).alias("system"), _messages(prompt).alias("messages"), *sampling,
         ),
         "nova": F.struct(
-            F.lit("messages-v1").alias("schemaVersion"),
+            F.lit(NOVA_VERSION).alias("schemaVersion"),
             F.array(F.struct(F.lit("user").alias("role"), F.array(text).alias("content"))).alias("messages"),
-            F.array(F.struct(F.lit(SYSTEM).alias("text"))).alias("system"),
+            F.array(F.struct(F.lit(system).alias("text"))).alias("system"),
             F.struct(max_tokens.alias("max_new_tokens"), *sampling).alias("inferenceConfig"),
         ),
         "llama": F.struct(
-            F.concat(
-                F.lit(
-                    "<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n" + SYSTEM
-                    + "<|eot_id|><|start_header_id|>user<|end_header_id|>\n"
-                ),
-                prompt,
-                F.lit("<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n"),
-            ).alias("prompt"),
+            F.concat(F.lit(LLAMA_SYSTEM + system + LLAMA_USER), prompt, F.lit(LLAMA_END)).alias("prompt"),
             max_tokens.alias("max_gen_len"), *sampling,
         ),
-        "deepseek": F.struct(_messages(prompt).alias("messages"), limit, *sampling),
-        "generic": F.struct(F.concat(F.lit(SYSTEM + "\n\n"), prompt).alias("prompt"), limit, *sampling),
+        "deepseek": F.struct(_messages(prompt, system).alias("messages"), limit, *sampling),
+        "generic": F.struct(F.concat(F.lit(system + "\n\n"), prompt).alias("prompt"), limit, *sampling),
         "generate": F.struct(
             F.array(F.struct(F.lit("user").alias("role"), F.array(text).alias("parts"))).alias("contents"),
-            F.struct(F.array(F.struct(F.lit(SYSTEM).alias("text"))).alias("parts")).alias("systemInstruction"),
+            F.struct(F.array(F.struct(F.lit(system).alias("text"))).alias("parts")).alias("systemInstruction"),
             F.struct(
                 temperature.alias("temperature"), budget.alias("maxOutputTokens"), top_p.alias("topP"),
                 F.lit("application/json").alias("responseMimeType"),
@@ -190,16 +197,19 @@ def request_bodies(
         ),
         "tool": F.struct(
             model.alias("model"), limit, temperature.alias("temperature"),
-            F.lit(SYSTEM).alias("system"), _messages(prompt, False).alias("messages"),
+            F.lit(system).alias("system"), _messages(prompt).alias("messages"),
             F.array(
-                F.struct(F.lit(CODE_TOOL).alias("name"), code_object.alias("input_schema"))
+                F.struct(
+                    F.lit(CODE_TOOL).alias("name"), F.lit(TOOL_TEXT).alias("description"),
+                    code_object.alias("input_schema"),
+                )
             ).alias("tools"),
             F.struct(F.lit("tool").alias("type"), F.lit(CODE_TOOL).alias("name")).alias("tool_choice"),
         ),
     }
 
 
-def request_body(shape: Column, **parts: Column) -> Column:
+def request_body(shape: Column, **parts: Column | str) -> Column:
     """JSON text of the body in the shape named by ``shape``; absent fields are left out."""
     out = None
     for name, body in request_bodies(**parts).items():
@@ -208,6 +218,48 @@ def request_body(shape: Column, **parts: Column) -> Column:
     return out
 
 
+def request_envelope(shape: Column, custom_id: Column, body: Column) -> Column:
+    """The line of a request file around the JSON text ``body``, as the service that takes ``shape`` reads it.
+
+    The line of the generate service has no id; its answers are matched by prompt.
+    """
+    ident = F.regexp_extract(
+        F.to_json(F.struct(custom_id.alias("v")), {"writeNonAsciiCharacterAsCodePoint": "true"}), r'^\{"v":(.*)\}$', 1
+    )
+    chat = F.concat(
+        F.lit('{"custom_id":'), ident, F.lit(f',"method":"POST","url":"{CHAT_URL}","body":'), body, F.lit("}")
+    )
+    return (
+        F.when(shape == "generate", F.concat(F.lit('{"request":'), body, F.lit("}")))
+        .when(shape == "tool", F.concat(F.lit('{"custom_id":'), ident, F.lit(',"params":'), body, F.lit("}")))
+        .when(shape.isin("chat", "chat_reasoning"), chat)
+        .otherwise(F.concat(F.lit('{"recordId":'), ident, F.lit(',"modelInput":'), body, F.lit("}")))
+    )
+
+
+def manifest_rows(requests: DataFrame) -> DataFrame:
+    """One manifest row per request of a grid with its problem's columns, custom_id, shape, prompt and body.
+
+    The hash that answers without an id are matched by is there for the shape that needs it.
+    """
+    known = set(requests.columns)
+
+    def first(*names: str) -> Column:
+        found = [F.col(n).cast("string") for n in names if n in known]
+        return F.coalesce(*found) if found else F.lit(None).cast("string")
+
+    topics = F.col("topics") if "topics" in known else F.array().cast("array<string>")
+    return requests.select(
+        "custom_id", "model_id",
+        first("frontend_question_id", "problem_id", "question_id").alias("problem_id"),
+        first("question_id", "backend_question_id").alias("backend_question_id"),
+        *[first(c).alias(c) for c in ("title", "title_slug", "difficulty")],
+        topics.alias("topics"), "prompt_type", F.col("trial_index").cast("int").alias("trial_index"),
+        F.when(F.col("shape") != "generate", F.col("body")).alias("input_file_body"),
+        F.when(F.col("shape") == "generate", prompt_hash(F.col("prompt"), F.col("trial_index"))).alias("prompt_hash"),
+    )
+
+
 def job_name(run_id: Column, model: Column, prompt: Column, max_len: int) -> Column:
     raw = F.concat_ws("-", sanitize(run_id), sanitize(model), prompt)
     return F.rtrim(F.substring(F.regexp_replace(raw, "[^A-Za-z0-9-]+", "-"), 1, max_len), F.lit("-"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from steadyrun.operators import crossrun, requests as req
 from steadyrun.plans.common import STEPS, sql, trial_log
 from steadyrun.plans.q_report import problems
-from steadyrun.sources import writers
+from steadyrun.sources import readers, writers
+from steadyrun.sources.scratch import shared_dir
 from steadyrun.sources.tables import view
 
 QUERIES = {}
@@ -127,12 +128,19 @@ def bodies(spark, sf):
     )
 
 
-_WRAPPED = f"""case shape when 'llama' then concat('<|begin_of_text|><|start_header_id|>system<|end_header_id|>', chr(10), '{req.SYSTEM}',
-    '<|eot_id|><|start_header_id|>user<|end_header_id|>', chr(10), prompt, '<|eot_id|><|start_header_id|>assistant<|end_header_id|>', chr(10))
-  when 'generic' then concat('{req.SYSTEM}', chr(10), chr(10), prompt) else prompt end"""
+def _quoted(text: str) -> str:
+    return "concat(" + ", chr(10), ".join(f"'{part}'" for part in text.split("\n")) + ")"
+
+
+def _wrapped(shape: str) -> str:
+    """The prompt as the body of a shape has it, as SQL."""
+    return f"""case {shape} when 'llama' then concat({_quoted(req.LLAMA_SYSTEM + req.SYSTEM + req.LLAMA_USER)}, prompt, {_quoted(req.LLAMA_END)})
+  when 'generic' then concat({_quoted(req.SYSTEM)}, chr(10), chr(10), prompt) else prompt end"""
+
+
 QUERIES["request_bodies"] = (
     bodies,
-    sql(f"""select frontend_question_id, model_id, shape, md5({_WRAPPED}) as prompt_md5,
+    sql(f"""select frontend_question_id, model_id, shape, md5({_wrapped('shape')}) as prompt_md5,
        case when shape = 'generate' then cast(16384 + seq % 3 * 1024 as int) else 4096 end as token_limit,
        case when shape = 'chat_reasoning' then null else 0.3e0 end as temperature,
        case when shape = 'generate' then cast(seq % 3 * 1024 as int) end as thinking_budget,
@@ -142,25 +150,59 @@ from (select p.*, m.model_id, m.shape, {_template_sql("minimal")} as prompt from
 )
 
 
+def shaped(spark, sf):
+    """Whole documents as prompts, each asked of one of the models that stand for the shapes."""
+    models = F.array(*map(F.lit, SHAPE_MODELS))
+    m = view(spark, sf, "v_manifest").withColumn("model_id", F.get(models, (F.col("doc_id") % len(SHAPE_MODELS)).cast("int")))
+    m = m.withColumn("shape", req.shape_of(F.col("model_id")))
+    body = req.request_body(
+        F.col("shape"), model=F.col("model_id"), prompt=F.col("prompt"), temperature=F.lit(0.3), top_p=F.lit(0.9),
+        max_tokens=F.lit(4096), thinking_tokens=F.lit(0),
+    )
+    return m.withColumn("body", body)
+
+
 def request_lines(spark, sf):
-    """Requests over whole documents as ASCII JSON lines, with the prompt read back from the line."""
-    m = view(spark, sf, "v_manifest")
-    body = F.struct(
-        "custom_id", F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"),
-        F.struct(F.col("model_id").alias("model"), F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))).alias("messages")).alias("body"),
+    """Request lines of all shapes as ASCII JSON, with id and prompt read back from the line."""
+    lines = shaped(spark, sf).select(
+        "doc_id", "shape", req.request_envelope(F.col("shape"), F.col("custom_id"), F.col("body")).alias("line")
+    )
+
+    def back(*paths):
+        return F.coalesce(*[F.get_json_object("line", p) for p in paths])
+
+    prompt = back(
+        "$.body.messages[1].content", "$.params.messages[0].content", "$.request.contents[0].parts[0].text",
+        "$.modelInput.prompt", "$.modelInput.messages[1].content", "$.modelInput.messages[0].content[0].text",
+        "$.modelInput.messages[0].content",
     )
-    lines = m.select("custom_id", writers.request_line(body).alias("line"))
     return lines.select(
-        "custom_id",
-        F.md5(F.get_json_object("line", "$.body.messages[0].content")).alias("prompt_md5"),
+        "doc_id", "shape", back("$.custom_id", "$.recordId").alias("custom_id"), F.md5(prompt).alias("prompt_md5"),
         (F.length("line") == F.octet_length("line")).alias("is_ascii"),
         F.contains("line", F.lit("\n")).alias("has_newline"),
     )
 
 
+_SHAPED = f"""(select v.*, list_extract([{", ".join(f"'{s}'" for s in SHAPE_MODELS.values())}], cast(doc_id % {len(SHAPE_MODELS)} as int) + 1) as shape from v_manifest v)"""
 QUERIES["request_jsonl"] = (
     request_lines,
-    sql("select custom_id, md5(prompt) as prompt_md5, true as is_ascii, false as has_newline from v_manifest"),
+    sql(f"""select doc_id, shape, case when shape <> 'generate' then custom_id end as custom_id,
+       md5({_wrapped("shape")}) as prompt_md5, true as is_ascii, false as has_newline from {_SHAPED} t"""),
+)
+
+
+def manifest_lines(spark, sf):
+    """The manifest of those requests written as JSON lines and read back."""
+    path = shared_dir(spark, "manifest")
+    writers.write_manifest(req.manifest_rows(shaped(spark, sf)), path)
+    back = readers.read_manifest_lines(spark, path)
+    return back.select("custom_id", "problem_id", "title_slug", "prompt_type", "trial_index", "prompt_hash")
+
+
+QUERIES["manifest_load"] = (
+    manifest_lines,
+    sql(f"""select custom_id, problem_id, title_slug, prompt_type, trial_index,
+       case when shape = 'generate' then prompt_hash end as prompt_hash from {_SHAPED} t"""),
 )
 
 THINK_MODELS = ["gemini-3-pro-preview", "Gemini-2.5-Flash", "gemini-2.0-flash", "gpt-4o"]

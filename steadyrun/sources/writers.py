@@ -21,6 +21,11 @@ def write_requests(requests: DataFrame, path: str, body: str = "request") -> Non
     requests.select(request_line(F.col(body))).write.mode("overwrite").text(path)
 
 
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """One JSON object per line, so that reading splits the files. ``read_manifest_lines`` reads it."""
+    manifest.write.mode("overwrite").json(path)
+
+
 def attempt_summary(trials: DataFrame) -> DataFrame:
     """The eleven display columns of the attempt table."""
 
