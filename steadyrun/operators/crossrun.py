@@ -5,6 +5,7 @@ Tables here have one row per summary, configuration, or (model, problem).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -142,9 +143,35 @@ def _cells(board: DataFrame) -> list[Column]:
     ]
 
 
-def leaderboard_markdown(board: DataFrame) -> DataFrame:
+def leaderboard_markdown(board: DataFrame, title: str | None = None, note: str | None = None) -> DataFrame:
+    """The lines of the table, after a heading and a line of text where given."""
     names = [c for c in board.columns if c != "row_no"]
-    return render.table_lines(board, render.markdown_row(_cells(board)), render.markdown_head(names))
+    above = [line for text in (title and f"# {title}", note and f"_{note}_") if text for line in (text, "")]
+    return render.table_lines(board, render.markdown_row(_cells(board)), [*above, *render.markdown_head(names)])
+
+
+def leaderboard_document(board: DataFrame, filters: dict | None = None) -> DataFrame:
+    """The board as one JSON document: num_rows, columns, rows and, where given, filters.
+
+    A board has a row per configuration, so the document is small.
+    """
+    names = [c for c in board.columns if c != "row_no"]
+    row = F.struct("row_no", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    rows = F.transform(F.array_sort(F.collect_list(row)), lambda r: r["row"])
+    parts = board.agg(F.count(F.lit(1)).alias("n"), F.to_json(rows).alias("rows"))
+    tail = f', "filters": {json.dumps(filters)}' if filters else ""
+    head = F.concat(F.lit('{"num_rows": '), F.col("n").cast("string"), F.lit(f', "columns": {json.dumps(names)}, "rows": '))
+    return parts.select(F.concat(head, F.col("rows"), F.lit(tail + "}")).alias("value"))
+
+
+PAPER_FILTERS = {
+    "dataset": "main", "min_num_problems": PAPER_MIN_PROBLEMS, "min_stability_runs": PAPER_MIN_RUNS,
+    "generation_modes": sorted(PAPER_MODES),
+}
+PAPER_NOTE = (
+    f"Filters: dataset=`main`, num_problems>={PAPER_MIN_PROBLEMS}, stability_runs>={PAPER_MIN_RUNS}, "
+    f"generation_mode in {sorted(PAPER_MODES)}."
+)
 
 
 def leaderboard_latex(board: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from steadyrun.operators import crossrun
+from steadyrun.sources.scratch import stored
 
 
 def write_trials(trials: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -66,16 +67,22 @@ def write_solutions(solutions: DataFrame, path: str) -> None:
 
 
 def write_leaderboard(summaries: DataFrame, path: str) -> None:
-    """General and paper-eligible boards as CSV, JSON, Markdown and LaTeX under ``path``."""
-    kinds = {"leaderboard": summaries}
+    """General and paper-eligible boards as CSV, JSON, Markdown and LaTeX under ``path``.
+
+    Each board is computed once and its four forms are written from that.
+    """
+    kinds = {"leaderboard": (summaries, "Performance of all configurations", None, None)}
     if {"dataset", "generation_mode", "num_problems", "stability_runs"} <= set(summaries.columns):
-        kinds["paper_leaderboard"] = crossrun.paper_eligible(summaries)
-    for kind, rows in kinds.items():
-        board = crossrun.leaderboard(rows)
+        kinds["paper_leaderboard"] = (
+            crossrun.paper_eligible(summaries), "Performance of paper-eligible configurations",
+            crossrun.PAPER_NOTE, crossrun.PAPER_FILTERS,
+        )
+    for kind, (rows, title, note, filters) in kinds.items():
+        board = stored(crossrun.leaderboard(rows), kind)
         write_csv(board.orderBy("row_no").drop("row_no"), f"{path}/{kind}.csv")
-        board.orderBy("row_no").write.mode("overwrite").json(f"{path}/{kind}.json")
+        crossrun.leaderboard_document(board, filters).write.mode("overwrite").text(f"{path}/{kind}.json")
         for name, lines in (
-            ("md", crossrun.leaderboard_markdown(board)),
+            ("md", crossrun.leaderboard_markdown(board, title, note)),
             ("tex", crossrun.leaderboard_latex(board)),
         ):
             lines.orderBy("line_no").select("line").write.mode("overwrite").text(f"{path}/{kind}.{name}")

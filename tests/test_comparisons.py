@@ -1,5 +1,7 @@
 """Published numbers of a 16-model study, tests and tables."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +86,15 @@ def test_p_values(spark):
     assert abs(t(-12.706205, 1.0) - 0.05) < 1e-6
     assert abs(t(1.959966, 1e7) - 0.05) < 1e-5
     assert t(0.0, 5.0) == 1.0
+    for df in (1e11, 1e15):
+        for x in (0.01, 1.0, 2.5, 6.0):
+            limit = math.erfc(x / math.sqrt(2))
+            assert abs(t(x, df) - limit) < 1e-9 * limit + 1e-12
+    for n in (10**8, 10**12):
+        low = n // 2 - int(math.sqrt(n) / 2)
+        limit = math.erfc((n / 2 - low - 0.5) / math.sqrt(n / 4) / math.sqrt(2))
+        big = spark.createDataFrame([(low, n - low)], "b long, c long")
+        assert abs(big.select(stats.mcnemar_pvalue(F.col("b"), F.col("c")).alias("p")).first().p - limit) < 1e-8
 
     pairs = [(0, 0, 1.0), (4, 4, 1.0), (1, 6, 0.125), (0, 5, 0.0625), (4, 8, 0.3876953125)]
     df = spark.createDataFrame([(b, c) for b, c, _ in pairs], "b int, c int").coalesce(1)

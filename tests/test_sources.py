@@ -103,7 +103,11 @@ def test_summaries_and_leaderboard_files(spark, tmp_path):
     assert len(back) == 2 and back[0]["RLPR 95% CI"] == "[55.72, 61.81]" and back[0]["Model"] == "m"
     lines = [r.value for r in spark.read.text(f"{out}/paper_leaderboard.md").collect()]
     assert sum(line.startswith("| m |") for line in lines) == 2
+    assert lines[0].startswith("# ") and lines[2].startswith("_Filters: dataset=`main`, num_problems>=10")
     assert spark.read.text(f"{out}/leaderboard.tex").count() == 8
+    doc = json.loads(spark.read.text(f"{out}/paper_leaderboard.json").first().value)
+    assert doc["num_rows"] == 2 and doc["rows"][0]["Model"] == "m" and doc["filters"]["min_stability_runs"] == 3
+    assert doc["columns"][:2] == ["Model", "Prompt"] and "AV 95% CI" in doc["columns"]
 
 
 def test_save_summary_replaces_one_experiment(spark, tmp_path):
