@@ -150,6 +150,8 @@ def test_percentiles_equal_numpy(spark):
     rng = random.Random(5)
     rows = [(g, rng.choice([rng.gauss(0, 50), float(round(rng.expovariate(0.01))), 42.0, 42.0, 1e9, None])) for g in "ab" for _ in range(700)]
     rows += [("c", 3.5), (None, 1.0), (None, 2.0)]
+    # Crowded: thousands of values that share two logarithmic bins.
+    rows += [("d", rng.uniform(1000, 1002)) for _ in range(4000)] + [("e", -1e300), ("e", 1e300), ("e", 0.0)]
     probs = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p100": 1.0}
     out = exact_percentiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", probs)
     for r in out.collect():
