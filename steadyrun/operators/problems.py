@@ -42,15 +42,17 @@ def select_problems(
     offset: int | None = None,
     skip_premium: bool = False,
 ) -> DataFrame:
-    """A slice of the problem list in ``seq`` order, as used to share a list between accounts."""
+    """A slice of the problem list in the order of ``seq``, which tells problems apart."""
     out = problems
     if difficulty:
         out = out.where(F.upper(F.trim("difficulty")) == difficulty.upper())
     if skip_premium:
         out = out.where(~F.coalesce("paid_only", F.lit(False)))
-    out = out.orderBy("seq")
     if offset:
-        out = out.offset(offset)
+        # The rows after the last of the first ``offset``: only those are brought together.
+        skipped = out.select("seq").orderBy("seq").limit(offset).agg(F.max("seq")).scalar()
+        out = out.where(F.col("seq") > skipped)
+    out = out.orderBy("seq")
     return out if limit is None else out.limit(limit)
 
 

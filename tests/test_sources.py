@@ -85,6 +85,8 @@ def test_problem_file(spark, tmp_path):
     assert got == [("5", "1", "Easy"), ("6", "2", "Medium"), ("7", "7", "Easy")]
     assert [r.question_id for r in prob.load_problems(rows, "easy", 1).collect()] == ["5"]
     assert [r.title_slug for r in prob.select_problems(rows, limit=1, offset=1, skip_premium=True).collect()] == ["c"]
+    assert [r.title_slug for r in prob.select_problems(rows, offset=2).collect()] == ["c"]
+    assert prob.select_problems(rows, offset=9).count() == 0
     bad = readers.read_problems(spark, put(tmp_path / "bad.json", json.dumps([{"title_slug": "zz"}])))
     with pytest.raises(Exception, match="without backend id: zz"):
         prob.load_problems(bad).collect()
