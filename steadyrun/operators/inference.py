@@ -17,38 +17,55 @@ def bootstrap_mean(
     by: Sequence[str],
     value: str,
     replicates: int = 1000,
-    per_task: int = 250,
+    blocks: int = 1024,
     seed: int = 0,
 ) -> DataFrame:
     """95% percentile bootstrap of the mean of ``value`` per group.
 
-    Drawing a group's rows with replacement is a multinomial draw over its distinct values. So the
-    rows are first counted per distinct value (few for cell variances), and only these counts are
-    resampled, a slice of the replicates per task. Work is replicates x distinct values, whatever the
-    number of rows. Repeatable: each (group, slice) has its own seed.
+    Drawing a group's rows with replacement is a multinomial draw over its distinct values, so rows are first
+    counted per distinct value. The draw is made in two steps that together have the same distribution: how many
+    rows of a replicate fall to each of ``blocks`` blocks of values (a few numbers per group), and, block by
+    block, which values they are. A block of a group is one task's work at most, never a group. Repeatable:
+    each step of each group and block has its own seed.
     """
     by = list(by)
-    levels = values.groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    slices = levels.withColumn(
-        "__slice", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // per_task)))
-    )
-    key_schema = ", ".join(f"`{c}` {levels.schema[c].dataType.simpleString()}" for c in by)
+    v = F.col(value).cast("double")
+    levels = values.groupBy(*by, v.alias("__v")).agg(F.count(F.lit(1)).alias("__n")).where("__v is not null")
+    levels = levels.withColumn("__block", F.pmod(F.xxhash64("__v"), F.lit(blocks)).cast("int"))
+    sizes = levels.groupBy(*by, "__block").agg(F.sum("__n").alias("__n"))
+    names = [f"`{c}` {levels.schema[c].dataType.simpleString()}" for c in by]
 
-    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def generator(*parts: object):
         import zlib
 
+        import numpy as np
+
+        return np.random.default_rng([seed, *(zlib.crc32(repr(p).encode()) for p in parts)])
+
+    def to_blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("__block")
+        total = int(rows["__n"].sum())
+        draws = generator(key).multinomial(total, rows["__n"].to_numpy(float) / total, size=replicates)
+        return rows[[*by, "__block"]].assign(__drawn=list(draws.T))
+
+    def to_values(key: tuple, rows: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
         import pandas
 
         rows = rows.sort_values("__v")
-        v, n = rows["__v"].to_numpy(float), rows["__n"].to_numpy(np.int64)
-        part, total = int(key[-1]), int(n.sum())
-        count = min(per_task, replicates - part * per_task)
-        rng = np.random.default_rng([seed, part, zlib.crc32(repr(key[:-1]).encode())])
-        means = rng.multinomial(total, n / total, size=count) @ v / total
-        return pandas.DataFrame({**{c: [k] * count for c, k in zip(by, key)}, "mean": means})
-
-    means = slices.groupBy(*by, "__slice").applyInPandas(draw, f"{key_schema}, mean double")
+        v, share = rows["__v"].to_numpy(float), rows["__n"].to_numpy(float)
+        share, weights = share / share.sum(), np.asarray(drawn["__drawn"].iloc[0], np.int64)
+        rng, step = generator(key, "values"), max(1, (1 << 20) // len(v))
+        sums = [rng.multinomial(weights[k : k + step], share) @ v for k in range(0, replicates, step)]
+        out = {"__replicate": np.arange(replicates), "__sum": np.concatenate(sums), "__rows": weights}
+        return pandas.DataFrame({**{c: [k] * replicates for c, k in zip(by, key)}, **out})
+
+    blocked = ", ".join([*names, "__block int", "__drawn array<bigint>"])
+    drawn = sizes.groupBy(*by).applyInPandas(to_blocks, blocked)
+    summed = ", ".join([*names, "__replicate int", "__sum double", "__rows bigint"])
+    both = levels.groupBy(*by, "__block").cogroup(drawn.groupBy(*by, "__block"))
+    totals = both.applyInPandas(to_values, summed).groupBy(*by, "__replicate")
+    means = totals.agg((F.sum("__sum") / F.sum("__rows")).alias("mean"))
     # At most ``replicates`` values per group.
     return means.groupBy(*by).agg(
         F.percentile("mean", F.lit(0.025)).alias("lo"),
