@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steadyrun.functions import stats
+from steadyrun.functions.spread import join_groups
 
 UNIFORM_SPAN = float(2**32)
 
@@ -74,6 +75,18 @@ def bootstrap_mean(
     )
 
 
+def variance_interval(cells: DataFrame, by: Sequence[str], **settings) -> DataFrame:
+    """Bootstrap interval of the average variance p (1 - p) of the cells of each group."""
+    p = F.col("a") / F.col("n")
+    drawn = bootstrap_mean(cells.withColumn("__variance", p * (1 - p)), by, "__variance", **settings)
+    return drawn.select(*by, F.struct("lo", "hi").alias("average_variance_ci_95"))
+
+
+def with_variance_interval(summary: DataFrame, cells: DataFrame, by: Sequence[str], **settings) -> DataFrame:
+    """``summary`` with average_variance_ci_95, the interval that only resampling gives."""
+    return join_groups(summary, variance_interval(cells, by, **settings), by, "left")
+
+
 def pooled_t_test(df: DataFrame, by: Sequence[str], group: str, a: str, b: str, value: str) -> DataFrame:
     """Two-sample t with pooled variance between groups ``a`` and ``b``; null values dropped."""
     out = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).groupBy(*by).agg(

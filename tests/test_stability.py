@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from steadyrun.functions import stats
 from steadyrun.functions.quantiles import exact_percentiles
 from steadyrun.functions.spread import positions, running_totals
-from steadyrun.operators import inference, stability
+from steadyrun.operators import crossrun, inference, stability
 
 SCHEMA = "model_name string, problem_id string, strategy string, trial_index int, status string, latency_ms double, at int"
 
@@ -197,3 +197,16 @@ def test_bootstrap_of_many_distinct_values(spark):
     assert abs(out[None].lo - (values.mean() - error)) < 0.2 * error and abs(out[None].hi - (values.mean() + error)) < 0.2 * error
     whole = inference.bootstrap_mean(df.where("g is null"), [], "v", replicates=100).first()
     assert whole.replicates == 100 and whole.lo < values.mean() < whole.hi
+
+
+def test_summary_with_variance_interval(spark):
+    rows = [(m, f"p{p}", "detailed", t, int((p + t) % 3 > 0), 5.0) for m in ("a", None) for p in range(40) for t in range(5)]
+    df = spark.createDataFrame(rows, "model_name string, problem_id string, strategy string, trial_index int, accepted int, latency_ms double")
+    summary = inference.with_variance_interval(
+        stability.stability_summary(df, ["model_name"]), stability.cell_counts(df), ["model_name"], replicates=200
+    )
+    got = summary.collect()
+    assert len(got) == 2
+    assert all(r.average_variance_ci_95.lo <= r.average_variance <= r.average_variance_ci_95.hi for r in got)
+    board = crossrun.leaderboard(summary.withColumn("prompt_type", F.lit("detailed")))
+    assert "AV 95% CI" in board.columns and board.first()["AV 95% CI"].startswith("[0.")
