@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from steadyrun.llm.tokens import per_worker
+from steadyrun.sources.scratch import stored
 
 BITS = 18
 KNOWN_WORDS = 400_000
@@ -167,8 +168,8 @@ def fit(
 ) -> Model | None:
     """A model from ``docs`` (doc_id, text) and ``ratings`` (doc_id, grade from 0 to ``n_grades - 1``).
 
-    Fitting takes at most about ``most_rows`` rated documents, chosen by a hash of the doc_id; a text gives at
-    most ``2 ** BITS`` slots, so what reaches the driver is bounded. A document rated several times counts
+    Fitting takes at most about ``most_rows`` rated documents, chosen by a hash of the doc_id. Spark counts
+    their slots; the driver gets the telling ones, of which there are ``2 ** BITS`` at most. A document rated several times counts
     with its lowest grade. Ratings without doc_id or grade are ignored. Without a rated document there is no
     model.
     """
@@ -181,21 +182,52 @@ def fit(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.as_py()).astype("<i4").tobytes() for t in batch.column("text")]
+            found = [features(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("grade"), pa.array(found, pa.binary())],
+                [batch.column("doc_id"), batch.column("grade"), pa.array(found, pa.list_(pa.int32()))],
                 names=["doc_id", "grade", "slots"],
             )
 
     # At most ``most_rows`` rows of two numbers.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = texts.join(F.broadcast(rated.select("doc_id", F.col("grade").cast("int").alias("grade"))), "doc_id")
-    rows = chosen.mapInArrow(run, "doc_id long, grade int, slots binary").collect()
-    if not rows:
+    seen = stored(chosen.mapInArrow(run, "doc_id long, grade int, slots array<int>"), "rated")
+    sizes = {r["grade"]: r["n"] for r in seen.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
         return None
+    texts_of = np.array([sizes.get(g, 0) for g in range(n_grades)])
+    kept = _telling_slots(seen, texts_of, least_docs, least_z, least_phi)
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.intersect1d(s.values.to_numpy(), kept).astype("<i4").tobytes() for s in batch.column("slots")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("grade"), pa.array(own, pa.binary())],
+                names=["doc_id", "grade", "slots"],
+            )
+
+    rows = seen.mapInArrow(narrowed, "doc_id long, grade int, slots binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], bytes(r["slots"])))
     slots = [np.frombuffer(r["slots"], "<i4") for r in rows]
-    return fit_rows(slots, np.array([r["grade"] for r in rows]), n_grades, penalty, least_docs, least_z, least_phi, steps)
+    grades = np.array([r["grade"] for r in rows])
+    return fit_rows(slots, grades, n_grades, penalty, least_docs, least_z, least_phi, steps)
+
+
+def _telling_slots(
+    seen: DataFrame, texts: np.ndarray, least_docs: int, least_z: float, least_phi: float
+) -> np.ndarray:
+    """The slots that ``telling`` keeps, counted by Spark; the driver gets those only."""
+    slots = seen.select("grade", F.explode("slots").alias("slot")).groupBy("slot")
+    found = slots.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("grade") >= g).alias(f"above{g}") for g in range(1, len(texts))])
+    n, told = int(texts.sum()), F.lit(False)
+    share = F.col("total") / n
+    for cut in range(1, len(texts)):
+        above = int(texts[cut:].sum())
+        if 0 < above < n:
+            spread = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (above * (n - above) / n))
+            told = told | (F.abs(F.col(f"above{cut}") - share * above) >= max(least_z, least_phi * n**0.5) * spread)
+    rows = found.where(told & (F.col("total") >= least_docs)).select("slot").collect()
+    return np.array(sorted(r["slot"] for r in rows), np.int32)
 
 
 def scored(docs: DataFrame, model: Model | None, text: Column, name: str = "scored") -> DataFrame:
