@@ -8,9 +8,10 @@ its class. Over the pages that have a branch, two entropies tell what it is:
 A branch's importance weighs both, content more the more texts it has. Branches of low importance are removed
 from each page, the outermost ones, if the host has enough pages to tell.
 
-HTML declares some roles itself, and there the tree is not asked: scripts, styles, forms, navigation, footers,
-adverts, notices and comments are removed; where a page declares its article or main part, that part is kept
-whole (a paragraph that many articles share is still text of the article) and nothing outside it is.
+HTML declares some roles itself, and there the tree is not asked: scripts, styles, navigation and footers are
+removed; where a page declares its article or main part, that part is kept whole (a paragraph that many articles
+share is still text of the article) and nothing outside it is. Forms, headers and names like "sidebar" or
+"comments" only make an element suspect: see ``_judge``.
 """
 
 from __future__ import annotations
@@ -42,15 +43,17 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"op
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select", "datalist"},
           "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 NOISE = set(
-    "head script style noscript template iframe object embed applet canvas svg math audio video form button input "
+    "head script style noscript template iframe object embed applet canvas svg math audio video button input "
     "select textarea nav menu aside footer dialog title xmp noembed noframes".split()
 )
-NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+NOISE_ROLES = set("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 NOISE_CLASSES = re.compile(
     r"^(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|disqus|"
     r"footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo|related|respond|"
     r"share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)$"
 )
+#: Names like has-sidebar or comments-open tell how a page is, not what the element is.
+STATE = re.compile(r"^(?:has|no|not|with|without)[_-]|[_-](?:open|closed|enabled|disabled)$")
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*>|"
@@ -70,6 +73,7 @@ class Element:
     path: str
     noise: bool
     main: bool
+    suspect: int | None = None
     children: list[str] = field(default_factory=list)
 
 
@@ -79,6 +83,9 @@ class Block:
     text: str
     noise: bool
     main: bool
+    suspects: tuple[int, ...] = ()
+    #: How many suspects are around the outermost declared part that holds the block.
+    depth: int = 0
 
 
 def _marks(attrs: str) -> dict[str, str]:
@@ -87,8 +94,43 @@ def _marks(attrs: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attrs)}
 
 
-def parsed(source: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
-    """The text blocks of a page in order, and (path, layout of the children) of its block elements.
+def _suspect(tag: str, role: str, marks: dict[str, str], in_main: bool) -> bool:
+    """Whether a form, a page's header or an element's own names speak against it."""
+    if tag in ("body", "html", "main"):
+        return False
+    if tag == "form" or role == "form" or (tag == "header" and not in_main):
+        return True
+    names = f"{marks.get('class', '')} {marks.get('id', '')}".lower().split()
+    return any(NOISE_CLASSES.match(w) for n in names if not STATE.search(n) for w in re.split("[_-]+", n))
+
+
+def _judge(blocks: list[Block], mains: list[tuple[int, ...]]) -> None:
+    """Make the blocks of suspect elements noise, and decide which declared parts are the main ones.
+
+    The parts inside the fewest suspect elements are; a suspect that is or holds one of them is none, nor is
+    one inside them, or on a page without any, that holds most of the text. Where this leaves no text, no
+    element is suspect. ``mains`` has the suspect elements around each declared part, its own included.
+    """
+    least = min(map(len, mains), default=0)
+    cleared = {k for around in mains if len(around) == least for k in around}
+    sizes: Counter = Counter()
+    for b in blocks:
+        b.main = b.main and b.depth == least
+        if not b.noise:
+            sizes.update(dict.fromkeys(b.suspects, len(b.text)))
+    total = sum(len(b.text) for b in blocks if not b.noise)
+    inner = {k for b in blocks if b.main for k in b.suspects}
+    cleared |= {k for k, n in sizes.items() if 2 * n > total and (k in inner or not mains)}
+    bad = [not cleared.issuperset(b.suspects) for b in blocks]
+    if all(x or b.noise for x, b in zip(bad, blocks, strict=True)):
+        return
+    for x, b in zip(bad, blocks, strict=True):
+        b.noise = b.noise or x
+
+
+def parsed(source: str | None) -> tuple[list[Block], list[tuple[str, str, bool]]]:
+    """The text blocks of a page in order, and (path, layout of the children, whether it is in a declared main
+    part) of its block elements.
 
     Any text is accepted: unclosed elements end where HTML ends them or with their parent, stray end tags are
     ignored, a broken tag ends at the next ">".
@@ -97,6 +139,8 @@ def parsed(source: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
     root = Element("", "", False, False)
     stack, blocks, layouts = [root], [], []
     pieces: list[str] = []
+    mains: list[tuple[int, ...]] = []
+    suspects = 0
 
     def close_block() -> None:
         text = " ".join(html.unescape("".join(pieces)).split())
@@ -104,14 +148,17 @@ def parsed(source: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
         if text:
             top = next(e for e in reversed(stack) if e.tag in BLOCKS or e is root)
             noise = any(e.noise for e in stack)
-            blocks.append(Block(top.path, text, noise, any(e.main for e in stack)))
+            around = tuple(e.suspect for e in stack if e.suspect is not None)
+            outer = next((k for k, e in enumerate(stack) if e.main), None)
+            depth = sum(e.suspect is not None for e in stack[: (outer or 0) + 1])
+            blocks.append(Block(top.path, text, noise, outer is not None, around, depth))
 
     def pop(depth: int) -> None:
         while len(stack) > depth:
             if stack[-1].tag in BLOCKS:
                 close_block()
-                layouts.append((stack[-1].path, " ".join(stack[-1].children)))
-            elif stack[-1].noise:
+                layouts.append((stack[-1].path, " ".join(stack[-1].children), any(e.main for e in stack)))
+            elif stack[-1].noise or stack[-1].suspect is not None:
                 close_block()
             stack.pop()
 
@@ -149,15 +196,11 @@ def parsed(source: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
                 pieces.append(" " if tag in ("br", "wbr", "img") else "")
             continue
         marks = _marks(attrs)
-        words = re.split(r"[\s_-]+", f"{marks.get('class', '')} {marks.get('id', '')}".strip().lower())
         role = marks.get("role", "").lower()
-        in_main = any(e.main for e in stack)
         main = tag in ("article", "main") or role in ("main", "article")
         noise = tag in NOISE or role in NOISE_ROLES
-        # The parts' own words count; an article, or a heading's header inside one, may be named anything.
-        noise = noise or (tag == "header" and not in_main)
-        noise = noise or (tag not in ("body", "html", "main") and any(map(NOISE_CLASSES.match, words)))
-        if tag in BLOCKS or noise:
+        suspect = not noise and _suspect(tag, role, marks, any(e.main for e in stack))
+        if tag in BLOCKS or noise or suspect:
             close_block()
         parent = next(e for e in reversed(stack) if e.tag in BLOCKS or e is root)
         name = tag
@@ -169,13 +212,17 @@ def parsed(source: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
             path = "" if tag in ("html", "body") else f"{parent.path}>{name}"
         else:
             path = parent.path
-        stack.append(Element(tag, path, noise, main and not noise))
+        stack.append(Element(tag, path, noise, main and not noise, suspects if suspect else None))
+        suspects += suspect
+        if main and not any(e.noise for e in stack):
+            mains.append(tuple(e.suspect for e in stack if e.suspect is not None))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)", re.I).search(source, at)
             at = end.start() if end else len(source)
     pieces.append(source[at:])
     pop(1)
     close_block()
+    _judge(blocks, mains)
     return blocks, layouts
 
 
@@ -225,7 +272,7 @@ def observations(pages: DataFrame, host: Column) -> DataFrame:
                     held[0] += n
                     held[1] += n * math.log(n)
                 shapes: dict[str, list[str]] = {}
-                for path, children in laid:
+                for path, children, _ in laid:
                     shapes.setdefault(path, []).append(children)
                 layouts.update((name, path, _hash("|".join(shape))) for path, shape in shapes.items() if path)
             rows = [(h, p, f, None, n, s, None) for (h, p, f), (n, s) in texts.items()]

@@ -171,3 +171,24 @@ def test_pipeline_takes_empty_and_odd_documents(spark):
         for _, stage in corpus_pipeline.STAGES:
             now = stage(spark, now, SF)
         now.collect()
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<div class='content has-sidebar'><p>Main words here</p><div class='sidebar'>s</div></div>", "Main words here"),
+        ("<div class='no-sidebar'><article><p>Main words</p></article></div>", "Main words"),
+        ("<div class='layout sidebar'><article><p>Main words</p></article><p>beside</p></div>", "Main words"),
+        ("<article class='post comments-open'><p>Main words</p></article>", "Main words"),
+        ("<article class='promo'><p>Main words</p></article>", "Main words"),
+        ("<div id='page-header-fixed'><p>Main words</p></div><p>low</p>", "Main words\nlow"),
+        ("<body><form action='/'><nav>n</nav><p>Main words here</p><p>More</p></form></body>", "Main words here\nMore"),
+        ("<form><main><p>Main words</p><form class='search'>f</form></main></form>", "Main words"),
+        ("<main><div class='widget'><p>Most of the words</p></div><p>few</p></main>", "Most of the words\nfew"),
+        ("<div id='page-header-fixed'><article>Own</article><div class='comments'><article class='comment'>Theirs, longer</article></div></div>", "Own"),
+        ("<article>Own</article><div class='comments'><p>Many words of others, longer than the article</p></div>", "Own"),
+        ("<div class='widget'>a</div><div class='promo'>b</div>", "a\nb"),
+    ],
+)
+def test_names_do_not_remove_the_main_text(source, want):
+    assert style_tree.main_text(source) == want
