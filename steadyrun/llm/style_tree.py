@@ -6,22 +6,27 @@ its class. Over the pages that have a branch, two entropies tell what it is:
 - content: each text in it, by how its occurrences spread over the pages; a text that all pages share says
   nothing, one that a single page has is content.
 A branch's importance weighs both, content more the more texts it has. Branches of low importance are removed
-from each page, the outermost ones, if the host has enough pages to tell.
-
-HTML declares some roles itself, and there the tree is not asked: scripts, styles, navigation and footers are
-removed; where a page declares its article or main part, that part is kept whole (a paragraph that many articles
-share is still text of the article) and nothing outside it is. Forms, headers and names like "sidebar" or
-"comments" only make an element suspect: see ``_judge``.
+from each page, the outermost ones, if the host has enough pages to tell. A text is a leaf of the tree: one whose
+spread over the pages of the host is that of a template is removed wherever it stands, as most unmarked share
+lines and legal notes are paragraphs like others.
+
+HTML declares some roles itself: scripts, styles, navigation and footers are removed. Forms, headers and names
+like "sidebar" or "comments" only make an element suspect: see ``_judge``. A declared article or main part is
+evidence: its branches are measured against all pages of the host, so what a few of them share stays; if it has
+at least half of the text that the tree leaves, the rest is dropped; and the tree removes it as a whole only
+where as much text is left beside it.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -63,7 +68,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-STATS = "host string, path string, feature long, style long, n long, n_log_n double, pages long, texts long"
+OBSERVED = "host string, path string, feature long, style long, n long, n_log_n double, pages long, main boolean"
 LAYOUT_SHARE = 0.9
 
 
@@ -230,15 +235,25 @@ def _within(path: str, branch: str) -> bool:
     return path == branch or path.startswith(branch + ">")
 
 
-def main_text(source: str | None, removed: list[str] | None = None) -> str:
-    """The text of a page without declared noise and without the ``removed`` branches of its host."""
+def _length(blocks: list[Block]) -> int:
+    return sum(len(b.text) for b in blocks)
+
+
+def main_text(source: str | None, removed: Collection[str] = (), repeated: Collection[int] = ()) -> str:
+    """The text of a page without declared noise, without the ``removed`` branches of its host and without the
+    texts whose hashes are ``repeated`` over it."""
     blocks, _ = parsed(source)
     kept = [b for b in blocks if not b.noise]
-    if any(b.main for b in kept):
-        kept = [b for b in kept if b.main]
-    elif removed:
-        kept = [b for b in kept if not any(_within(b.path, r) for r in removed)]
-    return "\n".join(b.text for b in kept)
+    declared = [b for b in kept if b.main]
+    left = [b for b in kept if not any(_within(b.path, r) for r in removed)] if removed else kept
+    # A page all of whose texts are repeated is one that was fetched often, not a template.
+    left = [b for b in left if _hash(b.text) not in repeated] or left if repeated else left
+    main = [b for b in left if b.main]
+    if declared and not main and _length(declared) > _length(left):
+        left = declared
+    elif main and 2 * _length(main) >= _length(left):
+        left = main
+    return "\n".join(b.text for b in left)
 
 
 def _branches(path: str) -> Iterator[str]:
@@ -256,60 +271,90 @@ def _hash(text: str) -> int:
 
 def observations(pages: DataFrame, host: Column) -> DataFrame:
     """What the pages add to their host's tree, summed within batches: per branch and text, and per branch and
-    layout, a row with the texts' numbers n and n ln n, or the number of pages."""
+    layout, a row with the texts' numbers n and n ln n, or the number of pages and whether the branch is in a
+    declared main part. The root, with an empty path, has all texts and pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import math
-
         for batch in batches:
             texts: dict[tuple, list] = {}
             layouts: Counter = Counter()
             for name, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 blocks, laid = parsed(source)
-                own = Counter((branch, _hash(b.text)) for b in blocks for branch in _branches(b.path))
+                hashes = [_hash(b.text) for b in blocks]
+                own = Counter((branch, h) for b, h in zip(blocks, hashes, strict=True) for branch in _branches(b.path))
+                own.update(("", h) for h in hashes)
                 for (branch, feature), n in own.items():
                     held = texts.setdefault((name, branch, feature), [0, 0.0])
                     held[0] += n
                     held[1] += n * math.log(n)
                 shapes: dict[str, list[str]] = {}
+                mains = {path for path, _, main in laid if main}
                 for path, children, _ in laid:
                     shapes.setdefault(path, []).append(children)
-                layouts.update((name, path, _hash("|".join(shape))) for path, shape in shapes.items() if path)
-            rows = [(h, p, f, None, n, s, None) for (h, p, f), (n, s) in texts.items()]
-            rows += [(h, p, None, f, None, None, n) for (h, p, f), n in layouts.items()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-            names = ["host", "path", "feature", "style", "n", "n_log_n", "pages"]
+                layouts.update((name, path, _hash("|".join(x)), path in mains) for path, x in shapes.items() if path)
+                if blocks:
+                    layouts[name, "", 0, False] += 1
+            rows = [(h, p, f, None, n, s, None, None) for (h, p, f), (n, s) in texts.items()]
+            rows += [(h, p, None, f, None, None, n, m) for (h, p, f, m), n in layouts.items()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
+            names = ["host", "path", "feature", "style", "n", "n_log_n", "pages", "main"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     given = pages.select(host.alias("host"), F.col("html").cast("string").alias("html"))
-    return given.mapInArrow(run, "host string, path string, feature long, style long, n long, n_log_n double, pages long")
+    return given.mapInArrow(run, OBSERVED)
+
+
+def _spread(seen: DataFrame) -> DataFrame:
+    """The entropy of the spread over pages of each text of each branch."""
+    texts = seen.groupBy("host", "path", "feature")
+    return texts.agg((F.log(F.sum("n")) - F.sum("n_log_n") / F.sum("n")).alias("entropy"))
+
+
+def _host_pages(seen: DataFrame) -> DataFrame:
+    return seen.where("style is not null and path = ''").groupBy("host").agg(F.sum("pages").alias("host_pages"))
+
+
+def repeated_texts(seen: DataFrame, least_pages: int, least_importance: float) -> DataFrame:
+    """(host, feature) of the texts that stand on too many pages of their host, by 1 - entropy / ln(pages)."""
+    # What no host of enough pages would remove goes first, before the join.
+    least = (1 - least_importance) * math.log(least_pages)
+    often = _spread(seen.where("feature is not null and path = ''")).where(F.col("entropy") > least - 1e-9)
+    told = often.join(_host_pages(seen).where(F.col("host_pages") >= least_pages), "host")
+    return told.where(1 - F.col("entropy") / F.log("host_pages") < least_importance).select("host", "feature")
 
 
 def style_tree(pages: DataFrame, host: Column) -> DataFrame:
     """(host, path, pages, importance) of every branch, importance from 0 (the same everywhere) to 1.
 
     Per branch on m pages: presentation is the entropy of its layouts over ln m; content is 1 less the mean,
-    over its texts, of the entropy of the text's spread over pages, over ln m. The more texts, the more content
-    weighs: ``0.9 ** texts`` is left to presentation.
+    over its texts, of the entropy of the text's spread over pages, over ln m; within a declared main part, over
+    that of all pages of the host. The more texts, the more content weighs: ``0.9 ** texts`` is left to
+    presentation.
     """
-    seen = stored(observations(pages, host), "tree")
-    layouts = seen.where("style is not null").groupBy("host", "path", "style").agg(F.sum("pages").alias("pages"))
+    return _importance(stored(observations(pages, host), "tree"))
+
+
+def _importance(seen: DataFrame) -> DataFrame:
+    laid = seen.where("style is not null and path <> ''")
+    layouts = laid.groupBy("host", "path", "style").agg(F.sum("pages").alias("pages"), F.max("main").alias("main"))
     p = F.col("pages").cast("double")
     shapes = layouts.groupBy("host", "path").agg(
-        F.sum("pages").alias("pages"), (F.log(F.sum(p)) - F.sum(p * F.log(p)) / F.sum(p)).alias("layout_entropy")
+        F.sum("pages").alias("pages"), (F.log(F.sum(p)) - F.sum(p * F.log(p)) / F.sum(p)).alias("layout_entropy"),
+        F.max("main").alias("main"),
     )
-    texts = seen.where("feature is not null").groupBy("host", "path", "feature")
-    spread = texts.agg((F.log(F.sum("n")) - F.sum("n_log_n") / F.sum("n")).alias("entropy"))
+    shapes = shapes.join(_host_pages(seen), "host", "left")
+    spread = _spread(seen.where("feature is not null and path <> ''"))
     content = spread.groupBy("host", "path").agg(F.avg("entropy").alias("entropy"), F.count(F.lit(1)).alias("texts"))
     on = shapes["host"].eqNullSafe(content["host"]) & (shapes["path"] == content["path"])
     both = shapes.join(content, on, "left").select(
         shapes["host"], shapes["path"], "pages", "layout_entropy", F.coalesce("entropy", F.lit(0.0)).alias("entropy"),
-        F.coalesce("texts", F.lit(0)).alias("texts"),
+        F.coalesce("texts", F.lit(0)).alias("texts"), "main", "host_pages",
     )
+    whole = F.when(F.col("main"), F.greatest("pages", "host_pages")).otherwise(F.col("pages"))
     scale = F.log(F.greatest("pages", F.lit(2)).cast("double"))
     presentation = F.least(F.col("layout_entropy") / scale, F.lit(1.0))
-    told = F.greatest(1 - F.col("entropy") / scale, F.lit(0.0))
+    told = F.greatest(1 - F.col("entropy") / F.log(F.greatest(whole, F.lit(2)).cast("double")), F.lit(0.0))
     left = F.pow(F.lit(LAYOUT_SHARE), F.col("texts"))
     importance = F.when(F.col("pages") > 1, left * presentation + (1 - left) * told).otherwise(1.0)
     return both.select("host", "path", "pages", importance.alias("importance"))
@@ -323,17 +368,35 @@ def extracted(pages: DataFrame, least_pages: int = 5, least_importance: float =
     gives no rows.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), HOST, 1))
-    tree = style_tree(pages, host).where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
-    removed = stored(tree.groupBy("host").agg(F.collect_set("path").alias("removed")), "removed")
+    seen = stored(observations(pages, host), "tree")
+    low = _importance(seen).where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
+    low = low.select("host", "path", F.lit(None).cast("long").alias("feature"))
+    texts = repeated_texts(seen, least_pages, least_importance)
+    low = low.union(texts.select("host", F.lit(None).cast("string"), "feature")).groupBy("host")
+    removed = stored(low.agg(F.collect_set("path").alias("removed"), F.collect_set("feature").alias("repeated")), "removed")
 
     @F.pandas_udf("string")
-    def text(sources: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for source, branches in sources:
+    def text(sources: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for source, branches, texts in sources:
+            sets: dict[bytes, frozenset[int]] = {}
+
+            def hashes(found: np.ndarray | None, sets: dict = sets) -> frozenset[int]:
+                if found is None:
+                    return frozenset()
+                name = found.tobytes()
+                if name not in sets:
+                    sets[name] = frozenset(found.tolist())
+                return sets[name]
+
             yield pd.Series(
-                [main_text(s, [] if b is None else list(b)) for s, b in zip(source, branches, strict=True)], dtype=object
+                [
+                    main_text(s, () if b is None else list(b), hashes(t))
+                    for s, b, t in zip(source, branches, texts, strict=True)
+                ],
+                dtype=object,
             )
 
     given = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("__host"))
     joined = given.join(removed.withColumnRenamed("host", "__known"), F.col("__host") == F.col("__known"), "left")
-    out = joined.select("page_id", "url", text("html", "removed").alias("text"))
+    out = joined.select("page_id", "url", text("html", "removed", "repeated").alias("text"))
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

@@ -192,3 +192,24 @@ def test_pipeline_takes_empty_and_odd_documents(spark):
 )
 def test_names_do_not_remove_the_main_text(source, want):
     assert style_tree.main_text(source) == want
+
+
+def test_tree_within_declared_parts(spark):
+    def page(k, host="big.example"):
+        quote = "<p>A quote of three articles</p>" if k < 3 else ""
+        story = f"<article><h1>Title {k}</h1><p>Own words of {k}, {k * 7}.</p>{quote}<div><p>Share this page</p></div><p>All rights reserved</p></article>"
+        return (k, f"http://{host}/{k}", f"<body><p>Welcome</p>{story}<p>beside {k}</p></body>")
+
+    def teasers(k):
+        cards = "".join(f"<article><p>Teaser {n}</p></article>" for n in range(3))
+        return (100 + k, f"http://cards.example/{k}", f"<body><div><h1>Story {k}</h1><p>The long main text of story {k} is beside the teasers.</p></div>{cards}</body>")
+
+    rows = [page(k) for k in range(12)] + [teasers(k) for k in range(8)]
+    rows += [(300, "http://often.example/", page(1)[2])] * 6 + [(200, "http://lone.example/", page(5)[2])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in style_tree.extracted(df).collect()}
+    assert got[7] == "Title 7\nOwn words of 7, 49."
+    assert got[1] == "Title 1\nOwn words of 1, 7.\nA quote of three articles"
+    assert got[103] == "Story 3\nThe long main text of story 3 is beside the teasers."
+    assert got[200] == "Title 5\nOwn words of 5, 35.\nShare this page\nAll rights reserved"
+    assert got[300].startswith("Title 1\nOwn words of 1, 7.\nA quote") and "beside" not in got[300]
