@@ -46,7 +46,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 ids."""
-    return packing.pack(docs, TOKENIZER, capacity=2048)
+    return packing.pack(docs, TOKENIZER, capacity=2048, added_tokens=True)
 
 
 STAGES = [

@@ -189,11 +189,11 @@ def plan(counts: dict[int, int], capacity: int) -> dict[int, np.ndarray]:
     return {length: np.array(rows, np.int64) for length, rows in slots.items()}
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, added_tokens: bool = False) -> DataFrame:
     """The pieces of every document; ``nth`` counts the pieces of a length within a task, ``part``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, part = encoder(tokenizer), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
+        encode, end, part = encoder(tokenizer, added_tokens), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []
@@ -216,14 +216,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
     return texts.mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, added_tokens: bool = False
+) -> DataFrame:
     """Where each piece of each document (columns doc_id and text) goes.
 
     A document is its ids and one ``end_id``; only longer ones are cut, into pieces of ``capacity`` ids. A
     null text counts as empty, so it is one piece of one id. A row without doc_id, or with one that others
     have too, is packed like any other. Other columns are ignored; an empty table gives no rows.
+    ``added_tokens``: see ``tokens.Encoder``.
     """
-    cut = stored(pieces(docs, tokenizer, capacity, end_id), "pieces")
+    cut = stored(pieces(docs, tokenizer, capacity, end_id, added_tokens), "pieces")
     per_part = stored(cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = plan(counts, capacity)

@@ -38,13 +38,15 @@ def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_repair_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = shared_dir(spark, "shards")
     docs = _table(spark, sf_dir, "documents")
-    grammar.shards(docs, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), alphabet=50257).write.parquet(path)
+    vocabulary = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    grammar.shards(docs, vocabulary, alphabet=50257, added_tokens=True).write.parquet(path)
     return grammar.read_documents(spark, path)
 
 
 def op8_dominance_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return packing.pack(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+    vocabulary = tokenizer or public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(docs, vocabulary, capacity=2048, added_tokens=True)
 
 
 def op5_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Whole texts to ids with a tokenizers file, the ids of repeated chunks being looked up.
 
 A text is cut at places where the tokenizer itself always cuts, so each chunk gets the ids it has inside the
-text. Tokenizers whose cuts are not known here encode whole texts.
+text. Tokenizers whose cuts are not known here encode whole texts, as do texts that hold an added token.
 """
 
 from __future__ import annotations
@@ -82,15 +82,23 @@ def _form(config: dict) -> str | None:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+    """Ids of texts as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str):
+    With ``added_tokens`` they are the ids of the library's defaults: the content of an added token, such as
+    <|endoftext|>, is that token wherever a text has it. Without, it is text like any other.
+    """
+
+    def __init__(self, path: str, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
-            form = _form(json.load(file))
+            config = json.load(file)
+        form = _form(config)
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = not added_tokens
+        added = config.get("added_tokens") or [] if added_tokens else []
+        if any(t.get("normalized") for t in added):
+            form = None
         merged, letters = tokenizer.model.tokenize, _byte_letters()
         space = letters[0x20]
 
@@ -108,13 +116,14 @@ class Encoder:
             return pack(tokenizer.encode(text, add_special_tokens=False).ids)
 
         self.form, self.chunk = form, chunk
+        self.added = [t["content"] for t in added if t.get("content")]
         self.chunks = re.compile(SPACED if form == "spaced" else WORDS).findall
         self.parts = re.compile(SPACED_PARTS if form == "spaced" else WORD_PARTS).findall
         self.chunk_ids, self.part_ids = Recent(chunk).__getitem__, Recent(part).__getitem__
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
-        if self.form is None:
+        if self.form is None or any(content in text for content in self.added):
             return self.chunk(text)
         try:
             text.encode("latin-1")
@@ -123,5 +132,5 @@ class Encoder:
         return b"".join(map(self.part_ids, self.parts(text.lower() if self.form == "words" else text)))
 
 
-def encoder(path: str) -> Encoder:
-    return per_worker(("encoder", path), lambda: Encoder(path))
+def encoder(path: str, added_tokens: bool = False) -> Encoder:
+    return per_worker(("encoder", path, added_tokens), lambda: Encoder(path, added_tokens))

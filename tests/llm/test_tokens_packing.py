@@ -4,13 +4,14 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from steadyrun.llm import grammar, packing, tokens
+from steadyrun.llm import grammar, packing, queries, tokens
 
 BYTES, WORDS = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 POOL = "abcXYZ'stmrelvd 019²½.,!?|<>-_ \n\t\r\x0b\x85\xa0 　éÉßÿİΣς日本́­\x00\x1c\x1f\x7f"
@@ -183,3 +184,24 @@ def test_pack(docs):
         assert [o for o, _ in held] == [sum(x for _, x in held[:k]) for k in range(len(held))]
         assert sum(x for _, x in held) <= 64
     assert len(by) == -(-sum(r.length for r in got) // 64)
+
+
+LITERALS = ["end <|endoftext|> of", "<|startoftext|><|endoftext|>\n é", "a<|endoftext|>日本 <|ENDOFTEXT|>", "plain"]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_added_tokens_equal_the_unmodified_library(path):
+    own, made, rnd = tokens.Encoder(path, added_tokens=True), Tokenizer.from_file(path), random.Random(2)
+    for text in LITERALS + ["".join(rnd.choice([*POOL, "<|endoftext|>", "<|startoftext|>"]) for _ in range(12)) for _ in range(3000)]:
+        assert own(text) == packed(made.encode(text, add_special_tokens=False).ids), repr(text)
+
+
+def test_queries_take_added_tokens(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(LITERALS)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    for query, path in ((queries.op1_repair_shards, BYTES), (queries.op8_dominance_packing, WORDS)):
+        made = Tokenizer.from_file(path)
+        got = {r.doc_id: r.ids_crc32 for r in query(spark, str(tmp_path)).collect()}
+        assert got == {k: zlib.crc32(packed(made.encode(t, add_special_tokens=False).ids + [0])) for k, t in enumerate(LITERALS)}
+    pieces = corpus_pipeline.packed(spark, df, str(tmp_path))
+    assert {r.doc_id: r.ids_crc32 for r in pieces.collect()} == got
