@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from steadyrun.llm import decontaminate, near_dedup, ordinal, packing, surrogates
-from steadyrun.sources.scratch import shared_dir
+from steadyrun.sources.scratch import shared_dir, stored
 
 LEAST_TAIL = 0.5
 KEY = "corpus pipeline"
@@ -27,10 +27,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group linked by a similarity of 0.8 of five-word shingles."""
-    marked = near_dedup.near_duplicates(docs, width=5, percent=80, bands=40)
-    kept = marked.where("kept").select(F.col("doc_id").alias("__kept")).distinct().hint("merge")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One row of each group linked by a similarity of 0.8 of five-word shingles: that with the smallest doc_id.
+
+    Rows are told apart by a number of their own, so copies that repeat a doc_id or have none are copies too. Of
+    several rows with the smallest doc_id, or where all are without, a hash of the row decides.
+    """
+    rows = stored(
+        docs.select("*", F.monotonically_increasing_id().alias("__row"), F.xxhash64(*docs.columns).alias("__hash")), "rows"
+    )
+    marked = near_dedup.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), width=5, percent=80, bands=40)
+    groups = marked.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__hash", "__row")
+    known = rows.select("__row", "__hash", "doc_id").join(groups, "__row")
+    firsts = known.groupBy("__group").agg(F.min(order).alias("__first"))
+    kept = firsts.select(F.col("__first.__row").alias("__row")).hint("merge")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

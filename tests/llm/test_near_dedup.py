@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 import pytest
 
 from steadyrun.llm import graph, near_dedup
@@ -109,3 +110,19 @@ def test_components(spark):
     got = {r.node: r.component for r in graph.components(df).collect()}
     assert got == {x: groups.find(x) for x in groups}
     assert graph.components(df.where("false")).count() == 0
+
+
+def test_stage_keeps_one_row_of_repeated_rows_and_of_rows_without_id(spark):
+    def words(name, n=40):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    rows = [(5, words("a"))] * 3 + [(2, words("a") + " end")] * 2 + [(None, words("a"))]
+    rows += [(None, words("b"))] * 4 + [(None, words("b") + " end")] + [(None, words("c"))]
+    rows += [(7, words("d")), (7, words("e")), (8, words("e")), (None, words("f")), (9, words("f")), (3, ""), (4, None)]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, df.repartition(5), "")
+    assert got.columns == df.columns
+    found = Counter((r.doc_id, (r.text or "")[:1]) for r in got.collect())
+    assert found == Counter([(2, "a"), (None, "b"), (None, "c"), (7, "d"), (7, "e"), (9, "f"), (3, ""), (4, "")])
+    again = corpus_pipeline.near_duplicates(spark, df.repartition(3), "")
+    assert sorted(map(str, again.collect())) == sorted(map(str, got.collect()))
