@@ -7,7 +7,8 @@ A surrogate depends on a secret key, the type and the normal form of the entity,
 gets the same one in every document, poured into the format of the mention: separators, letter case, the
 country code of a phone number, the issuer digit and check digit of a card, the class of an IP address, the
 prefix of an access key; for persons the title's gender and the script. Surname and given names are entities
-of their own, so "Mr. Ivor Hale" and "Mr. Hale" stay one person.
+of their own, so "Mr. Ivor Hale" and "Mr. Hale" stay one person. Names that a text has after a title are
+found without one in the same text as well. Phone numbers are one entity with and without country code.
 
 Two entities must not share a surrogate, and a surrogate must not be another entity that was detected. Both
 are checked over the distinct entities of all documents; the losers try again with the next attempt until
@@ -38,8 +39,21 @@ GREEK = "βδφγκλμνπρστψζχξαειου"
 ASSIGNED = r"(?i:(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))\s{0,3}[:=]\s{0,3}[\"']?"
 SECRET = r"[A-Za-z0-9_/+~-]{6,}"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-INTERNATIONAL = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)"
-NATIONAL = r"(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[.-]\d{4}(?![\w-])"
+#: Country codes; none is the beginning of another.
+COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+TRUNK = r"\(0\)[ .-]?"
+#: Groups of any number and size after the country code, unless it is 1; the second line has the other shapes.
+INTERNATIONAL = (
+    rf"(?<![\w+])\+(?:(?!1)(?=(?:[ .()-]{{0,3}}\d){{8}}){COUNTRY}[ .-]?(?:{TRUNK})?(?:\(\d{{1,4}}\)[ .-]?|\d{{1,4}}[ .-])?"
+    r"\d{2,8}(?:[ .-]\d{2,8}){0,4}|\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4})(?!\d)"
+)
+#: Ten digits; five pairs; an area code with its 0 and a number in up to three groups; three digits and three pairs.
+NATIONAL = (
+    r"(?<![\w.+-])(?!\d{4}(?<four>[ -])\d{4}\k<four>\d{4}\k<four>\d)(?:(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|"
+    r"0[1-9](?<pair>[ .-])\d{2}(?:\k<pair>\d{2}){3}|"
+    r"(?:\(0[1-9]\d{1,4}\) ?|0[1-9]\d{1,4}[ /-])(?:\d{5,8}|\d{3,4}[ -]\d{2,4}(?:[ -]\d{2,4})?)|"
+    r"[6-9]\d{2}(?: \d{2}){3})(?![\w-])"
+)
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w)(?!\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -47,6 +61,8 @@ CARD = r"(?<![\w+-])(?<!\d\.)(?:\d{13,19}|\d{4}(?<sep>[ -])\d{4}\k<sep>\d{4}\k<s
 KEY = r"(?<!\w)(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[_-][A-Za-z0-9_-]{16,})(?!\w)"
 HEX = r"(?<!\w)(?=[A-Fa-f]{0,99}\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)"
 NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
+#: A word that one of these letters is next to is another word.
+BARE = r"(?<![\p{L}\p{N}])(?:%s)(?![\p{L}\p{N}])"
 PERSON = rf"(?<!\w)(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? {NAME}(?: {NAME}){{0,2}}"
 # No entity begins within a word; looking at that first spares most places all the alternatives.
 ANY = f"(?<![A-Za-z0-9])(?:{'|'.join([ASSIGNED + SECRET, EMAIL, INTERNATIONAL, IP, NATIONAL, SSN, CARD, KEY, HEX, PERSON])})"
@@ -155,8 +171,9 @@ def _phone(digits: Column, attempt: Column) -> Column:
     return F.when(F.length(digits) == 10, F.concat(area, exchange, F.substr(digits, F.lit(7), F.lit(4)))).otherwise(digits)
 
 
-def _ip(norm: Column, seed: Column) -> Column:
-    """Private networks keep their network; others stay in 11.0.0.0 to 120.255.255.254."""
+def _ip(norm: Column, seed: Column, attempt: Column) -> Column:
+    """Private networks keep their network, from attempt 4 on the small ones move to the wide one, 10.0.0.0, as
+    they may be full; others stay in 11.0.0.0 to 120.255.255.254."""
 
     def join(stream: Column, parts: Column) -> Column:
         octets = [_byte(stream, F.lit(k)) for k in range(4)]
@@ -165,8 +182,8 @@ def _ip(norm: Column, seed: Column) -> Column:
         wide = ((first == 192) & (second == 168)) | ((first == 172) & second.between(16, 31))
         return F.concat_ws(
             ".",
-            F.when(home | wide, parts[0]).otherwise((11 + octets[0] % 110).cast("string")),
-            F.when(wide, parts[1]).otherwise(octets[1].cast("string")),
+            F.when(wide & (attempt >= 4), "10").when(home | wide, parts[0]).otherwise((11 + octets[0] % 110).cast("string")),
+            F.when(wide & (attempt < 4), parts[1]).otherwise(octets[1].cast("string")),
             octets[2].cast("string"),
             (1 + octets[3] % 254).cast("string"),
         )
@@ -219,14 +236,14 @@ def _surrogate(key: Column, kind: Column, norm: Column, attempt: Column) -> Colu
             F.when(kind == "phone", _phone(alike, attempt))
             .when(kind == "ssn", F.concat(F.lit("9"), F.substr(alike, F.lit(2), F.lit(8))))
             .when(kind == "card", _card(norm, alike, seed))
-            .otherwise(F.concat(prefix, alike))
+            .otherwise(F.concat(prefix, alike, F.when(attempt >= 4, F.substr(F.sha2(seed, 256), F.lit(1), attempt)).otherwise("")))
         )
 
     def chosen(seed: Column, prefix: Column) -> Column:
         alike = _alike(F.substr(norm, F.length(prefix) + 1, F.length(norm)), seed)
         return (
             F.when(kind == "email", _email(norm, key, seed, attempt))
-            .when(kind == "ip", _ip(norm, seed))
+            .when(kind == "ip", _ip(norm, seed, attempt))
             .when(kind.isin("phone", "ssn", "card", "secret"), let(alike, lambda a: numbered(seed, prefix, a)))
             .otherwise(_name(kind, norm, seed, attempt))
         )
@@ -249,6 +266,12 @@ def _kind(mention: Column) -> Column:
     )
 
 
+def _subscriber(core: Column, digits: Column) -> Column:
+    """The digits of a phone number without country code and the 0 before an area code."""
+    abroad = _digits(F.regexp_replace(core, rf"^\+{COUNTRY}[ .-]?(?:{TRUNK})?", ""))
+    return F.when(F.startswith(core, F.lit("+")), abroad).otherwise(F.regexp_replace(digits, "^0", ""))
+
+
 def _parts(mention: Column) -> Column:
     """A mention as consecutive parts: kind (null: text to keep), norm and the text itself."""
     kept = F.lit(None).cast("string")
@@ -264,7 +287,7 @@ def _parts(mention: Column) -> Column:
             digits = _digits(core)
             norm = (
                 F.when(kind == "email", F.lower(core))
-                .when(kind == "phone", F.when(F.length(digits) > 10, F.substr(digits, F.lit(-10), F.lit(10))).otherwise(digits))
+                .when(kind == "phone", let(_subscriber(core, digits), lambda n: F.when(F.length(n) > 10, F.right(n, F.lit(10))).otherwise(n)))
                 .when(kind.isin("card", "ssn"), digits)
                 .otherwise(core)
             )
@@ -299,11 +322,30 @@ def _written(kind: Column, norm: Column, text: Column, made: Column) -> Column:
     )
 
 
-def _cut(text: Column) -> Column:
+def _names(text: Column) -> Column:
+    """The parts (kind, norm, text) of the names that ``text`` has after titles. A word that the text has in
+    small letters too is no name where it stands alone."""
+    parts = F.flatten(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(PERSON), F.lit(0))), _parts))
+
+    def told(p: Column) -> Column:
+        small = F.concat(F.lit(r"(?<![\p{L}\p{N}@._-])"), p["norm"], F.lit(r"(?![\p{L}\p{N}@_-]|[.]\p{L})"))
+        return p["kind"].isNotNull() & ~F.regexp_like(text, small)
+
+    return F.filter(parts, told)
+
+
+def _sought(names: Column) -> Column:
+    """The pattern of all mentions in a text with these names, bare names included."""
+    words = F.array_join(F.array_distinct(F.flatten(F.transform(names, lambda p: F.array(p["text"], F.upper(p["text"]))))), "|")
+    before, after = (F.lit(x) for x in BARE.split("%s"))
+    return F.when(F.size(names) > 0, F.concat(F.lit(f"{ANY}|"), before, words, after)).otherwise(ANY)
+
+
+def _cut(text: Column, sought: Column) -> Column:
     """The text between mentions and the mentions in turn, beginning and ending with text."""
-    marked = F.split(F.regexp_replace(text, ANY, f"{OPEN}$0{CLOSE}"), f"[{OPEN}{CLOSE}]", -1)
-    mentions = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    apart = _bound([mentions, F.split(text, ANY, -1)], lambda m, gaps: F.filter(
+    marked = F.split(F.regexp_replace(text, sought, F.lit(f"{OPEN}$0{CLOSE}")), f"[{OPEN}{CLOSE}]", -1)
+    mentions = F.regexp_extract_all(text, sought, F.lit(0))
+    apart = _bound([mentions, F.split(text, sought, -1)], lambda m, gaps: F.filter(
         F.flatten(F.transform(gaps, lambda g, k: F.array(g, F.get(m, k)))), lambda x: x.isNotNull()
     ))
     return F.when(F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE)), apart).otherwise(marked)
@@ -361,10 +403,20 @@ def _rewritten(text: Column, key: str, tries: Column) -> Column:
         written = let(made, lambda m: _written(p["kind"], p["norm"], p["text"], m))
         return F.when(p["kind"].isNull(), p["text"]).otherwise(written)
 
-    def one(part: Column, k: Column) -> Column:
-        return F.when(k % 2 == 1, F.array_join(F.transform(_parts(part), piece), "")).otherwise(part)
+    def cut(names: Column) -> Column:
+        def parts(mention: Column) -> Column:
+            known = F.get(F.filter(names, lambda p: p["norm"] == F.lower(mention)), F.lit(0))
+            bare = F.struct(known["kind"].alias("kind"), known["norm"].alias("norm"), mention.alias("text"))
+            return F.when(mention.rlike(_whole(BARE % NAME)) & known.isNotNull(), F.array(bare)).otherwise(_parts(mention))
+
+        def one(part: Column, k: Column) -> Column:
+            return F.when(k % 2 == 1, F.array_join(F.transform(parts(part), piece), "")).otherwise(part)
+
+        return let(_sought(names), lambda sought: F.array_join(F.transform(_cut(text, sought), one), ""))
 
-    return F.when(text.rlike(SIGNS), F.array_join(F.transform(_cut(text), one), "")).otherwise(text)
+    none = F.filter(_parts(F.lit("")), lambda p: F.lit(False))
+    names = F.when(text.rlike(PERSON), _names(text)).otherwise(none)
+    return F.when(text.rlike(SIGNS), let(names, cut)).otherwise(text)
 
 
 def surrogated(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

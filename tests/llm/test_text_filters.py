@@ -228,3 +228,39 @@ def test_surrogates_stay_distinct(spark):
     got = {r.doc_id: r.text for r in surrogates.surrogated(df, "k").collect()}
     assert got[-1] == got.pop(0) and len(set(got.values())) == 15000
     assert not {t[5:17] for t in got.values()} & {t[5:17] for _, t in rows}
+
+
+def test_surrogates_of_grouped_phone_numbers(spark):
+    numbers = [
+        "+33 6 12 34 56 78", "06 12 34 56 78", "+34 612 34 56 78", "+49 (0)30 901820", "030 901820", "030 1234567",
+        "01 23 45 67 89", "01.23.45.67.89", "555 123 4567", "(212) 555 0100", "020 7946 0958", "+49 30 1234 567 89",
+    ]
+    others = ["on 01-02-2024 10:30", "card 0123 4567 8901 2345", "1 000 000 of 2024", "version 1.2.3"]
+    df = spark.createDataFrame(list(enumerate([f"Call {n}, now" for n in numbers] + others)), "doc_id long, text string")
+    got = [r.text for r in sorted(surrogates.surrogated(df, "key").collect(), key=lambda r: r.doc_id)]
+    for n, t in zip(numbers, got):
+        assert re.sub(r"\d", "0", t) == re.sub(r"\d", "0", f"Call {n}, now") and n not in t
+    assert got[0].startswith("Call +33 ") and got[3].startswith("Call +49 (0)") and got[11].startswith("Call +49 ")
+    assert got[0][9:] == got[1][6:] and got[3][12:] == got[4][6:]
+    assert [got[12], *got[14:]] == [others[0], *others[2:]] and re.fullmatch(r"card 0\d{3}( \d{4}){3}", got[13])
+
+
+def test_surrogates_of_names_without_title(spark):
+    texts = [
+        "Mr. Ivor Hale came. Ivor Hale spoke; HALE's car, Haley and inhale. Dr. Then went then. Then",
+        "Ivor Hale without a title",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in surrogates.surrogated(df, "key").collect()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. (\w+) (\w+) spoke; (\w+)'s car, Haley and inhale\. Dr\. \w+ went then\. Then", got[0])
+    assert m and (m[1], m[2], m[2].upper()) == (m[3], m[4], m[5]) and not {"Ivor", "Hale"} & {m[1], m[2]}
+    assert got[1] == texts[1]
+
+
+def test_surrogates_in_a_full_network(spark):
+    ips = spark.range(40000).selectExpr("'ip' as kind", "concat('192.168.', id div 250, '.', id % 250 + 1) as norm")
+    tries = surrogates.attempts(ips, "k")
+    made = ips.join(tries, ["kind", "norm"], "left").select("norm", surrogates._surrogate(
+        F.lit("k"), F.col("kind"), F.col("norm"), F.coalesce("attempt", F.lit(0))).alias("made")).collect()
+    assert len({r.made for r in made}) == 40000 and not {r.made for r in made} & {r.norm for r in made}
+    assert all(re.match(r"192\.168\.|10\.", r.made) for r in made)
