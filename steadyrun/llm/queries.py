@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from steadyrun.llm import (
-    decontaminate, grammar, near_dedup, ordinal, outliers, packing, placement, style_tree, surrogates, url_lists,
+    block_max, collocations, decontaminate, grammar, multi_index, near_dedup, ordinal, outliers, packing, placement,
+    style_tree, surrogates, url_lists,
 )
 from steadyrun.sources.scratch import shared_dir
 
@@ -134,6 +135,85 @@ def op10_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return style_tree.extracted(_table(spark, sf_dir, "pages"))
 
 
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return multi_index.hard_negatives(_table(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
+#: Vectors that take part, as whole numbers.
+_WHOLE = """
+  select vec_id, label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"""
+
+OP11_SQL = f"""
+with whole as ({_WHOLE} and label is not null),
+v as (select vec_id, e, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label from whole),
+scores as (
+  select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, cast(list_inner_product(a.e, c.e) as bigint) as score
+  from v a join v c on c.vec_id <> a.vec_id where a.vec_id % 100 = 0),
+positives as (
+  select * from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.vec_id as positive_id,
+       cast(row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id) as int) as rank,
+       s.vec_id as negative_id, p.score as positive_score, s.score as negative_score
+from positives p join scores s
+  on s.anchor_id = p.anchor_id and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score
+qualify rank <= 10
+"""
+
+
+def op12_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_max.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP12_SQL = f"""
+with v as ({_WHOLE})
+select q.vec_id as query_id,
+       cast(row_number() over (partition by q.vec_id order by list_inner_product(q.e, c.e) desc, c.vec_id) as int) as rank,
+       c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0
+qualify rank <= 5
+"""
+
+
+def op13_stream_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+with texts as (
+  select coalesce(lang, 'und') as lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body from documents),
+pieces as (select lang, unnest(regexp_split_to_array(body, '[.,;:!?\x0A-\x0D]')) as piece from texts),
+worded as (select lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') as words from pieces),
+placed as (select lang, words, unnest(range(1, len(words) + 1)) as i from worded),
+phrases as (
+  select lang, k, array_to_string(words[i : i + k - 1], ' ') as phrase
+  from placed, (select unnest(range(1, 6)) as k) sizes where i + k - 1 <= len(words)),
+counts as (select lang, k, phrase, count(*) as a from phrases group by all),
+totals as (select lang, cast(sum(a) as bigint) as n from counts where k = 1 group by lang),
+candidates as (select *, string_split(phrase, ' ') as words from counts where k >= 2 and a >= 100),
+within as (
+  select c.lang, array_to_string(c.words[i : i + m - 1], ' ') as phrase, max(c.a) as longer
+  from candidates c, (select unnest(range(1, 5)) as i) places, (select unnest(range(2, 5)) as m) sizes
+  where m < c.k and i + m - 1 <= c.k group by all),
+cuts as (
+  select c.lang, c.phrase, c.a, l.a as l, r.a as r, t.n,
+         cast((1000::hugeint * c.a * t.n) // (l.a::hugeint * r.a) as bigint) as score
+  from candidates c join totals t on t.lang = c.lang, (select unnest(range(1, 5)) as cut) cuts
+  join counts l on l.lang = c.lang and l.phrase = array_to_string(c.words[1 : cut], ' ')
+  join counts r on r.lang = c.lang and r.phrase = array_to_string(c.words[cut + 1 :], ' ')
+  left join within w on w.lang = c.lang and w.phrase = c.phrase
+  where cut < c.k and not coalesce(100 * w.longer >= 100 * c.a, false)
+  qualify row_number() over (partition by c.lang, c.phrase order by score, cut) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank,
+       phrase, a, l, r, n, score
+from cuts qualify rank <= 2000
+"""
+
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_repair_shards": (op1_repair_shards, None),
     "op2_lookup_sharding": (op2_lookup_sharding, None),
@@ -145,4 +225,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_dominance_packing": (op8_dominance_packing, None),
     "op9_url_lists": (op9_url_lists, OP9_SQL),
     "op10_style_tree": (op10_style_tree, None),
+    "op11_multi_index": (op11_multi_index, OP11_SQL),
+    "op12_block_max": (op12_block_max, OP12_SQL),
+    "op13_stream_collocations": (op13_stream_collocations, OP13_SQL),
 }
