@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steadyrun.functions import labels, render, stats
-from steadyrun.functions.spread import positions, running_totals
+from steadyrun.functions.spread import positions, ranks, running_totals
 from steadyrun.operators import problems as prob
 from steadyrun.operators.stability import first_per_key
 
@@ -101,10 +101,8 @@ def paper_models(summaries: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str], name: str) -> DataFrame:
-    """1-based position by descending percentage ``score``."""
-    band = F.coalesce(F.floor(-F.col(score)), F.lit(1 << 40))
-    order = [F.desc_nulls_last(score), *[F.col(t) for t in ties]]
-    return positions(df, keys, [("__band", band)], order, name).drop("__band")
+    """1-based position by descending ``score``."""
+    return positions(df, keys, [F.desc_nulls_last(score), *[F.col(t) for t in ties]], name)
 
 
 def round_summary(summary: DataFrame) -> DataFrame:
@@ -263,14 +261,10 @@ def rank_reversals(configs: DataFrame) -> DataFrame:
 def model_rank(configs: DataFrame) -> DataFrame:
     """Rank of each model by RLPR and by PSR within its prompt."""
 
-    def by(col: str):
-        return Window.partitionBy("prompt_type").orderBy(F.desc(col))
-
-    return configs.select(
-        "prompt_type", "model_name",
-        F.rank().over(by("rlpr")).alias("rlpr_rank"),
-        F.dense_rank().over(by("rlpr")).alias("rlpr_dense_rank"),
-        F.rank().over(by("psr")).alias("psr_rank"),
+    by_rlpr = ranks(configs.select("prompt_type", "model_name", "rlpr", "psr"), ["prompt_type"], "rlpr", ("rlpr_rank", "rlpr_dense_rank"))
+    by_both = ranks(by_rlpr, ["prompt_type"], "psr", ("psr_rank", "psr_dense_rank"))
+    return by_both.select(
+        "prompt_type", "model_name", *[F.col(c).cast("int").alias(c) for c in ("rlpr_rank", "rlpr_dense_rank", "psr_rank")]
     )
 
 
@@ -295,17 +289,9 @@ def stability_heatmap(trials: DataFrame, problems: DataFrame, models: DataFrame)
     columns = prob.with_difficulty(columns, problems).withColumn(
         "tier", prob.tier_order(F.col("difficulty"))
     )
-    columns = positions(
-        columns,
-        [],
-        [
-            # Sums of the same rates in another order may differ in the last bits; such rates are equal here.
-            ("__band", F.col("tier") * 1001 + F.floor((1 - F.round("mean_rate", 9)) * 1000)),
-            ("__fine", F.struct(-F.round("mean_rate", 9), F.substring(F.md5("problem_id"), 1, 3))),
-        ],
-        [F.col("problem_id")],
-        "col_pos",
-    )
+    # Sums of the same rates in another order may differ in the last bits; such rates are equal here.
+    order = [F.col("tier"), F.desc(F.round("mean_rate", 9)), F.substring(F.md5("problem_id"), 1, 3), F.col("problem_id")]
+    columns = positions(columns, [], order, "col_pos")
     return rates.join(rows.select("model_name", "row_pos"), "model_name").join(
         columns.select("problem_id", "tier", "mean_rate", "col_pos"), "problem_id"
     )
@@ -464,23 +450,21 @@ def experiment_outcomes(experiments: DataFrame) -> DataFrame:
     )
 
 
-def failed_attempts(submissions: DataFrame, span_seconds: int = 3600) -> DataFrame:
+def failed_attempts(submissions: DataFrame) -> DataFrame:
     """Failed attempts with the number of successes before them (which names their run) and their
     number among the account's failures. Attempts that had no code to submit are ignored.
 
-    Both are running totals kept over time spans, so an account with most of the attempts is still
-    many tasks.
+    Both are running totals over ranges of the attempts' order, so an account with most of the attempts, or an
+    hour with most of an account's, is still many tasks.
     """
-    span = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / span_seconds)
     ok = F.col("submission_id").isNotNull().cast("bigint")
     counted = running_totals(
         submissions.where("has_code"),
         ["account"],
-        [("__span", span)],
         [F.col("ts"), F.col("event_id")],
         {"successes_before": ok, "failure_no": 1 - ok},
     )
-    return counted.where(F.col("submission_id").isNull()).drop("__span")
+    return counted.where(F.col("submission_id").isNull())
 
 
 def failure_runs(submissions: DataFrame, threshold: int = 10) -> DataFrame:

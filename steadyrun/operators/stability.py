@@ -53,20 +53,16 @@ def dedupe_trials(trials: DataFrame, order: Sequence[Column]) -> DataFrame:
     return first_per_key(indexed, TRIAL_KEY, order)
 
 
-def attempt_ordinals(
-    trials: DataFrame, keys: Sequence[str], levels: Sequence[tuple[str, Column]], within: Sequence[Column]
-) -> DataFrame:
+def attempt_ordinals(trials: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """1-based arrival number of each attempt in its cell, as ``ordinal``."""
-    return positions(trials, keys, levels, within, "ordinal")
+    return positions(trials, keys, order, "ordinal")
 
 
-def number_trials(
-    trials: DataFrame, levels: Sequence[tuple[str, Column]], within: Sequence[Column]
-) -> DataFrame:
+def number_trials(trials: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Trials with an index by arrival where they have none."""
-    out = attempt_ordinals(trials, CELL, levels, within)
+    out = attempt_ordinals(trials, CELL, order)
     index = F.coalesce(F.col("trial_index"), (F.col("ordinal") - 1).cast("int"))
-    return out.withColumn("trial_index", index).drop("ordinal", *[name for name, _ in levels])
+    return out.withColumn("trial_index", index).drop("ordinal")
 
 
 def span_counts(trials: DataFrame) -> list[Column]:

@@ -187,7 +187,6 @@ QUERIES["attempt_ordinals"] = (
     lambda spark, sf: stability.attempt_ordinals(
         trial_log(spark, sf),
         stability.CELL,
-        [("day", F.unix_date(F.to_date("logged_at")))],
         [F.col(c) for c in ("logged_at", *[f"tie_{i}" for i in range(1, 8)], "trial_index")],
     ).select(*stability.TRIAL_KEY, "submission_id", "tie_1", "ordinal"),
     sql("""select model_name, problem_id, strategy, trial_index, submission_id, tie_1,

@@ -4,11 +4,11 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from steadyrun.functions import stats
 from steadyrun.functions.quantiles import exact_percentiles
-from steadyrun.functions.spread import positions, running_totals
+from steadyrun.functions.spread import in_ranges, positions, ranks, running_totals
 from steadyrun.operators import crossrun, inference, stability
 
 SCHEMA = "model_name string, problem_id string, strategy string, trial_index int, status string, latency_ms double, at int"
@@ -102,7 +102,7 @@ def test_log_without_index(spark):
     trials = stability.with_labels(spark.createDataFrame(rows, SCHEMA))
     with pytest.raises(Exception, match="number_trials"):
         stability.dedupe_trials(trials, [F.col("at")]).collect()
-    numbered = stability.number_trials(trials, [("tens", F.floor(F.col("at") / 10))], [F.col("at")])
+    numbered = stability.number_trials(trials, [F.col("at")])
     row = stability.cells(stability.dedupe_trials(numbered, [F.col("at")])).first()
     assert (row.n, row.a, row.first_pass, row.first_accepted) == (3, 1, 0, 3)
 
@@ -159,19 +159,49 @@ def test_percentiles_equal_numpy(spark):
         assert np.allclose([r[p] for p in probs], np.percentile(values, [q * 100 for q in probs.values()]))
 
 
-def test_positions_and_running_totals(spark):
+@pytest.mark.parametrize("ranges", [None, 1, 7, 40])
+def test_positions_and_running_totals(spark, ranges):
     rng = random.Random(2)
-    rows = [(rng.choice("xxxy"), i, rng.randrange(100), rng.randrange(5)) for i in range(500)]
-    df = spark.createDataFrame(rows, "k string, i int, o int, v int")
-    out = running_totals(
-        df, ["k"], [("tens", F.floor(F.col("o") / 10)), ("ones", F.col("o") % 10)], [F.col("i")], {"t": F.col("v")}
-    )
-    out = positions(out.drop("tens", "ones"), [], [("k0", F.col("k")), ("o0", F.col("o"))], [F.col("i")], "pos")
+    rows = [(rng.choice(["x", "x", "x", "y", None]), i, rng.choice([None, *range(100)]), rng.randrange(5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, i int, o int, v int").repartition(6)
+    out = running_totals(df, ["k"], [F.col("o"), F.col("i")], {"t": F.col("v"), "u": -F.col("v")}, ranges)
+    out = positions(out, [], [F.desc("k"), F.col("o"), F.col("i")], "pos", ranges)
+    assert out.columns == ["k", "i", "o", "v", "t", "u", "pos"]
     want, run = {}, {}
-    for pos, (k, i, o, v) in enumerate(sorted(rows, key=lambda r: (r[0], r[2], r[1])), 1):
+    for k, i, o, v in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[1])):
         run[k] = run.get(k, 0) + v
-        want[i] = (run[k], pos)
-    assert {r.i: (r.t, r.pos) for r in out.collect()} == want
+        want[i] = [run[k]]
+    for pos, r in enumerate(sorted(rows, key=lambda r: (r[0] is None, -ord(r[0] or "a"), r[2] is not None, r[2] or 0, r[1])), 1):
+        want[r[1]].append(pos)
+    assert {r.i: [r.t, r.pos] for r in out.collect()} == want
+    assert all(r.t == -r.u for r in out.collect())
+
+
+def test_a_hot_order_value_is_spread_over_ranges(spark):
+    # Of 8,000 rows half have one key and one order value; only a hash tells them apart.
+    rows = [("hot", 5, i) for i in range(4000)] + [(f"k{i % 9}", i % 50, i) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, o int, i int").repartition(8)
+    cut = in_ranges(df, ["k"], [F.col("o")], 16)
+    sizes = {r["__range"]: r["count"] for r in cut.groupBy("__range").count().collect()}
+    assert len(sizes) >= 14 and max(sizes.values()) < 1500
+    hot = {r["__range"] for r in cut.where("k = 'hot'").select("__range").distinct().collect()}
+    assert len(hot) >= 6
+    got = positions(df, ["k"], [F.col("o")], "pos", 16)
+    assert sorted(r.pos for r in got.where("k = 'hot'").collect()) == list(range(1, 4001))
+    for k in range(9):
+        own = sorted((r.o, r.pos) for r in got.where(F.col("k") == f"k{k}").collect())
+        assert [p for _, p in own] == list(range(1, len(own) + 1))
+
+
+def test_ranks(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, 1.5, 2.5, 3.5, -1.0])) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, i int, x double")
+    w = Window.partitionBy("k").orderBy(F.desc_nulls_last("x"))
+    want = df.select("i", F.rank().over(w).alias("r"), F.dense_rank().over(w).alias("d")).collect()
+    got = ranks(df, ["k"], "x", ("r", "d"), 5).select("i", "r", "d").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert positions(df.where("false"), ["k"], [F.col("i")], "pos").count() == 0
 
 
 def test_bootstrap_close_to_plain(spark):
