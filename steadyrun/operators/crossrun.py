@@ -236,17 +236,39 @@ def prompt_winners(configs: DataFrame) -> DataFrame:
     )
 
 
+def dominating(points: DataFrame, keys: Sequence[str], low: str, high: str, name: str) -> DataFrame:
+    """How many rows of the same ``keys`` are below a point in ``low`` and above it in ``high``, as ``name``.
+
+    One row per distinct point (keys, low, high); rows with a null value count nowhere. Points are ranked by
+    ``high``, and two ranks differ first at one bit: at each bit, points that agree in the bits above are put in
+    order of ``low``, and one with the lower bit counts the others before it. That is a running total per bit, so
+    n log n rows and no pairs.
+    """
+    held = points.where(F.col(low).isNotNull() & F.col(high).isNotNull()).groupBy(*keys, low, high)
+    held = ranks(held.agg(F.count(F.lit(1)).alias("__m")), keys, high, ("__rank", "__dense"))
+    most = held.agg(F.coalesce(F.max("__dense"), F.lit(0))).first()[0]
+    bits = max(1, int(most).bit_length())
+    rows = held.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
+    rows = rows.withColumns(
+        {"__above": F.expr("shiftright(__dense, __level + 1)"), "__bit": F.expr("shiftright(__dense, __level) & 1")}
+    )
+    # The first rank is the highest, so it is the set bit that counts the others; it goes first among equals.
+    better = F.when(F.col("__bit") == 0, F.col("__m")).otherwise(F.lit(0))
+    total = running_totals(rows, [*keys, "__level", "__above"], [F.col(low), F.desc("__bit")], {"__n": better})
+    return total.groupBy(*keys, low, high).agg(F.sum(F.when(F.col("__bit") == 1, F.col("__n")).otherwise(0)).alias(name))
+
+
 def rank_reversals(configs: DataFrame) -> DataFrame:
     """Configurations that some configuration of the same prompt beats in PSR despite a lower RLPR.
 
-    Each is reported once, with the strongest such rival, found in one sorted pass per prompt; the
-    pairs themselves are never built.
+    Each is reported once, with the number of such rivals and the strongest of them, found in one sorted pass per
+    prompt; the pairs themselves are never built.
     """
     # The best up to and with each rate, then the one of the next lower rate; equal rates share it.
     rates = configs.groupBy("prompt_type", "rlpr").agg(F.max(F.struct("psr", "model_name", "rlpr")).alias("top"))
     lower = Window.partitionBy("prompt_type").orderBy("rlpr").rowsBetween(Window.unboundedPreceding, -1)
     below = rates.select("prompt_type", "rlpr", F.max("top").over(lower).alias("rival"))
-    return (
+    beaten = (
         configs.join(below, ["prompt_type", "rlpr"])
         .where(F.col("rival.psr") > F.col("psr"))
         .select(
@@ -256,6 +278,8 @@ def rank_reversals(configs: DataFrame) -> DataFrame:
             F.col("rival.psr").alias("rival_psr"),
         )
     )
+    counts = dominating(configs, ["prompt_type"], "rlpr", "psr", "reversals")
+    return beaten.join(counts, ["prompt_type", "rlpr", "psr"])
 
 
 def model_rank(configs: DataFrame) -> DataFrame:

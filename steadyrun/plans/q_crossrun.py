@@ -257,17 +257,18 @@ full join (select * from configs where prompt_type = 'minimal') m on d.model_nam
 )
 QUERIES["rank_reversals"] = (
     lambda spark, sf: rounded(
-        crossrun.rank_reversals(configs(spark, sf)), "rlpr", "psr", "rival_rlpr", "rival_psr"
+        crossrun.rank_reversals(stored(configs(spark, sf), "configs")), "rlpr", "psr", "rival_rlpr", "rival_psr"
     ),
     sql("""select prompt_type, model_name, round(rlpr, 6) as rlpr, round(psr, 6) as psr, rival,
-       round(rival_rlpr, 6) as rival_rlpr, round(rival_psr, 6) as rival_psr
+       round(rival_rlpr, 6) as rival_rlpr, round(rival_psr, 6) as rival_psr, reversals
 from (select a.prompt_type, a.model_name, a.rlpr, a.psr, b.model_name as rival, b.rlpr as rival_rlpr, b.psr as rival_psr,
+             count(*) filter (where b.psr > a.psr) over (partition by a.prompt_type, a.model_name) as reversals,
              row_number() over (partition by a.prompt_type, a.model_name order by b.psr desc, b.model_name desc) as rn
       from configs a join configs b on a.prompt_type = b.prompt_type and a.rlpr > b.rlpr) t
 where rn = 1 and rival_psr > psr"""),
 )
 QUERIES["model_rank"] = (
-    lambda spark, sf: crossrun.model_rank(configs(spark, sf)),
+    lambda spark, sf: crossrun.model_rank(stored(configs(spark, sf), "configs")),
     sql("""select prompt_type, model_name, cast(rank() over (partition by prompt_type order by rlpr desc) as int) as rlpr_rank,
        cast(dense_rank() over (partition by prompt_type order by rlpr desc) as int) as rlpr_dense_rank,
        cast(rank() over (partition by prompt_type order by psr desc) as int) as psr_rank from configs"""),

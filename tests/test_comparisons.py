@@ -1,6 +1,7 @@
 """Published numbers of a 16-model study, tests and tables."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,8 +75,25 @@ def test_reversals_equal_pairs(configs):
         for b in rows
         if a.prompt_type == b.prompt_type and a.rlpr > b.rlpr and a.psr < b.psr
     }
-    got = {(r.prompt_type, r.model_name) for r in crossrun.rank_reversals(configs).collect()}
+    rows = crossrun.rank_reversals(configs).collect()
+    got = {(r.prompt_type, r.model_name) for r in rows}
     assert got == want and got
+    for r in rows:
+        rivals = [b for b in configs.collect() if b.prompt_type == r.prompt_type and b.rlpr < r.rlpr and b.psr > r.psr]
+        assert r.reversals == len(rivals) and r.rival_psr == max(b.psr for b in rivals)
+
+
+def test_dominating_points(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "a", None]), rng.choice([None, *range(12)]), rng.choice([None, *range(9)])) for _ in range(150)]
+    df = spark.createDataFrame(rows, "k string, x int, y int").repartition(4)
+    got = {(r.k, r.x, r.y): r.n for r in crossrun.dominating(df, ["k"], "x", "y", "n").collect()}
+    want = {
+        (k, x, y): sum(k == l and u is not None and v is not None and u < x and v > y for l, u, v in rows)
+        for k, x, y in rows if x is not None and y is not None
+    }
+    assert got == want and max(want.values()) > 20
+    assert crossrun.dominating(df.where("false"), ["k"], "x", "y", "n").count() == 0
 
 
 def test_p_values(spark):
