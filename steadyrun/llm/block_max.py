@@ -100,7 +100,7 @@ def top_k(
     vec_id. Rows without vec_id, and vectors that are null or hold null or non-finite components, take no part.
     Rows that repeat a vec_id are rows like others, but none with the query's own id is given to it; a repeated
     query row gets its rows again. Of vectors of different lengths the shorter one ends in zeros. Other columns
-    are ignored; an empty table gives no rows. A score beyond 2^62 fails the job.
+    are ignored; an empty table gives no rows. A score beyond 2^62, also that of a query with itself, fails the job.
 
     A task holds ``segment_rows`` vectors and ``query_rows`` queries at most.
     """

@@ -39,6 +39,8 @@ def halves(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def fitted(x: np.ndarray, codes: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
     """Centres of the rows of ``x`` by Lloyd's rounds."""
+    if not x.size:
+        return np.zeros((1, x.shape[1]))
     distinct = np.unique(x, axis=0)
     rng = np.random.default_rng(seed)
     centres = distinct[rng.permutation(len(distinct))[:codes]]
@@ -232,7 +234,7 @@ def hard_negatives(
     Rows with a null vec_id or label, a null vector, or null or non-finite components take no part. Rows that
     repeat a vec_id are rows like others, but none with the anchor's own id is its positive; a repeated anchor row
     gets its rows again. The shorter of two vectors ends in zeros; other columns are ignored; an empty table gives
-    no rows. A window of a negative positive score is empty. A score beyond 2^55 fails the job.
+    no rows. A window of a negative positive score is empty. A score beyond 2^55, also that of an anchor with itself, fails the job.
 
     The codebooks of ``codes`` centres are fitted on the ``fit_rows`` rows with the smallest hashes; they change
     the speed only. A task holds ``segment_rows`` vectors and ``anchor_rows`` anchors at most.
