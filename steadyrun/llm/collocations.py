@@ -4,10 +4,11 @@ Texts become windows: at each word the words that follow it within its piece, up
 counted windows in prefix order (first word first) those that begin with a phrase stand together, so one pass
 gives the counts of all phrases up to that length.
 
-1. Windows of two words give the counts of words and of word pairs.
-2. A longer phrase can be frequent only where all its pairs are, so windows of more words are taken along runs of
-   frequent pairs. Which pairs those are is a bit field of fixed size; a clash only lets in a window more, which is
-   counted like others.
+1. Pairs of neighbours are counted by 64-bit keys. A key that is not frequent is that of no frequent pair; the
+   others are kept in a bit field of fixed size. Keys that clash only let in more pairs.
+2. A longer phrase can be frequent only where all its pairs are, so a window goes on along a run of pairs in the
+   field. Windows of one word and more are counted with their words, and one pass over the sorted stream gives the
+   exact counts of words and phrases.
 3. The frequent phrases are streamed in prefix order and in suffix order (last word first). Each stream is joined
    in lockstep with the phrases it has just passed: those the present one begins (ends) with are the path that
    leads to it. The prefix stream gives the counts of left parts and of extensions to the right, the suffix stream
@@ -21,7 +22,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,8 @@ from steadyrun.sources.scratch import stored
 PIECES = re.compile(rb"[^.,;:!?\n-\r]+")
 #: The field of frequent pairs has 2^26 bits, 8 MB, at every size.
 FIELD_BITS = 26
-HELD = 400_000
+KEYS = 1 << 22
+HELD = 800_000
 STRETCH = 1 << 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
 COUNTED = "lang string, phrase string, n long"
@@ -54,64 +57,101 @@ class Hashes(dict):
         return np.array([self[w] for w in words], np.uint64)
 
 
-def field_places(lang: bytes, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """The bit of each pair of word hashes."""
-    mixed = (first ^ np.uint64(xxhash.xxh3_64_intdigest(lang))) * ODD
-    mixed = ((mixed ^ (mixed >> np.uint64(32))) + second) * ODD
-    return ((mixed ^ (mixed >> np.uint64(29))) * ODD) >> np.uint64(64 - FIELD_BITS)
+def pair_keys(lang: bytes, hashes: np.ndarray) -> np.ndarray:
+    """The keys of neighbouring words, from the words' hashes."""
+    mixed = (hashes[:-1] ^ np.uint64(xxhash.xxh3_64_intdigest(lang))) * ODD
+    mixed = ((mixed ^ (mixed >> np.uint64(32))) + hashes[1:]) * ODD
+    return (mixed ^ (mixed >> np.uint64(29))) * ODD
 
 
-def pair_windows(text: bytes) -> Iterator[bytes]:
-    """Windows of two words; the last word of a piece is one of its own."""
-    for piece in PIECES.finditer(text):
-        words = piece[0].split()
-        if words:
-            yield from map(b" ".join, zip(words, words[1:]))
-            yield words[-1]
-
-
-def long_windows(text: bytes, frequent: Callable[[list[bytes]], np.ndarray], most: int) -> Iterator[bytes]:
-    """Windows of three to ``most`` words of one piece in which all neighbours are frequent pairs."""
-
-    def of(words: list[bytes], lasts: list[int]) -> Iterator[bytes]:
-        if len(words) < 3:
-            return
-        passed = frequent(words)
-        passed[[k for k in lasts if k < len(passed)]] = False
-        starts = np.flatnonzero(passed[:-1] & passed[1:])
-        # Where the run of frequent pairs ends that holds a place.
-        ends = np.where(passed, len(passed), np.arange(len(passed)))
-        ends = np.minimum.accumulate(ends[::-1])[::-1][starts]
-        for at, end in zip(starts.tolist(), np.minimum(ends + 1, starts + most).tolist(), strict=True):
-            yield b" ".join(words[at:end])
+def stretches(text: bytes) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """The words of a text, some pieces at a time, and whether a word and the next are in the same piece."""
+
+    def of(words: list[bytes], lasts: list[int]) -> tuple[list[bytes], np.ndarray]:
+        inner = np.ones(len(words), bool)
+        inner[lasts] = False
+        return words, inner[:-1]
 
     words, lasts = [], []
     for piece in PIECES.finditer(text):
-        words += piece[0].split()
-        lasts.append(len(words) - 1)
+        more = piece[0].split()
+        if more:
+            words += more
+            lasts.append(len(words) - 1)
         if len(words) > STRETCH:
-            yield from of(words, lasts)
+            yield of(words, lasts)
             words, lasts = [], []
-    yield from of(words, lasts)
+    if words:
+        yield of(words, lasts)
+
+
+def windows(words: list[bytes], joined: np.ndarray, most: int) -> Iterator[bytes]:
+    """The window that begins at each word and goes on while the words are ``joined`` to the next."""
+    yield from compress(words, np.append(~joined, True).tolist())
+    starts = np.flatnonzero(joined)
+    # Where the run of joined words ends that holds a place.
+    ends = np.where(joined, len(joined), np.arange(len(joined)))
+    ends = np.minimum.accumulate(ends[::-1])[::-1][starts]
+    for at, end in zip(starts.tolist(), np.minimum(ends + 1, starts + most).tolist(), strict=True):
+        yield b" ".join(words[at:end])
+
+
+def _pair_sums(docs: DataFrame) -> DataFrame:
+    """(key, n) of all pairs of neighbours; a key may be there several times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = Hashes(), [], 0
+
+        def emptied() -> Iterator[pa.RecordBatch]:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            for at in range(0, len(keys), STRETCH):
+                part = slice(at, at + STRETCH)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(counts[part], pa.int64())], ["key", "n"])
+            held.clear()
 
+        for batch in batches:
+            langs, texts = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("lang", "body"))
+            for lang, text in zip(langs, texts, strict=True):
+                for words, inner in stretches(text.lower()):
+                    held.append(pair_keys(lang, hashes.of(words))[inner])
+                    size += len(words)
+                if size > KEYS:
+                    yield from emptied()
+                    size = 0
+        if held:
+            yield from emptied()
+
+    return docs.mapInArrow(run, "key long, n long")
 
-def _counted(docs: DataFrame, windows: Callable[[], Callable[[bytes, bytes], Iterator[bytes]]]) -> DataFrame:
+
+def _field(docs: DataFrame, least: int) -> bytes:
+    """The bits of all frequent keys; at most 2^20 sums of 64 bits come to the driver."""
+    frequent = _pair_sums(docs).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    places = frequent.select(F.shiftrightunsigned("key", 64 - FIELD_BITS).alias("place"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(64)).cast("int"))
+    sums = places.groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    field = np.zeros(1 << (FIELD_BITS - 6), np.int64)
+    field[sums.column("at").to_numpy()] = sums.column("bits").to_numpy()
+    return field.tobytes()
+
+
+def counted_windows(docs: DataFrame, shared: Broadcast, most: int) -> DataFrame:
     """(lang, phrase, n) of the windows of all texts, added up as far as a task can hold them.
 
-    ``windows()`` gives, in the task, the function of (lang, text in lower case). A phrase ends in a space, so in
-    order of bytes those it begins follow it.
+    A phrase ends in a space, so in order of bytes those it begins follow it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, counts, held = windows(), {}, 0
+        field = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
+        hashes, counts, held = Hashes(), {}, 0
 
         def emptied() -> Iterator[pa.RecordBatch]:
             for lang, counter in counts.items():
                 phrases, sizes = [p + b" " for p in counter], list(counter.values())
                 for at in range(0, len(phrases), STRETCH):
                     part = pa.array(phrases[at : at + STRETCH], pa.binary()).cast(pa.string())
-                    langs = pa.array([lang] * len(part), pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([langs, part, pa.array(sizes[at : at + STRETCH], pa.int64())], ["lang", "phrase", "n"])
+                    names = pa.array([lang] * len(part), pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([names, part, pa.array(sizes[at : at + STRETCH], pa.int64())], ["lang", "phrase", "n"])
             counts.clear()
 
         for batch in batches:
@@ -119,7 +159,9 @@ def _counted(docs: DataFrame, windows: Callable[[], Callable[[bytes, bytes], Ite
             for lang, text in zip(langs, texts, strict=True):
                 counter = counts.setdefault(lang, Counter())
                 before = len(counter)
-                counter.update(found(lang, text.lower()))
+                for words, inner in stretches(text.lower()):
+                    places = pair_keys(lang, hashes.of(words)) >> np.uint64(64 - FIELD_BITS)
+                    counter.update(windows(words, inner & field[places], most))
                 held += len(counter) - before
                 if held > HELD:
                     yield from emptied()
@@ -129,43 +171,6 @@ def _counted(docs: DataFrame, windows: Callable[[], Callable[[bytes, bytes], Ite
     return docs.mapInArrow(run, COUNTED)
 
 
-def _long(docs: DataFrame, shared: Broadcast, most: int) -> DataFrame:
-    def windows() -> Callable[[bytes, bytes], Iterator[bytes]]:
-        field, hashes = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool), Hashes()
-
-        def found(lang: bytes, text: bytes) -> Iterator[bytes]:
-            def frequent(words: list[bytes]) -> np.ndarray:
-                known = hashes.of(words)
-                return field[field_places(lang, known[:-1], known[1:])]
-
-            return long_windows(text, frequent, most)
-
-        return found
-
-    return _counted(docs, windows)
-
-
-def _field(pairs: DataFrame) -> bytes:
-    """The bits of all pairs; at most 2^20 sums of 64 bits come to the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for batch in batches:
-            langs, phrases = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("lang", "phrase"))
-            places = []
-            for lang, phrase in zip(langs, phrases, strict=True):
-                known = hashes.of(phrase.split())
-                places.append(int(field_places(lang, known[:1], known[1:])[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64())], ["place"])
-
-    bits = pairs.mapInArrow(run, "place long").groupBy(F.shiftright("place", 6).alias("at"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("place", F.lit(64)).cast("int"))
-    sums = bits.agg(F.bit_or(bit).alias("bits")).toArrow()
-    field = np.zeros(1 << (FIELD_BITS - 6), np.int64)
-    field[sums.column("at").to_numpy()] = sums.column("bits").to_numpy()
-    return field.tobytes()
-
-
 def _in_ranges(table: DataFrame, rows: int) -> DataFrame:
     """``table`` in sorted ranges of (lang, phrase) of about ``rows`` rows."""
     ranges = max(1, -(-table.count() // rows))
@@ -200,10 +205,9 @@ def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType])
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types, strict=True)], names)
 
 
-def phrase_counts(windows: DataFrame, shortest: int, least: int, range_rows: int) -> DataFrame:
-    """(lang, phrase, n) of the phrases that begin windows, of ``shortest`` words or more and n >= ``least``.
-
-    With ``shortest`` 0 the empty phrase, which has the number of all windows of its lang, is there at any count.
+def phrase_counts(windows: DataFrame, least: int, range_rows: int) -> DataFrame:
+    """(lang, phrase, n) of the phrases that begin windows, with n >= ``least``; the empty phrase, which has the
+    number of all windows of its lang, is there at any count.
     """
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes, int]]:
@@ -212,7 +216,7 @@ def phrase_counts(windows: DataFrame, shortest: int, least: int, range_rows: int
         def ended(depth: int, all_: bool) -> Iterator[tuple[bytes, bytes, int]]:
             while len(path) > depth:
                 # What the first or last row begins with may go on in another range.
-                if len(path) > shortest and (all_ or len(path) <= max(edge, 1) or counts[-1] >= least):
+                if all_ or len(path) <= max(edge, 1) or counts[-1] >= least:
                     yield path[0], b"".join(w + b" " for w in path[1:]), counts[-1]
                 path.pop()
                 counts.pop()
@@ -297,7 +301,7 @@ def collocations(
     Candidates that only occur within one longer candidate are dropped. Ties go to the larger a, then the smaller
     phrase by its bytes. Rows that repeat count again; other columns are ignored; an empty table gives no rows.
 
-    A task holds ``HELD`` windows and the words of one piece; a sorted range has about ``range_rows`` rows.
+    A task holds ``KEYS`` keys, ``HELD`` windows and the words of one piece; a sorted range has about ``range_rows`` rows.
     """
     if least < 1 or longest < 2:
         raise ValueError("least is 1 or more, longest 2 or more")
@@ -305,13 +309,10 @@ def collocations(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("body")
     ).where("body is not null")
     spark = docs.sparkSession
-    pairs = stored(_counted(texts, lambda: lambda lang, text: pair_windows(text)), "pairs")
-    short = stored(phrase_counts(pairs, 0, least, range_rows), "short")
-    counts = short.where("phrase <> ''")
-    if longest > 2:
-        field = spark.sparkContext.broadcast(_field(short.where("length(phrase) - length(replace(phrase, ' ', '')) = 2")))
-        windows = stored(_long(texts, field, longest), "windows")
-        counts = stored(counts.union(phrase_counts(windows, 3, least, range_rows)), "phrases")
+    field = spark.sparkContext.broadcast(_field(texts, least))
+    counted = stored(counted_windows(texts, field, longest), "windows")
+    sums = stored(phrase_counts(counted, least, range_rows), "phrases")
+    counts = sums.where("phrase <> ''")
 
     prefix = lockstep(counts, range_rows)
     suffix = lockstep(counts.select("lang", _reversed("phrase").alias("phrase"), "n"), range_rows)
@@ -323,7 +324,7 @@ def collocations(
         *[F.max(c).alias(c) for c in ("n", "lefts", "rights", "extended")]
     )
     kept = known.where("extended < n").withColumnRenamed("n", "a")
-    totals = short.where("phrase = ''").select("lang", "n")
+    totals = sums.where("phrase = ''").select("lang", "n")
     cuts = """array_min(transform(sequence(1, words - 1), k -> named_struct(
         'score', (cast(1000 * a as decimal(18, 0)) * cast(n as decimal(18, 0)))
             div (cast(lefts[k - 1] as decimal(18, 0)) * cast(rights[words - k - 1] as decimal(18, 0))),
