@@ -63,6 +63,38 @@ def test_search_equals_full_alignment(monkeypatch):
             assert edit_distance(dec.normal(dict(items)[k]), text[start:end]) == edits
 
 
+def test_search_of_repetitive_texts_equals_full_alignment():
+    rnd = random.Random(8)
+    items = [(0, "ab" * 40), (1, "a" * 30), (2, "to be or not to be " * 4), (3, "xyz xyz xyz xyz tail of it"), (4, "no match of this one anywhere here")]
+    index = dec.Index(items, 8, 0.1)
+    budget = {i: min(int(0.1 * len(dec.normal(t))), (len(dec.normal(t)) - 8) // 8) for i, t in items}
+    parts = ["ab" * 12, "a" * 11, "to be or not to be ", "xyz ", "tail of it ", "ba", "b", "not "]
+    for _ in range(40):
+        text = dec.normal("".join(rnd.choice(parts) for _ in range(rnd.randint(1, 40))))
+        found = index.search(text)
+        rows = {found[k]: found[k + 1 : k + 4] for k in range(0, len(found), 4)}
+        want = {k: least_edits(dec.normal(t), text) for k, t in items}
+        assert {k: v[0] for k, v in rows.items()} == {k: e for k, e in want.items() if e <= budget[k]}
+        for k, (edits, start, end) in rows.items():
+            assert edit_distance(dec.normal(dict(items)[k]), text[start:end]) == edits
+
+
+def test_repeats_alone_are_not_aligned(monkeypatch):
+    calls = []
+    real = dec.aligned
+    monkeypatch.setattr(dec, "aligned", lambda *a, **b: calls.append(1) or real(*a, **b))
+    item = "the end of the story is that nobody knows the way back to the old house by the river where we were born"
+    index = dec.Index([(1, item)], 8, 0.1)
+    assert index.search("the end of " * 2000) == [] and not calls
+    assert index.search("so " + item.replace("knows", "knew"))[:2] == [1, 2] and len(calls) == 2
+
+
+def test_short_items_are_whole_words():
+    index = dec.Index([(1, "Yes"), (2, "it is"), (3, "it is"), (4, "  "), (5, "a b c")], 8, 0.1)
+    assert index.search("yes it   IS so") == [1, 0, 0, 3, 2, 0, 4, 9, 3, 0, 4, 9]
+    assert index.search("yesterday it isn't") == [] and index.search("b a b c") == [5, 0, 2, 7]
+
+
 def test_common_grams_lower_the_bound(monkeypatch):
     monkeypatch.setattr(dec, "COMMON", 3)
     items = [(k, f"which of the following is true about number {k} and its {w}") for k, w in enumerate(["apple tree", "river bank", "old house", "tall hill", "red car"])]
@@ -79,11 +111,16 @@ def test_contamination(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = dec.contamination(d, b).collect()
     assert Counter((r.doc_id, tuple(r["items"]), r.least_edits, r.kept) for r in got) == Counter(
-        [(1, (1,), 0, False), (1, (), None, True), (2, (), None, True), (None, (), None, True), (3, (1,), 2, False), (4, (), None, True)]
+        [(1, (1,), 0, False), (1, (), None, True), (2, (), None, True), (None, (), None, True), (3, (1,), 2, False), (4, (3,), 0, False)]
     )
     small = dec.contamination(d, b, block_chars=20).collect()
     assert Counter((r.doc_id, tuple(r["items"])) for r in small) == Counter((r.doc_id, tuple(r["items"])) for r in got)
     assert dec.contamination(d, b.where("false")).where("not kept").count() == 0
+    for chars in (20, 10_000):
+        kept = dec.with_found_items(d, b, "text", "found", block_chars=chars)
+        assert kept.columns == ["doc_id", "text", "items", "found"]
+        assert Counter((r.doc_id, r.text[:3] if r.text else r.text, bool(r.found)) for r in kept.collect()) == Counter(
+            [(1, "so ", True), (1, None, False), (2, "", False), (None, "cle", False), (3, "xxx", True), (4, "sho", True)])
     assert dec.contamination(d.where("false"), b).count() == 0
 
 
