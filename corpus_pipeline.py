@@ -19,7 +19,11 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose grade is likely the best; the classifier is fitted on rated ones among them."""
+    """Documents whose grade is likely the best; the classifier is fitted on rated ones among them.
+
+    Null, empty and blank texts are graded by the thresholds alone; rows that repeat are graded alike; an empty
+    table stays empty.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     ratings = labels.select("doc_id", ordinal.grade(F.col("quality"), F.col("toxic")).alias("grade"))
     rated = ordinal.scored(docs, ordinal.fit(docs, ratings), F.col("text"), "__scored")
@@ -45,9 +49,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, edits of a tenth allowed."""
+    """Documents that hold no benchmark item, edits of a tenth allowed.
+
+    Null, empty and blank texts hold none and stay; rows that repeat share their fate.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return docs.where(F.size(decontaminate.found_items(items, F.col("text"))) == 0)
+    found = decontaminate.with_found_items(docs, items, "text", "__found")
+    return found.where(F.size("__found") == 0).select(*docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +64,10 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2048 ids."""
+    """The pieces of all documents and their places in sequences of 2048 ids.
+
+    A null text is an empty one, whose piece is the end id; rows that repeat are packed each.
+    """
     return packing.pack(docs, TOKENIZER, capacity=2048, added_tokens=True)
 
 
