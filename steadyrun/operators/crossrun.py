@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steadyrun.functions import labels, render, stats
-from steadyrun.functions.spread import positions, ranks, running_totals
+from steadyrun.functions.spread import join_groups, positions, ranks, running_totals
 from steadyrun.operators import problems as prob
 from steadyrun.operators.stability import first_per_key
 
@@ -100,6 +100,17 @@ def paper_models(summaries: DataFrame) -> DataFrame:
     )
 
 
+def with_settings(summary: DataFrame, summaries: DataFrame) -> DataFrame:
+    """``summary`` rows (model_name, prompt_type, ...) with the run settings a board shows, from the latest of the
+    ``summaries`` of the same model and prompt; null where there is none."""
+    names = ["dataset", "num_problems", "stability_runs", "generation_mode"]
+    order = F.struct(sort_key(F.col("experiment_name")).alias("key"), (-F.col("seq")).alias("seq"))
+    latest = load_summaries(summaries).groupBy("model_name", "prompt_type").agg(F.max_by(F.struct(*names), order).alias("of"))
+    return join_groups(summary, latest, ["model_name", "prompt_type"], "left").select(
+        *summary.columns, *[F.col(f"of.{c}").alias(c) for c in names]
+    )
+
+
 def ranked(df: DataFrame, keys: Sequence[str], score: str, ties: Sequence[str], name: str) -> DataFrame:
     """1-based position by descending ``score``."""
     return positions(df, keys, [F.desc_nulls_last(score), *[F.col(t) for t in ties]], name)

@@ -4,69 +4,93 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steadyrun.functions import stats
-from steadyrun.functions.spread import join_groups
+from steadyrun.functions.spread import join_groups, positions
+from steadyrun.sources.scratch import stored
 
-UNIFORM_SPAN = float(2**32)
+#: Up to this mean a binomial draw walks the distribution, which then ends well within ``STEPS``.
+WALKED_MEAN = 32
+STEPS = 128
+
+
+def uniform(text: Column, part: int) -> Column:
+    """A number between 0 and 1 from 48 bits of an md5; there are two ``part``s."""
+    digits = F.substring(F.md5(text), 1 + 12 * part, 12)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(2**48)
+
+
+def binomial(n: Column, part: Column, whole: Column, key: Column) -> Column:
+    """How many of ``n`` draws fall to ``part`` of ``whole``, drawn with the md5 of ``key``.
+
+    The inverse of the distribution at one uniform number, walked value by value up to a mean of ``WALKED_MEAN``
+    (of the rarer side), and a rounded normal draw beyond it.
+    """
+    rare = F.least(part, whole - part)
+    p = rare.cast("double") / whole
+    mean = n * p
+    u = uniform(key, 0)
+    # What is left beyond this place is less than the uniform numbers can tell apart.
+    steps = F.least(n, F.lit(STEPS - 1), F.ceil(mean + 8 * F.sqrt(mean) + 10)).cast("int")
+    start = F.struct(F.exp(n * F.log(1 - p)).alias("at"), F.lit(0.0).alias("below"), F.lit(0.0).alias("k"))
+    walked = F.aggregate(
+        F.sequence(F.lit(0), steps),
+        start,
+        lambda s, i: F.struct(
+            (s["at"] * (n - i) / (i + 1) * (p / (1 - p))).alias("at"),
+            (s["below"] + s["at"]).alias("below"),
+            (s["k"] + F.when(s["below"] + s["at"] < u, 1.0).otherwise(0.0)).alias("k"),
+        ),
+        lambda s: s["k"],
+    )
+    normal = F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * uniform(key, 1))
+    far = F.floor(mean + F.sqrt(mean * (1 - p)) * normal + 0.5).cast("double")
+    drawn = F.when(mean <= WALKED_MEAN, walked).otherwise(F.greatest(far, F.lit(0.0)))
+    drawn = F.least(drawn.cast("bigint"), n)
+    return F.when(2 * part > whole, n - drawn).otherwise(drawn)
 
 
 def bootstrap_mean(
-    values: DataFrame,
-    by: Sequence[str],
-    value: str,
-    replicates: int = 1000,
-    blocks: int = 1024,
-    seed: int = 0,
+    values: DataFrame, by: Sequence[str], value: str, replicates: int = 1000, seed: int = 0
 ) -> DataFrame:
-    """95% percentile bootstrap of the mean of ``value`` per group.
+    """95% percentile bootstrap of the mean of ``value`` per group, in native expressions.
 
-    Drawing a group's rows with replacement is a multinomial draw over its distinct values, so rows are first
-    counted per distinct value. The draw is made in two steps that together have the same distribution: how many
-    rows of a replicate fall to each of ``blocks`` blocks of values (a few numbers per group), and, block by
-    block, which values they are. A block of a group is one task's work at most, never a group. Repeatable:
-    each step of each group and block has its own seed.
+    Drawing a group's rows with replacement is a multinomial draw over its distinct values. These are numbered in
+    order, which makes them the leaves of a binary tree; a replicate's draws are split on the way down, each
+    node's by one binomial draw from the md5 of seed, group, replicate, level and node. So results repeat, on any
+    engine, and no group meets in one task: a row is a node that a replicate reached.
     """
     by = list(by)
-    v = F.col(value).cast("double")
-    levels = values.groupBy(*by, v.alias("__v")).agg(F.count(F.lit(1)).alias("__n")).where("__v is not null")
-    levels = levels.withColumn("__block", F.pmod(F.xxhash64("__v"), F.lit(blocks)).cast("int"))
-    sizes = levels.groupBy(*by, "__block").agg(F.sum("__n").alias("__n"))
-    names = [f"`{c}` {levels.schema[c].dataType.simpleString()}" for c in by]
-
-    def generator(*parts: object):
-        import zlib
-
-        import numpy as np
-
-        return np.random.default_rng([seed, *(zlib.crc32(repr(p).encode()) for p in parts)])
-
-    def to_blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("__block")
-        total = int(rows["__n"].sum())
-        draws = generator(key).multinomial(total, rows["__n"].to_numpy(float) / total, size=replicates)
-        return rows[[*by, "__block"]].assign(__drawn=list(draws.T))
-
-    def to_values(key: tuple, rows: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-        import pandas
-
-        rows = rows.sort_values("__v")
-        v, share = rows["__v"].to_numpy(float), rows["__n"].to_numpy(float)
-        share, weights = share / share.sum(), np.asarray(drawn["__drawn"].iloc[0], np.int64)
-        rng, step = generator(key, "values"), max(1, (1 << 20) // len(v))
-        sums = [rng.multinomial(weights[k : k + step], share) @ v for k in range(0, replicates, step)]
-        out = {"__replicate": np.arange(replicates), "__sum": np.concatenate(sums), "__rows": weights}
-        return pandas.DataFrame({**{c: [k] * replicates for c, k in zip(by, key)}, **out})
-
-    blocked = ", ".join([*names, "__block int", "__drawn array<bigint>"])
-    drawn = sizes.groupBy(*by).applyInPandas(to_blocks, blocked)
-    summed = ", ".join([*names, "__replicate int", "__sum double", "__rows bigint"])
-    both = levels.groupBy(*by, "__block").cogroup(drawn.groupBy(*by, "__block"))
-    totals = both.applyInPandas(to_values, summed).groupBy(*by, "__replicate")
-    means = totals.agg((F.sum("__sum") / F.sum("__rows")).alias("mean"))
+    counted = values.groupBy(*by, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    numbered = positions(counted.where("__v is not null"), by, [F.col("__v")], "__at")
+    leaves = stored(numbered.withColumn("__at", F.col("__at") - 1), "values")
+    depth = int(leaves.agg(F.coalesce(F.max("__at"), F.lit(0))).first()[0]).bit_length()
+    rows = leaves.groupBy(*by).agg(F.sum("__n").alias("__drawn"))
+    rows = rows.withColumn("__rows", F.col("__drawn")).withColumn("__node", F.lit(0).cast("bigint"))
+    rows = rows.withColumn("__replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    # A few groups become many rows here; by a number of parts, as Spark would put so few bytes into one task.
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, *by, "__replicate")
+    label = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by]
+    for level in range(depth):
+        below = depth - 1 - level
+        own = leaves.withColumn("__node", F.shiftright("__at", below + 1))
+        left = F.sum(F.when(F.expr(f"(shiftright(__at, {below}) & 1) = 0"), F.col("__n")).otherwise(0))
+        split = own.groupBy(*by, "__node").agg(left.alias("__left"), F.sum("__n").alias("__whole"))
+        key = F.concat_ws("|", F.lit(str(seed)), *label, F.col("__replicate").cast("string"), F.lit(str(level)), F.col("__node").cast("string"))
+        met = join_groups(rows, split, [*by, "__node"])
+        met = met.withColumn("__first", binomial(F.col("__drawn"), F.col("__left"), F.col("__whole"), key))
+        sides = F.array(
+            F.struct((F.col("__node") * 2).alias("node"), F.col("__first").alias("drawn")),
+            F.struct((F.col("__node") * 2 + 1).alias("node"), (F.col("__drawn") - F.col("__first")).alias("drawn")),
+        )
+        side = F.explode(F.filter(sides, lambda x: x["drawn"] > 0)).alias("side")
+        met = met.select(*by, "__replicate", "__rows", side)
+        rows = met.select(*by, "__replicate", "__rows", F.col("side.node").alias("__node"), F.col("side.drawn").alias("__drawn"))
+    drawn = join_groups(rows, leaves.select(*by, F.col("__at").alias("__node"), "__v"), [*by, "__node"])
+    totals = drawn.groupBy(*by, "__replicate", "__rows").agg(F.sum(F.col("__drawn") * F.col("__v")).alias("__sum"))
+    means = totals.select(*by, (F.col("__sum") / F.col("__rows")).alias("mean"))
     # At most ``replicates`` values per group.
     return means.groupBy(*by).agg(
         F.percentile("mean", F.lit(0.025)).alias("lo"),

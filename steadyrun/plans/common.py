@@ -87,7 +87,8 @@ def sql(body: str) -> str:
     def need(text: str) -> None:
         for name, step in STEPS.items():
             if name not in done and re.search(rf"(?:from|join)\s+{name}\b", text):
-                need(step)
+                # A recursive step reads itself.
+                need(re.sub(rf"\b{name}\b", "", step))
                 done.append(name)
 
     need(body)

@@ -8,7 +8,7 @@ from steadyrun.functions import render
 from steadyrun.operators import crossrun, inference, problems as prob, stability
 from steadyrun.plans.common import STEPS, configs, counts, sql, trials
 from steadyrun.plans.q_report import problems, rounded
-from steadyrun.plans.q_stability import CI_SQL, RATES
+from steadyrun.plans.q_stability import CI_SQL, LATENCY_SQL, RATES, recursive, summary_rows
 from steadyrun.sources.scratch import stored
 from steadyrun.sources.tables import table, view
 
@@ -78,13 +78,9 @@ QUERIES["accuracy_stability"] = (
        e.seq is not null as paper_eligible from latest l left join eligible e on l.seq = e.seq"""),
 )
 
-BOARD_KEYS = ["model_name", "prompt_type", "run_level_pass_rate", "first_pass_accuracy",
-              "perfect_stability_rate", "average_variance"]
-
-
 def board(spark, sf):
-    keep = [*BOARD_KEYS, "run_level_ci_95", "first_pass_ci_95", "perfect_stability_ci_95"]
-    return crossrun.leaderboard(stored(totals(spark, sf).select(*keep), "summaries"))
+    rows = summary_rows(spark, sf).withColumnRenamed("strategy", "prompt_type")
+    return crossrun.leaderboard(stored(crossrun.with_settings(rows, view(spark, sf, "v_summaries")), "summaries"))
 
 
 def _text(value: str, decimals: int) -> str:
@@ -98,30 +94,39 @@ def _ci(name: str) -> str:
     return out.replace("rint_2(", "round_even(").replace("_lo)", "_lo, 2)").replace("_hi)", "_hi, 2)")
 
 
+STEPS["settings"] = """
+select * from (select *, row_number() over (partition by model_name, prompt_type
+    order by case when regexp_matches(experiment_name, '^[0-9]{8}_[0-9]{6}') then substr(experiment_name, 1, 15)
+                  else coalesce(experiment_name, '') end desc, seq) as rn from loaded) t where rn = 1
+"""
 STEPS["board"] = f"""
 select row_number() over (order by "Run-Level Pass Rate" desc, "Model", "Prompt") as row_no, * from (
-  select model_name as "Model", prompt_type as "Prompt",
-         round_even(run_level_pass_rate, 2) as "Run-Level Pass Rate",
-         round_even(first_pass_accuracy, 2) as "First-Pass Accuracy",
-         round_even(perfect_stability_rate, 2) as "Perfect Stability Rate",
-         round_even(average_variance, 4) as "Average Variance",
+  select t.model_name as "Model", t.prompt_type as "Prompt", s.dataset as "Dataset", s.num_problems as "Num Problems",
+         s.stability_runs as "Stability Runs", s.generation_mode as "Generation Mode",
+         round_even(t.run_level_pass_rate, 2) as "Run-Level Pass Rate",
+         round_even(t.first_pass_accuracy, 2) as "First-Pass Accuracy",
+         round_even(t.perfect_stability_rate, 2) as "Perfect Stability Rate",
+         round_even(t.average_variance, 4) as "Average Variance",
          {_ci("run_level")} as "RLPR 95% CI", {_ci("first_pass")} as "FPA 95% CI",
-         {_ci("perfect_stability")} as "PSR 95% CI"
-  from (select *, {CI_SQL} from totals) t) b
+         {_ci("perfect_stability")} as "PSR 95% CI",
+         concat('[', {_text("round_even(r.lo, 4)", 4)}, ', ', {_text("round_even(r.hi, 4)", 4)}, ']') as "AV 95% CI",
+         round_even(coalesce(p.p90_latency_ms, 0.0), 2) as "p90 Latency"
+  from (select *, {CI_SQL} from totals) t
+  left join settings s on t.model_name = s.model_name and t.prompt_type = s.prompt_type
+  left join resampled r on t.model_name = r.model_name and t.prompt_type = r.strategy
+  left join ({LATENCY_SQL}) p on t.model_name = p.model_name and t.prompt_type = p.strategy) b
 """
-QUERIES["leaderboard"] = (board, sql("select * from board"))
+QUERIES["leaderboard"] = (board, recursive("select * from board"))
 
+_NAMES = list(crossrun.LEADERBOARD.values())
+_DIGITS = {t: crossrun.SUMMARY_DECIMALS[c] for c, t in crossrun.LEADERBOARD.items() if c in crossrun.SUMMARY_DECIMALS}
 _COLS = [
-    '"Model"', '"Prompt"', _text('"Run-Level Pass Rate"', 2), _text('"First-Pass Accuracy"', 2),
-    _text('"Perfect Stability Rate"', 2), _text('"Average Variance"', 4), '"RLPR 95% CI"', '"FPA 95% CI"',
-    '"PSR 95% CI"',
+    _text(f'"{n}"', _DIGITS[n]) if n in _DIGITS else f"""coalesce(cast("{n}" as varchar), 'None')""" for n in _NAMES
 ]
-_NAMES = ["Model", "Prompt", "Run-Level Pass Rate", "First-Pass Accuracy", "Perfect Stability Rate",
-          "Average Variance", "RLPR 95% CI", "FPA 95% CI", "PSR 95% CI"]
 
 QUERIES["leaderboard_md"] = (
     lambda spark, sf: crossrun.leaderboard_markdown(board(spark, sf)),
-    sql(f"""select cast(row_no as bigint) as line_no, concat('| ', concat_ws(' | ', {', '.join(_COLS)}), ' |') as line from board
+    recursive(f"""select cast(row_no as bigint) as line_no, concat('| ', concat_ws(' | ', {', '.join(_COLS)}), ' |') as line from board
 union all select -1, '| {' | '.join(_NAMES)} |' union all select 0, '| {' | '.join('---' for _ in _NAMES)} |'"""),
 )
 
@@ -134,7 +139,7 @@ def _tex(col: str) -> str:
 
 QUERIES["leaderboard_tex"] = (
     lambda spark, sf: crossrun.leaderboard_latex(board(spark, sf)),
-    sql(f"""select cast(row_no as bigint) as line_no, concat(concat_ws(' & ', {', '.join(_tex(c) for c in _COLS)}), ' \\\\') as line from board
+    recursive(f"""select cast(row_no as bigint) as line_no, concat(concat_ws(' & ', {', '.join(_tex(c) for c in _COLS)}), ' \\\\') as line from board
 union all select * from (values (-3, '\\begin{{tabular}}{{{'l' * len(_NAMES)}}}'), (-2, '\\hline'),
   (-1, '{" & ".join(n.replace("%", chr(92) + "%") for n in _NAMES)} \\\\'), (0, '\\hline')) as h(line_no, line)
 union all select count(*) + 1, '\\hline' from board union all select count(*) + 2, '\\end{{tabular}}' from board"""),

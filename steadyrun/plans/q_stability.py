@@ -6,7 +6,8 @@ from pyspark.sql import Window, functions as F
 
 from steadyrun.functions import sql as sql_functions
 from steadyrun.operators import inference, stability
-from steadyrun.plans.common import cells, counts, sql, trial_log, trials
+from steadyrun.plans.common import STEPS, cells, counts, sql, trial_log, trials
+from steadyrun.sources.scratch import stored
 from steadyrun.sources.tables import view
 
 QUERIES = {}
@@ -61,9 +62,17 @@ def intervals(df):
     return df.withColumns(flat).drop(*[f"{name}_ci_95" for name, _, _ in CI])
 
 
+def summary_rows(spark, sf):
+    """The full summary row of every model and prompt, unrounded; attempts are deduplicated and written once."""
+    log = stored(trials(spark, sf).select(*stability.TRIAL_KEY, "accepted", "latency_ms"), "attempts")
+    found = stability.stability_summary(log, BY)
+    return inference.with_variance_interval(found, stability.cell_counts(log), BY)
+
+
 def summary(spark, sf):
-    out = intervals(stability.stability_summary(trials(spark, sf), BY))
-    return out.drop("average_variance_unbiased").withColumns(
+    out = intervals(summary_rows(spark, sf))
+    av = {f"average_variance_{s}": F.round(F.col(f"average_variance_ci_95.{s}"), 9) for s in ("lo", "hi")}
+    return out.withColumns(av).drop("average_variance_unbiased", "average_variance_ci_95").withColumns(
         {
             "average_variance": F.round("average_variance", 9),
             "p50_latency_ms": F.round("p50_latency_ms", 6),
@@ -76,15 +85,67 @@ LATENCY_SQL = """select model_name, strategy, round(quantile_cont(latency_ms, 0.
        round(quantile_cont(latency_ms, 0.9), 6) as p90_latency_ms
 from trials where latency_ms <> 0 group by model_name, strategy"""
 
+# The bootstrap of the average variance: the distinct values of a group are the leaves of a tree, and every
+# replicate's draws are split from the top by one binomial draw per node.
+STEPS["variances"] = """
+select model_name, strategy, v, count(*) as n, row_number() over (partition by model_name, strategy order by v) - 1 as place
+from (select model_name, strategy, (a / n) * (1 - a / n) as v from cells) c group by model_name, strategy, v
+"""
+STEPS["tree"] = """
+select model_name, strategy, level, place >> (depth - level) as node, sum(n) as whole,
+       coalesce(sum(n) filter (where (place >> (depth - 1 - level)) & 1 = 0), 0) as first
+from variances, (select unnest(range(0, length(bin(max(place))))) as level, length(bin(max(place))) as depth
+                 from variances having max(place) > 0) levels
+group by all
+"""
+_UNIFORM = "(cast(concat('0x', substring(h, {at}, 12)) as bigint) + 0.5e0) / 281474976710656.0e0"
+STEPS["draws"] = f"""
+select model_name, strategy, replicate, 0 as level, cast(0 as bigint) as node, cast(n as bigint) as drawn, cast(n as bigint) as cells
+from (select model_name, strategy, sum(n) as n from variances group by all) g, (select unnest(range(0, 1000)) as replicate) r
+union all
+select model_name, strategy, replicate, level + 1, node * 2 + side, case when side = 0 then k else drawn - k end, cells
+from (
+  select *, case when 2 * first > whole then drawn - least(drawn, rare) else least(drawn, rare) end as k
+  from (
+    select *, cast(case when mean <= 32 then list_reduce(
+             list_transform(range(0, least(drawn, 127, cast(ceil(mean + 8 * sqrt(mean) + 10) as bigint)) + 1),
+                            lambda i: {{'here': 0.0e0, 'below': 0.0e0, 'k': 0.0e0, 'i': cast(i as double)}}),
+             lambda s, x: {{'here': s.here * (drawn - x.i) / (x.i + 1) * (p / (1 - p)), 'below': s.below + s.here,
+                            'k': s.k + case when s.below + s.here < u then 1.0e0 else 0.0e0 end, 'i': x.i}},
+             {{'here': exp(drawn * ln(1 - p)), 'below': 0.0e0, 'k': 0.0e0, 'i': 0.0e0}}).k
+           else greatest(0.0e0, floor(mean + sqrt(mean * (1 - p)) * sqrt(-2 * ln(u)) * cos(2 * pi() * w) + 0.5e0)) end as bigint) as rare
+    from (
+      select *, drawn * p as mean, {_UNIFORM.format(at=1)} as u, {_UNIFORM.format(at=13)} as w
+      from (
+        select d.*, t.first, t.whole, cast(least(t.first, t.whole - t.first) as double) / t.whole as p,
+               md5(concat_ws('|', '0', d.model_name, d.strategy, d.replicate, d.level, d.node)) as h
+        from draws d join tree t on d.model_name = t.model_name and d.strategy = t.strategy and d.level = t.level and d.node = t.node
+      ) a) b) c) e, (values (0), (1)) sides(side)
+where case when side = 0 then k else drawn - k end > 0
+"""
+STEPS["resampled"] = """
+select model_name, strategy, round(quantile_cont(mean, 0.025), 9) as lo, round(quantile_cont(mean, 0.975), 9) as hi, count(*) as replicates
+from (select d.model_name, d.strategy, replicate, sum(drawn * v) / max(cells) as mean
+      from draws d join variances v on d.model_name = v.model_name and d.strategy = v.strategy and d.node = v.place
+      where level = (select coalesce(max(level) + 1, 0) from tree) group by all) m
+group by model_name, strategy
+"""
+
+
+def recursive(body: str) -> str:
+    return sql(body).replace("with ", "with recursive ", 1)
+
+
 QUERIES["stability_summary"] = (
     summary,
-    sql(f"""
+    recursive(f"""
 with totals as (select model_name, strategy, {RATES}, cast(sum(latencies) as bigint) as timed_runs
      from cells group by model_name, strategy),
      pct as ({LATENCY_SQL})
-select t.*, {CI_SQL},
+select t.*, {CI_SQL}, r.lo as average_variance_lo, r.hi as average_variance_hi,
        coalesce(p50_latency_ms, 0.0) as p50_latency_ms, coalesce(p90_latency_ms, 0.0) as p90_latency_ms
-from totals t left join pct on t.model_name = pct.model_name and t.strategy = pct.strategy"""),
+from totals t left join pct on t.model_name = pct.model_name and t.strategy = pct.strategy
+left join resampled r on t.model_name = r.model_name and t.strategy = r.strategy"""),
 )
 
 QUERIES["stability_cells"] = (
@@ -161,14 +222,13 @@ QUERIES["wilson_ci"] = (
 select model_name, strategy, {CI_SQL} from totals"""),
 )
 
-# No SQL twin: the draws come from numpy. Tested against a plain bootstrap on a small fixture.
 QUERIES["av_bootstrap"] = (
     lambda spark, sf: inference.bootstrap_mean(
         counts(spark, sf).withColumn("variance", F.col("a") / F.col("n") * (1 - F.col("a") / F.col("n"))),
         BY,
         "variance",
-    ),
-    None,
+    ).withColumns({c: F.round(c, 9) for c in ("lo", "hi")}),
+    recursive("select * from resampled"),
 )
 
 QUERIES["latency_percentiles"] = (

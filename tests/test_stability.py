@@ -210,18 +210,18 @@ def test_bootstrap_close_to_plain(spark):
     plain = [rng.choice(values, size=300).mean() for _ in range(4000)]
     lo, hi = np.percentile(plain, [2.5, 97.5])
     df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double").repartition(5)
-    out = inference.bootstrap_mean(df, ["g"], "v", replicates=4000).first()
-    again = inference.bootstrap_mean(df.repartition(3), ["g"], "v", replicates=4000).first()
-    assert out.replicates == again.replicates == 4000
+    out = inference.bootstrap_mean(df, ["g"], "v", replicates=2000).first()
+    again = inference.bootstrap_mean(df.repartition(3), ["g"], "v", replicates=2000).first()
+    assert out.replicates == again.replicates == 2000
     assert np.allclose([out.lo, out.hi], [again.lo, again.hi], rtol=1e-12)
     assert abs(out.lo - lo) < 0.002 and abs(out.hi - hi) < 0.002
 
 
 def test_bootstrap_of_many_distinct_values(spark):
     rng = np.random.default_rng(2)
-    values = rng.normal(5, 1, 30000)
+    values = rng.normal(5, 1, 2000)
     df = spark.createDataFrame([(None, float(v)) for v in values] + [("one", 2.0), ("none", None)], "g string, v double")
-    out = {r.g: r for r in inference.bootstrap_mean(df, ["g"], "v", replicates=400, blocks=64).collect()}
+    out = {r.g: r for r in inference.bootstrap_mean(df, ["g"], "v", replicates=200).collect()}
     assert set(out) == {None, "one"} and (out["one"].lo, out["one"].hi) == (2.0, 2.0)
     error = 1.96 * values.std() / np.sqrt(len(values))
     assert abs(out[None].lo - (values.mean() - error)) < 0.2 * error and abs(out[None].hi - (values.mean() + error)) < 0.2 * error
