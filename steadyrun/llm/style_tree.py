@@ -1,20 +1,22 @@
 """Operator 10: main text of web pages by a site style tree.
 
 The DOMs of a host's pages are merged into one tree: a branch is a path of elements from the body, each with
-its class. Over the pages that have a branch, two entropies tell what it is:
+its classes, known by a hash of them. Below 64 levels only branches at depths that are powers of two are measured,
+so a page costs what its length is. Over the pages that have a branch, two entropies tell what it is:
 - presentation: the ways its children are laid out; a branch laid out the same everywhere is a template;
 - content: each text in it, by how its occurrences spread over the pages; a text that all pages share says
   nothing, one that a single page has is content.
 A branch's importance weighs both, content more the more texts it has. Branches of low importance are removed
-from each page, the outermost ones, if the host has enough pages to tell. A text is a leaf of the tree: one whose
+from each page. Hosts of too few pages to tell share one tree. A text is a leaf of the tree: one whose
 spread over the pages of the host is that of a template is removed wherever it stands, as most unmarked share
 lines and legal notes are paragraphs like others.
 
 HTML declares some roles itself: scripts, styles, navigation and footers are removed. Forms, headers and names
 like "sidebar" or "comments" only make an element suspect: see ``_judge``. A declared article or main part is
 evidence: its branches are measured against all pages of the host, so what a few of them share stays; if it has
-at least half of the text that the tree leaves, the rest is dropped; and the tree removes it as a whole only
-where as much text is left beside it.
+at least half of the text that the tree leaves, the rest is dropped; and the tree removes three quarters of it only
+where as much text is left beside it. What only some pages share stays where it is most of the text, so an article
+that many pages of a host carry stays.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Collection, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -68,31 +70,64 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-OBSERVED = "host string, path string, feature long, style long, n long, n_log_n double, pages long, main boolean"
+OBSERVED = "host string, path long, feature long, style long, n long, n_log_n double, pages long, main boolean"
 LAYOUT_SHARE = 0.9
+DEEP = 64
+#: Texts below this importance stand on nearly all pages.
+CONSTANT = 0.05
+#: The tree of all hosts of few pages; no host has this name.
+SMALL_HOSTS = " "
 
 
 @dataclass
 class Element:
     tag: str
-    path: str
     noise: bool
     main: bool
-    suspect: int | None = None
+    path: int
+    level: int
+    #: The measured branches around, the own one included.
+    trail: tuple[int, ...]
+    own_noise: bool = False
+    #: The innermost suspect element around, itself included, or -1; and whether it is one.
+    suspect: int = -1
+    own_suspect: bool = False
+    #: How many suspects are around the outermost declared part.
+    main_depth: int = 0
     children: list[str] = field(default_factory=list)
 
 
 @dataclass
 class Block:
-    path: str
+    trail: tuple[int, ...]
     text: str
     noise: bool
     main: bool
-    suspects: tuple[int, ...] = ()
+    suspect: int = -1
     #: How many suspects are around the outermost declared part that holds the block.
     depth: int = 0
 
 
+class Stack:
+    """Open elements; the innermost one of a tag is found at once."""
+
+    def __init__(self, root: Element):
+        self.elements, self.places = [root], {}
+
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.tag, []).append(len(self.elements))
+        self.elements.append(element)
+
+    def pop(self) -> Element:
+        element = self.elements.pop()
+        self.places[element.tag].pop()
+        return element
+
+    def last(self, tags: Collection[str]) -> int:
+        """The place of the innermost open element of these tags, or 0."""
+        return max((held[-1] for t in tags if (held := self.places.get(t))), default=0)
+
+
 def _marks(attrs: str) -> dict[str, str]:
     if not attrs or attrs.isspace():
         return {}
@@ -109,63 +144,85 @@ def _suspect(tag: str, role: str, marks: dict[str, str], in_main: bool) -> bool:
     return any(NOISE_CLASSES.match(w) for n in names if not STATE.search(n) for w in re.split("[_-]+", n))
 
 
-def _judge(blocks: list[Block], mains: list[tuple[int, ...]]) -> None:
+def _judge(blocks: list[Block], mains: list[int], around: list[int]) -> None:
     """Make the blocks of suspect elements noise, and decide which declared parts are the main ones.
 
     The parts inside the fewest suspect elements are; a suspect that is or holds one of them is none, nor is
     one inside them, or on a page without any, that holds most of the text. Where this leaves no text, no
-    element is suspect. ``mains`` has the suspect elements around each declared part, its own included.
+    element is suspect. ``mains`` has the innermost suspect around each declared part, its own included, and
+    ``around`` that around each suspect (-1: none); an outer one has a smaller number.
     """
-    least = min(map(len, mains), default=0)
-    cleared = {k for around in mains if len(around) == least for k in around}
-    sizes: Counter = Counter()
+    level = []
+    for outer in around:
+        level.append(1 + (level[outer] if outer >= 0 else 0))
+    depths = [level[k] if k >= 0 else 0 for k in mains]
+    least = min(depths, default=0)
+
+    def chains(starts: Iterable[int]) -> list[bool]:
+        marked = [False] * len(around)
+        for k in starts:
+            while k >= 0 and not marked[k]:
+                marked[k] = True
+                k = around[k]
+        return marked
+
+    cleared = chains(k for k, d in zip(mains, depths, strict=True) if d == least)
+    sizes = [0] * len(around)
     for b in blocks:
         b.main = b.main and b.depth == least
-        if not b.noise:
-            sizes.update(dict.fromkeys(b.suspects, len(b.text)))
+        if not b.noise and b.suspect >= 0:
+            sizes[b.suspect] += len(b.text)
+    for k in range(len(around) - 1, -1, -1):
+        if around[k] >= 0:
+            sizes[around[k]] += sizes[k]
     total = sum(len(b.text) for b in blocks if not b.noise)
-    inner = {k for b in blocks if b.main for k in b.suspects}
-    cleared |= {k for k, n in sizes.items() if 2 * n > total and (k in inner or not mains)}
-    bad = [not cleared.issuperset(b.suspects) for b in blocks]
+    inner = chains(b.suspect for b in blocks if b.main)
+    fine = []
+    for k, outer in enumerate(around):
+        own = cleared[k] or (2 * sizes[k] > total and (inner[k] or not mains))
+        fine.append(own and (outer < 0 or fine[outer]))
+    bad = [b.suspect >= 0 and not fine[b.suspect] for b in blocks]
     if all(x or b.noise for x, b in zip(bad, blocks, strict=True)):
         return
     for x, b in zip(bad, blocks, strict=True):
         b.noise = b.noise or x
 
 
-def parsed(source: str | None) -> tuple[list[Block], list[tuple[str, str, bool]]]:
+def parsed(source: str | None) -> tuple[list[Block], list[tuple[int, str, bool]]]:
     """The text blocks of a page in order, and (path, layout of the children, whether it is in a declared main
-    part) of its block elements.
+    part) of its measured block elements.
 
     Any text is accepted: unclosed elements end where HTML ends them or with their parent, stray end tags are
-    ignored, a broken tag ends at the next ">".
+    ignored, a broken tag ends at the next ">". The time is in proportion to the length, however deep the page.
     """
     source = source or ""
-    root = Element("", "", False, False)
-    stack, blocks, layouts = [root], [], []
+    stack, blocks, layouts = Stack(Element("", False, False, 0, 0, ())), [], []
+    held = stack.elements
+    # The innermost block element (or the root) of each open element.
+    parents = [held[0]]
     pieces: list[str] = []
-    mains: list[tuple[int, ...]] = []
-    suspects = 0
+    mains: list[int] = []
+    around: list[int] = []
+    depth_of: list[int] = []
 
     def close_block() -> None:
         text = " ".join(html.unescape("".join(pieces)).split())
         pieces.clear()
         if text:
-            top = next(e for e in reversed(stack) if e.tag in BLOCKS or e is root)
-            noise = any(e.noise for e in stack)
-            around = tuple(e.suspect for e in stack if e.suspect is not None)
-            outer = next((k for k, e in enumerate(stack) if e.main), None)
-            depth = sum(e.suspect is not None for e in stack[: (outer or 0) + 1])
-            blocks.append(Block(top.path, text, noise, outer is not None, around, depth))
+            top = held[-1]
+            blocks.append(Block(parents[-1].trail, text, top.noise, top.main, top.suspect, top.main_depth))
 
     def pop(depth: int) -> None:
-        while len(stack) > depth:
-            if stack[-1].tag in BLOCKS:
+        while len(held) > depth:
+            top = held[-1]
+            if top.tag in BLOCKS:
                 close_block()
-                layouts.append((stack[-1].path, " ".join(stack[-1].children), any(e.main for e in stack)))
-            elif stack[-1].noise or stack[-1].suspect is not None:
+                if top.level and top.trail[-1] == top.path:
+                    layouts.append((top.path, " ".join(top.children), top.main))
+            elif top.own_noise or top.own_suspect:
                 close_block()
             stack.pop()
+            parents.pop()
 
     at = 0
     for token in iter(lambda: TOKEN.search(source, at), None):
@@ -176,7 +233,7 @@ def parsed(source: str | None) -> tuple[list[Block], list[tuple[str, str, bool]]
         if not tag:
             continue
         if token["end"] or token["end2"]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            depth = stack.last((tag,))
             if depth:
                 pop(depth)
             elif tag == "br":
@@ -184,15 +241,12 @@ def parsed(source: str | None) -> tuple[list[Block], list[tuple[str, str, bool]]
             continue
         attrs = token["attrs"] if token["tag"] else token["attrs2"]
         if tag in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in SCOPES[tag]:
-                    break
-                if stack[k].tag in SIBLINGS[tag]:
-                    pop(k)
-                    break
+            depth = stack.last(SIBLINGS[tag])
+            if depth > stack.last(SCOPES[tag]):
+                pop(depth)
         if tag in CLOSES_P:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"), 0)
-            if depth and not any(e.tag in ("td", "th", "div", "li") for e in stack[depth + 1 :]):
+            depth = stack.last(("p",))
+            if depth and stack.last(("td", "th", "div", "li")) < depth:
                 pop(depth)
         if tag in VOID:
             if tag in BLOCKS:
@@ -202,77 +256,95 @@ def parsed(source: str | None) -> tuple[list[Block], list[tuple[str, str, bool]]
             continue
         marks = _marks(attrs)
         role = marks.get("role", "").lower()
-        main = tag in ("article", "main") or role in ("main", "article")
-        noise = tag in NOISE or role in NOISE_ROLES
-        suspect = not noise and _suspect(tag, role, marks, any(e.main for e in stack))
-        if tag in BLOCKS or noise or suspect:
+        own_main = tag in ("article", "main") or role in ("main", "article")
+        own_noise = tag in NOISE or role in NOISE_ROLES
+        outer, parent = held[-1], parents[-1]
+        suspect = not own_noise and _suspect(tag, role, marks, outer.main)
+        if tag in BLOCKS or own_noise or suspect:
             close_block()
-        parent = next(e for e in reversed(stack) if e.tag in BLOCKS or e is root)
-        name = tag
+        path, level, trail = parent.path, parent.level, parent.trail
         if tag in BLOCKS:
-            named = re.sub(r"\d+", "0", ".".join(sorted(marks.get("class", "").lower().split())[:4]))
+            named = re.sub(r"\d+", "0", ".".join(sorted(marks.get("class", "").lower().split())))
             name = f"{tag}.{named}" if named else tag
             if parent.tag not in ("html", "") or tag not in ("html", "body"):
                 parent.children.append(name)
-            path = "" if tag in ("html", "body") else f"{parent.path}>{name}"
-        else:
-            path = parent.path
-        stack.append(Element(tag, path, noise, main and not noise, suspects if suspect else None))
-        suspects += suspect
-        if main and not any(e.noise for e in stack):
-            mains.append(tuple(e.suspect for e in stack if e.suspect is not None))
+            if tag in ("html", "body"):
+                path, level, trail = 0, 0, ()
+            else:
+                path, level = path_of((name,), path), level + 1
+                if level <= DEEP or not level & (level - 1):
+                    trail += (path,)
+        if suspect:
+            around.append(outer.suspect)
+            depth_of.append(1 + (depth_of[outer.suspect] if outer.suspect >= 0 else 0))
+        innermost = len(around) - 1 if suspect else outer.suspect
+        is_main = own_main and not own_noise
+        main_depth = outer.main_depth
+        if is_main and not outer.main:
+            main_depth = depth_of[innermost] if innermost >= 0 else 0
+        element = Element(
+            tag, outer.noise or own_noise, outer.main or is_main, path, level, trail, own_noise, innermost, suspect, main_depth
+        )
+        stack.push(element)
+        parents.append(element if tag in BLOCKS else parent)
+        if own_main and not element.noise:
+            mains.append(innermost)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|$)", re.I).search(source, at)
             at = end.start() if end else len(source)
     pieces.append(source[at:])
     pop(1)
     close_block()
-    _judge(blocks, mains)
+    _judge(blocks, mains, around)
     return blocks, layouts
 
 
-def _within(path: str, branch: str) -> bool:
-    return path == branch or path.startswith(branch + ">")
-
-
 def _length(blocks: list[Block]) -> int:
     return sum(len(b.text) for b in blocks)
 
 
-def main_text(source: str | None, removed: Collection[str] = (), repeated: Collection[int] = ()) -> str:
+def main_text(
+    source: str | None, removed: Collection[int] = (), repeated: Collection[int] = (), constant: Collection[int] = ()
+) -> str:
     """The text of a page without declared noise, without the ``removed`` branches of its host and without the
-    texts whose hashes are ``repeated`` over it."""
+    texts whose hashes are ``repeated`` over it, of which ``constant`` ones are on nearly all pages."""
     blocks, _ = parsed(source)
     kept = [b for b in blocks if not b.noise]
     declared = [b for b in kept if b.main]
-    left = [b for b in kept if not any(_within(b.path, r) for r in removed)] if removed else kept
+    hashes = {id(b): _hash(b.text) for b in kept} if repeated else {}
+    low = {id(b) for b in kept if removed and not removed.isdisjoint(b.trail)}
+    told = [b for b in kept if id(b) not in low]
+    gone = {id(b) for b in told if hashes and hashes[id(b)] in repeated}
+    # What only some pages share is an article of theirs, if it is most of the text.
+    own = [b for b in (declared or told) if not hashes or hashes[id(b)] not in constant]
+    some = [b for b in own if id(b) in gone]
+    if 2 * _length(some) > _length(own):
+        gone -= {id(b) for b in some}
     # A page all of whose texts are repeated is one that was fetched often, not a template.
-    left = [b for b in left if _hash(b.text) not in repeated] or left if repeated else left
+    left = [b for b in told if id(b) not in gone] or told
     main = [b for b in left if b.main]
-    if declared and not main and _length(declared) > _length(left):
-        left = declared
-    elif main and 2 * _length(main) >= _length(left):
+    if 4 * _length(main) < _length(declared) and _length(left) - _length(main) < _length(declared):
+        left = main = declared
+    if main and 2 * _length(main) >= _length(left):
         left = main
     return "\n".join(b.text for b in left)
 
 
-def _branches(path: str) -> Iterator[str]:
-    at = path.find(">", 1)
-    while at > 0:
-        yield path[:at]
-        at = path.find(">", at + 1)
-    if path:
-        yield path
-
-
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def path_of(names: Iterable[str], path: int = 0) -> int:
+    """The branch that further elements, named like ``div.story``, lead to."""
+    for name in names:
+        path = _hash(f"{path}>{name}")
+    return path
+
+
 def observations(pages: DataFrame, host: Column) -> DataFrame:
     """What the pages add to their host's tree, summed within batches: per branch and text, and per branch and
     layout, a row with the texts' numbers n and n ln n, or the number of pages and whether the branch is in a
-    declared main part. The root, with an empty path, has all texts and pages."""
+    declared main part. The root, path 0, has all texts and pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,23 +353,23 @@ def observations(pages: DataFrame, host: Column) -> DataFrame:
             for name, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 blocks, laid = parsed(source)
                 hashes = [_hash(b.text) for b in blocks]
-                own = Counter((branch, h) for b, h in zip(blocks, hashes, strict=True) for branch in _branches(b.path))
-                own.update(("", h) for h in hashes)
+                own = Counter((branch, h) for b, h in zip(blocks, hashes, strict=True) for branch in b.trail)
+                own.update((0, h) for h in hashes)
                 for (branch, feature), n in own.items():
                     held = texts.setdefault((name, branch, feature), [0, 0.0])
                     held[0] += n
                     held[1] += n * math.log(n)
-                shapes: dict[str, list[str]] = {}
+                shapes: dict[int, list[str]] = {}
                 mains = {path for path, _, main in laid if main}
                 for path, children, _ in laid:
                     shapes.setdefault(path, []).append(children)
-                layouts.update((name, path, _hash("|".join(x)), path in mains) for path, x in shapes.items() if path)
+                layouts.update((name, path, _hash("|".join(x)), path in mains) for path, x in shapes.items())
                 if blocks:
-                    layouts[name, "", 0, False] += 1
+                    layouts[name, 0, 0, False] += 1
             rows = [(h, p, f, None, n, s, None, None) for (h, p, f), (n, s) in texts.items()]
             rows += [(h, p, None, f, None, None, n, m) for (h, p, f, m), n in layouts.items()]
             columns = list(zip(*rows, strict=True)) or [[]] * 8
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
             names = ["host", "path", "feature", "style", "n", "n_log_n", "pages", "main"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
@@ -312,16 +384,18 @@ def _spread(seen: DataFrame) -> DataFrame:
 
 
 def _host_pages(seen: DataFrame) -> DataFrame:
-    return seen.where("style is not null and path = ''").groupBy("host").agg(F.sum("pages").alias("host_pages"))
+    return seen.where("style is not null and path = 0").groupBy("host").agg(F.sum("pages").alias("host_pages"))
 
 
 def repeated_texts(seen: DataFrame, least_pages: int, least_importance: float) -> DataFrame:
-    """(host, feature) of the texts that stand on too many pages of their host, by 1 - entropy / ln(pages)."""
+    """(host, feature, constant) of the texts that stand on too many pages of their host, by 1 - entropy /
+    ln(pages); constant ones on nearly all."""
     # What no host of enough pages would remove goes first, before the join.
     least = (1 - least_importance) * math.log(least_pages)
-    often = _spread(seen.where("feature is not null and path = ''")).where(F.col("entropy") > least - 1e-9)
+    often = _spread(seen.where("feature is not null and path = 0")).where(F.col("entropy") > least - 1e-9)
     told = often.join(_host_pages(seen).where(F.col("host_pages") >= least_pages), "host")
-    return told.where(1 - F.col("entropy") / F.log("host_pages") < least_importance).select("host", "feature")
+    importance = 1 - F.col("entropy") / F.log("host_pages")
+    return told.where(importance < least_importance).select("host", "feature", (importance < CONSTANT).alias("constant"))
 
 
 def style_tree(pages: DataFrame, host: Column) -> DataFrame:
@@ -336,7 +410,7 @@ def style_tree(pages: DataFrame, host: Column) -> DataFrame:
 
 
 def _importance(seen: DataFrame) -> DataFrame:
-    laid = seen.where("style is not null and path <> ''")
+    laid = seen.where("style is not null and path <> 0")
     layouts = laid.groupBy("host", "path", "style").agg(F.sum("pages").alias("pages"), F.max("main").alias("main"))
     p = F.col("pages").cast("double")
     shapes = layouts.groupBy("host", "path").agg(
@@ -344,7 +418,7 @@ def _importance(seen: DataFrame) -> DataFrame:
         F.max("main").alias("main"),
     )
     shapes = shapes.join(_host_pages(seen), "host", "left")
-    spread = _spread(seen.where("feature is not null and path <> ''"))
+    spread = _spread(seen.where("feature is not null and path <> 0"))
     content = spread.groupBy("host", "path").agg(F.avg("entropy").alias("entropy"), F.count(F.lit(1)).alias("texts"))
     on = shapes["host"].eqNullSafe(content["host"]) & (shapes["path"] == content["path"])
     both = shapes.join(content, on, "left").select(
@@ -369,15 +443,26 @@ def extracted(pages: DataFrame, least_pages: int = 5, least_importance: float =
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), HOST, 1))
     seen = stored(observations(pages, host), "tree")
-    low = _importance(seen).where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
-    low = low.select("host", "path", F.lit(None).cast("long").alias("feature"))
-    texts = repeated_texts(seen, least_pages, least_importance)
-    low = low.union(texts.select("host", F.lit(None).cast("string"), "feature")).groupBy("host")
-    removed = stored(low.agg(F.collect_set("path").alias("removed"), F.collect_set("feature").alias("repeated")), "removed")
+    large = F.col("host_pages") >= least_pages
+    trees = _host_pages(seen).select(F.col("host").alias("member"), F.when(large, F.col("host")).otherwise(F.lit(SMALL_HOSTS)).alias("tree"))
+    grown = seen.join(trees, F.col("host") == F.col("member")).withColumn("host", F.col("tree"))
+    grown = stored(grown.drop("tree"), "trees")
+    merged = grown.drop("member")
+    low = _importance(merged).where((F.col("pages") >= least_pages) & (F.col("importance") < least_importance))
+    texts = repeated_texts(merged, least_pages, least_importance)
+    # Back to the members of a tree, with what they have themselves.
+    branches = grown.where("style is not null and path <> 0").select("host", "member", "path").distinct().join(low.select("host", "path"), ["host", "path"])
+    features = grown.where("feature is not null and path = 0").select("host", "member", "feature").distinct().join(texts, ["host", "feature"])
+    nothing = F.lit(None).cast("long")
+    both = branches.select("member", "path", nothing.alias("feature"), nothing.alias("constant")).union(
+        features.select("member", nothing, "feature", F.when(F.col("constant"), F.col("feature")))
+    )
+    removed = both.groupBy("member").agg(*[F.collect_set(c).alias(n) for c, n in (("path", "removed"), ("feature", "repeated"), ("constant", "constant"))])
+    removed = stored(removed, "removed")
 
     @F.pandas_udf("string")
-    def text(sources: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for source, branches, texts in sources:
+    def text(sources: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for source, *lists in sources:
             sets: dict[bytes, frozenset[int]] = {}
 
             def hashes(found: np.ndarray | None, sets: dict = sets) -> frozenset[int]:
@@ -388,15 +473,9 @@ def extracted(pages: DataFrame, least_pages: int = 5, least_importance: float =
                     sets[name] = frozenset(found.tolist())
                 return sets[name]
 
-            yield pd.Series(
-                [
-                    main_text(s, () if b is None else list(b), hashes(t))
-                    for s, b, t in zip(source, branches, texts, strict=True)
-                ],
-                dtype=object,
-            )
+            yield pd.Series([main_text(s, *map(hashes, told)) for s, *told in zip(source, *lists, strict=True)], dtype=object)
 
     given = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host.alias("__host"))
-    joined = given.join(removed.withColumnRenamed("host", "__known"), F.col("__host") == F.col("__known"), "left")
-    out = joined.select("page_id", "url", text("html", "removed", "repeated").alias("text"))
+    joined = given.join(removed, F.col("__host") == F.col("member"), "left")
+    out = joined.select("page_id", "url", text("html", "removed", "repeated", "constant").alias("text"))
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

@@ -2,8 +2,10 @@
 
 import datetime as dt
 import html
+import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -123,7 +125,94 @@ def test_tree_removes_what_pages_of_a_host_share(spark):
     assert style_tree.extracted(df.where("false")).count() == 0
     host = F.regexp_extract("url", style_tree.HOST, 1)
     tree = {r.path: r.importance for r in style_tree.style_tree(df.where("url like '%big%'"), host).collect()}
-    assert tree[">div.top"] < 0.1 and tree[">div.story"] > 0.5 and tree[">div.low"] < 0.1
+    top, story, low = (tree[style_tree.path_of((n,))] for n in ("div.top", "div.story", "div.low"))
+    assert top < 0.1 and story > 0.5 and low < 0.1
+
+
+def test_copies_of_an_article_stay(spark):
+    body = "".join(f"<p>Shared paragraph {n} of the story, with its own words.</p>" for n in range(5))
+
+    def page(k):
+        own = f"{body}<p>Line {k}</p>" if k < 6 else f"<p>A story of its own, number {k}.</p><p>It goes on, {k * 3}.</p>"
+        return own
+
+    for wrap in ("article", "div"):
+        html_of = lambda k: f"<body><p>Top of the site</p><{wrap}>{page(k)}</{wrap}></body>"  # noqa: B023, E731
+        df = spark.createDataFrame([(k, f"http://h.example/{k}", html_of(k)) for k in range(10)], "page_id long, url string, html string")
+        got = {r.page_id: r.text for r in style_tree.extracted(df).collect()}
+        for k in range(10):
+            assert got[k] == "\n".join(re.findall("<p>(.*?)</p>", page(k)))
+
+
+def test_small_hosts_share_a_tree(spark):
+    def page(host, k):
+        return f"<body><article><h1>Title {host} {k}</h1><p>Words of page {k} of {host}, {k * 31}.</p><p>All rights reserved</p></article></body>"
+
+    rows = [(10 * h + k, f"http://h{h}.example/{k}", page(h, k)) for h in range(5) for k in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in style_tree.extracted(df).collect()}
+    assert got[23] == "Title 2 3\nWords of page 3 of 2, 93." and len(got) == 20
+
+
+def test_all_class_names_tell_a_branch(spark):
+    rows = [(k, f"http://h.example/{k}", f"<div class='a b c d {'z' if k % 2 else 'y'}'><p>x{k}</p></div>") for k in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    tree = {r.path: r.pages for r in style_tree.style_tree(df, F.lit("h")).collect()}
+    assert tree[style_tree.path_of(["div.a.b.c.d.z"])] == 3 and tree[style_tree.path_of(["div.a.b.c.d.y"])] == 3
+
+
+@pytest.mark.parametrize("kind", ["div", "sidebar", "text", "stray", "p"])
+def test_deep_pages_take_linear_time(kind):
+    n = 50_000
+    source = {
+        "div": "<div>" * n + "deep", "sidebar": "<div class='sidebar'>" * n + "deep", "text": "<div>a" * n, "p": "<p><b>" * n,
+        "stray": "<div>" * n + "</span>" * n + "deep",
+    }[kind]
+    start = time.process_time()
+    blocks, layouts = style_tree.parsed(source)
+    assert time.process_time() - start < 5 and all(len(b.trail) < 100 for b in blocks)
+    assert len(blocks) == (n if kind == "text" else 0 if kind == "p" else 1)
+
+
+def test_importance_equals_a_plain_tree(spark):
+    rnd = random.Random(3)
+    texts = ["Home", "About us", "All rights", "Read on"]
+
+    def part(depth):
+        name = rnd.choice(["div", "div class='a'", "section", "article"])
+        inner = "".join(part(depth + 1) if depth < 3 and rnd.random() < 0.5 else f"<p>{rnd.choice([*texts, str(rnd.random())])}</p>" for _ in range(rnd.randint(0, 3)))
+        return f"<{name}>{inner}</{name.split()[0]}>"
+
+    pages = ["<body>" + "".join(part(0) for _ in range(rnd.randint(1, 3))) + "</body>" for _ in range(25)]
+    spread, shapes, mains = defaultdict(lambda: defaultdict(Counter)), defaultdict(Counter), defaultdict(bool)
+    for k, page in enumerate(pages):
+        blocks, layouts = style_tree.parsed(page)
+        for b in blocks:
+            for branch in b.trail:
+                spread[branch][b.text][k] += 1
+        own = defaultdict(list)
+        for path, children, main in layouts:
+            own[path].append(children)
+            mains[path] |= main
+        for path, found in own.items():
+            shapes[path]["|".join(found)] += 1
+
+    def entropy(counts):
+        total = sum(counts)
+        return -sum(c / total * math.log(c / total) for c in counts)
+
+    whole = sum(bool(style_tree.parsed(p)[0]) for p in pages)
+    want = {}
+    for path, styles in shapes.items():
+        m = sum(styles.values())
+        found = [entropy(c.values()) for c in spread[path].values()]
+        told = max(0.0, 1 - (sum(found) / len(found) if found else 0.0) / math.log(max(whole if mains[path] else m, m, 2)))
+        layout, left = min(entropy(styles.values()) / math.log(max(m, 2)), 1.0), 0.9 ** len(found)
+        want[path] = left * layout + (1 - left) * told if m > 1 else 1.0
+    df = spark.createDataFrame([(k, "http://h.example/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.path: r.importance for r in style_tree.style_tree(df.repartition(4), F.lit("h")).collect()}
+    assert got.keys() == want.keys() and len(want) > 20
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in want)
 
 
 @pytest.mark.parametrize(
