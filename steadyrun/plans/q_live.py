@@ -4,26 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from steadyrun.functions.spread import join_groups
 from steadyrun.operators import stability
 from steadyrun.plans.common import LOG_ORDER, sql
 from steadyrun.plans.q_answers import OUT_TOKENS, PARTS, chat_lines
 from steadyrun.plans.q_stability import BY, RATES, rates
-from steadyrun.sources.scratch import shared_dir
+from steadyrun.sources.scratch import shared_dir, stored
 from steadyrun.sources.tables import view
 from steadyrun.streaming import live
 
 QUERIES = {}
 
 
-def log_stream(spark, sf):
-    """The log as it would arrive: four files in order of the log's days, one micro-batch each.
+def as_stream(df, order, files):
+    """``df`` as it would arrive: ``files`` files in the given order, one micro-batch each."""
+    path = shared_dir(df.sparkSession, "arriving")
+    df.repartitionByRange(files, order).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
 
-    Copies of an attempt are logged on different days, so they come in different micro-batches.
-    """
-    log = stability.with_labels(view(spark, sf, "v_trial_log"))
-    path = shared_dir(spark, "log")
-    log.repartitionByRange(4, "logged_at").write.parquet(path)
-    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def log_stream(spark, sf):
+    """The log by its days; copies of an attempt are logged on different days, so in different micro-batches."""
+    return as_stream(stability.with_labels(view(spark, sf, "v_trial_log")), "logged_at", 4)
 
 
 QUERIES["stream_stability"] = (
@@ -31,11 +33,14 @@ QUERIES["stream_stability"] = (
     sql(f"select model_name, strategy, {RATES} from cells group by model_name, strategy"),
 )
 QUERIES["stream_dedupe"] = (
-    lambda spark, sf: live.dedupe_intake(log_stream(spark, sf)).select(*stability.TRIAL_KEY),
+    # Copies of an attempt may be logged years apart.
+    lambda spark, sf: live.dedupe_intake(log_stream(spark, sf), event_time="logged_at", delay="3000 days").select(
+        *stability.TRIAL_KEY
+    ),
     sql("select distinct model_name, problem_id, strategy, trial_index from log"),
 )
 QUERIES["stream_job_state"] = (
-    lambda spark, sf: live.live_job_state(view(spark, sf, "v_job_state", streams=["events"])),
+    lambda spark, sf: live.live_job_state(as_stream(view(spark, sf, "v_job_state"), "ts", 6)),
     sql("""select model_id, prompt_type, status, normalized_exists from (
   select *, row_number() over (partition by model_id, prompt_type order by ts desc, event_id desc) as rn from v_job_state) t
 where rn = 1"""),
@@ -55,7 +60,7 @@ QUERIES["stream_collect"] = (
 from v_answers a join (select custom_id, problem_id, prompt_type, trial_index from v_manifest) m on a.custom_id = m.custom_id"""),
 )
 QUERIES["stream_failure_runs"] = (
-    lambda spark, sf: live.live_failure_runs(view(spark, sf, "v_submissions", streams=["events"]), threshold=5),
+    lambda spark, sf: live.live_failure_runs(as_stream(view(spark, sf, "v_submissions"), "ts", 3), threshold=5),
     sql("""with c as (select *, sum(case when submission_id is not null then 1 else 0 end)
        over (partition by account order by ts, event_id rows unbounded preceding) as island
      from v_submissions where has_code),
@@ -63,3 +68,59 @@ f as (select account, event_id, row_number() over (partition by account, island
       from c where submission_id is null)
 select account, event_id from f where k = 5"""),
 )
+
+
+def latencies_live(spark, sf):
+    """Percentiles of all logged latencies from sketches, and whether their ranks are within the stated bound."""
+    probs = {"p50": 0.5, "p90": 0.9}
+    log = stability.with_labels(view(spark, sf, "v_trial_log")).where("latency_ms <> 0").select(*BY, "logged_at", "latency_ms")
+    found = stored(live.live_percentiles(as_stream(log, "logged_at", 4), BY, "latency_ms", probs, k=512), "percentiles")
+    counts = [
+        F.avg(F.when(F.col("latency_ms") < F.col(p), 1.0).otherwise(0.0)).alias(f"{p}_below") for p in probs
+    ] + [F.avg(F.when(F.col("latency_ms") <= F.col(p), 1.0).otherwise(0.0)).alias(f"{p}_upto") for p in probs]
+    ranks = join_groups(log, found, BY).groupBy(*BY, "n").agg(*counts)
+    bound = live.rank_error(512)
+    return ranks.select(
+        *BY, "n",
+        *[((F.col(f"{p}_below") <= share + bound) & (F.col(f"{p}_upto") >= share - bound)).alias(f"{p}_within") for p, share in probs.items()],
+    )
+
+
+QUERIES["stream_latency"] = (
+    latencies_live,
+    sql("""select model_name, strategy, count(*) as n, true as p50_within, true as p90_within
+from log where latency_ms <> 0 group by model_name, strategy"""),
+)
+
+
+START = 1_700_000_000
+
+
+def arrivals(spark, sf):
+    """Answers arrive a second apart, from a fixed time on."""
+    at = F.timestamp_seconds(F.col("doc_id") + START).alias("at")
+    return view(spark, sf, "v_answers").select("custom_id", "model_id", "prompt_type", at)
+
+
+def job_events(spark, sf):
+    """Each job runs from its first answer; all but one kind complete when nine tenths of the seconds are over."""
+    ends = F.floor((F.max("at").cast("long") - START) * 9 / 10) + START
+    jobs = arrivals(spark, sf).groupBy("model_id", "prompt_type").agg(F.min("at").alias("first"), F.timestamp_seconds(ends).alias("last"))
+    lost = (F.col("model_id") == "gpt-4o") & (F.col("prompt_type") == "minimal")
+    end = F.when(lost, "failed").otherwise("completed")
+    events = F.array(
+        F.struct(F.lit("in_progress").alias("status"), F.col("first").alias("at")), F.struct(end.alias("status"), F.col("last").alias("at"))
+    )
+    return jobs.select("model_id", "prompt_type", F.inline(events))
+
+
+QUERIES["stream_collect_finished"] = (
+    lambda spark, sf: live.live_collect_finished(
+        as_stream(arrivals(spark, sf), "at", 3), as_stream(job_events(spark, sf), "at", 2)
+    ).select("custom_id", "model_id", "late"),
+    sql("""with jobs as (
+  select model_id, prompt_type, max(doc_id) * 9 // 10 as done from v_answers group by model_id, prompt_type)
+select distinct a.custom_id, a.model_id, a.doc_id > j.done as late
+from v_answers a join jobs j on a.model_id = j.model_id and a.prompt_type = j.prompt_type
+where not (a.model_id = 'gpt-4o' and a.prompt_type = 'minimal')"""),
+)

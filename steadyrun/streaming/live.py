@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from steadyrun.operators import answers, crossrun, stability
+from steadyrun.functions.spread import running_totals
+from steadyrun.operators import answers, stability
 from steadyrun.sources.scratch import shared_dir
 
 
@@ -32,21 +34,50 @@ def _prepare(stream: DataFrame, path: str) -> None:
     empty.write.mode("overwrite").parquet(f"{path}/batch=-1")
 
 
-def upsert(stream: DataFrame, key: Sequence[str], path: str) -> DataFrame:
-    """Latest row per key of an update-mode stream."""
+def _latest(changes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The row of the last micro-batch of each key, with its number."""
+    rest = [c for c in changes.columns if c not in key and c != "batch"]
+    last = F.max_by(F.struct("batch", *rest), "batch").alias("last")
+    return changes.groupBy(*key).agg(last).select(*key, "last.*")
+
+
+def upsert(stream: DataFrame, key: Sequence[str], path: str, slots: int = 4) -> DataFrame:
+    """Latest row per key of an update-mode stream.
+
+    Changes of a micro-batch are written to one of ``slots`` folders in turn, and every ``slots`` micro-batches they
+    are folded into a snapshot, in one of two folders in turn. So the disk holds two snapshots and the changes of
+    ``slots`` micro-batches, however many there were. Rows carry the number of their micro-batch and the last one
+    counts, so it does no harm that a folder is read both before and after folding. A replayed micro-batch writes
+    the same folders again from what those before it left.
+    """
     spark = stream.sparkSession
-    _prepare(stream, f"{path}/changes")
+    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
+    parts = [f"{path}/changes/slot={k}" for k in range(slots)] + [f"{path}/snapshot/side={k}" for k in range(2)]
+    nothing = spark.createDataFrame([], schema)
+    for part in parts:
+        # Those of an earlier run of the same stream stay.
+        nothing.write.mode("ignore").parquet(part)
+
+    def held(*chosen: str) -> DataFrame:
+        return _latest(spark.read.schema(schema).parquet(*chosen), key)
 
     def handle(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/changes/batch={batch}")
+        rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(parts[batch % slots])
+        if batch % slots == slots - 1:
+            side = batch // slots % 2
+            held(*parts[:slots], parts[slots + 1 - side]).write.mode("overwrite").parquet(parts[slots + side])
 
     _drain(stream, path, "update", handle)
-    changes = spark.read.parquet(f"{path}/changes")
-    return stability.first_per_key(changes, key, [F.desc("batch")]).drop("batch")
+    return held(*parts).drop("batch")
 
 
 def append(stream: DataFrame, path: str) -> DataFrame:
     """All rows of an append-mode stream."""
+    return appended(stream, path).drop("batch")
+
+
+def appended(stream: DataFrame, path: str) -> DataFrame:
+    """All rows of an append-mode stream, with the number of the micro-batch that brought them."""
     spark = stream.sparkSession
     _prepare(stream, f"{path}/rows")
 
@@ -54,7 +85,7 @@ def append(stream: DataFrame, path: str) -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
 
     _drain(stream, path, "append", handle)
-    return spark.read.parquet(f"{path}/rows").drop("batch")
+    return spark.read.parquet(f"{path}/rows")
 
 
 def live_cells(trials: DataFrame, order: Sequence[str], path: str | None = None) -> DataFrame:
@@ -70,6 +101,27 @@ def live_cells(trials: DataFrame, order: Sequence[str], path: str | None = None)
     return stability.cells(attempts.select(*stability.TRIAL_KEY, *[F.col(f"first.{c}").alias(c) for c in kept]))
 
 
+def rank_error(k: int) -> float:
+    """How far the rank of a quantile from a sketch of size ``k`` may be off, as a share of all ranks: three times
+    what a KLL sketch keeps in 99 of 100 cases. Groups of fewer than ``k`` values are exact."""
+    return 3 * 2.446 / k**0.9433
+
+
+def live_percentiles(
+    rows: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], k: int = 1024, path: str | None = None
+) -> DataFrame:
+    """Percentiles of ``value`` per group as rows arrive, within ``rank_error(k)``; nulls are dropped.
+
+    The state of a group is one mergeable KLL sketch, whose size depends on ``k`` and hardly on the rows. Copies of
+    a row count again.
+    """
+    path = path or shared_dir(rows.sparkSession, "live-percentiles")
+    sketch = F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch")
+    held = upsert(rows.where(F.col(value).isNotNull()).groupBy(*by).agg(sketch), by, path)
+    values = [F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in probs.items()]
+    return held.select(*by, F.kll_sketch_get_n_double("sketch").alias("n"), *values)
+
+
 def dedupe_intake(
     trials: DataFrame, path: str | None = None, event_time: str | None = None, delay: str = "7 days"
 ) -> DataFrame:
@@ -101,65 +153,136 @@ def live_collect(lines: DataFrame, manifest: DataFrame, path: str | None = None)
     return append(parsed.join(manifest, "custom_id"), path)
 
 
-def live_failure_runs(submissions: DataFrame, threshold: int = 10, path: str | None = None) -> DataFrame:
+def live_collect_finished(
+    arrivals: DataFrame, states: DataFrame, path: str | None = None,
+    longest: str = "30 days", grace: str = "7 days", delay: str = "7 days",
+) -> DataFrame:
+    """Answers of jobs that are completed, with done_at, when that was, and ``late``: whether they came after it.
+
+    ``arrivals`` has model_id, prompt_type, custom_id and at; ``states`` has model_id, prompt_type, status and at.
+    Answers of jobs that never complete are not there. Both streams wait for each other: an answer for a completion
+    up to ``longest`` after it, a completion for answers up to ``grace`` after it; state older than that and the
+    watermarks' ``delay`` is dropped. A job completed again later keeps its first completion; an answer with the
+    same columns that arrives again counts once.
+    """
+    path = path or shared_dir(arrivals.sparkSession, "live-finished")
+    came = arrivals.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", delay)
+    done = states.where("status = 'completed'").select(
+        F.col("model_id").alias("__model"), F.col("prompt_type").alias("__prompt"), F.col("at").cast("timestamp").alias("done_at")
+    ).withWatermark("done_at", delay)
+    met = came.join(
+        done,
+        (F.col("model_id") == F.col("__model")) & (F.col("prompt_type") == F.col("__prompt"))
+        & F.expr(f"at >= done_at - interval {longest} and at <= done_at + interval {grace}"),
+    ).drop("__model", "__prompt")
+    first = append(met, path).groupBy(*arrivals.columns).agg(F.min("done_at").alias("done_at"))
+    return first.withColumn("late", F.col("at") > F.col("done_at"))
+
+
+RUN_STATE = "open boolean, lead bigint, trail bigint"
+RUN_EVENTS = (
+    "account bigint, span bigint, kind string, event_id bigint, place bigint, open boolean, lead bigint, trail bigint"
+)
+
+
+def _run_processor(threshold: int, span_seconds: int):
+    """A processor of (account, span): made here, so that it travels by value."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Runs(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.run = handle.getValueState("run", RUN_STATE)
+
+        def handleInputRows(self, key, rows, timers):
+            import pandas as pd
+
+            (account, span), part = key, pd.concat(list(rows))
+            part = part.sort_values(["ts", "event_id"])
+            known = self.run.exists()
+            open_, lead, trail = self.run.get() if known else (True, 0, 0)
+            out = []
+            for event, submitted in zip(part["event_id"].tolist(), part["submission_id"].notna().tolist()):
+                if submitted:
+                    open_, trail = False, 0
+                    continue
+                trail += 1
+                lead += open_
+                if open_ and lead <= threshold:
+                    out.append((account, span, "leading", event, lead, None, None, None))
+                elif not open_ and trail == threshold:
+                    out.append((account, span, "breach", event, trail, None, None, None))
+            self.run.update((open_, lead, trail))
+            if not known:
+                # Until the watermark passes the end of the span.
+                self.handle.registerTimer((span + 1) * span_seconds * 1000)
+            out.append((account, span, "span", None, None, open_, lead, trail))
+            names = ["account", "span", "kind", "event_id", "place", "open", "lead", "trail"]
+            frame = pd.DataFrame(out, columns=names)
+            counts = ["account", "span", "event_id", "place", "lead", "trail"]
+            yield frame.astype({**{c: "Int64" for c in counts}, "open": "boolean"})
+
+        def handleExpiredTimer(self, key, timers, info):
+            import pandas as pd
+
+            self.run.clear()
+            yield pd.DataFrame()
+
+        def close(self) -> None:
+            pass
+
+    return Runs()
+
+
+def live_failure_runs(
+    submissions: DataFrame, threshold: int = 10, path: str | None = None, span_seconds: int = 3600, delay: str = "30 days"
+) -> DataFrame:
     """The attempt at which an account's run of failures reaches the threshold.
 
-    Each micro-batch is folded with the distributed running totals of the batch operator. What is
-    carried on is one row per account, the length of its open run, kept as a table per micro-batch:
-    batch n reads the state of batch n - 1, so a replay gives the same result. Attempts of a later
-    micro-batch are taken to be later.
+    A state processor keeps, per account and span of time, whether it had a success yet, the failures before the
+    first and those after the last one; so an account with most of the attempts is many keys. It tells breaches
+    within a span at once. The failures a span begins with are told with their place, ``threshold`` of them at
+    most, as they may go on a run of the spans before; that is settled by one pass over the spans' short rows.
+
+    State is three numbers a span, dropped when the watermark (``delay`` behind the latest attempt) passes the
+    span's end; attempts later than that are left out. Attempts that a later micro-batch brings for a span count
+    as later than those it had. The state store must be RocksDB; it is set for this query.
     """
     spark = submissions.sparkSession
     path = path or shared_dir(spark, "live-failures")
-
-    for name, schema in (
-        ("state", "account bigint, open_run bigint"),
-        ("breaches", "account bigint, event_id bigint"),
-    ):
-        empty = spark.createDataFrame([], schema)
-        empty.write.mode("overwrite").parquet(f"{path}/{name}/batch=-1")
-
-    def state_at(batch: int) -> DataFrame:
-        return spark.read.parquet(f"{path}/state/batch={batch}")
-
-    def handle(rows: DataFrame, batch: int) -> None:
-        fold_failures(spark, rows, state_at(batch - 1), threshold, path, batch)
-
-    _drain(submissions, path, "append", handle)
-    return spark.read.parquet(f"{path}/breaches").drop("batch")
-
-
-def fold_failures(
-    spark: SparkSession, rows: DataFrame, state: DataFrame, threshold: int, path: str, batch: int
-) -> None:
-    # Written once: the failed attempts feed several branches, and the micro-batch is read twice at most.
-    tried = rows.where("has_code").withColumn("account", F.col("account").cast("bigint"))
-    folded = f"{path}/folded/batch={batch}"
-    crossrun.failed_attempts(tried).write.mode("overwrite").parquet(folded)
-    failed = spark.read.parquet(folded)
-    # A run with no success before it in this micro-batch goes on from the open run.
-    runs = failed.groupBy("account", "successes_before").agg(
-        F.count(F.lit(1)).alias("length"), F.min("failure_no").alias("first_no")
-    )
-    runs = runs.join(state, "account", "left").withColumn(
-        "carried",
-        F.when(F.col("successes_before") == 0, F.coalesce("open_run", F.lit(0))).otherwise(F.lit(0)),
+    tried = submissions.where("has_code").select(
+        F.col("account").cast("bigint").alias("account"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").cast("bigint").alias("event_id"), F.col("submission_id").cast("bigint").alias("submission_id"),
+    ).withWatermark("ts", delay)
+    span = F.floor(F.unix_seconds("ts") / span_seconds).alias("span")
+    told = tried.withColumn("span", span).groupBy("account", "span").transformWithStateInPandas(
+        _run_processor(threshold, span_seconds), RUN_EVENTS, "Append", "EventTime"
     )
-    reached = runs.where(
-        (F.col("carried") < threshold) & (F.col("carried") + F.col("length") >= threshold)
-    ).select("account", (F.col("first_no") + threshold - 1 - F.col("carried")).alias("failure_no"))
-    breaches = failed.join(reached, ["account", "failure_no"]).select("account", "event_id")
-    breaches.write.mode("overwrite").parquet(f"{path}/breaches/batch={batch}")
-
-    successes = tried.groupBy("account").agg(
-        F.count_if(F.col("submission_id").isNotNull()).alias("successes")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = appended(told, path)
+    finally:
+        spark.conf.set(name, before)
+    return settled_breaches(rows, threshold)
+
+
+def settled_breaches(rows: DataFrame, threshold: int) -> DataFrame:
+    """(account, event_id) of all breaches, from what the processor told, with ``batch``."""
+    spans = rows.where("kind = 'span'").groupBy("account", "span").agg(
+        F.max_by(F.struct("open", "lead", "trail"), "batch").alias("last")
+    ).select("account", "span", "last.*")
+    # A run goes on over spans without a success; it starts with what the last one with a success left over.
+    closed = F.when(F.col("open"), 0).otherwise(1).cast("bigint")
+    order = [F.col("span")]
+    told = running_totals(spans, ["account"], order, {"closed": closed, "failed": F.when(F.col("open"), F.col("lead")).otherwise(0)})
+    at = told.withColumn("closed_before", F.col("closed") - closed).withColumn("failed_before", F.col("failed") - F.when(F.col("open"), F.col("lead")).otherwise(0))
+    starts = at.where(~F.col("open")).select("account", F.col("closed").alias("closed_before"), "trail", F.col("failed").alias("base"))
+    carried = at.select("account", "span", "closed_before", "failed_before").join(starts, ["account", "closed_before"], "left")
+    carried = carried.select(
+        "account", "span", (F.coalesce("trail", F.lit(0)) + F.col("failed_before") - F.coalesce("base", F.lit(0))).alias("carried")
     )
-    last_run = runs.select("account", "successes_before", (F.col("carried") + F.col("length")).alias("open"))
-    touched = successes.join(
-        last_run,
-        (successes["account"] == last_run["account"])
-        & (successes["successes"] == last_run["successes_before"]),
-        "left",
-    ).select(successes["account"], F.coalesce("open", F.lit(0)).alias("open_run"))
-    untouched = state.join(successes, "account", "left_anti").select("account", "open_run")
-    touched.unionByName(untouched).write.mode("overwrite").parquet(f"{path}/state/batch={batch}")
+    leading = rows.where("kind = 'leading'").join(carried, ["account", "span"])
+    reached = leading.where(F.col("carried") + F.col("place") == threshold).select("account", "event_id")
+    return reached.union(rows.where("kind = 'breach'").select("account", "event_id"))

@@ -93,6 +93,63 @@ def test_collect(spark, sf, split):
     assert got.count() == batch.count() and got.select("custom_id").distinct().count() == batch.count()
 
 
+def test_disk_and_replay_of_upserts(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    schema = "k int, v int"
+
+    def arrive(lo, hi):
+        for n in range(lo, hi):
+            part = str(tmp_path / f"part{n}")
+            spark.createDataFrame([(k, n) for k in range(50) if n == 0 or k % 10 == n % 10], schema).coalesce(1).write.parquet(part)
+            name = next(f for f in os.listdir(part) if f.endswith(".parquet"))
+            shutil.copy(os.path.join(part, name), source / f"{n:03d}.parquet")
+            os.utime(source / f"{n:03d}.parquet", (1000 + n, 1000 + n))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        return live.upsert(stream.groupBy("k").agg(F.max("v").alias("v"), F.count(F.lit(1)).alias("n")), ["k"], out)
+
+    def want(files):
+        held = {k: [n for n in range(files) if n == 0 or k % 10 == n % 10] for k in range(50)}
+        return sorted((k, max(v), len(v)) for k, v in held.items())
+
+    assert rows(arrive(0, 9), "k", "v", "n") == want(9)
+    # The stream goes on from where it was; its last micro-batch, folded already, is written again.
+    assert rows(arrive(9, 20), "k", "v", "n") == want(20)
+    on_disk = sum(spark.read.parquet(f"{out}/{d}").count() for d in ("changes", "snapshot"))
+    assert on_disk <= 2 * 50 + 4 * 50
+    os.remove(f"{out}/checkpoint/commits/19")
+    crc = f"{out}/checkpoint/commits/.19.crc"
+    if os.path.exists(crc):
+        os.remove(crc)
+    assert rows(arrive(20, 20), "k", "v", "n") == want(20)
+
+
+def test_percentiles_from_sketches(spark, split):
+    import random
+
+    rng = random.Random(4)
+    data = [(rng.choice(["a", "a", "a", None]), i, rng.choice([None, rng.lognormvariate(0, 2)])) for i in range(9000)]
+    stream, _ = split(spark.createDataFrame(data, "g string, i int, v double"), "i", 5)
+    got = {r.g: r for r in live.live_percentiles(stream, ["g"], "v", {"p10": 0.1, "p90": 0.9}, k=256).collect()}
+    for g in ("a", None):
+        values = sorted(v for h, _, v in data if h == g and v is not None)
+        assert got[g].n == len(values)
+        for name, p in (("p10", 0.1), ("p90", 0.9)):
+            rank = sum(v <= got[g][name] for v in values) / len(values)
+            assert abs(rank - p) <= live.rank_error(256)
+
+
+def test_answers_of_finished_jobs(spark, split):
+    answers = [(f"a{n}", ["x", "y", "z"][n % 3], "minimal", 100 + n) for n in range(30)]
+    events = [("x", "minimal", "completed", 115), ("x", "minimal", "completed", 500), ("y", "minimal", "failed", 110), ("z", "minimal", "in_progress", 90)]
+    a = spark.createDataFrame(answers, "custom_id string, model_id string, prompt_type string, s long").withColumn("at", F.timestamp_seconds("s"))
+    e = spark.createDataFrame(events, "model_id string, prompt_type string, status string, s long").withColumn("at", F.timestamp_seconds("s"))
+    came, _ = split(a, "at", 3)
+    states, _ = split(e.drop("s"), "at", 2)
+    got = rows(live.live_collect_finished(came, states), "custom_id", "late")
+    assert got == sorted((i, s > 115) for i, m, _, s in answers if m == "x")
+
+
 def test_no_input(spark, tmp_path):
     schema = "model_id string, prompt_type string, event_id bigint, ts timestamp, status string, normalized_exists boolean"
     stream = spark.readStream.schema(schema).parquet(str(tmp_path))
