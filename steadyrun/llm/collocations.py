@@ -37,7 +37,7 @@ PIECES = re.compile(rb"[^.,;:!?\n-\r]+")
 #: The field of frequent pairs has 2^26 bits, 8 MB, at every size.
 FIELD_BITS = 26
 KEYS = 1 << 22
-HELD = 800_000
+HELD = 500_000
 STRETCH = 1 << 16
 ODD = np.uint64(0x9E3779B97F4A7C15)
 COUNTED = "lang string, phrase string, n long"
@@ -142,7 +142,7 @@ def counted_windows(docs: DataFrame, shared: Broadcast, most: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
+        field = np.frombuffer(shared.value, np.uint8)
         hashes, counts, held = Hashes(), {}, 0
 
         def emptied() -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,8 @@ def counted_windows(docs: DataFrame, shared: Broadcast, most: int) -> DataFrame:
                 before = len(counter)
                 for words, inner in stretches(text.lower()):
                     places = pair_keys(lang, hashes.of(words)) >> np.uint64(64 - FIELD_BITS)
-                    counter.update(windows(words, inner & field[places], most))
+                    known = (field[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8)) & 1
+                    counter.update(windows(words, inner & (known == 1), most))
                 held += len(counter) - before
                 if held > HELD:
                     yield from emptied()
