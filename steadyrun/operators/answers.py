@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from steadyrun.functions.spread import join_groups
 from steadyrun.functions import codetext, labels
+from steadyrun.functions.spread import join_groups, positions
 from steadyrun.operators.requests import CODE_TOOL
 from steadyrun.operators.stability import first_per_key
 from steadyrun.sources import schemas
@@ -296,20 +296,35 @@ def join_manifest(manifest: DataFrame, generations: DataFrame) -> DataFrame:
     return joined.withColumn("custom_id", checked).drop("__found")
 
 
-def assemble_items(joined: DataFrame, by: Sequence[str], attempt: Sequence[str]) -> DataFrame:
-    """One row per problem with both prompts' attempts in trial order.
+def assemble_items(joined: DataFrame, by: Sequence[str], attempt: Sequence[str], size: int = 1000) -> DataFrame:
+    """Both prompts' attempts of each problem in trial order, in rows of at most ``size`` attempts a prompt.
 
-    The arrays hold the repeated runs of one problem, as the judge takes them.
+    ``chunk`` numbers a problem's rows from 0; the attempts of a prompt fill one after the other. So a problem with
+    any number of attempts is in no single array, and no task has all of them. An attempt without a trial index
+    comes first.
     """
-    row = F.struct("trial_index", *attempt)
+    order = [F.col("trial_index"), *[F.col(c) for c in attempt]]
+    side = (F.col("prompt_type") == "detailed").alias("__detailed")
+    rows = joined.select(*by, side, "trial_index", *attempt)
+    placed = positions(rows, [*by, "__detailed"], order, "__at")
+    placed = placed.withColumn("chunk", F.floor((F.col("__at") - 1) / size))
+    row = F.struct("__at", F.struct("trial_index", *attempt).alias("attempt"))
 
-    def side(is_detailed: bool) -> Column:
-        wanted = (F.col("prompt_type") == "detailed") == F.lit(is_detailed)
-        return F.array_sort(F.collect_list(F.when(wanted, row)))
+    def arrays(is_detailed: bool) -> Column:
+        held = F.array_sort(F.collect_list(F.when(F.col("__detailed") == F.lit(is_detailed), row)))
+        return F.transform(held, lambda x: x["attempt"])
 
-    return joined.groupBy(*by).agg(
-        side(True).alias("with_prompt"), side(False).alias("without_prompt")
-    )
+    return placed.groupBy(*by, "chunk").agg(arrays(True).alias("with_prompt"), arrays(False).alias("without_prompt"))
+
+
+def flatten_items(items: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The attempts of assembled items again: by, prompt_type, trial_index and the attempt's fields."""
+
+    def side(column: str, prompt: str) -> DataFrame:
+        rows = items.select(*by, F.lit(prompt).alias("prompt_type"), F.explode(column).alias("__a"))
+        return rows.select(*by, "prompt_type", "__a.*")
+
+    return side("with_prompt", "detailed").unionByName(side("without_prompt", "minimal"))
 
 
 def verdicts(raw: DataFrame) -> DataFrame:

@@ -346,9 +346,9 @@ QUERIES["manifest_join"] = (
 
 
 def items(spark, sf):
-    built = ans.assemble_items(completed(spark, sf), ["model_id", "problem_id"], ["status"])
+    built = ans.assemble_items(completed(spark, sf), ["model_id", "problem_id"], ["status"], size=2)
     return built.select(
-        "model_id", "problem_id",
+        "model_id", "problem_id", "chunk",
         *[
             F.array_join(F.transform(c, lambda a: F.concat(a.trial_index.cast("string"), F.lit(":"), a.status)), ",").alias(c)
             for c in ("with_prompt", "without_prompt")
@@ -359,8 +359,9 @@ def items(spark, sf):
 _LISTED = "coalesce(string_agg(concat(cast(trial_index as varchar), ':', status), ',' order by trial_index) filter (where prompt_type = '{}'), '')"
 QUERIES["generated_items"] = (
     items,
-    sql(f"""select model_id, problem_id, {_LISTED.format('detailed')} as with_prompt, {_LISTED.format('minimal')} as without_prompt
-from finished group by model_id, problem_id"""),
+    sql(f"""select model_id, problem_id, chunk, {_LISTED.format('detailed')} as with_prompt, {_LISTED.format('minimal')} as without_prompt
+from (select *, (row_number() over (partition by model_id, problem_id, prompt_type order by trial_index, status) - 1) // 2 as chunk
+      from finished) f group by model_id, problem_id, chunk"""),
 )
 
 

@@ -8,7 +8,7 @@ from steadyrun.functions import labels
 from steadyrun.operators import crossrun, problems as prob, stability
 from steadyrun.plans.common import LOG_ORDER, sql, trial_log, trials
 from steadyrun.plans.q_report import problems
-from steadyrun.sources import readers, writers
+from steadyrun.sources import json_arrays, readers, schemas, writers
 from steadyrun.sources.scratch import shared_dir
 from steadyrun.sources.tables import table, view
 
@@ -64,8 +64,17 @@ def nested_results(spark, sf):
     return rows.join(p, "problem_id", "left")
 
 
+def results_read(spark, sf):
+    """The nested results written as JSON arrays, and read back in splits."""
+    path = shared_dir(spark, "results")
+    json_arrays.write_array(nested_results(spark, sf), path, [F.col("model_name"), F.col("problem_id")])
+    texts = json_arrays.elements(spark, [path])
+    kind = f"model_name string, {schemas.RESULTS}"
+    return texts.select(F.from_json("text", kind).alias("r")).select("r.*")
+
+
 QUERIES["results_flat"] = (
-    lambda spark, sf: readers.flatten_results(nested_results(spark, sf)).select(
+    lambda spark, sf: readers.flatten_results(results_read(spark, sf)).select(
         "model_name", "problem_id", "title", "difficulty", "topics", "prompt_type", "strategy", "trial_index",
         "status", "latency_ms", "input_tokens", "runtime_percentile", "memory_percentile",
     ),
@@ -83,8 +92,20 @@ QUERIES["retry_arrays"] = (
     sql("select * from retry"),
 )
 
+def problems_read(spark, sf):
+    """The problems written as JSON arrays in their order, and read back in splits."""
+    path = shared_dir(spark, "problems")
+    shown = problems(spark, sf).select(
+        F.col("backend_question_id").cast("string").alias("backend_question_id"),
+        F.col("frontend_question_id").cast("string").alias("frontend_question_id"),
+        "title", "title_slug", "difficulty", F.col("paid_only").alias("isPaidOnly"), "seq",
+    )
+    json_arrays.write_array(shown, path, [F.col("seq")])
+    return readers.read_problems(spark, path)
+
+
 QUERIES["problem_load"] = (
-    lambda spark, sf: prob.load_problems(problems(spark, sf), "medium", 500).select(
+    lambda spark, sf: prob.load_problems(problems_read(spark, sf), "medium", 500).select(
         "question_id", "frontend_question_id", "title_slug", "difficulty"
     ),
     sql("""select backend_question_id as question_id, frontend_question_id, title_slug, 'Medium' as difficulty
@@ -233,3 +254,56 @@ QUERIES["run_id"] = (
        concat('bedrock_batch_', {_STEM}, '_', substr(sha1(concat('/runs/', lang, '/', source, ' nr+', cast(doc_id as varchar), '.v2.json', chr(0), text)), 1, 10)) as run_id_with_path
 from documents""",
 )
+
+
+def trials_read(spark, sf):
+    """The log as JSON lines among bad ones, read back."""
+    path = shared_dir(spark, "trials")
+    log = view(spark, sf, "v_trial_log").select("model_name", "problem_id", "strategy", "trial_index", "status", "latency_ms")
+    line = F.to_json(F.struct(*log.columns))
+    cut = F.when(F.xxhash64(line) % 16 == 0, F.array(line, F.lit(""), F.substring(line, 1, 20))).otherwise(F.array(line))
+    log.select(F.explode(cut).alias("value")).write.text(path)
+    return readers.read_trials(spark, path).groupBy("model_name", "strategy", "status").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("latency_ms") > 0).alias("timed")
+    )
+
+
+QUERIES["trials_read"] = (
+    trials_read,
+    sql("""select model_name, strategy, status, count(*) as rows, count(*) filter (where latency_ms > 0) as timed
+from v_trial_log group by model_name, strategy, status"""),
+)
+
+
+def trial_table(spark, sf):
+    """Attempts written as a table laid out for its cells; one model's cells read from it."""
+    path = shared_dir(spark, "trial-table")
+    name = f"trial_table_{path.rsplit('-', 1)[-1]}"
+    writers.write_trial_table(trials(spark, sf).select(*stability.TRIAL_KEY, "accepted", "status"), name, path)
+    return stability.cells(spark.table(name).where("model_name = 'model-3'")).drop("latencies")
+
+
+QUERIES["trial_table"] = (
+    trial_table,
+    sql("select model_name, problem_id, strategy, n, a, first_pass, first_accepted from cells where model_name = 'model-3'"),
+)
+
+
+def saved_summaries(spark, sf):
+    """Summaries saved twice under their names, the second time those of one prompt only with new names for some."""
+    path = shared_dir(spark, "saved")
+    rows = view(spark, sf, "v_summaries").groupBy(F.concat("model_name", F.lit("_"), "prompt_type").alias("experiment_name")).agg(
+        F.max("run_level_pass_rate").alias("run_level_pass_rate"), F.count(F.lit(1)).alias("num_problems")
+    )
+    writers.save_summary(rows, path)
+    again = rows.where(F.endswith("experiment_name", F.lit("minimal"))).withColumn("num_problems", F.lit(0).cast("bigint"))
+    writers.save_summary(again, path)
+    return spark.read.parquet(path).select("experiment_name", "run_level_pass_rate", "num_problems")
+
+
+QUERIES["saved_summaries"] = (
+    saved_summaries,
+    sql("""select concat(model_name, '_', prompt_type) as experiment_name, max(run_level_pass_rate) as run_level_pass_rate,
+       case when prompt_type = 'minimal' then 0 else count(*) end as num_problems
+from v_summaries group by model_name, prompt_type"""),
+)

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from steadyrun.functions import labels
 from steadyrun.operators.stability import first_per_key
-from steadyrun.sources import schemas
+from steadyrun.sources import json_arrays, schemas
 
 _KINDS = {"string": StringType(), "int": IntegerType(), "bigint": LongType(), "double": DoubleType()}
 _TRIAL = StructType([StructField(n, _KINDS[t]) for n, t in (part.split() for part in schemas.TRIAL.split(","))])
@@ -96,24 +95,19 @@ def bad_fields(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def read_results(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Result files: a JSON array of problems with two arrays of attempts each."""
-    return spark.read.schema(schemas.RESULTS).option("multiLine", True).json(_paths(paths))
+    """Result files: a JSON array of problems with two arrays of attempts each. Large files are many tasks."""
+    found = json_arrays.elements(spark, _paths(paths))
+    return found.select(F.from_json("text", schemas.RESULTS).alias("r")).select("r.*")
 
 
 def read_problems(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Problem files with ``seq``: the place of the path among ``paths``, then the place in the file.
+    """Problem files with ``seq``: the place of the path among ``paths``, the file, then the place in the file.
 
-    A path is a file; of a directory's files the names decide. Feed to ``load_problems``.
+    Of a directory's files the names decide. Large files are many tasks. Feed to ``load_problems``.
     """
-    files = []
-    for k, path in enumerate(_paths(paths)):
-        read = spark.read.format("binaryFile").load(path)
-        files.append(read.select(F.lit(k).alias("__path"), "path", F.col("content").cast("string").alias("text")))
-    every = reduce(DataFrame.union, files)
-    listed = F.from_json("text", f"array<struct<{schemas.PROBLEM}>>")
-    rows = every.select("__path", "path", F.posexplode(listed).alias("__at", "p"))
-    seq = F.struct("__path", "path", "__at")
-    return rows.select("p.*", seq.alias("seq")).withColumnRenamed("isPaidOnly", "paid_only")
+    found = json_arrays.elements(spark, _paths(paths))
+    rows = found.select("seq", F.from_json("text", f"struct<{schemas.PROBLEM}>").alias("p"))
+    return rows.select("p.*", "seq").withColumnRenamed("isPaidOnly", "paid_only")
 
 
 def read_summaries(spark: SparkSession, dirs: str | Sequence[str]) -> DataFrame:

@@ -13,6 +13,19 @@ def write_trials(trials: DataFrame, path: str, fmt: str = "parquet") -> None:
     trials.write.mode("append").partitionBy("model_name").format(fmt).save(path)
 
 
+def write_trial_table(trials: DataFrame, name: str, path: str | None = None, buckets: int = 16) -> None:
+    """Append attempts to the table ``name``, one partition per model, in buckets of problem and strategy.
+
+    Cells of a model are then counted without moving an attempt, and a filter on the model reads its partition
+    only. ``path`` is where a new table lies (the warehouse, if not given). A bucket is written by up to eight
+    tasks, by the trial's index, as one cell may have many of all attempts.
+    """
+    salt = F.pmod(F.coalesce(F.col("trial_index"), F.lit(0)), F.lit(8))
+    out = trials.repartition(buckets, "problem_id", "strategy", salt).write.mode("append").format("parquet")
+    out = out.partitionBy("model_name").bucketBy(buckets, "problem_id", "strategy")
+    (out.option("path", path) if path else out).saveAsTable(name)
+
+
 def request_line(body: Column) -> Column:
     """One request as ASCII-only JSON."""
     return F.to_json(body, {"writeNonAsciiCharacterAsCodePoint": "true", "ignoreNullFields": "true"})

@@ -218,3 +218,19 @@ def test_ids(spark):
     row = spark.range(1).select(full.alias("i"), req.parse_custom_id(full).alias("m"), req.job_name(F.lit("r_1"), cols[0], cols[3], 12).alias("j")).first()
     assert row.i == "model=qwen_plus_1|problem=12|slug=two--sum_|prompt=detailed|trial=3"
     assert row.m["slug"] == "two--sum_" and row.j == "r-1-qwen-plu"
+
+
+def test_items_of_any_length(spark):
+    # One problem has most attempts; its chunks are bounded and flatten to what went in.
+    rows = [("m", "hot", ["detailed", "minimal"][k % 3 == 0], k // 2 if k % 11 else None, f"s{k}") for k in range(3000)]
+    rows += [("m", f"p{k}", "minimal", 0, "x") for k in range(5)] + [("m", None, "detailed", 1, "y")] * 2
+    df = spark.createDataFrame(rows, "model_id string, problem_id string, prompt_type string, trial_index int, status string").repartition(6)
+    items = ans.assemble_items(df, ["model_id", "problem_id"], ["status"], size=100)
+    found = items.collect()
+    assert max(max(len(r.with_prompt), len(r.without_prompt)) for r in found) == 100
+    hot = sorted((r for r in found if r.problem_id == "hot"), key=lambda r: r.chunk)
+    assert [r.chunk for r in hot] == list(range(len(hot))) and len(hot) == 20
+    indexes = [a.trial_index for r in hot for a in r.with_prompt]
+    assert indexes == sorted(indexes, key=lambda i: (i is not None, i or 0))
+    back = ans.flatten_items(items, ["model_id", "problem_id"]).select(*df.columns)
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))

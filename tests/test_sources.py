@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from steadyrun.operators import crossrun, problems as prob, stability
-from steadyrun.sources import readers, writers
+from steadyrun.sources import json_arrays, readers, writers
 from steadyrun.sources.scratch import shared_dir
 
 
@@ -65,6 +65,66 @@ def test_problem_order_follows_the_paths(spark, tmp_path):
         assert [r.question_id for r in rows.orderBy("seq").collect()] == want
 
 
+def test_a_file_of_an_array_is_many_tasks(spark, tmp_path):
+    odd = ['plain', 'brace } in { text', 'quote " and \\ and \\" }', "}\n{", "ünïcode }", "", "x" * 3000, '"}', "\\"]
+    rows = [{"problem_id": str(k), "title": odd[k % len(odd)], "topics": [odd[(k * 7) % len(odd)]] * (k % 3),
+             "with_prompt": [{"status": odd[(k + j) % len(odd)]} for j in range(k % 4)]} for k in range(400)]
+    forms = {"indented.json": json.dumps(rows, indent=2), "compact.json": json.dumps(rows, separators=(",", ":")), "empty.json": "[]", "blank.json": " \n"}
+    for name, text in forms.items():
+        put(tmp_path / "all" / name, text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        path = str(tmp_path / "all" / "indented.json")
+        assert spark.read.option("lineSep", "}").text(path).rdd.getNumPartitions() > 10
+        for ranges in (None, 23):
+            got = json_arrays.elements(spark, [path], ranges).orderBy("seq").collect()
+            assert [json.loads(r.text) for r in got] == rows
+        both = json_arrays.elements(spark, [str(tmp_path / "all")]).orderBy("seq").collect()
+        assert [json.loads(r.text) for r in both] == rows + rows
+        got = readers.read_results(spark, path).orderBy(F.col("problem_id").cast("int")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r.problem_id, r.title, r.topics, [a.status for a in r.with_prompt]) for r in got] == [
+        (r["problem_id"], r["title"], r["topics"], [a["status"] for a in r["with_prompt"]]) for r in rows
+    ]
+
+
+def test_bad_elements_of_arrays(spark, tmp_path):
+    path = put(tmp_path / "x.json", '[{"problem_id": "1"}, {"problem_id": bad}, {"problem_id": "3", "title": "t}"}, {"problem_id": "4", "title": {"a')
+    assert [r.problem_id for r in readers.read_results(spark, path).collect()] == ["1", "3"]
+    assert readers.read_problems(spark, put(tmp_path / "e.json", "")).count() == 0
+
+
+def test_written_arrays_are_valid_and_in_order(spark, tmp_path):
+    df = spark.range(1000).select(F.col("id").alias("problem_id"), F.concat(F.lit("t}\""), "id").alias("title")).repartition(7)
+    json_arrays.write_array(df, str(tmp_path / "a"), [F.col("problem_id")], files=3)
+    files = sorted((tmp_path / "a").glob("*/*.txt"))
+    assert [r["problem_id"] for f in files for r in json.loads(f.read_text())] == list(range(1000)) and len(files) == 3
+    back = json_arrays.elements(spark, [str(f.parent) for f in files]).orderBy("seq").collect()
+    assert [json.loads(r.text)["problem_id"] for r in back] == list(range(1000))
+
+
+def test_cells_of_a_trial_table_move_no_attempts(spark, tmp_path):
+    cols = "model_name string, problem_id string, strategy string, trial_index int, accepted int"
+    rows = [(f"m{k % 3}", f"p{k % 17}", ["detailed", "minimal"][k % 2], k // 34, int(k % 5 > 1)) for k in range(2000)]
+    df = spark.createDataFrame(rows, cols)
+    for part in (df.where("trial_index < 30"), df.where("trial_index >= 30")):
+        writers.write_trial_table(part, "trials_by_cell", str(tmp_path / "t"), buckets=4)
+    try:
+        read = spark.table("trials_by_cell")
+        assert read.count() == 2000
+        got = stability.cells(read.where("model_name = 'm1'"))
+        plan = got._jdf.queryExecution().toString()
+        physical = plan[plan.index("== Physical Plan =="):]
+        assert "Exchange" not in physical and "model_name" in physical.split("PartitionFilters")[1][:80]
+        want = stability.cells(df.where("model_name = 'm1'"))
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+        assert all("Exchange hashpartitioning" not in line for line in stability.cell_counts(read)._jdf.queryExecution().toString().splitlines())
+    finally:
+        spark.sql("drop table trials_by_cell")
+
+
 def test_results_file(spark, tmp_path):
     doc = [{"problem_id": "1", "title": "T", "difficulty": " hard", "topics": ["A", "B"],
             "with_prompt": [{"status": "Accepted", "latency_ms": "12.5"}, {"status": "Wrong Answer", "latency_ms": "x"}],
