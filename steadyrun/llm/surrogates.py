@@ -1,19 +1,22 @@
 """Operator 3: keyed surrogates for personal data, in DataFrame functions only.
 
-Detected: e-mail addresses, phone numbers, IPv4 addresses, payment card and account numbers, social security
-numbers, access keys, assigned passwords and tokens, long hexadecimal strings, and persons named after a title.
+Detected: e-mail addresses, phone numbers, IPv4 and IPv6 addresses, payment card and account numbers (IBAN
+included), social security numbers, access keys, assigned passwords and tokens, long hexadecimal strings, and persons named after a title.
 
 A surrogate depends on a secret key, the type and the normal form of the entity, so each mention of an entity
 gets the same one in every document, poured into the format of the mention: separators, letter case, the
-country code of a phone number, the issuer digit and check digit of a card, the class of an IP address, the
-prefix of an access key; for persons the title's gender and the script. Surname and given names are entities
-of their own, so "Mr. Ivor Hale" and "Mr. Hale" stay one person. Names that a text has after a title are
-found without one in the same text as well. Phone numbers are one entity with and without country code.
+country code of a phone number, the issuer digit and check digit of a card, the country and check digits of an
+IBAN, the class of an IP address, the prefix of an access key; for persons the title's gender and the script.
+Surname and given names are entities of their own, so "Mr. Ivor Hale" and "Mr. Hale" stay one person. Names that a
+text has after a title are found without one in the same text as well. A given name after a neutral title is the
+one that has a gendered title in the same text, or else in any (the female one if both are there). Forms of the
+apostrophe are one, and a possessive is not part of a name. Phone numbers are one entity with and without country
+code.
 
 Two entities must not share a surrogate, and a surrogate must not be another entity that was detected. Both
 are checked over the distinct entities of all documents; the losers try again with the next attempt until
-none is left. Only their attempts, if any, are joined to the documents that mention them; all other
-surrogates are computed in place, so the documents are not shuffled.
+none is left. Their attempts, and the genders of names after neutral titles, are joined to the documents that
+mention them, which moves the documents unless there are few; all other surrogates are computed in place.
 """
 
 from __future__ import annotations
@@ -58,14 +61,19 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w)(?!\.\d)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<![\w+-])(?<!\d\.)(?:\d{13,19}|\d{4}(?<sep>[ -])\d{4}\k<sep>\d{4}\k<sep>\d{1,7})(?!\w)(?!\.\d)"
+IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?!\w)|(?<!\w)[A-Z]{2}\d{2}(?=[A-Z]{0,8}\d{6})[A-Z0-9]{11,30}(?!\w)"
+IP6 = (
+    r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|"
+    r"(?=[A-Fa-f:]{0,40}\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"
+)
 KEY = r"(?<!\w)(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xoxb|xoxp)[_-][A-Za-z0-9_-]{16,})(?!\w)"
 HEX = r"(?<!\w)(?=[A-Fa-f]{0,99}\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)"
-NAME = r"\p{Lu}[\p{L}'’-]*\p{L}"
+NAME = r"\p{Lu}(?:\p{L}|-(?=\p{L})|['’](?=\p{L})(?![sS](?![\p{L}'’-])))+"
 #: A word that one of these letters is next to is another word.
 BARE = r"(?<![\p{L}\p{N}])(?:%s)(?![\p{L}\p{N}])"
 PERSON = rf"(?<!\w)(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? {NAME}(?: {NAME}){{0,2}}"
 # No entity begins within a word; looking at that first spares most places all the alternatives.
-ANY = f"(?<![A-Za-z0-9])(?:{'|'.join([ASSIGNED + SECRET, EMAIL, INTERNATIONAL, IP, NATIONAL, SSN, CARD, KEY, HEX, PERSON])})"
+ANY = f"(?<![A-Za-z0-9])(?:{'|'.join([ASSIGNED + SECRET, EMAIL, INTERNATIONAL, IP, IP6, IBAN, NATIONAL, SSN, CARD, KEY, HEX, PERSON])})"
 # Every entity has one of these; a text without any needs no closer look.
 SIGNS = (
     r"[0-9@:=]|(?=[AsgpxMHFSLDPГΚ])(?<!\w)(?:AKIA|ASIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[_-]|"
@@ -115,7 +123,7 @@ def _alike(value: Column, seed: Column) -> Column:
 
         return F.array_join(F.transform(F.split(value, ""), one), "")
 
-    letters = F.when(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), 6).otherwise(26)
+    letters = F.when(value.rlike("^(?:[0-9a-f:]+|[0-9A-F:]+)$"), 6).otherwise(26)
     return _bound([_stream(seed, F.length(value)), letters], each)
 
 
@@ -162,6 +170,41 @@ def _card(norm: Column, alike: Column, seed: Column) -> Column:
     return let(body, close)
 
 
+def _mod97(text: Column) -> Column:
+    """The number that digits and letters (A is 10) spell, modulo 97."""
+
+    def add(total: Column, c: Column) -> Column:
+        return (
+            F.when(c.rlike("^[0-9]$"), (total * 10 + c.cast("int")) % 97)
+            .when(c.rlike("^[A-Z]$"), (total * 100 + F.ascii(c) - 55) % 97)
+            .otherwise(total)
+        )
+
+    return F.aggregate(F.split(text, ""), F.lit(0), add)
+
+
+def _iban(norm: Column, seed: Column) -> Column:
+    """The same country, a like account, check digits that are right where they were."""
+    country, check, account = (F.substr(norm, F.lit(a), F.lit(n)) for a, n in ((1, 2), (3, 2), (5, 30)))
+
+    def close(made: Column) -> Column:
+        right = 98 - _mod97(F.concat(made, country, F.lit("00")))
+        digits = F.when(_mod97(F.concat(account, country, check)) == 1, right).otherwise((right + 1) % 97)
+        return F.concat(country, F.lpad(digits.cast("string"), 2, "0"), made)
+
+    return let(_alike(account, seed), close)
+
+
+def _spaced(mention: Column, made: Column) -> Column:
+    """``made`` with the spaces of ``mention``."""
+
+    def one(c: Column, k: Column) -> Column:
+        nth = F.length(F.replace(F.substr(mention, F.lit(1), k + 1), F.lit(" "), F.lit("")))
+        return F.when(c == " ", c).otherwise(F.substr(made, nth, F.lit(1)))
+
+    return F.array_join(F.transform(F.split(mention, ""), one), "")
+
+
 def _phone(digits: Column, attempt: Column) -> Column:
     """The fictional exchange 555 in ten-digit numbers, for the first attempts; others keep their length."""
     area = F.concat((F.substr(digits, F.lit(1), F.lit(1)).cast("int") % 8 + 2).cast("string"), F.substr(digits, F.lit(2), F.lit(2)))
@@ -244,6 +287,8 @@ def _surrogate(key: Column, kind: Column, norm: Column, attempt: Column) -> Colu
         return (
             F.when(kind == "email", _email(norm, key, seed, attempt))
             .when(kind == "ip", _ip(norm, seed, attempt))
+            .when(kind == "ip6", _alike(norm, seed))
+            .when(kind == "iban", _iban(norm, seed))
             .when(kind.isin("phone", "ssn", "card", "secret"), let(alike, lambda a: numbered(seed, prefix, a)))
             .otherwise(_name(kind, norm, seed, attempt))
         )
@@ -259,6 +304,8 @@ def _kind(mention: Column) -> Column:
         .when(mention.rlike(_whole(EMAIL)), "email")
         .when(mention.rlike(_whole(f"{INTERNATIONAL}|{NATIONAL}")), "phone")
         .when(mention.rlike(_whole(IP)), "ip")
+        .when(mention.rlike(_whole(IP6)), "ip6")
+        .when(mention.rlike(_whole(IBAN)), "iban")
         .when(mention.rlike(_whole(SSN)), "ssn")
         .when(mention.rlike(_whole(CARD)), "card")
         .when(mention.rlike(_whole(f"{KEY}|{HEX}")), "secret")
@@ -272,6 +319,11 @@ def _subscriber(core: Column, digits: Column) -> Column:
     return F.when(F.startswith(core, F.lit("+")), abroad).otherwise(F.regexp_replace(digits, "^0", ""))
 
 
+def _folded(name: Column) -> Column:
+    """A name in small letters with one form of the apostrophe."""
+    return F.translate(F.lower(name), "’", "'")
+
+
 def _parts(mention: Column) -> Column:
     """A mention as consecutive parts: kind (null: text to keep), norm and the text itself."""
     kept = F.lit(None).cast("string")
@@ -289,6 +341,8 @@ def _parts(mention: Column) -> Column:
                 F.when(kind == "email", F.lower(core))
                 .when(kind == "phone", let(_subscriber(core, digits), lambda n: F.when(F.length(n) > 10, F.right(n, F.lit(10))).otherwise(n)))
                 .when(kind.isin("card", "ssn"), digits)
+                .when(kind == "ip6", F.lower(core))
+                .when(kind == "iban", F.replace(core, F.lit(" "), F.lit("")))
                 .otherwise(core)
             )
             return F.array(part(kept, kept, before), part(kind, norm, core))
@@ -300,7 +354,7 @@ def _parts(mention: Column) -> Column:
             def word(w: Column, k: Column) -> Column:
                 kind = F.when(k == F.size(words) - 1, "surname").otherwise(given)
                 lead = F.when(k == 0, "").otherwise(" ")
-                name = part(F.when(k > 0, kind), F.when(k > 0, F.lower(w)), w)
+                name = part(F.when(k > 0, kind), F.when(k > 0, _folded(w)), w)
                 return F.array(part(kept, kept, lead), name)
 
             return F.flatten(F.transform(words, word))
@@ -317,6 +371,8 @@ def _written(kind: Column, norm: Column, text: Column, made: Column) -> Column:
     return (
         F.when(kind.isin("phone", "card", "ssn"), _poured(text, made))
         .when(kind.isin("ip", "secret"), made)
+        .when(kind == "ip6", F.when(text == F.upper(text), F.upper(made)).otherwise(made))
+        .when(kind == "iban", _spaced(text, made))
         .when(kind == "email", cased)
         .otherwise(F.when(upper, F.upper(made)).otherwise(F.initcap(made)))
     )
@@ -328,7 +384,7 @@ def _names(text: Column) -> Column:
     parts = F.flatten(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(PERSON), F.lit(0))), _parts))
 
     def told(p: Column) -> Column:
-        small = F.concat(F.lit(r"(?<![\p{L}\p{N}@._-])"), p["norm"], F.lit(r"(?![\p{L}\p{N}@_-]|[.]\p{L})"))
+        small = F.concat(F.lit(r"(?<![\p{L}\p{N}@._-])"), F.replace(p["norm"], F.lit("'"), F.lit("['’]")), F.lit(r"(?![\p{L}\p{N}@_-]|[.]\p{L})"))
         return p["kind"].isNotNull() & ~F.regexp_like(text, small)
 
     return F.filter(parts, told)
@@ -336,7 +392,9 @@ def _names(text: Column) -> Column:
 
 def _sought(names: Column) -> Column:
     """The pattern of all mentions in a text with these names, bare names included."""
-    words = F.array_join(F.array_distinct(F.flatten(F.transform(names, lambda p: F.array(p["text"], F.upper(p["text"]))))), "|")
+    words = F.flatten(F.transform(names, lambda p: F.array(p["text"], F.upper(p["text"]))))
+    either = F.transform(words, lambda w: F.regexp_replace(w, "['’]", "['’]"))
+    words = F.array_join(F.array_distinct(either), "|")
     before, after = (F.lit(x) for x in BARE.split("%s"))
     return F.when(F.size(names) > 0, F.concat(F.lit(f"{ANY}|"), before, words, after)).otherwise(ANY)
 
@@ -396,21 +454,49 @@ def attempts(known: DataFrame, key: str) -> DataFrame:
     return stored(now.where("attempt > 0").select("kind", "norm", "attempt"), "attempts")
 
 
+def genders(known: DataFrame, tries: DataFrame) -> DataFrame:
+    """(kind, norm, code): given names after neutral titles that have a gendered one elsewhere; see ``_code``."""
+    male, female = (known.where(F.col("kind") == k).select("norm", F.lit(k).alias("as")) for k in ("given_m", "given_f"))
+    gendered = male.union(female).groupBy("norm").agg(F.min("as").alias("as"))
+    both = known.where("kind = 'given_n'").join(gendered, "norm")
+    own = tries.withColumnRenamed("kind", "as")
+    told = both.join(own, ["as", "norm"], "left")
+    return told.select("kind", "norm", _code(F.coalesce("attempt", F.lit(0)), F.col("as")).alias("code"))
+
+
+def _code(attempt: Column, kind: Column) -> Column:
+    """An attempt and the gender whose surrogate is used, as one number."""
+    return attempt * 4 + F.when(kind == "given_m", 1).when(kind == "given_f", 2).otherwise(0)
+
+
 def _rewritten(text: Column, key: str, tries: Column) -> Column:
-    def piece(p: Column) -> Column:
-        known = F.coalesce(F.try_element_at(tries, F.concat_ws("|", p["kind"], p["norm"])), F.lit(0))
-        made = let(known, lambda attempt: _surrogate(F.lit(key), p["kind"], p["norm"], attempt))
-        written = let(made, lambda m: _written(p["kind"], p["norm"], p["text"], m))
-        return F.when(p["kind"].isNull(), p["text"]).otherwise(written)
+    def piece(names: Column) -> Callable[[Column], Column]:
+        def one(p: Column) -> Column:
+            named = F.filter(names, lambda n: (n["norm"] == p["norm"]) & n["kind"].isin("given_m", "given_f"))
+            here = F.when(p["kind"] == "given_n", F.array_min(F.transform(named, lambda n: n["kind"])))
+
+            def made(kind: Column) -> Column:
+                code = F.coalesce(F.try_element_at(tries, F.concat_ws("|", kind, p["norm"])), F.lit(0))
+
+                def by(code: Column) -> Column:
+                    other = F.when(code % 4 == 1, "given_m").when(code % 4 == 2, "given_f").otherwise(kind)
+                    return _surrogate(F.lit(key), other, p["norm"], F.floor(code / 4).cast("int"))
+
+                return let(code, by)
+
+            written = let(let(F.coalesce(here, p["kind"]), made), lambda m: _written(p["kind"], p["norm"], p["text"], m))
+            return F.when(p["kind"].isNull(), p["text"]).otherwise(written)
+
+        return one
 
     def cut(names: Column) -> Column:
         def parts(mention: Column) -> Column:
-            known = F.get(F.filter(names, lambda p: p["norm"] == F.lower(mention)), F.lit(0))
+            known = F.get(F.filter(names, lambda p: p["norm"] == _folded(mention)), F.lit(0))
             bare = F.struct(known["kind"].alias("kind"), known["norm"].alias("norm"), mention.alias("text"))
             return F.when(mention.rlike(_whole(BARE % NAME)) & known.isNotNull(), F.array(bare)).otherwise(_parts(mention))
 
         def one(part: Column, k: Column) -> Column:
-            return F.when(k % 2 == 1, F.array_join(F.transform(parts(part), piece), "")).otherwise(part)
+            return F.when(k % 2 == 1, F.array_join(F.transform(parts(part), piece(names)), "")).otherwise(part)
 
         return let(_sought(names), lambda sought: F.array_join(F.transform(_cut(text, sought), one), ""))
 
@@ -426,14 +512,19 @@ def surrogated(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     or lack an id, are replaced like any other, since entities are known by their value, not by the row.
     """
     found = stored(mentions(docs, text), "mentions")
-    tries = attempts(entities(found), key)
+    known = stored(entities(found), "entities")
+    later = attempts(known, key)
+    coded = later.select("kind", "norm", _code(F.col("attempt"), F.lit("")).alias("code"))
+    neutral = genders(known, later)
+    rest = coded.join(neutral.select("kind", "norm"), ["kind", "norm"], "left_anti")
+    tries = stored(rest.union(neutral), "attempts")
     body = F.col(text).cast("string")
     if tries.isEmpty():
         return docs.withColumn(text, _rewritten(body, key, F.create_map().cast("map<string,int>")))
     each = found.select("text_md5", F.explode("found").alias("mention")).distinct()
     parts = each.select("text_md5", F.explode(_parts(F.col("mention"))).alias("p"))
     hit = parts.select("text_md5", "p.kind", "p.norm").distinct().join(tries, ["kind", "norm"])
-    entry = F.struct(F.concat_ws("|", "kind", "norm"), F.col("attempt"))
+    entry = F.struct(F.concat_ws("|", "kind", "norm"), F.col("code"))
     by_text = hit.groupBy(F.col("text_md5").alias("__text")).agg(F.map_from_entries(F.collect_set(entry)).alias("__tries"))
     joined = docs.withColumn("__md5", F.md5(body)).join(stored(by_text, "attempts"), F.col("__md5") == F.col("__text"), "left")
     return joined.withColumn(text, _rewritten(body, key, F.col("__tries"))).select(*docs.columns)

@@ -294,6 +294,44 @@ def test_surrogates_of_names_without_title(spark):
     assert got[1] == texts[1]
 
 
+def test_surrogates_of_one_person(spark):
+    texts = [
+        "Mr. Hale's dog ran. Mr. Hale left. HALE’S dog.", "Mr. Ivor Hale came. Dr. Ivor Hale spoke. Ivor left.",
+        "Dr. Ivor Hale again", "Prof. Petra Kuhn", "Mrs O'Neil and Mrs. O’Neil, O'Neil's", "Dr. Anna Lys", "Ms. Anna Lys", "Mr. Hans-Peter Voss' hat",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [r.text for r in sorted(surrogates.surrogated(df, "key").collect(), key=lambda r: r.doc_id)]
+    hale = re.match(r"Mr\. (\w+)'s dog ran\. Mr\. (\w+) left\. (\w+)’S dog\.$", got[0])
+    assert hale and hale[1] == hale[2] and hale[1].upper() == hale[3] and hale[1] != "Hale"
+    ivor = re.match(r"Mr\. (\w+) (\w+) came\. Dr\. (\w+) (\w+) spoke\. (\w+) left\.$", got[1])
+    assert ivor[1] == ivor[3] == ivor[5] and ivor[1].endswith("n") and ivor[2] == ivor[4] == hale[1]
+    assert got[2] == f"Dr. {ivor[1]} {ivor[2]} again"
+    assert re.match(r"Prof\. \w+l \w+r$", got[3])
+    neil = re.match(r"Mrs (\w+) and Mrs\. (\w+), (\w+)'s$", got[4])
+    assert neil and len({neil[1], neil[2], neil[3]}) == 1
+    assert got[5].split()[1:] == got[6].split()[1:] and got[5].split()[1].endswith("na")
+    assert re.match(r"Mr\. \w+ \w+' hat$", got[7]) and "Voss" not in got[7] and "Hans" not in got[7]
+
+
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_surrogates_of_account_numbers_and_long_addresses(spark):
+    texts = ["pay DE89 3704 0044 0532 0130 00 now", "DE89370400440532013000", "GB82WEST12345698765432.", "DE11 3704 0044 0532 0130 00",
+             "host 2001:0db8:85a3:0000:0000:8a2e:0370:7334 up", "at fe80::1ff:fe23:4567:890a, FE80::1FF:FE23:4567:890A", "12:30:45 std::vector bad::face", "AB12 is a name"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [r.text for r in sorted(surrogates.surrogated(df, "key").collect(), key=lambda r: r.doc_id)]
+    spaced, plain = re.match(r"pay (DE\d\d(?: \d{4}){4} \d\d) now$", got[0])[1], got[1]
+    assert spaced.replace(" ", "") == plain != texts[1] and mod97(plain) == 1
+    assert re.match(r"GB\d\d[A-Z]{4}\d{14}\.$", got[2]) and mod97(got[2][:-1]) == 1 and "WEST" not in got[2]
+    assert re.match(r"DE\d\d(?: \d{4}){4} \d\d$", got[3]) and mod97(got[3].replace(" ", "")) != 1
+    assert re.match(r"host [0-9a-f]{4}(?::[0-9a-f]{4}){7} up$", got[4]) and "8a2e" not in got[4]
+    low, high = re.match(r"at (\S+), (\S+)$", got[5]).groups()
+    assert low.upper() == high and "::" in low and low != "fe80::1ff:fe23:4567:890a"
+    assert got[6:] == texts[6:]
+
+
 def test_surrogates_in_a_full_network(spark):
     ips = spark.range(40000).selectExpr("'ip' as kind", "concat('192.168.', id div 250, '.', id % 250 + 1) as norm")
     tries = surrogates.attempts(ips, "k")
