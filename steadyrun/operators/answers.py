@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from steadyrun.functions import codetext, labels
-from steadyrun.functions.spread import join_groups, positions
+from steadyrun.functions.spread import positions
 from steadyrun.operators.requests import CODE_TOOL
 from steadyrun.operators.stability import first_per_key
 from steadyrun.sources import schemas
@@ -228,8 +228,10 @@ def match_by_hash(
     key = [*job, "prompt_hash"]
 
     def last(df: DataFrame, by: str, count: str) -> DataFrame:
-        sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias(count))
-        return join_groups(first_per_key(df, key, [F.desc(by)]), sizes, key)
+        rest = F.struct(*[c for c in df.columns if c not in key])
+        newest = F.max_by(rest, F.struct(by)).alias("__last")
+        held = df.groupBy(*key).agg(newest, F.count(F.lit(1)).alias(count))
+        return held.select(*[F.col(c) if c in key else F.col(f"__last.{c}").alias(c) for c in df.columns], count)
 
     keyed = last(manifest, position, "requests_of_hash").select(*key, "custom_id", "requests_of_hash")
     return last(answers, order, "answers_of_hash").join(keyed, key, "left")
