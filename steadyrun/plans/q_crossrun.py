@@ -9,7 +9,8 @@ from steadyrun.operators import crossrun, inference, problems as prob, stability
 from steadyrun.plans.common import STEPS, configs, counts, sql, trials
 from steadyrun.plans.q_report import problems, rounded
 from steadyrun.plans.q_stability import CI_SQL, LATENCY_SQL, RATES, recursive, summary_rows
-from steadyrun.sources.scratch import stored
+from steadyrun.sources import json_arrays, readers
+from steadyrun.sources.scratch import shared_dir, stored
 from steadyrun.sources.tables import table, view
 
 QUERIES = {}
@@ -60,9 +61,21 @@ KEPT = [
     "generation_mode", "run_level_pass_rate",
 ]
 
+def summaries_read(spark, sf):
+    """The summaries written as files of JSON arrays and read back."""
+    path = shared_dir(spark, "summaries")
+    rows = view(spark, sf, "v_summaries")
+    # Intervals are two numbers in a file.
+    pair = F.array(F.col("run_level_pass_rate") - 1, F.col("run_level_pass_rate") + 1)
+    json_arrays.write_array(rows.withColumn("run_level_ci_95", pair), path, [F.col("seq")])
+    return crossrun.load_summaries(readers.read_summaries(spark, path, "*.txt"))
+
+
 QUERIES["summary_load"] = (
-    lambda spark, sf: loaded(spark, sf).select("seq", *KEPT),
-    sql(f"select seq, {', '.join(KEPT)} from loaded"),
+    lambda spark, sf: rounded(
+        summaries_read(spark, sf).select(*KEPT, F.col("run_level_ci_95.lo").alias("lo"), F.col("run_level_ci_95.hi").alias("hi")), "lo", "hi"
+    ),
+    sql(f"""select {', '.join(KEPT)}, round(run_level_pass_rate - 1, 6) as lo, round(run_level_pass_rate + 1, 6) as hi from loaded"""),
 )
 QUERIES["summary_dedupe"] = (
     lambda spark, sf: latest(spark, sf).select(*KEPT, "temperature", "top_p", "max_tokens"),
@@ -145,6 +158,16 @@ union all select * from (values (-3, '\\begin{{tabular}}{{{'l' * len(_NAMES)}}}'
 union all select count(*) + 1, '\\hline' from board union all select count(*) + 2, '\\end{{tabular}}' from board"""),
 )
 
+QUERIES["interval_texts"] = (
+    lambda spark, sf: totals(spark, sf).select(
+        "model_name", "prompt_type",
+        *[render.interval_text(F.col(f"{c}_ci_95.lo"), F.col(f"{c}_ci_95.hi"), 2, "%").alias(c) for c in ("run_level", "perfect_stability")],
+    ),
+    sql(f"""select model_name, prompt_type, printf('[%.2f%%, %.2f%%]', run_level_lo, run_level_hi) as run_level,
+       printf('[%.2f%%, %.2f%%]', perfect_stability_lo, perfect_stability_hi) as perfect_stability
+from (select *, {CI_SQL} from totals) t"""),
+)
+
 QUERIES["display_names"] = (
     lambda spark, sf: view(spark, sf, "v_manifest").groupBy("model_id").agg(
         F.count(F.lit(1)).alias("requests")

@@ -24,14 +24,19 @@ def _plain(path: Column) -> Column:
     return F.regexp_replace(decoded, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
 
 
-def elements(spark: SparkSession, paths: Sequence[str], ranges: int | None = None) -> DataFrame:
+def elements(
+    spark: SparkSession, paths: Sequence[str], ranges: int | None = None, pattern: str | None = None
+) -> DataFrame:
     """(seq, text) of every object in arrays of objects; ``seq`` is (place of the path among ``paths``, file, number).
 
-    A path is a file or a directory; files of a directory go by their names. An element that is no JSON is left
+    A path is a file or a directory; files of a directory, those of ``pattern`` if given, go by their names. A file of
+    one object is an array of one. An element that is no JSON is left
     out. If a file breaks off, its last element stays if a closing brace makes it whole. Memory of a task grows
     with the largest element, not with the file.
     """
-    cut = spark.read.option("lineSep", "}").text(list(paths)).select(
+    reader = spark.read.option("lineSep", "}")
+    reader = reader.option("pathGlobFilter", pattern) if pattern else reader
+    cut = reader.text(list(paths)).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
     )

@@ -110,15 +110,11 @@ def read_problems(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return rows.select("p.*", "seq").withColumnRenamed("isPaidOnly", "paid_only")
 
 
-def read_summaries(spark: SparkSession, dirs: str | Sequence[str]) -> DataFrame:
-    """One JSON file per summary; intervals become ``struct<lo, hi>``."""
-    rows = (
-        spark.read.schema(schemas.SUMMARY)
-        .option("multiLine", True)
-        .option("pathGlobFilter", "*.json")
-        .json(_paths(dirs))
-    )
-    rows = rows.withColumn("seq", F.input_file_name())
+def read_summaries(spark: SparkSession, dirs: str | Sequence[str], pattern: str = "*.json") -> DataFrame:
+    """Summary files, of one JSON object or an array of them; intervals become ``struct<lo, hi>``. ``seq`` is the
+    place of the path among ``dirs``, the file, and the place in the file."""
+    found = json_arrays.elements(spark, _paths(dirs), pattern=pattern)
+    rows = found.select("seq", F.from_json("text", f"struct<{schemas.SUMMARY}>").alias("s")).select("s.*", "seq")
     for name in ("run_level", "perfect_stability", "first_pass", "average_variance"):
         ci = F.col(f"{name}_ci_95")
         pair = F.struct(F.get(ci, F.lit(0)).alias("lo"), F.get(ci, F.lit(1)).alias("hi"))
