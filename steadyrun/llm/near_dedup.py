@@ -218,8 +218,8 @@ def near_duplicates(
     Two documents are linked when ``100 * |intersection| >= percent * |union|`` of their shingle sets.
     component_id is the smallest doc_id that links reach, kept marks the rows that have it.
 
-    Null, empty and blank texts have no shingles and no links. Rows that repeat a doc_id are one document,
-    linked where any of its texts is. Rows without doc_id take part; their component_id is null, and they are
+    Null, empty and blank texts have no shingles and no links. Rows that repeat a doc_id with another text are
+    told apart by their texts: each has the component of its own text, so a doc_id may be in two. Rows without doc_id take part; their component_id is null, and they are
     kept, where no row of their component has one. Other columns are ignored; an empty table gives no rows.
     """
     if bands % 2:
