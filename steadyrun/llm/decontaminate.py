@@ -244,11 +244,6 @@ def with_found_items(
     return joined.withColumn(name, F.coalesce("__found", nothing)).select(*[c for c in docs.columns if c != name], name)
 
 
-def found_items(items: DataFrame, text: Column, q: int = 8, rate: float = 0.1) -> Column:
-    """The items found in ``text`` as a column, as one block."""
-    return _searching(_blocks(items, q, rate, 1 << 62)[1](0))(text.cast("string"))
-
-
 def contamination(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the items found, the least edits, where that is, and kept.
 
