@@ -13,6 +13,7 @@ words that repeat the one before; the order of magnitude of the length.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +30,7 @@ from steadyrun.llm.tokens import per_worker
 from steadyrun.sources.scratch import stored
 
 BITS = 18
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 SCORED = StructType([StructField(n, DoubleType()) for n in ("expected_grade", "tail_prob", "pass_prob")])
 
 
@@ -52,7 +53,7 @@ class _Words(dict):
         bare = word.strip(".,;:!?\"'()[]{}<>|#*$%&").lower()
         names = [f"w {bare}"] if bare else []
         names += [f"p {bare[:k]}" for k in (4, 5) if len(bare) > k]
-        found = self[word] = (tuple(map(_slot, names)), _shape(word))
+        found = self[word] = (tuple(map(_slot, names)), sys.intern(_shape(word)))
         return found
 
 
@@ -170,7 +171,7 @@ def fit(
 
     Fitting takes at most about ``most_rows`` rated documents, chosen by a hash of the doc_id. Spark counts
     their slots; the driver gets the telling ones, of which there are ``2 ** BITS`` at most. A document rated several times counts
-    with its lowest grade. Ratings without doc_id or grade are ignored. Without a rated document there is no
+    with its lowest grade; of several rows with its doc_id the text with the smallest md5 counts. Ratings without doc_id or grade are ignored. Without a rated document there is no
     model.
     """
     rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
@@ -190,7 +191,10 @@ def fit(
 
     # At most ``most_rows`` rows of two numbers.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = texts.join(F.broadcast(rated.select("doc_id", F.col("grade").cast("int").alias("grade"))), "doc_id")
+    rows = texts.join(F.broadcast(rated.select("doc_id", F.col("grade").cast("int").alias("grade"))), "doc_id")
+    # One text of each rated document, however many rows repeat its doc_id.
+    own = F.min_by("text", F.struct(F.md5("text")))
+    chosen = rows.groupBy("doc_id").agg(F.min("grade").alias("grade"), own.alias("text"))
     seen = stored(chosen.mapInArrow(run, "doc_id long, grade int, slots array<int>"), "rated")
     sizes = {r["grade"]: r["n"] for r in seen.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
@@ -233,7 +237,8 @@ def _telling_slots(
 def scored(docs: DataFrame, model: Model | None, text: Column, name: str = "scored") -> DataFrame:
     """``docs`` with a struct column ``name``: expected_grade, tail_prob (best grade) and pass_prob (grade >= 1).
 
-    Null and blank texts are scored by their empty length alone. Without a model the three are null.
+    Null and blank texts are scored by their empty length alone. Without a model the three are null. Rows that
+    repeat are scored alike, an empty table gives no rows, and a column that has the name of the result is replaced.
     """
     if model is None:
         return docs.withColumn(name, F.lit(None).cast(SCORED))

@@ -150,6 +150,14 @@ def test_fit_recovers_ordered_thresholds():
     assert np.allclose(model.thresholds, [-1, 1], atol=0.3)
 
 
+def test_repeated_rows_do_not_change_the_fit(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    ratings = labels.select("doc_id", ordinal.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    hot = docs.where("doc_id = 1").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("n")
+    once, often = ordinal.fit(docs, ratings), ordinal.fit(docs.union(docs).union(hot), ratings)
+    assert np.array_equal(once.weights, often.weights) and np.array_equal(once.thresholds, often.thresholds)
+
+
 def test_odd_texts_for_grades(spark):
     docs = spark.createDataFrame(
         [(1, None, "a"), (1, "", "b"), (None, "x" * 100000, "c"), (2, "some words", "d")], "doc_id long, text string, scored string"
