@@ -37,18 +37,22 @@ def _path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def patterns(url: Column) -> Column:
-    """What can list a URL: its host, the domains above it, and the host with each leading part of the path."""
-    labels, parts = F.split(_host(url), r"\."), F.filter(F.split(_path(url), "/"), lambda p: p != "")
+def patterns(url: Column, labels: int, depth: int) -> Column:
+    """What can list a URL, as far as listed patterns go: its host and the domains above it, of at most ``labels``
+    labels, and the host with the leading parts of the path, at most ``depth`` of them."""
+    names, parts = F.split(_host(url), r"\."), F.filter(F.split(_path(url), "/"), lambda p: p != "")
+    nothing = F.array().cast("array<string>")
+    own = F.slice(names, F.greatest(F.size(names) - labels + 1, F.lit(1)), F.lit(labels))
     domains = F.transform(
-        F.sequence(F.lit(0), F.size(labels) - 1), lambda k: F.array_join(F.slice(labels, k + 1, F.size(labels)), ".")
+        F.sequence(F.lit(0), F.size(own) - 1), lambda k: F.array_join(F.slice(own, k + 1, F.size(own)), ".")
     )
+    led = F.slice(parts, F.lit(1), F.lit(depth)) if depth else nothing
     folders = F.transform(
-        F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>")),
-        lambda k: F.concat(_host(url), F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")),
+        F.when(F.size(led) > 0, F.sequence(F.lit(1), F.size(led))).otherwise(F.array().cast("array<int>")),
+        lambda k: F.concat(_host(url), F.lit("/"), F.array_join(F.slice(led, F.lit(1), k), "/")),
     )
     every = F.array_distinct(F.concat(domains, F.transform(folders, F.lower)))
-    return F.when(_host(url) != "", every).otherwise(F.array().cast("array<string>"))
+    return F.when(_host(url) != "", every).otherwise(nothing)
 
 
 def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -57,11 +61,14 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     Of the patterns in force on the day of the fetch the longest decides; where both verdicts hold for it,
     block does. verdict and pattern are null where none is in force, or the url or day is null or no URL;
     kept is false for block only. Rows that repeat each get their verdict. Columns of those names are replaced.
+    Of a very long host or path only what is as long as the longest listed one is looked up.
     """
     held = intervals(entries).select("pattern", "verdict", "valid_from", "valid_until").distinct()
+    steps = F.split("pattern", "/")
+    labels, depth = held.agg(F.max(F.size(F.split(steps[0], r"\."))), F.max(F.size(steps) - 1)).first()
     own = captures.select(F.col("url").alias("__url"), F.col("fetched").cast("date").alias("__day"))
     asked = own.where("__url is not null and __day is not null").distinct()
-    each = asked.select("__url", "__day", F.explode(patterns(F.col("__url"))).alias("pattern"))
+    each = asked.select("__url", "__day", F.explode(patterns(F.col("__url"), labels or 1, depth or 0)).alias("pattern"))
     in_force = (F.col("__day") >= F.col("valid_from")) & (
         F.col("valid_until").isNull() | (F.col("__day") < F.col("valid_until"))
     )

@@ -102,6 +102,16 @@ def test_as_of_equals_replay(spark):
     assert url_lists.judged(c, e.where("false")).where("kept").count() == len(captures)
 
 
+def test_very_long_urls(spark):
+    long = "http://" + "x." * 30_000 + "a.com/" + "p/" * 50_000
+    c = spark.createDataFrame([(long, day(2)), ("http://a.com/p/p/p", day(2))], "url string, fetched date")
+    e = spark.createDataFrame([("l", "a.com", "allow", "add", day(1)), ("l", "a.com/p/p", "block", "add", day(1))],
+                              "list_name string, pattern string, verdict string, action string, effective date")
+    start = time.time()
+    got = {r.url: (r.pattern, r.kept) for r in url_lists.judged(c, e).collect()}
+    assert got == {long: ("a.com", True), "http://a.com/p/p/p": ("a.com/p/p", False)} and time.time() - start < 60
+
+
 def test_article_text_of_the_pages(spark):
     rows = {r.page_id: r for r in queries.op10_style_tree(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
