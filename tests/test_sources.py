@@ -105,6 +105,37 @@ def test_written_arrays_are_valid_and_in_order(spark, tmp_path):
     assert [json.loads(r.text)["problem_id"] for r in back] == list(range(1000))
 
 
+def test_large_arrays_are_one_file_a_range(spark, tmp_path):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        title = F.repeat(F.md5(F.col("id").cast("string")), F.lit(20)).alias("title")
+        df = spark.range(100_000).select(F.col("id").alias("problem_id"), title).repartition(31)
+        for name, files in (("four", 4), ("all", None)):
+            json_arrays.write_array(df, str(tmp_path / name), [F.col("problem_id")], *[files] * (files is not None))
+            found = sorted((tmp_path / name).glob("*/*.txt"))
+            assert len(found) == (files or 40)
+            assert [r["problem_id"] for f in found for r in json.loads(f.read_text())] == list(range(100_000))
+        got = readers.read_problems(spark, str(tmp_path / "all")).orderBy("seq").select("problem_id").limit(500).collect()
+        assert [int(r.problem_id) for r in got] == list(range(500))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_arrays_are_read_without_moving_their_text(spark, tmp_path):
+    path = put(tmp_path / "a.json", json.dumps([{"problem_id": str(k), "title": "t}" * 50} for k in range(2000)], indent=1))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        plan = json_arrays.elements(spark, [path])._jdf.queryExecution().executedPlan().toString()
+        assert [json.loads(r.text)["problem_id"] for r in json_arrays.elements(spark, [path]).orderBy("seq").collect()] == [str(k) for k in range(2000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    # Only the parts of elements that go over the end of a split are shuffled, not the whole ones.
+    whole = plan[:plan.index("NOT whole")]
+    assert "whole" in whole and "Exchange hashpartitioning(file" not in whole.split("Union")[1].split("FileScan")[0]
+
+
 def test_cells_of_a_trial_table_move_no_attempts(spark, tmp_path):
     cols = "model_name string, problem_id string, strategy string, trial_index int, accepted int"
     rows = [(f"m{k % 3}", f"p{k % 17}", ["detailed", "minimal"][k % 2], k // 34, int(k % 5 > 1)) for k in range(2000)]
