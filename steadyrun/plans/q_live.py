@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from steadyrun.functions.spread import join_groups
@@ -16,31 +18,52 @@ from steadyrun.streaming import live
 QUERIES = {}
 
 
-def as_stream(df, order, files):
-    """``df`` as it would arrive: ``files`` files in the given order, one micro-batch each."""
-    path = shared_dir(df.sparkSession, "arriving")
-    df.repartitionByRange(files, order).write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def log_stream(spark, sf):
-    """The log by its days; copies of an attempt are logged on different days, so in different micro-batches."""
-    return as_stream(stability.with_labels(view(spark, sf, "v_trial_log")), "logged_at", 4)
+def arrived(run, *sources):
+    """What ``run`` gives for streams that arrive in turns; each of ``sources`` is (df, time column, turns).
+
+    A turn is a range of the time, rows without one coming first, and is written by the tasks that read ``df``, so it
+    is many files. It has landed as a whole before the runner drains the streams again from their checkpoint: turns
+    come in their order, one micro-batch each. A file stream alone would go by when each file was written.
+    """
+    spark = sources[0][0].sparkSession
+    checkpoint = shared_dir(spark, "live")
+    landed = []
+    for df, order, turns in sources:
+        shares = [k / turns for k in range(1, turns)]
+        bounds = stored(df.agg(F.percentile_approx(order, shares, 1000).alias("bounds")), "bounds").select("bounds").scalar()
+        # A row without a time is of the first turn.
+        passed = [F.when(F.col(order) > F.get(bounds, F.lit(k)), 1).otherwise(0) for k in range(turns - 1)]
+        turn = sum(passed, F.lit(0))
+        landed.append((df.withColumn("__turn", turn), shared_dir(spark, "arriving"), turns, df.schema))
+    for k in range(max(turns for _, _, turns, _ in landed)):
+        for told, path, turns, _ in landed:
+            if k < turns:
+                told.where(F.col("__turn") == k).drop("__turn").write.mode("append").parquet(path)
+        streams = [spark.readStream.schema(schema).parquet(path) for _, path, _, schema in landed]
+        result = run(*streams, path=checkpoint)
+    return result
+
+
+def log(spark, sf):
+    """The log; copies of an attempt are logged on different days, so in different turns."""
+    return stability.with_labels(view(spark, sf, "v_trial_log")), "logged_at", 4
 
 
 QUERIES["stream_stability"] = (
-    lambda spark, sf: rates(stability.cell_totals(live.live_cells(log_stream(spark, sf), LOG_ORDER), BY)),
+    lambda spark, sf: rates(
+        stability.cell_totals(arrived(partial(live.live_cells, order=LOG_ORDER), log(spark, sf)), BY)
+    ),
     sql(f"select model_name, strategy, {RATES} from cells group by model_name, strategy"),
 )
 QUERIES["stream_dedupe"] = (
     # Copies of an attempt may be logged years apart.
-    lambda spark, sf: live.dedupe_intake(log_stream(spark, sf), event_time="logged_at", delay="3000 days").select(
-        *stability.TRIAL_KEY
-    ),
+    lambda spark, sf: arrived(
+        partial(live.dedupe_intake, event_time="logged_at", delay="3000 days"), log(spark, sf)
+    ).select(*stability.TRIAL_KEY),
     sql("select distinct model_name, problem_id, strategy, trial_index from log"),
 )
 QUERIES["stream_job_state"] = (
-    lambda spark, sf: live.live_job_state(as_stream(view(spark, sf, "v_job_state"), "ts", 6)),
+    lambda spark, sf: arrived(live.live_job_state, (view(spark, sf, "v_job_state"), "ts", 6)),
     sql("""select model_id, prompt_type, status, normalized_exists from (
   select *, row_number() over (partition by model_id, prompt_type order by ts desc, event_id desc) as rn from v_job_state) t
 where rn = 1"""),
@@ -60,7 +83,9 @@ QUERIES["stream_collect"] = (
 from v_answers a join (select custom_id, problem_id, prompt_type, trial_index from v_manifest) m on a.custom_id = m.custom_id"""),
 )
 QUERIES["stream_failure_runs"] = (
-    lambda spark, sf: live.live_failure_runs(as_stream(view(spark, sf, "v_submissions"), "ts", 3), threshold=5),
+    lambda spark, sf: arrived(
+        partial(live.live_failure_runs, threshold=5), (view(spark, sf, "v_submissions"), "ts", 3)
+    ),
     sql("""with c as (select *, sum(case when submission_id is not null then 1 else 0 end)
        over (partition by account order by ts, event_id rows unbounded preceding) as island
      from v_submissions where has_code),
@@ -74,7 +99,8 @@ def latencies_live(spark, sf):
     """Percentiles of all logged latencies from sketches, and whether their ranks are within the stated bound."""
     probs = {"p50": 0.5, "p90": 0.9}
     log = stability.with_labels(view(spark, sf, "v_trial_log")).where("latency_ms <> 0").select(*BY, "logged_at", "latency_ms")
-    found = stored(live.live_percentiles(as_stream(log, "logged_at", 4), BY, "latency_ms", probs, k=512), "percentiles")
+    run = partial(live.live_percentiles, by=BY, value="latency_ms", probs=probs, k=512)
+    found = stored(arrived(run, (log, "logged_at", 4)), "percentiles")
     counts = [
         F.avg(F.when(F.col("latency_ms") < F.col(p), 1.0).otherwise(0.0)).alias(f"{p}_below") for p in probs
     ] + [F.avg(F.when(F.col("latency_ms") <= F.col(p), 1.0).otherwise(0.0)).alias(f"{p}_upto") for p in probs]
@@ -115,8 +141,8 @@ def job_events(spark, sf):
 
 
 QUERIES["stream_collect_finished"] = (
-    lambda spark, sf: live.live_collect_finished(
-        as_stream(arrivals(spark, sf), "at", 3), as_stream(job_events(spark, sf), "at", 2)
+    lambda spark, sf: arrived(
+        live.live_collect_finished, (arrivals(spark, sf), "at", 3), (job_events(spark, sf), "at", 2)
     ).select("custom_id", "model_id", "late"),
     sql("""with jobs as (
   select model_id, prompt_type, max(doc_id) * 9 // 10 as done from v_answers group by model_id, prompt_type)
