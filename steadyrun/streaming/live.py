@@ -61,14 +61,23 @@ def upsert(stream: DataFrame, key: Sequence[str], path: str, slots: int = 4) ->
     def held(*chosen: str) -> DataFrame:
         return _latest(spark.read.schema(schema).parquet(*chosen), key)
 
+    last: list[int] = []
+
     def handle(rows: DataFrame, batch: int) -> None:
+        last[:] = [batch]
         rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(parts[batch % slots])
         if batch % slots == slots - 1:
             side = batch // slots % 2
             held(*parts[:slots], parts[slots + 1 - side]).write.mode("overwrite").parquet(parts[slots + side])
 
     _drain(stream, path, "update", handle)
-    return held(*parts).drop("batch")
+    if not last:
+        return held(*parts).drop("batch")
+    # What came before the last folding is in its snapshot, one row per key.
+    since = (last[0] + 1) % slots
+    snapshot = [parts[slots + last[0] // slots % 2]] if not since else [parts[slots + (last[0] // slots - 1) % 2]]
+    now = held(*parts[:since], *snapshot) if since else spark.read.schema(schema).parquet(*snapshot)
+    return now.drop("batch")
 
 
 def append(stream: DataFrame, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from steadyrun.operators import crossrun, stability
-from steadyrun.plans import q_answers
+from steadyrun.plans import q_answers, q_live
 from steadyrun.sources.tables import view
 from steadyrun.streaming import live
 
@@ -93,6 +93,40 @@ def test_collect(spark, sf, split):
     assert got.count() == batch.count() and got.select("custom_id").distinct().count() == batch.count()
 
 
+def test_turns_arrive_in_order_and_are_many_files(spark):
+    times = spark.range(4000).select(F.timestamp_seconds(F.col("id") * 60).alias("at"), F.col("id").alias("k"))
+    times = times.unionByName(spark.range(1).select(F.lit(None).cast("timestamp").alias("at"), (F.col("id") - 1).alias("k")))
+    seen = []
+
+    def run(first, second, path):
+        new = live.append(first, path + "/first"), live.append(second, path + "/second")
+        seen.append(tuple(df.agg(F.count("k"), F.max("k"), F.min("k")).first() for df in new))
+        return new
+
+    first, second = q_live.arrived(run, (times.repartition(6), "at", 4), (times.repartition(6), "at", 2))
+    assert [s[0] for s in seen] == [(n + 1, n - 1, -1) for n in (s[0][0] - 1 for s in seen)]
+    assert len({s[0] for s in seen}) == 4 and [s[1][0] for s in seen[1:]] == [4001] * 3 and seen[0][1][0] < 4001
+    assert rows(first, "k") == rows(second, "k") == rows(times, "k")
+    # No task writes a whole turn.
+    assert len(first.inputFiles()) >= 8
+
+
+@pytest.mark.parametrize("batches", [1, 3, 4, 5, 7, 8, 9])
+def test_upserts_read_what_the_last_folding_left(spark, tmp_path, batches):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for k in range(batches):
+        spark.range(k, k + 3).select("id", F.lit(k).alias("v")).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema("id long, v int").parquet(str(source))
+        got = live.upsert(stream.groupBy("id").agg(F.max("v").alias("v")), ["id"], out)
+        if k % 2 or k == batches - 1:
+            assert rows(got, "id", "v") == [(i, min(i, k)) for i in range(k + 3)]
+    # Folded changes are not put together again.
+    assert ("HashAggregate" in (plan := got._jdf.queryExecution().executedPlan().toString()) or "SortAggregate" in plan) == (batches % 4 > 0)
+    again = live.upsert(stream.groupBy("id").agg(F.max("v").alias("v")), ["id"], out)
+    assert rows(again, "id", "v") == rows(got, "id", "v")
+
+
 def test_disk_and_replay_of_upserts(spark, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
