@@ -65,9 +65,10 @@ def nested_results(spark, sf):
 
 
 def results_read(spark, sf):
-    """The nested results written as JSON arrays, and read back in splits."""
+    """The nested results written as compressed JSON arrays, a file a range of models and problems, and read back."""
     path = shared_dir(spark, "results")
-    json_arrays.write_array(nested_results(spark, sf), path, [F.col("model_name"), F.col("problem_id")])
+    order = [F.col("model_name"), F.col("problem_id")]
+    json_arrays.write_array(nested_results(spark, sf), path, order, compression="lz4")
     texts = json_arrays.elements(spark, [path])
     kind = f"model_name string, {schemas.RESULTS}"
     return texts.select(F.from_json("text", kind).alias("r")).select("r.*")

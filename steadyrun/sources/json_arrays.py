@@ -194,12 +194,15 @@ def elements(
     return placed.select(F.struct("place", "file", "number").alias("seq"), "text")
 
 
-def write_array(rows: DataFrame, path: str, order: Sequence[Column], files: int | None = None) -> None:
+def write_array(
+    rows: DataFrame, path: str, order: Sequence[Column], files: int | None = None, compression: str = "none"
+) -> None:
     """``rows`` as JSON arrays, one element a line, in ``files`` files (the shuffle partitions unless given) that are
     in order by name.
 
     A file is a range of the order, whose bounds Spark samples, and is sorted and written by one task; the brackets
-    are set as the rows pass, so nothing comes between sorting and writing.
+    are set as the rows pass, so nothing comes between sorting and writing. ``compression`` is a codec of Spark's
+    text sink; a compressed file is read by one task, so large tables then need as many files as tasks.
     """
     files = files or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lines = rows.select(F.to_json(F.struct(*rows.columns)).alias("value"), F.struct(*order).alias("__order"))
@@ -222,4 +225,6 @@ def write_array(rows: DataFrame, path: str, order: Sequence[Column], files: int
             yield pa.RecordBatch.from_arrays([pa.array([head + held + "]"], pa.string())], names=["value"])
 
     sorted_lines = lines.repartitionByRange(files, *keys).sortWithinPartitions(*keys).select("value")
-    sorted_lines.mapInArrow(bracketed, "value string").write.mode("overwrite").text(f"{path}/part=0")
+    sorted_lines.mapInArrow(bracketed, "value string").write.mode("overwrite").text(
+        f"{path}/part=0", compression=compression
+    )

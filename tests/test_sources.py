@@ -3,12 +3,14 @@
 import hashlib
 import json
 import os
+import pathlib
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from steadyrun.operators import crossrun, problems as prob, stability
+from steadyrun.plans import q_sources
 from steadyrun.sources import json_arrays, readers, writers
 from steadyrun.sources.scratch import shared_dir
 
@@ -136,6 +138,14 @@ def test_arrays_are_read_without_moving_their_text(spark, tmp_path):
     assert "whole" in whole and "Exchange hashpartitioning(file" not in whole.split("Union")[1].split("FileScan")[0]
 
 
+@pytest.mark.parametrize("name, files", [("trial_archive", "archive-*/*.json.lz4"), ("results_flat", "results-*/*/*.txt.lz4")])
+def test_written_archives_and_results_are_compressed(spark, sf, name, files):
+    base = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(base.glob(files))
+    q_sources.QUERIES[name][0](spark, sf)
+    assert len(set(base.glob(files)) - before) > 0
+
+
 def test_cells_of_a_trial_table_move_no_attempts(spark, tmp_path):
     cols = "model_name string, problem_id string, strategy string, trial_index int, accepted int"
     rows = [(f"m{k % 3}", f"p{k % 17}", ["detailed", "minimal"][k % 2], k // 34, int(k % 5 > 1)) for k in range(2000)]
