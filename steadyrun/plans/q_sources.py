@@ -16,7 +16,7 @@ QUERIES = {}
 
 
 def archive(spark, sf):
-    """The log written as JSON into a global and a run archive, read back from both, each attempt once."""
+    """The log written as compressed JSON into a global and a run archive, read back from both, each attempt once."""
     log = view(spark, sf, "v_trial_log")
     shown = log.select(
         "model_name", "problem_id", "strategy", "prompt_type", "trial_index", "status", "latency_ms",
@@ -25,8 +25,8 @@ def archive(spark, sf):
     )
     dirs = [shared_dir(spark, name) for name in ("archive-global", "archive-run")]
     for path in dirs:
-        shown.write.json(path)
-    read = readers.read_trial_archive(spark, [*dirs, dirs[0]], "*.json")
+        shown.write.json(path, compression="lz4")
+    read = readers.read_trial_archive(spark, [*dirs, dirs[0]], "*.json.*")
     return stability.dedupe_trials(read, [F.col("raw_response")]).select(
         *stability.TRIAL_KEY, "accepted"
     ).groupBy(*stability.CELL).agg(F.count(F.lit(1)).alias("n"))
