@@ -1,9 +1,10 @@
 """Operator 1: token ids in grammar-compressed shards (Re-Pair).
 
 Documents are dealt in ascending doc_id order; each task encodes its texts and closes a shard at the first end
-of a document after ``shard_ids`` ids. In a shard, frequent pairs of neighbouring symbols are replaced by new
-symbols, round after round: a round counts all pairs, takes the most frequent ones (``least_uses`` times or more, as a
-rule costs as much as it saves below that) and replaces them from left to right.
+of a document after ``shard_size`` ids. In a shard, frequent pairs of neighbouring symbols are replaced by new
+symbols, round after round until none is left that is frequent (``least_uses`` times or more, as a rule costs as much
+as it saves below that). A round counts all pairs that may be frequent, takes at most ``most_rules`` of them, the most
+frequent ones, and replaces them; where two overlap, the more frequent one.
 
 The file format is a table, one row per shard, written by Spark's committed writers, so a lost executor leaves
 no half file and any store will do:
@@ -44,62 +45,84 @@ SHARDS = (
 )
 READ = "part int, part_start long, in_shard long, doc_id long, n_tokens long, ids_crc32 long"
 SAMPLE = 1024
-SLOTS = 19
-ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _spaced(at: np.ndarray) -> np.ndarray:
-    """Where neighbouring positions follow each other, every second one of the run."""
-    starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-    inside = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
-    return at[inside % 2 == 0]
 
 
 def _replaced(
-    symbols: np.ndarray, first_new: int, most_rules: int, least_uses: int
-) -> tuple[np.ndarray, np.ndarray] | None:
-    """One round: the shorter symbols and the new rules, None if no pair is frequent.
+    symbols: np.ndarray, live: np.ndarray, first_new: int, most_rules: int, least_uses: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """One round: the shorter symbols, where pairs may still be frequent, and the new rules; None if no pair is frequent.
 
-    One pair stands for each slot of a hash table and is counted there; others in its slot wait for a later round.
+    ``live`` has every place of every pair that may be frequent, so sorting the pairs there counts them exactly.
     """
-    keys = symbols[:-1].astype(np.uint64) << np.uint64(32)
-    keys |= symbols[1:]
-    slot = ((keys * ODD) >> np.uint64(64 - SLOTS)).astype(np.int32)
-    stands = np.zeros(1 << SLOTS, np.uint64)
-    stands[slot] = keys
-    same = stands[slot] == keys
-    counts = np.bincount(slot[same], minlength=1 << SLOTS)
-    frequent = int((counts >= least_uses).sum())
-    least = least_uses
-    if frequent > most_rules:
-        least = max(least, int(np.partition(counts, -most_rules)[-most_rules]))
-    at = np.flatnonzero(same & (counts >= least)[slot])
-    # Overlaps cost uses; pairs left with too few go, and their neighbours get another chance.
-    uses = np.bincount(slot[_spaced(at)], minlength=1 << SLOTS)
-    at = _spaced(at[(uses >= least_uses)[slot[at]]])
+    n, m = len(symbols), len(live)
+    every = m == n - 1
+    left, right = (symbols[:-1], symbols[1:]) if every else (symbols[live], symbols[live + 1])
+    wide, narrow = np.uint64(int(symbols.max()).bit_length()), np.uint64(m.bit_length())
+    keys = left.astype(np.uint64) << wide | right
+    if 2 * wide + narrow <= 64:
+        # The pair in the high bits and its place in the low ones: far quicker to sort than places by pair.
+        keys <<= narrow
+        keys |= np.arange(m, dtype=np.uint64)
+        keys.sort()
+        places = keys & ((np.uint64(1) << narrow) - np.uint64(1))
+        keys >>= narrow
+    else:
+        places = np.argsort(keys, kind="stable")
+        keys = keys[places]
+    counts = np.diff(np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [m]]))
+    frequent = counts >= least_uses
+    at, counts = places[np.repeat(frequent, counts)].astype(np.int64), counts[frequent]
+    if not len(at):
+        return None
+    at = at if every else live[at]
+    pair = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    again = np.zeros(n, bool)
+    again[at] = True
+    # Of a run of one symbol every second place is a use.
+    next_to = np.flatnonzero((at[1:] == at[:-1] + 1) & (pair[1:] == pair[:-1])) + 1
+    if len(next_to):
+        starts = np.flatnonzero(np.diff(next_to, prepend=-2) != 1)
+        inside = np.arange(len(next_to)) - np.repeat(starts, np.diff(np.append(starts, len(next_to))))
+        overlaps = next_to[inside % 2 == 0]
+        counts = counts - np.bincount(pair[overlaps], minlength=len(counts))
+        at = np.delete(at, overlaps)
+    # Where pairs overlap the more frequent one is replaced; the others wait for the next round.
+    rank = np.empty(len(counts), np.int32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(1, len(counts) + 1)
+    rank[(counts < least_uses) | (rank <= len(counts) - most_rules)] = 0
+    claims = np.zeros(n + 2, np.int32)
+    claims[at + 1] = np.repeat(rank, counts)
+    own = claims[1:-1]
+    at = np.flatnonzero((own > claims[:-2]) & (own > claims[2:]))
+    enough = np.bincount(own[at], minlength=len(counts) + 1) >= least_uses
+    at = at[enough[own[at]]]
     if not len(at):
         return None
-    used = np.bincount(slot[at], minlength=1 << SLOTS) > 0
-    number = np.cumsum(used, dtype=np.int32) - 1
-    pairs = stands[used]
+    number = np.cumsum(enough, dtype=np.uint32) - np.uint32(1)
+    new = number[own[at]]
+    rules = np.empty((int(enough.sum()), 2), np.uint32)
+    rules[new, 0], rules[new, 1] = symbols[at], symbols[at + 1]
     out = symbols.copy()
-    out[at] = (first_new + number[slot[at]]).astype(np.uint32)
-    stays = np.ones(len(symbols), bool)
+    out[at] = new + np.uint32(first_new)
+    stays = np.ones(n, bool)
     stays[at + 1] = False
-    return out[stays], np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+    again[at] = True
+    again[at[at > 0] - 1] = True
+    out, live = out[stays], np.flatnonzero(again[stays])
+    return out, live[live < len(out) - 1], rules
 
 
 def compress(
-    ids: np.ndarray, alphabet: int, rounds: int, most_rules: int, least_uses: int
+    ids: np.ndarray, alphabet: int, rounds: int | None, most_rules: int, least_uses: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """The symbols, the rules (pairs), their expansion lengths, and the number of rules after each round."""
     symbols, rules, ends = ids.astype(np.uint32), np.empty((0, 2), np.uint32), []
-    lengths = np.ones(alphabet, np.uint32)
-    for _ in range(rounds):
-        done = _replaced(symbols, alphabet + len(rules), most_rules, least_uses) if len(symbols) > 1 else None
+    lengths, live = np.ones(alphabet, np.uint32), np.arange(len(ids) - 1)
+    while len(live) and (rounds is None or len(ends) < rounds):
+        done = _replaced(symbols, live, alphabet + len(rules), most_rules, least_uses)
         if done is None:
             break
-        symbols, new = done
+        symbols, live, new = done
         lengths = np.append(lengths, lengths[new[:, 0]] + lengths[new[:, 1]])
         rules = np.concatenate([rules, new])
         ends.append(len(rules))
@@ -107,10 +130,12 @@ def compress(
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, alphabet: int, ends: list[int]) -> np.ndarray:
-    """The ids that the symbols stand for, the rules of the last round being undone first."""
+    """The ids that a few symbols stand for, the rules of the last round being undone first."""
     for k in range(len(ends) - 1, -1, -1):
         first = alphabet + (ends[k - 1] if k else 0)
         is_rule = symbols >= first
+        if not is_rule.any():
+            continue
         place = np.cumsum(is_rule) + np.arange(len(symbols)) - is_rule
         out = np.empty(len(symbols) + int(is_rule.sum()), np.uint32)
         found = symbols[is_rule] - alphabet
@@ -121,6 +146,27 @@ def expand(symbols: np.ndarray, rules: np.ndarray, alphabet: int, ends: list[int
     return symbols
 
 
+def expand_all(symbols: np.ndarray, rules: np.ndarray, alphabet: int, ends: list[int]) -> np.ndarray:
+    """As ``expand`` for many symbols: what each rule stands for is written out once, round by round."""
+    ids, size = np.arange(alphabet, dtype=np.uint32), np.ones(alphabet, np.int64)
+    start = np.arange(alphabet)
+
+    def looked_up(found: np.ndarray) -> np.ndarray:
+        sizes = size[found]
+        after = np.cumsum(sizes)
+        shift = np.repeat(start[found] - (after - sizes), sizes)
+        shift += np.arange(len(shift))
+        return ids[shift]
+
+    for first, last in zip([0, *ends], ends):
+        pairs = rules[first:last]
+        more = looked_up(pairs.ravel())
+        sizes = size[pairs].sum(axis=1)
+        start = np.append(start, len(ids) + np.cumsum(sizes) - sizes)
+        ids, size = np.append(ids, more), np.append(size, sizes)
+    return looked_up(symbols)
+
+
 def _planes(symbols: np.ndarray) -> tuple[bytes, bytes]:
     high = symbols >> 16
     bits = int(high.max()).bit_length() if len(high) else 0
@@ -145,7 +191,7 @@ def _u32(data: bytes) -> np.ndarray:
 def shard_ids(row: dict[str, Any]) -> np.ndarray:
     """All ids of one row of the file format."""
     symbols = _symbols(row["low"], row["high"], row["n_symbols"])
-    return expand(symbols, _u32(row["rules"]).reshape(-1, 2), row["alphabet"], row["rounds"])
+    return expand_all(symbols, _u32(row["rules"]).reshape(-1, 2), row["alphabet"], row["rounds"])
 
 
 def slice_ids(row: dict[str, Any], start: int, stop: int) -> np.ndarray:
@@ -178,7 +224,7 @@ def shards(
     alphabet: int,
     end_id: int = 0,
     shard_size: int = 1 << 21,
-    rounds: int = 3,
+    rounds: int | None = None,
     most_rules: int = 1 << 14,
     least_uses: int = 8,
     added_tokens: bool = False,
@@ -187,7 +233,8 @@ def shards(
 
     Order: doc_id ascending, rows without one first; rows that repeat a doc_id follow a hash of their text, so
     even one repeated id is spread over tasks. A null text counts as empty and is its end id alone. Other
-    columns are ignored; an empty table gives no rows. ``added_tokens``: see ``tokens.Encoder``.
+    columns are ignored; an empty table gives no rows. ``rounds``: stop after so many, None: when no pair is frequent.
+    ``added_tokens``: see ``tokens.Encoder``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

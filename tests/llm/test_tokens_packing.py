@@ -71,6 +71,39 @@ def test_grammar_round_trip_and_random_access():
             assert (grammar.slice_ids(row, a, b) == ids[a:b]).all()
 
 
+def uses(symbols):
+    """Uses of each pair, overlaps left out."""
+    found, last = Counter(), {}
+    for k, pair in enumerate(zip(symbols, symbols[1:])):
+        if last.get(pair) != k - 1 or pair[0] != pair[1]:
+            last[pair] = k
+            found[pair] += 1
+    return found
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(4)
+    # 40,000 pairs of two symbols ten times each, then a text that needs many rounds.
+    pairs = np.arange(80_000, dtype=np.uint32)
+    many = np.concatenate([rng.permutation(pairs.reshape(-1, 2)).ravel() for _ in range(10)])
+    copies = np.tile(rng.integers(0, 500, 700).astype(np.uint32), 60)
+    noise = rng.integers(0, 6, 3000).astype(np.uint32)
+    for ids, alphabet in ((many, 80_000), (copies, 500), (noise, 6), (np.zeros(999, np.uint32), 1)):
+        symbols, rules, lengths, ends = grammar.compress(ids, alphabet, None, 1 << 14, 8)
+        assert max(uses(symbols.tolist()).values(), default=0) < 8
+        assert (grammar.expand(symbols, rules, alphabet, ends) == ids).all()
+        assert (grammar.expand_all(symbols, rules, alphabet, ends) == ids).all()
+        assert all(len(grammar.expand_all(np.array([alphabet + k]), rules, alphabet, ends)) == n for k, n in enumerate(lengths[:50]))
+
+
+def test_wide_symbols_are_counted_exactly():
+    small = np.random.default_rng(5).integers(0, 8, 2000).astype(np.uint32)
+    live, wide = np.arange(len(small) - 1), small + np.uint32(2**31)
+    got, want = (grammar._replaced(x, live, 2**30, 100, 8) for x in (wide, small))
+    assert (got[2] == want[2] + np.uint32(2**31)).all() and (got[1] == want[1]).all()
+    assert len(got[0]) == len(want[0]) < len(small)
+
+
 def test_more_than_16_bits():
     symbols = np.array([1, 70000, 65535, 65536, 140000] * 5, np.uint32)
     low, high = grammar._planes(symbols)
