@@ -61,14 +61,19 @@ KEPT = [
     "generation_mode", "run_level_pass_rate",
 ]
 
+# A file of so many summaries is sorted and read in memory, so the number of files grows with the table.
+ROWS_PER_FILE = 200_000
+
+
 def summaries_read(spark, sf):
-    """The summaries written as files of JSON arrays and read back."""
+    """The summaries written as compressed files of JSON arrays and read back."""
     path = shared_dir(spark, "summaries")
     rows = view(spark, sf, "v_summaries")
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_FILE))
     # Intervals are two numbers in a file.
     pair = F.array(F.col("run_level_pass_rate") - 1, F.col("run_level_pass_rate") + 1)
-    json_arrays.write_array(rows.withColumn("run_level_ci_95", pair), path, [F.col("seq")])
-    return crossrun.load_summaries(readers.read_summaries(spark, path, "*.txt"))
+    json_arrays.write_array(rows.withColumn("run_level_ci_95", pair), path, [F.col("seq")], files, compression="lz4")
+    return crossrun.load_summaries(readers.read_summaries(spark, path, "*.txt.lz4"))
 
 
 QUERIES["summary_load"] = (

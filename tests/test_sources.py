@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from steadyrun.operators import crossrun, problems as prob, stability
-from steadyrun.plans import q_sources
+from steadyrun.plans import q_crossrun, q_sources
 from steadyrun.sources import json_arrays, readers, writers
 from steadyrun.sources.scratch import shared_dir
 
@@ -107,6 +107,16 @@ def test_written_arrays_are_valid_and_in_order(spark, tmp_path):
     assert [json.loads(r.text)["problem_id"] for r in back] == list(range(1000))
 
 
+def test_summaries_are_written_compressed_in_files_of_bounded_size(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(q_crossrun, "ROWS_PER_FILE", 100)
+    monkeypatch.setattr(q_crossrun, "shared_dir", lambda spark, label: str(tmp_path / label))
+    rows = q_crossrun.summaries_read(spark, sf).count()
+    orders = spark.read.parquet(f"{sf}/orders.parquet").count()
+    files = list((tmp_path / "summaries").glob("*/part-*"))
+    assert len(files) == -(-orders // 100) > 4 and all(f.name.endswith(".txt.lz4") for f in files)
+    assert 0 < rows <= orders
+
+
 def test_large_arrays_are_one_file_a_range(spark, tmp_path):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "40")
