@@ -46,13 +46,19 @@ CODE_TEXT = "The whole program, without any words around it."
 def expand_requests(
     problems: DataFrame, models: Sequence[str], prompts: Sequence[str], runs: int
 ) -> DataFrame:
-    """One row per (trial, problem, model, prompt). Rows multiply in place; nothing is joined."""
+    """One row per (trial, problem, model, prompt). Rows multiply in place; nothing is joined.
+
+    Problems are few bytes and thus few splits for all the requests made of them, so their rows are first dealt to
+    as many tasks as a shuffle has.
+    """
+    tasks = int(problems.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def each(values: Sequence[str]) -> Column:
         return F.explode(F.array(*[F.lit(v) for v in values]))
 
     return (
-        problems.withColumn("model_id", each(models))
+        problems.repartition(tasks)
+        .withColumn("model_id", each(models))
         .withColumn("prompt_type", each(prompts))
         .withColumn("trial_index", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
     )

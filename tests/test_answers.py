@@ -234,3 +234,10 @@ def test_items_of_any_length(spark):
     assert indexes == sorted(indexes, key=lambda i: (i is not None, i or 0))
     back = ans.flatten_items(items, ["model_id", "problem_id"]).select(*df.columns)
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def test_requests_of_a_small_table_are_made_by_many_tasks(spark):
+    problems = spark.range(2000).select(F.col("id").cast("string").alias("frontend_question_id")).coalesce(1)
+    made = req.expand_requests(problems, ["a", "b"], ["detailed"], 3)
+    per_task = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 12_000 == made.distinct().count() and len(per_task) == 4 and max(per_task) < 4000
