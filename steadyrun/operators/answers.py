@@ -223,7 +223,8 @@ def match_by_hash(
     A request is known by its job, the columns ``job`` of both sides, and its prompt: models that are asked
     the same keep their own answers. Within a job, of equal prompts the last request counts, and of its
     answers the last: both sides are reduced to one row per key before they meet, so copies of one prompt
-    cannot multiply. ``answers_of_hash`` and ``requests_of_hash`` tell how many there were.
+    cannot multiply. ``answers_of_hash`` and ``requests_of_hash`` tell how many there were. All columns of the
+    answers are sorted with them, so drop raw lines that are not needed any more.
     """
     key = [*job, "prompt_hash"]
 
@@ -233,7 +234,9 @@ def match_by_hash(
         held = df.groupBy(*key).agg(newest, F.count(F.lit(1)).alias(count))
         return held.select(*[F.col(c) if c in key else F.col(f"__last.{c}").alias(c) for c in df.columns], count)
 
-    keyed = last(manifest, position, "requests_of_hash").select(*key, "custom_id", "requests_of_hash")
+    # Prompts stay behind: only the id of a request is wanted.
+    asked = manifest.select(*dict.fromkeys([*key, "custom_id", position]))
+    keyed = last(asked, position, "requests_of_hash").select(*key, "custom_id", "requests_of_hash")
     return last(answers, order, "answers_of_hash").join(keyed, key, "left")
 
 

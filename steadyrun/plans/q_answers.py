@@ -148,7 +148,7 @@ def generate_lines(spark, sf):
 
 
 def hash_match(spark, sf):
-    parsed = ans.generate_answers(generate_lines(spark, sf))
+    parsed = ans.generate_answers(generate_lines(spark, sf)).drop("value")
     found = ans.match_by_hash(parsed, grid(spark, sf), "doc_id", "doc_id")
     return found.select("model_id", "prompt_hash", "custom_id", "doc_id", "text", "answers_of_hash", "requests_of_hash", "input_tokens", "output_tokens", "error")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from steadyrun.functions import codetext
 from steadyrun.operators import answers as ans, requests as req
+from steadyrun.plans import q_answers
 
 ANSWERS = [
     "Here:\n\n```python\nclass Solution:\n    def f(self):\n        return 1\n```\n bye",
@@ -241,3 +242,14 @@ def test_requests_of_a_small_table_are_made_by_many_tasks(spark):
     made = req.expand_requests(problems, ["a", "b"], ["detailed"], 3)
     per_task = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(per_task) == 12_000 == made.distinct().count() and len(per_task) == 4 and max(per_task) < 4000
+
+
+def test_hash_match_sorts_only_what_it_gives(spark, sf):
+    unread = F.when(F.col("n") >= 0, F.raise_error(F.lit("a prompt was sorted")))
+    manifest = spark.createDataFrame([("m", "h", "a", 1)], "model_id string, prompt_hash string, custom_id string, n int")
+    answers = manifest.select("model_id", "prompt_hash", "n", F.lit("t").alias("text"))
+    found = ans.match_by_hash(answers, manifest.withColumn("prompt", unread.cast("string")), "n", "n").collect()
+    assert [(r.custom_id, r.text) for r in found] == [("a", "t")]
+    plan = q_answers.hash_match(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    sums = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert len(sums) == 2 and not any("value#" in line for line in sums)
