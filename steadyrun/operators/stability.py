@@ -204,13 +204,13 @@ def latency_percentiles(
     return percentiles(value_counts(kept, by, "latency_ms"), by, LATENCY_PROBS)
 
 
-def stability_summary(trials: DataFrame, by: Sequence[str]) -> DataFrame:
+def stability_summary(trials: DataFrame, by: Sequence[str], found: DataFrame | None = None) -> DataFrame:
     """The summary row per group: counts, rates, intervals, average variance, pass@k, latency.
 
     Cells count their latencies, and latencies are counted per verdict, so both halves read the same
-    columns of ``trials`` and share its shuffle.
+    columns of ``trials`` and share its shuffle. ``found`` are the cells of ``trials``, if they are at hand.
     """
-    found = cells(trials)
+    found = cells(trials) if found is None else found
     totals = with_intervals(cell_totals(found, by, timed=True))
     counts = value_counts(trials.where(F.col("latency_ms") != 0), [*by, "accepted"], "latency_ms")
     latency = percentiles(counts, by, LATENCY_PROBS)

@@ -63,10 +63,10 @@ def intervals(df):
 
 
 def summary_rows(spark, sf):
-    """The full summary row of every model and prompt, unrounded; attempts are deduplicated and written once."""
+    """The full summary row of every model and prompt, unrounded; attempts and cells are written once."""
     log = stored(trials(spark, sf).select(*stability.TRIAL_KEY, "accepted", "latency_ms"), "attempts")
-    found = stability.stability_summary(log, BY)
-    return inference.with_variance_interval(found, stability.cell_counts(log), BY)
+    found = stored(stability.cells(log), "cells")
+    return inference.with_variance_interval(stability.stability_summary(log, BY, found), found, BY)
 
 
 def summary(spark, sf):

@@ -10,6 +10,7 @@ from steadyrun.functions import stats
 from steadyrun.functions.quantiles import exact_percentiles
 from steadyrun.functions.spread import in_ranges, positions, ranks, running_totals
 from steadyrun.operators import crossrun, inference, stability
+from steadyrun.plans import q_stability
 
 SCHEMA = "model_name string, problem_id string, strategy string, trial_index int, status string, latency_ms double, at int"
 
@@ -240,3 +241,12 @@ def test_summary_with_variance_interval(spark):
     assert all(r.average_variance_ci_95.lo <= r.average_variance <= r.average_variance_ci_95.hi for r in got)
     board = crossrun.leaderboard(summary.withColumn("prompt_type", F.lit("detailed")))
     assert "AV 95% CI" in board.columns and board.first()["AV 95% CI"].startswith("[0.")
+
+
+def test_summary_counts_its_cells_once(spark, sf, monkeypatch):
+    made = []
+    plain = stability.cells
+    monkeypatch.setattr(stability, "cells", lambda trials: made.append(1) or plain(trials))
+    monkeypatch.setattr(stability, "cell_counts", lambda trials: pytest.fail("attempts are counted a second time"))
+    rows = q_stability.summary_rows(spark, sf)
+    assert made == [1] and {"average_variance_ci_95", "p50_latency_ms", "pass_at_5"} <= set(rows.columns)
