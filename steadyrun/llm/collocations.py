@@ -54,7 +54,7 @@ class Hashes(dict):
         return found
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.array([self[w] for w in words], np.uint64)
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def pair_keys(lang: bytes, hashes: np.ndarray) -> np.ndarray:
@@ -213,26 +213,33 @@ def phrase_counts(windows: DataFrame, least: int, range_rows: int) -> DataFrame:
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes, int]]:
         path, counts, edge = [], [], None
-
-        def ended(depth: int, all_: bool) -> Iterator[tuple[bytes, bytes, int]]:
-            while len(path) > depth:
-                # What the first or last row begins with may go on in another range.
-                if all_ or len(path) <= max(edge, 1) or counts[-1] >= least:
-                    yield path[0], b"".join(w + b" " for w in path[1:]), counts[-1]
-                path.pop()
-                counts.pop()
-
+        # A count is added to that of the shorter phrase when it is complete.
         for row, n in _paths(batches):
             edge = len(row) if edge is None else edge
-            same = _common(path, row)
+            same = 0
+            for x, y in zip(path, row):
+                if x != y:
+                    break
+                same += 1
             if same < len(path):
-                yield from ended(same, False)
+                while len(path) > same:
+                    total = counts.pop()
+                    # What the first or last row begins with may go on in another range.
+                    if total >= least or len(path) <= max(edge, 1):
+                        yield path[0], b"".join(w + b" " for w in path[1:]), total
+                    path.pop()
+                    if counts:
+                        counts[-1] += total
                 edge = min(edge, same)
             path += row[same:]
             counts += [0] * (len(row) - same)
-            for k in range(len(counts)):
-                counts[k] += n
-        yield from ended(0, True)
+            counts[-1] += n
+        while path:
+            total = counts.pop()
+            yield path[0], b"".join(w + b" " for w in path[1:]), total
+            path.pop()
+            if counts:
+                counts[-1] += total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _batches(summed(batches), ["lang", "phrase", "n"], [pa.binary(), pa.binary(), pa.int64()]):
