@@ -41,43 +41,59 @@ def _latest(changes: DataFrame, key: Sequence[str]) -> DataFrame:
     return changes.groupBy(*key).agg(last).select(*key, "last.*")
 
 
-def upsert(stream: DataFrame, key: Sequence[str], path: str, slots: int = 4) -> DataFrame:
-    """Latest row per key of an update-mode stream.
-
-    Changes of a micro-batch are written to one of ``slots`` folders in turn, and every ``slots`` micro-batches they
-    are folded into a snapshot, in one of two folders in turn. So the disk holds two snapshots and the changes of
-    ``slots`` micro-batches, however many there were. Rows carry the number of their micro-batch and the last one
-    counts, so it does no harm that a folder is read both before and after folding. A replayed micro-batch writes
-    the same folders again from what those before it left.
+def _first(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The row of each key that is first by ``order``; other columns break ties."""
+    rest = [c for c in dict.fromkeys([*order, *rows.columns]) if c not in key]
+    return rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("first")).select(*key, "first.*").select(*rows.columns)
+
+
+def upsert(stream: DataFrame, key: Sequence[str], path: str, slots: int = 4, order: Sequence[str] | None = None) -> DataFrame:
+    """Latest row per key of an update-mode stream; with ``order``, the first row per key of a stream of plain rows.
+
+    What a micro-batch brings is written to one of ``slots - 1`` folders in turn, and each ``slots``-th micro-batch is
+    folded with them into a snapshot, in one of two folders in turn. So the disk holds two snapshots and ``slots - 1``
+    micro-batches, however many there were. A replayed micro-batch writes the same folders again from what those before
+    it left.
+
+    Rows of an update-mode stream carry the number of their micro-batch and the last one counts. With ``order`` the first
+    one counts, whichever micro-batch brought it; so no state store is needed, and memory is that of an aggregate, which
+    spills. Either way it does no harm that a folder is read both before and after folding.
     """
     spark = stream.sparkSession
-    schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
-    parts = [f"{path}/changes/slot={k}" for k in range(slots)] + [f"{path}/snapshot/side={k}" for k in range(2)]
+    schema = stream.schema if order else StructType([*stream.schema.fields, StructField("batch", LongType())])
+    changes = [f"{path}/changes/slot={k}" for k in range(slots - 1)]
+    sides = [f"{path}/snapshot/side={k}" for k in range(2)]
     nothing = spark.createDataFrame([], schema)
-    for part in parts:
+    for part in [*changes, *sides]:
         # Those of an earlier run of the same stream stay.
         nothing.write.mode("ignore").parquet(part)
 
-    def held(*chosen: str) -> DataFrame:
-        return _latest(spark.read.schema(schema).parquet(*chosen), key)
+    def read(*chosen: str) -> DataFrame:
+        return spark.read.schema(schema).parquet(*chosen)
+
+    def held(rows: DataFrame) -> DataFrame:
+        return _first(rows, key, order) if order else _latest(rows, key)
 
     last: list[int] = []
 
     def handle(rows: DataFrame, batch: int) -> None:
         last[:] = [batch]
-        rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(parts[batch % slots])
-        if batch % slots == slots - 1:
-            side = batch // slots % 2
-            held(*parts[:slots], parts[slots + 1 - side]).write.mode("overwrite").parquet(parts[slots + side])
-
-    _drain(stream, path, "update", handle)
-    if not last:
-        return held(*parts).drop("batch")
-    # What came before the last folding is in its snapshot, one row per key.
-    since = (last[0] + 1) % slots
-    snapshot = [parts[slots + last[0] // slots % 2]] if not since else [parts[slots + (last[0] // slots - 1) % 2]]
-    now = held(*parts[:since], *snapshot) if since else spark.read.schema(schema).parquet(*snapshot)
-    return now.drop("batch")
+        told = rows if order else rows.withColumn("batch", F.lit(batch).cast("long"))
+        turn, side = batch % slots, batch // slots % 2
+        if turn < slots - 1:
+            told.write.mode("overwrite").parquet(changes[turn])
+        else:
+            held(read(*changes, sides[1 - side]).unionByName(told)).write.mode("overwrite").parquet(sides[side])
+
+    _drain(stream, path, "append" if order else "update", handle)
+    if last:
+        # What came before the last folding is in its snapshot, one row per key.
+        since, folded = (last[0] + 1) % slots, (last[0] + 1) // slots
+        snapshot = sides[(folded - 1) % 2]
+        now = held(read(*changes[:since], snapshot)) if since else read(snapshot)
+    else:
+        now = held(read(*changes, *sides))
+    return now if order else now.drop("batch")
 
 
 def append(stream: DataFrame, path: str) -> DataFrame:
@@ -100,14 +116,17 @@ def appended(stream: DataFrame, path: str) -> DataFrame:
 def live_cells(trials: DataFrame, order: Sequence[str], path: str | None = None) -> DataFrame:
     """Cells that grow as attempts are logged, equal to the batch ``cells`` of the deduplicated log.
 
-    An attempt counts once, with the copy that is first by ``order``, whichever copy arrives first. State is
-    one short row per attempt, however many copies there are. Trials need an index.
+    An attempt counts once, with the copy that is first by ``order``, whichever copy arrives first. What is held is
+    one short row per attempt, however many copies there are, and those of the micro-batches not folded yet; it lies
+    in the folders of ``upsert``. Trials need an index.
     """
     path = path or shared_dir(trials.sparkSession, "live-cells")
-    kept = ["accepted", *[c for c in ("latency_ms",) if c in trials.columns]]
-    first = F.min(F.struct(*order, *kept)).alias("first")
-    attempts = upsert(trials.groupBy(*stability.TRIAL_KEY).agg(first), stability.TRIAL_KEY, path)
-    return stability.cells(attempts.select(*stability.TRIAL_KEY, *[F.col(f"first.{c}").alias(c) for c in kept]))
+    kept = [*stability.TRIAL_KEY, "accepted", *[c for c in ("latency_ms",) if c in trials.columns]]
+    # Problems tell attempts apart best, so most comparisons end there.
+    key = ["problem_id", *[c for c in stability.TRIAL_KEY if c != "problem_id"]]
+    # Not the folder itself, which may hold the checkpoint of an earlier form that had state.
+    attempts = upsert(trials.select(*dict.fromkeys([*kept, *order])), key, f"{path}/attempts", order=order)
+    return stability.cells(attempts.select(*kept))
 
 
 def rank_error(k: int) -> float:

@@ -158,6 +158,45 @@ def test_disk_and_replay_of_upserts(spark, tmp_path):
     assert rows(arrive(20, 20), "k", "v", "n") == want(20)
 
 
+@pytest.mark.parametrize("files", [1, 3, 4, 6, 9])
+def test_first_rows_without_state(spark, tmp_path, files):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    # Copies of a key come in later and in earlier micro-batches than the first one, and twice in one; some have no time.
+    data = [(k, (k * 7 + n * 5) % 11 or None, (k + n * 3) % 4, f"{k}-{n}") for n in range(files) for k in range(40) if (k + n) % 3 or n == 0]
+    for n in range(files):
+        mine = [r for r in data if r[3].endswith(f"-{n}")]
+        spark.createDataFrame(mine + mine[:5], "k int, at int, tie int, v string").coalesce(1).write.parquet(part := str(tmp_path / f"part{n}"))
+        name = next(f for f in os.listdir(part) if f.endswith(".parquet"))
+        shutil.copy(os.path.join(part, name), source / f"{n}.parquet")
+        os.utime(source / f"{n}.parquet", (1000 + n, 1000 + n))
+    want = sorted(min((r for r in data if r[0] == k), key=lambda r: (r[1] or 0, r[2], r[3])) for k in range(40))
+
+    def run():
+        stream = spark.readStream.schema("k int, at int, tie int, v string").option("maxFilesPerTrigger", 1).parquet(str(source))
+        return rows(live.upsert(stream, ["k"], out, order=["at", "tie"]), "k", "at", "tie", "v")
+
+    assert run() == want and run() == want
+    # The last micro-batch is written again.
+    for name in (f"{files - 1}", f".{files - 1}.crc"):
+        if os.path.exists(f"{out}/checkpoint/commits/{name}"):
+            os.remove(f"{out}/checkpoint/commits/{name}")
+    assert run() == want
+    assert spark.read.parquet(*(f"{out}/snapshot/side={s}" for s in range(2))).count() <= 2 * 40
+
+
+def test_cells_keep_no_state(spark, sf, split, tmp_path):
+    """A state store holds every attempt in memory, which at 60 copies of the log was more than 12 GB."""
+    log = stability.with_labels(view(spark, sf, "v_trial_log"))
+    order = ["logged_at", *[f"tie_{i}" for i in range(1, 8)]]
+    stream, batch = split(log.drop("ts"), "tie_1", 6)
+    got = live.live_cells(stream, order, str(tmp_path))
+    batch = stability.dedupe_trials(batch, [F.col(c) for c in order])
+    cols = [*stability.CELL, "n", "a", "first_pass", "first_accepted", "latencies"]
+    assert rows(got, *cols) == rows(stability.cells(batch), *cols)
+    assert list(tmp_path.glob("**/checkpoint/commits/5")) and not list(tmp_path.glob("**/checkpoint/state"))
+
+
 def test_percentiles_from_sketches(spark, split):
     import random
 
